@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import bpe
+from cueloom.llm import bpe, simhash
 from cueloom.llm.common import table
 
 
@@ -17,8 +17,12 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_bpe_encode_decode": op1_bpe_encode_decode}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
