@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import bpe, simhash
+from cueloom.llm import bpe, embeddup, simhash
 from cueloom.llm.common import table
 
 
@@ -17,13 +17,37 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+OP7_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+), usable AS (
+  SELECT * FROM v
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98
+), reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a
+)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links,
+  (SELECT min(seen) FROM reach WHERE node = v.vec_id) AS component_id,
+  v.vec_id = (SELECT min(seen) FROM reach WHERE node = v.vec_id) AS kept
+FROM v
+"""
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op7_embedding_near_dedup, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_embedding_near_dedup": OP7_SQL}
