@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import bpe, embeddup, simhash
+from cueloom.llm import bpe, decontam, embeddup, simhash
 from cueloom.llm.common import table
 
 
@@ -17,6 +17,36 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.verdicts(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least(len(w), 13) AS k, array_to_string(w[p : p + least(len(w), 13) - 1], ' ') AS g
+  FROM i, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS t(p) WHERE len(w) > 0
+), sizes AS (SELECT DISTINCT k FROM windows), found AS (
+  SELECT doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') AS g
+  FROM d, sizes, unnest(range(1, len(w) - k + 2)) AS t(p) WHERE len(w) >= k
+), hits AS (
+  SELECT DISTINCT doc_id, f.p + o AS at FROM found f SEMI JOIN windows v ON f.g = v.g AND f.k = v.k, unnest(range(0, f.k)) AS t(o)
+), n AS (SELECT doc_id, count(*) AS n_hit FROM hits GROUP BY doc_id), items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS list
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found JOIN windows USING (g, k)) GROUP BY doc_id
+)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(list, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -46,8 +76,8 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op7_embedding_near_dedup, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_decontamination, op7_embedding_near_dedup, op8_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_embedding_near_dedup": OP7_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL}
