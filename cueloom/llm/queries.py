@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cueloom.llm import bpe, decontam, embeddup, simhash
-from cueloom.llm.common import table
+from cueloom.llm import bpe, decontam, embeddup, sharding, simhash, warc
+from cueloom.llm.common import scratch_path, table
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,9 +75,35 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    return warc.report(spark, path)
+
+
+OP9_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body FROM pages
+), h AS (
+  SELECT *, sha1(body) AS hex, row_number() OVER (PARTITION BY body ORDER BY page_id) AS nth,
+    first_value(page_id) OVER (PARTITION BY body ORDER BY page_id) AS first FROM p
+)
+SELECT page_id, strlen(body) AS payload_bytes,
+  translate(array_to_string([to_base(('0x' || substr(hex, 5 * k + 1, 5))::BIGINT, 32, 4) FOR k IN range(8)], ''),
+    '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
+  CASE WHEN nth = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN nth > 1 THEN first END AS refers_to
+FROM h
+"""
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_decontamination, op7_embedding_near_dedup, op8_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_decontamination, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_warc": OP9_SQL}
