@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cueloom.llm import bpe, decontam, embeddup, sharding, simhash, warc
+from cueloom.llm import bpe, decontam, embeddup, langid, sharding, simhash, warc
 from cueloom.llm.common import scratch_path, table
 
 
@@ -47,6 +48,12 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.train(docs.where("NOT held_out"))
+    return langid.predict(docs.select("doc_id", "held_out", "text"), model).drop("text")
+
+
 def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -102,7 +109,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_decontamination, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_decontamination, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
