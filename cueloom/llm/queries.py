@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import bpe, decontam, embeddup, langid, sharding, simhash, warc
+from cueloom.llm import bpe, decontam, embeddup, html, langid, sharding, simhash, warc
 from cueloom.llm.common import scratch_path, table
 
 
@@ -18,6 +18,10 @@ def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(ids, path))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.verdicts(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -109,7 +113,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op3_decontamination, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_html_extraction, op3_decontamination, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
