@@ -69,6 +69,8 @@ class Block:
     linked: int  # characters in links
     never: bool  # inside what is never main text
     article: int  # number of the article or main element it stands in, or 0
+    group: int = 0  # the element that it stands in with its siblings
+    heading: bool = False
     label: bool | None = None
 
 
@@ -77,6 +79,7 @@ class _Open:
     name: str
     never: bool
     article: int
+    number: int = 0
 
 
 @dataclass
@@ -89,6 +92,7 @@ class _Reader:
     links: list[str] = field(default_factory=list)
     in_link: bool = False
     articles: int = 0
+    elements: int = 0
 
     def text(self, raw: str) -> None:
         if "&" in raw:
@@ -102,7 +106,8 @@ class _Reader:
             words = "".join(self.parts).split()
             if words:
                 top = self.stack[-1]
-                self.blocks.append(Block(" ".join(words), len(" ".join("".join(self.links).split())), top.never, top.article))
+                group = next(o.number for o in reversed(self.stack) if o.name not in _LEAVES)
+                self.blocks.append(Block(" ".join(words), len(" ".join("".join(self.links).split())), top.never, top.article, group, top.name in _HEADINGS))
             self.parts.clear()
             self.links.clear()
 
@@ -144,12 +149,15 @@ class _Reader:
         if name in ("article", "main") and not article:
             self.articles += 1
             article = self.articles
-        self.stack.append(_Open(name, never, article))
+        self.elements += 1
+        self.stack.append(_Open(name, never, article, self.elements))
 
 
 _P_ENDS = frozenset("div section article main aside nav header footer form td th li blockquote table body button object".split())
 _LI_ENDS = frozenset("ul ol menu".split())
 _DL_ENDS = frozenset(["dl"])
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_LEAVES = _HEADINGS | frozenset("p li dt dd td th blockquote pre".split())
 
 
 def read_blocks(html: str) -> list[Block]:
@@ -233,14 +241,14 @@ def classify(blocks: list[Block]) -> None:
     after.reverse()
     for k, b in enumerate(blocks):
         if b.label is None:
-            near = [(abs(k - x[0]), not x[1]) for x in (before[k], after[k]) if x]
-            # The nearer one decides; of two that are as near, main text does only inside an article.
-            if not near:
-                b.label = bool(b.article)
-            elif len({x[0] for x in near}) == 1 and len({x[1] for x in near}) == 2:
-                b.label = bool(b.article)
-            else:
-                b.label = not min(near)[1]
+            if b.heading and after[k]:  # a heading belongs to what follows
+                b.label = after[k][1]
+                continue
+            near = [(abs(k - x[0]) + 0.5 * (blocks[x[0]].group != b.group), x[1]) for x in (before[k], after[k]) if x]
+            least = min((x[0] for x in near), default=0)
+            labels = {label for distance, label in near if distance == least}
+            # Neighbours that are as near and differ, or none at all: it depends on the article.
+            b.label = labels.pop() if len(labels) == 1 else bool(b.article)
 
 
 def main_text(html: str | None) -> str:
