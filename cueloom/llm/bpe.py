@@ -13,9 +13,9 @@ their own; other columns, whatever their names, are left out.
 from __future__ import annotations
 
 import base64
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_type
 
 from cueloom.llm import wordshuffle as ws
-from cueloom.llm.common import shuffle_partitions
 
 
 @lru_cache(maxsize=2)
@@ -53,118 +51,60 @@ class Pretokens:
     """Cuts texts by the pattern, looking at each distinct run between spaces once.
 
     A run that follows a single space and has no white space at its ends is cut the same way
-    wherever it stands. Only a text with other runs is cut as a whole.
+    wherever it stands. A text with other runs is cut as a whole.
     """
 
     def __init__(self, pattern: str) -> None:
         self.find = regex.compile(pattern).findall
-        self.odd: dict[str, bool] = {}
+
+    def whole(self, text: str) -> bytes:
+        return text.encode()
 
     def split(self, text: str) -> list:
         first, *runs = text.split(" ")
-        if not runs:
-            return [text.encode()]
-        odd = self.odd
-        for run in set(runs).difference(odd):
-            odd[run] = not run or run[0].isspace() or run[-1].isspace()
-        if not first or first[-1].isspace() or any(map(odd.__getitem__, runs)):
+        if runs and (not first or first[-1].isspace()):
             return [text.encode()]
         return [first.encode(), *runs]
 
-    def words(self, key: str | bytes) -> list[bytes]:
-        text = key.decode() if isinstance(key, bytes) else f" {key}"
-        return [w.encode() for w in self.find(text)]
+    def words(self, key: str | bytes) -> list[bytes] | None:
+        if isinstance(key, bytes):
+            return [w.encode() for w in self.find(key.decode())]
+        if not key or key[0].isspace() or key[-1].isspace():
+            return None
+        return [w.encode() for w in self.find(f" {key}")]
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id", text: str = "text", block_chars: int = ws.BLOCK_CHARS) -> DataFrame:
     """(key, ids array<int>) of every row of ``docs``, as tiktoken's encode_ordinary would give."""
     name = send_ranks(docs, ranks_path)
-    key_type = docs.schema[key].dataType
-    arrow_key = to_arrow_type(key_type)
-    # The keys of a block are not numbers in general: they travel in a column of their own.
-    cell_type = T.StructType([*ws.CELL.fields, T.StructField("keys", T.ArrayType(key_type))])
-    cell_arrow = pa.schema([*ws.CELL_ARROW, pa.field("keys", pa.list_(arrow_key))])
-    parts = ws.PARTS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
-
-    def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
+    def block() -> ws.Block:
         cut = Pretokens(pattern)
-        number = TaskContext.get().partitionId() << 32
-
-        def finish(block: ws.Block) -> Iterator[tuple]:
-            where = lambda codes, sizes: np.arange(len(codes))
-            for part, at, head, cell in ws.block_cells(block, number, parts, where, []):
-                yield part, at, head, cell, block.rows if head else None
-
-        def rows() -> Iterator[tuple]:
-            nonlocal number
-            block = ws.Block(cut.split, cut.words)
-            for batch in stream:
-                for row, item in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    block.add(row, item.as_py())
-                    if block.chars >= block_chars or len(block.rows) >= 1 << 17:
-                        yield from finish(block)
-                        number += 1
-                        cut.odd.clear()
-                        block = ws.Block(cut.split, cut.words)
-            if block.rows:
-                yield from finish(block)
-
-        return ws.batches(rows(), cell_arrow)
-
-    def encode_words(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return ws.Block(cut.split, cut.words, cut.whole)
+
+    def work() -> Callable[[list[bytes], list[np.ndarray]], list[np.ndarray]]:
         one = load_encoder(name, pattern)._encode_single_piece
         known: dict[bytes, list[int]] = {}
 
-        def rows() -> Iterator[tuple]:
-            for batch in stream:
-                for part, at, head, cell, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if head:
-                        yield part, at, head, cell, keys
-                        continue
-                    (lengths, counts, step), blob = ws.unpack(cell)
-                    ids = []
-                    for word in ws.read_words(lengths, blob):
-                        if (own := known.get(word)) is None:
-                            own = known[word] = one(word)
-                        ids.append(own)
-                    n_ids = np.array([len(x) for x in ids])
-                    yield part, at, head, ws.pack([n_ids, np.array([i for x in ids for i in x]), counts, step]), None
-
-        return ws.batches(rows(), cell_arrow)
-
-    out_arrow = pa.schema([pa.field(key, arrow_key), pa.field("ids", pa.list_(pa.int32()))])
-
-    def reassemble(group: pa.Table) -> pa.Table:
-        at_word, n_words, firsts, n_ids, ids = [], 0, 0, [], []
-        keys, sizes = [], np.zeros(0, np.uint32)
-        for head, cell, own in zip(group["head"].to_pylist(), group["cell"].to_pylist(), group["keys"].to_pylist(), strict=True):
-            columns, _ = ws.unpack(cell)
-            if head:
-                keys, sizes = own, columns[0]
-                continue
-            each, flat, counts, step = columns
-            at_word.append((ws.positions_of(step, counts), np.repeat(np.arange(n_words, n_words + len(each), dtype=np.int32), counts)))
-            n_words += len(each)
-            n_ids.append(each)
-            ids.append(flat)
-        ends = ws.spans(sizes)
-        if not at_word:
-            return pa.table([pa.array(keys, arrow_key), pa.array([[]] * len(keys), pa.list_(pa.int32()))], schema=out_arrow)
-        word = np.empty(ends[-1], dtype=np.int32)
-        for position, own in at_word:
-            word[position] = own
-        each = np.concatenate(n_ids).astype(np.int64)
-        flat = np.concatenate(ids).astype(np.int32)
+        def ids_of(words: list[bytes], _: list[np.ndarray]) -> list[np.ndarray]:
+            for word in words:
+                if word not in known:
+                    known[word] = one(word)
+            ids = [known[word] for word in words]
+            return [np.array([len(x) for x in ids]), np.array([i for x in ids for i in x])]
+
+        return ids_of
+
+    def finish(rows: pa.StructArray, sizes: np.ndarray, word: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
+        each, flat = (c.astype(np.int32) for c in columns or [np.zeros(0), np.zeros(0)])
         sizes_at = each[word]
         values = flat[ws.gather_runs(ws.spans(each)[:-1][word], sizes_at)]
-        offsets = ws.spans(sizes_at)[ends].astype(np.int32)
-        return pa.table([pa.array(keys, arrow_key), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], schema=out_arrow)
+        offsets = ws.spans(sizes_at)[ws.spans(sizes)].astype(np.int32)
+        return pa.table([rows.field(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=schema.names)
 
-    cells = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(explode, cell_type)
-    encoded = ws.by_part(cells).mapInArrow(encode_words, cell_type)
-    return encoded.groupBy("block").applyInArrow(reassemble, T.StructType([T.StructField(key, key_type), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+    cells = ws.to_cells(docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")), block, block_chars=block_chars)
+    return ws.join_back(ws.each_word(cells, work), finish, schema)
 
 
 def byte_table(name: str) -> list[bytes]:
@@ -176,41 +116,49 @@ def byte_table(name: str) -> list[bytes]:
     return out
 
 
+class Decoder(dict):
+    """The token-byte table, and U+FFFD for ids that it lacks."""
+
+    def __init__(self, name: str) -> None:
+        super().__init__(enumerate(byte_table(name)))
+
+    def __missing__(self, token: int) -> bytes:
+        return b"\xef\xbf\xbd"
+
+    def join(self, ids: pa.ListScalar) -> bytes | None:
+        return b"".join(map(self.__getitem__, ids.values.fill_null(-1).to_numpy().tolist())) if ids.is_valid else None
+
+
 def decode(df: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the bytes of its ``ids`` column in ``out`` (replaced if it is there already)."""
     name = send_ranks(df, ranks_path)
     kept = [f for f in df.schema.fields if f.name != out]
     schema = T.StructType([*kept, T.StructField(out, T.BinaryType())])
+    at = [f.name for f in kept].index(ids)
 
     def join_bytes(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = dict(enumerate(byte_table(name)))
-        lookup = _Lookup(table).__getitem__
-        at = [f.name for f in kept].index(ids)
+        table = Decoder(name)
         for batch in stream:
-            column = batch.column(at)
-            bytes_of = [None if x.as_py() is None else b"".join(map(lookup, x.values.to_pylist())) for x in column]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bytes_of, pa.binary())], names=[*(f.name for f in kept), out])
+            decoded = pa.array([table.join(x) for x in batch.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded], names=schema.names)
 
     return df.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(join_bytes, schema)
 
 
-class _Lookup(dict):
-    def __missing__(self, key: int | None) -> bytes:
-        return b"\xef\xbf\xbd"
-
-
-def digests(df: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of encoded and decoded rows."""
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+def digests(df: DataFrame, ranks_path: str, key: str = "doc_id") -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of encoded rows; decodes as it goes, so that the
+    decoded bytes stay in the task."""
+    name = send_ranks(df, ranks_path)
+    schema = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def digest(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Decoder(name)
         for batch in stream:
-            keys, ids, decoded = batch.columns
-            values = [x.values.to_numpy(zero_copy_only=False).astype("<u4") for x in ids]
-            yield pa.RecordBatch.from_arrays(
-                [keys, pa.array([len(v) for v in values], pa.int64()), pa.array([hashlib.sha256(v.tobytes()).hexdigest() for v in values]), pa.array([hashlib.sha256(x.as_buffer() or b"").hexdigest() for x in decoded])],
-                names=[key, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
-
-    return df.select(key, "ids", "decoded").mapInArrow(digest, schema)
+            n, of_ids, of_bytes = [], [], []
+            for ids in batch.column(1):
+                n.append(len(ids))
+                of_ids.append(sha256(ids.values.to_numpy().astype("<u4", copy=False)).hexdigest())
+                of_bytes.append(sha256(table.join(ids)).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=schema.names)
+
+    return df.select(key, "ids").mapInArrow(digest, schema)

@@ -1,14 +1,15 @@
 """The global distinct-word shuffle behind encoding, token counts and word statistics.
 
-Documents are cut into blocks of bounded size. A block's words are exploded with their positions
-(or their document's place in the block) and grouped by word, so a word that fills a third of the
-corpus still leaves a block once. The words of a block are dealt by hash into parts; all cells of a
-part meet in one task, which sees every distinct word of its part exactly once however many blocks
-use it, works out the word's result, and sends it back to the blocks, where the results are put
-back by position.
+Documents are cut into blocks of bounded size. A block's words are exploded with their positions;
+the positions stay together in the block's head, as the number of the word at each, and each
+distinct word leaves the block once, so a word that fills a third of the corpus weighs no more than
+another. The words of a block are dealt by hash into parts; all cells of a part meet in one task,
+which sees every distinct word of its part however many blocks use it, works out its result once,
+and sends it back to the blocks, where the results are joined to the words and put in place by
+position.
 
-A cell holds whole columns (words, counts, positions) as compressed bytes: the shuffles carry one
-row for each block and part instead of one for each word.
+A cell holds whole columns (words, counts) as compressed bytes: the shuffles carry one row for each
+block and part instead of one for each word.
 
 Blocks are numbered by task and place in the task, so the input has to be one that reads the same
 way twice: a file scan or a checkpoint, not the unordered output of another shuffle.
@@ -28,13 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cueloom.llm.common import shuffle_partitions
 
 #: Characters of text in a block; a longer document is a block of its own.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: Parts of the words for each shuffle partition.
-PARTS_PER_PARTITION = 4
+PARTS_PER_PARTITION = 2
 
 
 class Interner(dict):
@@ -87,81 +89,120 @@ def spans(lengths: np.ndarray) -> np.ndarray:
 def gather_runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes start, start + 1, ... of each run, one run after the other."""
     ends = spans(lengths)
-    return np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])
+    kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+    out = np.arange(ends[-1], dtype=kind)
+    out += np.repeat((starts - ends[:-1]).astype(kind), lengths)
+    return out
 
 
 class Block:
     """Documents gathered until they reach the block's size.
 
-    split(text) gives the chunks of a text as hashable keys; words(key) gives the words, as bytes,
-    that a chunk stands for. Chunks are cut up once for each block.
+    split(text) gives a text's chunks as hashable keys; words(key) gives the words, as bytes, that a
+    chunk stands for, or None if it doesn't stand alone, in which case the key whole(text) stands for
+    the text. Chunks are cut up once for each block. A null text is read as ``null``; where that is
+    None, null and empty texts have no chunks.
     """
 
-    def __init__(self, split: Callable[[Any], list], words: Callable[[Any], list[bytes]]) -> None:
-        self.split, self.words = split, words
+    def __init__(self, split: Callable[[Any], list], words: Callable[[Any], list[bytes] | None], whole: Callable[[Any], Any] | None = None, null: Any = None) -> None:
+        self.split, self.words, self.whole, self.null = split, words, whole, null
         self.chunks, self.names = Interner(), Interner()
         self.flat: list[int] = []  # words of the chunks, chunk after chunk
         self.sizes: list[int] = []
+        self.odd: set[int] = set()  # chunks that don't stand alone
         self.docs: list[np.ndarray] = []
         self.rows: list[Any] = []
         self.chars = 0
 
+    def _codes(self, keys: list) -> np.ndarray:
+        known, name = len(self.chunks), self.names.__getitem__
+        codes = np.fromiter(map(self.chunks.__getitem__, keys), dtype=np.int32, count=len(keys))
+        for code, key in enumerate(self.chunks.order[known:], known):
+            words = self.words(key)
+            if words is None:
+                self.odd.add(code)
+                words = []
+            self.flat += map(name, words)
+            self.sizes.append(len(words))
+        return codes
+
     def add(self, row: Any, text: Any) -> None:
-        known = len(self.chunks)
-        keys = self.split(text) if text else []
-        self.docs.append(np.fromiter(map(self.chunks.__getitem__, keys), dtype=np.int32, count=len(keys)))
-        name = self.names.__getitem__
-        for key in self.chunks.order[known:]:
-            own = [name(w) for w in self.words(key)]
-            self.flat += own
-            self.sizes.append(len(own))
+        text = self.null if text is None else text
+        codes = self._codes(self.split(text) if text or self.null is not None else [])
+        if self.odd and not self.odd.isdisjoint(codes.tolist()):
+            codes = self._codes([self.whole(text)])
+        self.docs.append(codes)
         self.rows.append(row)
         self.chars += len(text) if text else 0
 
+    def full(self, chars: int) -> bool:
+        return self.chars >= chars or len(self.rows) >= 1 << 17
+
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """The word of each position, and the number of positions of each document."""
-        sizes = np.array(self.sizes, dtype=np.int64)
-        starts, flat = spans(sizes)[:-1], np.array(self.flat, dtype=np.int32)
-        all_chunks = np.concatenate(self.docs) if self.docs else np.zeros(0, np.int32)
-        per_chunk = sizes[all_chunks] if len(sizes) else np.zeros(0, np.int64)
-        codes = flat[gather_runs(starts[all_chunks], per_chunk)] if len(sizes) else flat
-        ends = spans(per_chunk)[spans(np.array([len(d) for d in self.docs], dtype=np.int64))]
-        return codes, np.diff(ends)
-
-
-def part_of(word: bytes, parts: int) -> int:
-    return zlib.crc32(word) % parts
+        sizes, flat = np.array(self.sizes, dtype=np.int32), np.array(self.flat, dtype=np.int32)
+        if not len(flat):
+            return flat, np.zeros(len(self.docs), dtype=np.int64)
+        starts = spans(sizes)[:-1].astype(np.int32)
+        chunks = np.concatenate(self.docs)
+        per_chunk = sizes[chunks]
+        ends = spans(per_chunk)[spans(np.array([len(d) for d in self.docs]))]
+        return flat[gather_runs(starts[chunks], per_chunk)], np.diff(ends)
 
 
+#: A row: the block's head (its positions) or the words of a part.
 CELL = T.StructType(
     [T.StructField("part", T.IntegerType()), T.StructField("block", T.LongType()), T.StructField("head", T.BooleanType()), T.StructField("cell", T.BinaryType())]
 )
+CELL_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("cell", pa.binary())])
 
 
-def block_cells(block: Block, number: int, parts: int, place: Callable[[np.ndarray, np.ndarray], np.ndarray], head: list[np.ndarray]) -> Iterator[tuple]:
+def block_cells(block: Block, number: int, parts: int, columns: Callable[[np.ndarray, np.ndarray], list[np.ndarray]] | None = None, part_of: Callable[[bytes], int] = zlib.crc32) -> Iterator[tuple]:
     """Rows (part, block, head, cell) of a block.
 
-    place(codes, sizes) gives what is kept of each position, in rising order for a word: the
-    position itself, or the document's place in the block. head: columns of the block's own row.
+    A head has the documents' sizes and a symbol for each position: 0 where a word comes for the
+    first time, else 1 more than its rank by order of frequency. The order of the words, and so what a symbol
+    means, follows from each word's part and the bits of its frequency, which the head lists by
+    first place. columns(codes, sizes) gives more columns for the words, by code.
     """
     codes, sizes = block.tokens()
-    yield number % parts, number, True, pack([sizes, *head])
-    order = np.argsort(codes, kind="stable")
-    kept = place(codes, sizes)[order].astype(np.int64)
-    counts = np.bincount(codes, minlength=len(block.names))
-    starts = spans(counts)
-    step = np.diff(kept, prepend=0)
-    step[starts[:-1][counts > 0]] = kept[starts[:-1][counts > 0]]  # a word's first is kept as it is
-    names = block.names.order
-    where = np.fromiter((part_of(w, parts) for w in names), dtype=np.int32, count=len(names))
-    by_part = np.argsort(where, kind="stable")
-    cuts = np.searchsorted(where[by_part], np.arange(parts + 1))
-    for p in range(parts):
-        own = by_part[cuts[p] : cuts[p + 1]]
-        if len(own):
-            words = [names[i] for i in own]
-            n = counts[own]
-            yield p, number, False, pack([np.array([len(w) for w in words]), n, step[gather_runs(starts[own], n)]], b"".join(words))
+    n = len(codes)
+    first = np.full(len(block.names), n, dtype=np.int32)
+    first[codes[::-1]] = np.arange(n - 1, -1, -1, dtype=np.int32)
+    by_first = np.argsort(first, kind="stable")[: int((first < n).sum())]  # without the words of odd chunks
+    counts = np.bincount(codes, minlength=len(first))[by_first]
+    words = [block.names.order[i] for i in by_first.tolist()]
+    where = np.fromiter((part_of(w) % parts for w in words), dtype=np.int32, count=len(words))
+    bits = np.log2(np.maximum(counts, 1)).astype(np.int32)
+    rank = np.empty(len(first), dtype=np.int32)
+    rank[by_first[by_frequency(bits)]] = np.arange(1, len(words) + 1, dtype=np.int32)
+    symbols = rank[codes]
+    symbols[first[by_first]] = 0
+    more = [c[by_first] for c in columns(codes, sizes)] if columns else []
+    yield number % parts, number, True, pack([sizes, where, bits, symbols])
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        own = order[cuts[p] : cuts[p + 1]]
+        names = [words[i] for i in own.tolist()]
+        yield p, number, False, pack([np.array([len(w) for w in names]), *(c[own] for c in more)], b"".join(names))
+
+
+def by_frequency(bits: np.ndarray) -> np.ndarray:
+    """Words, given by first place, from the most frequent: by the bits of their frequency."""
+    return np.argsort(-bits, kind="stable")
+
+
+def read_head(cell: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The documents' sizes, and the word at each position: its number in the block's other cells."""
+    (sizes, where, bits, symbols), _ = unpack(cell)
+    number = np.empty(len(where), dtype=np.int32)
+    number[np.argsort(where, kind="stable")] = np.arange(len(where), dtype=np.int32)
+    ranked = number[by_frequency(bits.astype(np.int32))]
+    fresh = symbols == 0
+    word = np.concatenate([np.zeros(1, np.int32), ranked])[symbols]
+    word[fresh] = number
+    return sizes, word
 
 
 def read_words(lengths: np.ndarray, blob: bytes) -> list[bytes]:
@@ -182,43 +223,99 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, limit: int = 4 << 20) -> I
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
 
 
-CELL_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("cell", pa.binary())])
+def explode(stream: Iterator[pa.RecordBatch], make_block: Callable[[], Block], block_chars: int, cells: Callable[[Block, int], Iterator[tuple]]) -> Iterator[tuple]:
+    """Rows of the cells of each block of a task; a batch's last column is the text, the others are
+    kept in the block's rows."""
+    number, block = TaskContext.get().partitionId() << 32, make_block()
+    for batch in stream:
+        *others, text = batch.columns
+        keys = zip(*(c.to_pylist() for c in others), strict=True) if others else ((),) * batch.num_rows
+        for row, item in zip(keys, text, strict=True):
+            block.add(row, item.as_py())
+            if block.full(block_chars):
+                yield from cells(block, number)
+                number, block = number + 1, make_block()
+    if block.rows:
+        yield from cells(block, number)
+
+
+def parts_of(df: DataFrame) -> int:
+    return PARTS_PER_PARTITION * shuffle_partitions(df.sparkSession)
+
+
+def by_part(cells: DataFrame) -> DataFrame:
+    """Cells with those of a part in one partition; parts outnumber partitions, so they even out."""
+    return cells.repartition(shuffle_partitions(cells.sparkSession), F.col("part"))
+
+
+def row_types(docs: DataFrame) -> tuple[T.StructType, pa.Schema, pa.DataType]:
+    """The types of cells whose heads carry all columns of ``docs`` but the last, the text."""
+    own = T.StructType(docs.schema.fields[:-1])
+    rows = T.ArrayType(own)
+    arrow = to_arrow_type(rows)
+    return T.StructType([*CELL.fields, T.StructField("rows", rows)]), pa.schema([*CELL_ARROW, pa.field("rows", arrow)]), arrow.value_type
 
 
-def to_cells(docs: DataFrame, make_block: Callable[[], Block], place: Callable, head: Callable[[list], list[np.ndarray]], block_chars: int = BLOCK_CHARS, parts: int | None = None) -> DataFrame:
-    """Cells of ``docs``, whose last column is the text (string or binary) and whose others are
-    what head(rows), given the block's rows of them, turns into integer columns."""
-    parts = parts or PARTS_PER_PARTITION * shuffle_partitions(docs.sparkSession)
+def to_cells(docs: DataFrame, make_block: Callable[[], Block], columns: Callable | None = None, block_chars: int = BLOCK_CHARS, parts: int | None = None, part_of: Callable[[bytes], int] = zlib.crc32) -> DataFrame:
+    """Cells of ``docs``, whose last column is the text.
 
-    def explode(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId() << 32
+    columns(block, codes, sizes): more columns for the words of a block.
+    """
+    schema, arrow, _ = row_types(docs)
+    names, parts = docs.columns[:-1], parts or parts_of(docs)
+
+    def cells_of(block: Block, number: int) -> Iterator[tuple]:
+        more = (lambda codes, sizes: columns(block, codes, sizes)) if columns else None
+        for part, at, head, cell in block_cells(block, number, parts, more, part_of):
+            yield part, at, head, cell, [dict(zip(names, row, strict=True)) for row in block.rows] if head else None
+
+    return docs.mapInArrow(lambda stream: batches(explode(stream, make_block, block_chars, cells_of), arrow), schema)
+
+
+def join_back(worked: DataFrame, finish: Callable[[pa.StructArray, np.ndarray, np.ndarray, list[np.ndarray]], pa.Table], schema: T.StructType) -> DataFrame:
+    """Blocks put together again from their cells, after work on the words.
+
+    finish(rows, sizes, word, columns) gets the documents' columns and sizes, the number of the word
+    at each position, and the columns of the work on all words, one after the other.
+    """
+    kind = to_arrow_type(worked.schema["rows"].dataType).value_type
+
+    def together(group: pa.Table) -> pa.Table:
+        (head, rows), *cells = in_order(group, "cell", "rows")
+        sizes, word = read_head(head)
+        found = [unpack(cell)[0] for cell, _ in cells]
+        return finish(pa.array(rows, kind), sizes, word, [np.concatenate(c) for c in zip(*found, strict=True)])
 
+    return worked.groupBy("block").applyInArrow(together, schema)
+
+
+def each_word(cells: DataFrame, work: Callable[[], Callable[[list[bytes], list[np.ndarray]], list[np.ndarray]]]) -> DataFrame:
+    """Cells whose words have been given to work()(words, columns), which gives columns of results.
+
+    work() is called once for each task and can keep what it knows about words.
+    """
+    arrow = row_types_of(cells)
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            number, block = task, make_block()
+            results = work()
             for batch in stream:
-                *others, text = batch.columns
-                keys = zip(*(c.to_pylist() for c in others), strict=True) if others else ((),) * batch.num_rows
-                for key, item in zip(keys, text, strict=True):
-                    block.add(key, item.as_py())
-                    if block.chars >= block_chars or len(block.rows) >= 1 << 17:
-                        yield from block_cells(block, number, parts, place, head(block.rows))
-                        number, block = number + 1, make_block()
-            if block.rows:
-                yield from block_cells(block, number, parts, place, head(block.rows))
+                for part, at, head, cell, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if not head:
+                        (lengths, *columns), blob = unpack(cell)
+                        cell = pack(results(read_words(lengths, blob), columns))
+                    yield part, at, head, cell, own
 
-        return batches(rows(), CELL_ARROW)
+        return batches(rows(), arrow)
 
-    return docs.mapInArrow(explode, CELL)
+    return by_part(cells).mapInArrow(run, cells.schema)
 
 
-def by_part(cells: DataFrame) -> DataFrame:
-    """Cells with those of a part in one partition; parts outnumber partitions, so they even out."""
-    return cells.repartition(shuffle_partitions(cells.sparkSession), F.col("part"))
+def row_types_of(cells: DataFrame) -> pa.Schema:
+    return pa.schema([*CELL_ARROW, pa.field("rows", to_arrow_type(cells.schema["rows"].dataType))])
 
 
-def positions_of(step: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Positions from the steps between them, which start anew for each word."""
-    total = np.cumsum(step, dtype=np.int64)
-    starts = spans(counts)[:-1]
-    before = np.where(starts > 0, total[np.maximum(starts - 1, 0)], 0)
-    return total - np.repeat(before, counts)
+def in_order(group: pa.Table, *columns: str) -> list[tuple]:
+    """Rows of a block's table by rising part, the head first."""
+    rows = list(zip(*(group[c].to_pylist() for c in ("head", "part", *columns)), strict=True))
+    return [row[2:] for row in sorted(rows, key=lambda row: (not row[0], row[1]))]
