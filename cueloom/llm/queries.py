@@ -8,14 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import bpe, decontam, embeddup, html, langid, sharding, simhash, warc
+from cueloom.llm import bpe, decontam, embeddup, html, langid, mixing, sharding, simhash, tokencount, warc
 from cueloom.llm.common import scratch_path, table
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     ids = bpe.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.digests(bpe.decode(ids, path))
+    return bpe.digests(ids, path)
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,16 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id"), 7))
+    return mixing.score(docs)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
     model = langid.train(docs.where("NOT held_out"))
@@ -113,7 +123,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_html_extraction, op3_decontamination, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_html_extraction, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
