@@ -45,6 +45,8 @@ LOCAL, SLOTS = 3, 1 << 18
 #: Added to both counts of a context.
 PRIOR = 0.1
 GATES, SIDE_GATES, BUCKETS = 20, 64, 33
+#: Edges that the weights are moved by at once.
+BATCH = 8192
 END = b" "
 _INPUTS = 4
 
@@ -102,6 +104,11 @@ def edges_of(words: list[bytes]) -> Edges:
         if back <= 2:
             last[1][seen] = last[1][seen] | (data[seen - back] << np.uint64(8 * (back - 1)))
     _, first, inverse = np.unique(_mix(whole + data * np.uint64(0x2545F4914F6CDD1D)), return_index=True, return_inverse=True)
+    # Edges of a prefix stand together, by byte.
+    order = np.lexsort((data[first], whole[first]))
+    number = np.empty(len(order), dtype=np.int64)
+    number[order] = np.arange(len(order))
+    first, inverse = first[order], number[inverse]
     _, prefix = np.unique(whole[first], return_inverse=True)
     contexts = np.stack([_mix(whole[first] + np.uint64(1)), _mix(last[0][first] + np.uint64(2 << 40)), _mix(last[1][first] + np.uint64(3 << 40))])
     return Edges(depth[first], data[first].astype(np.int64), prefix, contexts, inverse, lengths)
@@ -160,13 +167,15 @@ def bits_of(edges: Edges, n: np.ndarray, model: Model, leave_out: bool) -> Itera
     short = edges.depth < LOCAL
     for j in range(8):
         partial, bit = (1 << j) | (edges.byte >> (8 - j)), (edges.byte >> (7 - j)) & 1
-        _, node = np.unique(edges.prefix * 256 + partial, return_inverse=True)
+        fresh = np.ones(len(every), dtype=bool)
+        fresh[1:] = (edges.prefix[1:] != edges.prefix[:-1]) | (partial[1:] != partial[:-1])
+        node = np.cumsum(fresh) - 1
         at = [slots(edges.contexts[k], partial) for k in range(3)]
         total_same = total_other = None
         per_class = []
         for c in range(n.shape[1]):
-            ones = np.bincount(node, weights=n[:, c] * bit, minlength=node.max(initial=-1) + 1)[node]
-            all_ = np.bincount(node, weights=n[:, c], minlength=node.max(initial=-1) + 1)[node]
+            ones = np.bincount(node, weights=n[:, c] * bit)[node]
+            all_ = np.bincount(node, weights=n[:, c])[node]
             same, other = np.where(bit == 1, ones, all_ - ones), np.where(bit == 1, all_ - ones, ones)
             top = model.tables[0, c, at[0]]
             same = np.where(short, top[every, bit], same)
@@ -214,23 +223,22 @@ def probabilities(bits: Bits, model: Model) -> np.ndarray:
     the two probabilities add up to one."""
     x = mixed(bits, model)
     low, way = _buckets(x)
-    seen = model.refined[bits.gate]
-    rows = np.arange(len(x))
-    centre = (np.arange(BUCKETS) * 32 / (BUCKETS - 1)) - 16
     # Each bucket starts as its own centre, with the weight of a few bits.
-    value = lambda k: (seen[rows, k, 1] + 20 * squash(centre[k])) / (seen[rows, k].sum(axis=1) + 20)
-    fine = (1 - way) * value(low) + way * value(low + 1)
+    centre = squash(np.arange(BUCKETS) * 32 / (BUCKETS - 1) - 16)
+    value = (model.refined[:, :, 1] + 20 * centre) / (model.refined.sum(axis=2) + 20)
+    fine = (1 - way) * value[bits.gate, low] + way * value[bits.gate, low + 1]
     return np.clip(0.5 * squash(x) + 0.5 * fine, 1e-7, 1 - 1e-7)
 
 
-def learn(edges: Edges, n: np.ndarray, model: Model, rate: float = 0.3, epochs: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def learn(edges: Edges, n: np.ndarray, model: Model, rate: float = 1.0, epochs: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights after these edges, seen online, with how much each was moved by."""
     own = Model(model.classes, model.tables, model.weights.copy(), model.side.copy(), model.refined)
     seen, seen_side = np.zeros(GATES), np.zeros(SIDE_GATES)
     for epoch in range(epochs):
         for _, c, use, bits in bits_of(edges, n, own, True):
-            for at in range(0, len(use), 2048):
-                part = slice(at, at + 2048)
+            # Edges of a prefix are seen together, frequent bits with their contraries.
+            for at in range(0, len(use), BATCH):
+                part = slice(at, at + BATCH)
                 b = Bits(bits.inputs[part], bits.gate[part], bits.side[part])
                 weight = n[use[part], c]
                 p = squash(mixed(b, own))
@@ -401,13 +409,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
     top = [r for r in sizes.where("kind IS NOT NULL").orderBy(F.desc("n"), "kind").limit(classes).collect()]
     all_rows = sizes.agg(F.sum("n")).first()[0] or 0
     names = [r["kind"] for r in top]
-    n_classes = len(names) + 1
-    prior = np.array([r["n"] for r in top] + [all_rows - sum(r["n"] for r in top)], dtype=np.float64) + 0.5
+    rest = all_rows - sum(r["n"] for r in top)
+    # Without training rows of other kinds there is no class of the others.
+    prior = np.array([r["n"] for r in top] + ([rest] if rest or not top else []), dtype=np.float64) + 0.5
+    n_classes = len(prior)
     prior /= prior.sum()
-    number = F.lit(len(names))
+    number = F.lit(n_classes - 1)
     for k, name in reversed(list(enumerate(names))):
         number = F.when(F.col("kind") == name, F.lit(k)).otherwise(number)
-    x = x.withColumn("kind", F.coalesce(number, F.lit(len(names)))).select("key", "held", "kind", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    x = x.withColumn("kind", F.coalesce(number, F.lit(n_classes - 1))).select("key", "held", "kind", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
 
     def block() -> ws.Block:
         return ws.Block(tokens_of, lambda word: [word], null=b"")

@@ -179,7 +179,7 @@ def block_cells(block: Block, number: int, parts: int, columns: Callable[[np.nda
     symbols = rank[codes]
     symbols[first[by_first]] = 0
     more = [c[by_first] for c in columns(codes, sizes)] if columns else []
-    yield number % parts, number, True, pack([sizes, where, bits, symbols])
+    yield ((number >> 32) + number) % parts, number, True, pack([sizes, where, bits, symbols])
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
