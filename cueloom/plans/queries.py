@@ -248,7 +248,7 @@ def _(s, d):
 
 
 @query("event_sessions", """, e AS (
-  SELECT user_id, ts, event_id, coalesce(epoch_ms(ts) - lag(epoch_ms(ts)) OVER w > 28800000, true)::INTEGER AS n FROM events
+  SELECT user_id, ts, event_id, coalesce((epoch_us(ts) // 1000) - lag(epoch_us(ts) // 1000) OVER w > 28800000, true)::INTEGER AS n FROM events
   WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)
 ), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e)
 SELECT user_id, session::BIGINT AS session, count(*) AS n FROM r GROUP BY ALL""")
@@ -319,7 +319,7 @@ def _(s, d):
     return qc.terminology(A.bilingual_cues(s, d), glossary)
 
 
-@query("shot_changes", """, cuts AS (SELECT DISTINCT user_id AS media_id, epoch_ms(ts) % 60000 AS cut_ms FROM events)
+@query("shot_changes", """, cuts AS (SELECT DISTINCT user_id AS media_id, (epoch_us(ts) // 1000) % 60000 AS cut_ms FROM events)
 SELECT c.media_id, lang, cue_no, min(cut_ms) AS cut_ms FROM cues c JOIN cuts k ON c.media_id = k.media_id AND cut_ms > start_ms AND cut_ms < end_ms GROUP BY ALL""")
 def _(s, d):
     cuts = A.table(s, d, "events").select(F.col("user_id").alias("media_id"), (A.millis("ts") % 60_000).alias("cut_ms")).distinct()
@@ -421,7 +421,7 @@ def _(s, d):
 # Lookups in time.
 
 
-@query("keyframe_asof", """, p AS (SELECT user_id, event_id, epoch_ms(ts) AS t FROM events WHERE event_type <> 'click'), k AS (SELECT DISTINCT user_id, epoch_ms(ts) AS key_ms FROM events WHERE event_type = 'click')
+@query("keyframe_asof", """, p AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t FROM events WHERE event_type <> 'click'), k AS (SELECT DISTINCT user_id, epoch_us(ts) // 1000 AS key_ms FROM events WHERE event_type = 'click')
 SELECT user_id, event_id, t, (SELECT max(key_ms) FROM k WHERE k.user_id = p.user_id AND key_ms <= t) AS floor_key_ms FROM p""")
 def _(s, d):
     e = A.table(s, d, "events").withColumn("t", A.millis("ts"))
@@ -437,13 +437,13 @@ def _(s, d):
     return intervals.point_join(t, "t", c, ["media_id"]).where("t < end_ms").groupBy("media_id", "t").agg(F.min("cue_no").alias("cue_no"))
 
 
-@query("best_silence", """, sil AS (SELECT user_id AS media_id, event_id, epoch_ms(ts) % 600000 AS s, (value * 50)::BIGINT AS len FROM events),
+@query("best_silence", """, sil AS (SELECT user_id AS media_id, event_id, (epoch_us(ts) // 1000) % 600000 AS s, floor(value * 50)::BIGINT AS len FROM events),
 goal AS (SELECT DISTINCT media_id, unnest([150000, 300000, 450000]) AS target FROM sil), c AS (
   SELECT g.media_id, target, event_id, s + len AS e, len, abs(s + len // 2 - target) AS away FROM goal g JOIN sil ON sil.media_id = g.media_id AND abs(s + len // 2 - target) <= 60000),
 w AS (SELECT *, CASE WHEN len >= 1500 THEN 0 WHEN away <= 30000 THEN 1 END AS pass, 4 * (60000 - away) * 5000 + 6 * least(len, 5000) * 60000 AS score FROM c)
 SELECT media_id, target, e AS split_ms FROM w WHERE pass IS NOT NULL QUALIFY row_number() OVER (PARTITION BY media_id, target ORDER BY pass, score DESC, event_id) = 1""")
 def _(s, d):
-    sil = A.table(s, d, "events").select(F.col("user_id").alias("media_id"), F.col("event_id"), (A.millis("ts") % 600_000).alias("s"), F.round(F.col("value") * 50).cast("long").alias("len"))
+    sil = A.table(s, d, "events").select(F.col("user_id").alias("media_id"), F.col("event_id"), (A.millis("ts") % 600_000).alias("s"), F.floor(F.col("value") * 50).alias("len"))
     goal = sil.select("media_id").distinct().withColumn("target", F.explode(F.array(*map(F.lit, (150_000, 300_000, 450_000)))))
     return folds.best_silence(sil, goal)
 

@@ -9,7 +9,15 @@ from cueloom.functions import text as T
 from cueloom.rules.registry import ERROR, SUGGESTION, WARNING, line_numbers, pair_numbers, rule
 
 col, lit = F.col, F.lit
-zh, en = col("lang") == "zh", col("lang") == "en"
+
+
+def zh() -> Column:
+    return col("lang") == "zh"
+
+
+def en() -> Column:
+    return col("lang") == "en"
+
 
 # Utterances that stand alone, openings of sentences, hints and patterns.
 TINY_STANDALONE = ["对", "嗯", "好", "是啊", "没错", "确实", "也许吧", "结果呢", "有争议", "哦对", "嗯 对", "数亿年", "另一个", "对吧？", "是吧？", "我觉得", "好吧", "是的"]
@@ -31,22 +39,22 @@ def any_in(text: Column, parts: list[str]) -> Column:
 
 @rule("MaxLines", ERROR)
 def _(c):
-    return F.size("lines") > F.when(zh, c.max_lines_zh).otherwise(c.max_lines)
+    return F.size("lines") > F.when(zh(), c.max_lines_zh).otherwise(c.max_lines)
 
 
 @rule("ChineseLineLength", SUGGESTION, per_line=True)
 def _(c):
-    return F.when(zh, line_numbers(lambda x: T.cjk_count(x) > c.max_chars_per_line_zh))
+    return F.when(zh(), line_numbers(lambda x: T.cjk_count(x) > c.max_chars_per_line_zh))
 
 
 @rule("EnglishLineLength", ERROR, per_line=True)
 def _(c):
-    return F.when(en, line_numbers(lambda x: F.length(x) > c.max_chars_per_line_en))
+    return F.when(en(), line_numbers(lambda x: F.length(x) > c.max_chars_per_line_en))
 
 
 @rule("ReadingSpeed", ERROR)
 def _(c):
-    fast = F.when(zh, T.cjk_count(col("text")) * 1000 > c.cps_limit * col("dur")).otherwise(T.chars(col("text")) * 1000 > c.cps_limit_en * col("dur"))
+    fast = F.when(zh(), T.cjk_count(col("text")) * 1000 > c.cps_limit * col("dur")).otherwise(T.chars(col("text")) * 1000 > c.cps_limit_en * col("dur"))
     return (col("dur") > 0) & fast
 
 
@@ -67,50 +75,50 @@ def _(c):
 
 @rule("LeadingPunctuation", SUGGESTION, per_line=True)
 def _(c):
-    return F.when(zh, line_numbers(lambda x: T.strip(x).rlike(f"^[{T.SENTENCE_ENDS_ZH}]")))
+    return F.when(zh(), line_numbers(lambda x: T.strip(x).rlike(f"^[{T.SENTENCE_ENDS_ZH}]")))
 
 
 @rule("TinyCue", ERROR)
 def _(c):
     word = F.regexp_replace("flat", "[.!?]", "").rlike(r"^\p{L}+$")
-    return F.length("flat").between(1, 3) & ~(zh & col("flat").isin(TINY_STANDALONE)) & ~(en & word)
+    return F.length("flat").between(1, 3) & ~(zh() & col("flat").isin(TINY_STANDALONE)) & ~(en() & word)
 
 
 @rule("UntranslatedText", ERROR)
 def _(c):
-    return zh & (F.size(F.filter(F.regexp_extract_all("text", lit("[a-zA-Z]+"), 0), lambda w: F.length(w) > 2)) >= 4)
+    return zh() & (F.size(F.filter(F.regexp_extract_all("text", lit("[a-zA-Z]+"), 0), lambda w: F.length(w) > 2)) >= 4)
 
 
 @rule("SemanticBreaks", SUGGESTION)
 def _(c):
     first, second = F.length(F.get("lines", 0)), F.length(F.get("lines", 1))
-    return (F.size("lines") == 2) & ((zh & (first <= 3) & (second >= 10)) | (en & (first <= 5) & (second >= 20)))
+    return (F.size("lines") == 2) & ((zh() & (first <= 3) & (second >= 10)) | (en() & (first <= 5) & (second >= 20)))
 
 
 @rule("LineImbalance", SUGGESTION)
 def _(c):
     first, second = F.length(T.strip(F.get("lines", 0))), F.length(T.strip(F.get("lines", 1)))
-    return zh & (F.size("lines") == 2) & (first > 0) & (second > 0) & (10 * F.abs(first - second) > 6 * F.greatest(first, second))
+    return zh() & (F.size("lines") == 2) & (first > 0) & (second > 0) & (10 * F.abs(first - second) > 6 * F.greatest(first, second))
 
 
 @rule("CJKSpaceAnomaly", ERROR)
 def _(c):
-    return zh & col("text").rlike(f"{T.CJK} {{2,}}{T.CJK}")
+    return zh() & col("text").rlike(f"{T.CJK} {{2,}}{T.CJK}")
 
 
 @rule("PunctuationMidLine", ERROR, per_line=True)
 def _(c):
-    return F.when(zh, line_numbers(lambda x: x.rlike(f"^[^。]*。\\s*{T.CJK}")))
+    return F.when(zh(), line_numbers(lambda x: x.rlike(f"^[^。]*。\\s*{T.CJK}")))
 
 
 @rule("AcronymSplit", ERROR, per_line=True)
 def _(c):
-    return F.when(zh, pair_numbers(lambda a, b: a.rlike(r"[A-Z]\s*$") & b.rlike(r"^\s*[A-Z]")))
+    return F.when(zh(), pair_numbers(lambda a, b: a.rlike(r"[A-Z]\s*$") & b.rlike(r"^\s*[A-Z]")))
 
 
 @rule("NumberSplit", ERROR, per_line=True)
 def _(c):
-    return F.when(zh, pair_numbers(lambda a, b: a.rlike(r"\d{2,}\s*$") & b.rlike(r"^\s*\d")))
+    return F.when(zh(), pair_numbers(lambda a, b: a.rlike(r"\d{2,}\s*$") & b.rlike(r"^\s*\d")))
 
 
 @rule("WordSplitEnglish", ERROR, per_line=True)
@@ -119,13 +127,13 @@ def _(c):
         tail, head = F.regexp_extract(a, f"([{LETTERS}]+)$", 1), F.regexp_extract(b, f"^([{LETTERS}]+)", 1)
         return (F.length(tail) >= 3) & (F.length(head) >= 1) & ~F.lower(tail).isin(SAFE_ENGLISH)
 
-    return F.when(zh, pair_numbers(split))
+    return F.when(zh(), pair_numbers(split))
 
 
 @rule("OrphanWordsIntra", ERROR)
 def _(c):
     second = T.strip(F.get("lines", 1))
-    return (F.size("lines") == 2) & ((en & (second != "") & ~second.rlike(r"(?U)\s")) | (zh & (F.length(second) <= 2)))
+    return (F.size("lines") == 2) & ((en() & (second != "") & ~second.rlike(r"(?U)\s")) | (zh() & (F.length(second) <= 2)))
 
 
 @rule("OrphanWordsCross", WARNING)
@@ -136,7 +144,7 @@ def _(c):
 
 @rule("TranslationesePatterns", SUGGESTION)
 def _(c):
-    return (en & F.lower("text").rlike("|".join(MT_PATTERNS_EN))) | (zh & col("text").rlike("(?U)" + "|".join(TRANSLATIONESE_ZH)))
+    return (en() & F.lower("text").rlike("|".join(MT_PATTERNS_EN))) | (zh() & col("text").rlike("(?U)" + "|".join(TRANSLATIONESE_ZH)))
 
 
 @rule("FillerWords", SUGGESTION)
@@ -146,7 +154,7 @@ def _(c):
 
 @rule("SingleCharacter", WARNING)
 def _(c):
-    return zh & col("flat").rlike(f"^{T.CJK}$")
+    return zh() & col("flat").rlike(f"^{T.CJK}$")
 
 
 @rule("Overlap", ERROR)
@@ -169,7 +177,7 @@ def _(c):
 @rule("MissingPunctuation", SUGGESTION)
 def _(c):
     alone = F.coalesce(col("next_start_ms") > col("end_ms") + 800, lit(True))
-    return zh & (col("last") != "") & ~col("last").rlike(f"[{T.SENTENCE_ENDS_ZH}]$") & alone & any_in(col("last"), QUESTION_HINTS + EXCLAMATION_HINTS)
+    return zh() & (col("last") != "") & ~col("last").rlike(f"[{T.SENTENCE_ENDS_ZH}]$") & alone & any_in(col("last"), QUESTION_HINTS + EXCLAMATION_HINTS)
 
 
 def significant(text: Column) -> Column:
@@ -182,7 +190,7 @@ def significant(text: Column) -> Column:
 def _(c):
     a, b = significant(col("prev_text")), significant(col("text"))
     both, either = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
-    return en & (F.length(T.strip(col("text"))) >= 6) & (F.length(T.strip(col("prev_text"))) >= 6) & (either > 0) & (10 * both >= 3 * either)
+    return en() & (F.length(T.strip(col("text"))) >= 6) & (F.length(T.strip(col("prev_text"))) >= 6) & (either > 0) & (10 * both >= 3 * either)
 
 
 @rule("BoundaryRepetition", WARNING)
