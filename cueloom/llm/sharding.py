@@ -35,10 +35,14 @@ def rebalance(slot_bytes: list[int], shard_of: list[int], shards: int) -> list[i
         load[shard] += slot_bytes[slot]
         members[shard].add(slot)
     while True:
-        full, low = max(range(shards), key=lambda s: (load[s], -s)), min(range(shards), key=lambda s: (load[s], s))
-        gap = load[full] - load[low]
-        able = [s for s in members[full] if 0 < slot_bytes[s] < gap]
-        if not able:
+        low = min(range(shards), key=lambda s: (load[s], s))
+        # The fullest shard that can still give: one that a single large slot fills cannot.
+        for full in sorted(range(shards), key=lambda s: (-load[s], s)):
+            gap = load[full] - load[low]
+            able = [s for s in members[full] if 0 < slot_bytes[s] < gap]
+            if able:
+                break
+        else:
             return shard_of
         slot = min(able, key=lambda s: (abs(2 * slot_bytes[s] - gap), s))
         members[full].remove(slot)
