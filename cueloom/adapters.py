@@ -37,6 +37,30 @@ def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.select("media_id", "lang", (F.col("turn") + 1).alias("cue_no"), F.col("role").alias("speaker"), "text", "start_ms", (F.col("start_ms") + F.col("dur")).alias("end_ms"))
 
 
+#: Texts that rules look for, by kind of cue: what stands before, whether the cue's text follows, and what stands after.
+VARIANTS: dict[int, tuple[str, bool, str]] = {
+    0: ("", False, ""), 1: ("ab!", False, ""), 2: ("好人", False, ""), 3: ("well ", True, ""), 4: ("。", True, "\n！行"), 5: ("你好AB\nCD世界", False, ""), 6: ("共12\n34个", False, ""),
+    7: ("看Transforme\nrnet吧", False, ""), 8: ("I\nthink therefore it is what we said", False, ""), 9: ("moreover it is so", False, ""), 10: ("这是  什么吗", False, ""), 11: ("对。你好 此外 我们", False, ""),
+    12: ("", True, "\nx"), 13: ("the quick brown foxes jumped", False, ""), 14: ("quick brown foxes jumped again", False, ""), 15: ("我们如果", False, ""), 16: ("如果他们", False, ""),
+    17: ("only Latin words here okay", False, ""), 18: ("他们", False, ""), 19: ("你", False, ""), 20: ("行\n这是一个很长的第二行文字", False, ""),
+}
+#: Lengths in milliseconds by kind, where they are not those of the text.
+LENGTHS = {1: 500, 5: 789, 9: 8000, 13: 9500}
+KINDS = 23
+
+
+def rule_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``cues`` with what each rule looks for put into some of them, and speakers now and then unknown."""
+    x = cues(spark, sf_dir).withColumn("k", (F.col("media_id") * 5 + F.col("cue_no")) % KINDS)
+    text, length = F.col("text"), F.col("end_ms") - F.col("start_ms")
+    for k, (before, keep, after) in VARIANTS.items():
+        text = F.when(F.col("k") == k, F.concat(F.lit(before), F.col("text") if keep else F.lit(""), F.lit(after))).otherwise(text)
+    for k, ms in LENGTHS.items():
+        length = F.when(F.col("k") == k, F.lit(ms).cast("long")).otherwise(length)
+    speaker = F.when(F.col("k") % 4 != 0, F.col("speaker"))
+    return x.select("media_id", "lang", "cue_no", speaker.alias("speaker"), text.alias("text"), "start_ms", (F.col("start_ms") + length).alias("end_ms"))
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(media_id, turn, speaker, word_no, text, start_ms, end_ms, confidence)."""
     tok = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("media_id"), "turn", F.col("role").alias("speaker"), F.posexplode(F.split("text", " ")).alias("p", "text"))
@@ -86,6 +110,15 @@ def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(run.alias("run"), F.col("event_id").alias("issue_no"), F.col("event_type").alias("rule"), severity.alias("severity"), "user_id")
 
 
+def _variant_sql() -> str:
+    text = " ".join(f"WHEN {k} THEN '{before}' || {'text' if keep else chr(39) * 2} || '{after}'" for k, (before, keep, after) in VARIANTS.items())
+    length = " ".join(f"WHEN {k} THEN {ms}" for k, ms in LENGTHS.items())
+    return (
+        f"SELECT media_id, lang, cue_no, CASE WHEN k % 4 <> 0 THEN speaker END AS speaker, CASE k {text} ELSE text END AS text, start_ms, "
+        f"start_ms + CASE k {length} ELSE end_ms - start_ms END AS end_ms FROM (SELECT *, (media_id * 5 + cue_no) % {KINDS} AS k FROM cues)"
+    )
+
+
 SQL = f"""
 base AS (
   SELECT conv_id AS media_id, turn, role AS speaker, CASE WHEN conv_id % 2 = 0 THEN 'zh' ELSE 'en' END AS lang,
@@ -96,6 +129,8 @@ base AS (
   SELECT media_id, lang, turn + 1 AS cue_no, speaker, text, s AS start_ms, s + dur AS end_ms
   FROM (SELECT *, coalesce(sum(dur + turn * 137 % 400 - 60) OVER (PARTITION BY media_id ORDER BY turn
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s FROM base)
+), rule_cues AS (
+  {_variant_sql()}
 ), tok AS (
   SELECT conv_id AS media_id, turn, role AS speaker, unnest(string_split(text, ' ')) AS text,
     unnest(range(len(string_split(text, ' ')))) AS p FROM conversations

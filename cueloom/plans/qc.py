@@ -142,9 +142,9 @@ def pairs(cues: DataFrame, source: str = "en", more_than: int = 50) -> DataFrame
     return overlap_join(cues.where(F.col("lang") == source), cues.where(F.col("lang") != source), ["media_id"], more_than=more_than)
 
 
-def orphans(cues: DataFrame, source: str = "en") -> DataFrame:
+def orphans(cues: DataFrame, source: str = "en", more_than: int = 50) -> DataFrame:
     """Cues of either side without a partner."""
-    met = pairs(cues, source)
+    met = pairs(cues, source, more_than)
     both = met.select("media_id", F.col("l_lang").alias("lang"), F.col("l_cue_no").alias("cue_no")).unionByName(met.select("media_id", F.col("r_lang").alias("lang"), F.col("r_cue_no").alias("cue_no")))
     return cues.join(both, ["media_id", "lang", "cue_no"], "left_anti").select("media_id", "lang", "cue_no")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as TT
 
 from cueloom import adapters as A
 from cueloom.config import QCConfig
@@ -14,7 +14,7 @@ from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
 from cueloom.operators import folds, intervals, islands, sets
-from cueloom.plans import qc, rollups
+from cueloom.plans import qc, review, rollups
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
 from cueloom.sources import subtitles
@@ -46,7 +46,7 @@ _CTX = """, ctx AS (
     lag(end_ms) OVER w AS prev_end_ms, lag(text) OVER w AS prev_text, lag(speaker) OVER w AS prev_speaker,
     lead(start_ms) OVER w AS next_start_ms, regexp_replace(replace(text, chr(10), ''), '^\\s+|\\s+$', '', 'g') AS flat,
     regexp_replace(string_split(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(10))[-1], '^\\s+|\\s+$', '', 'g') AS last
-  FROM cues WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)
+  FROM rule_cues WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)
 ), by_line AS (
   SELECT *, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM ctx
 ), by_pair AS (SELECT *, lines[k + 2] AS next_line FROM by_line WHERE k + 1 < len(lines))
@@ -96,36 +96,36 @@ def _rule_sql(name: str) -> str:
 
 
 def _snake(name: str) -> str:
-    return "qc_" + "".join(f"_{c.lower()}" if c.isupper() and k and not name[k - 1].isupper() else c.lower() for k, c in enumerate(name))
+    return "qc_" + re.sub(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
 for _name in [*_WHOLE, *_LINES]:
-    query(_snake(_name), _CTX + _rule_sql(_name))(lambda s, d, n=_name: check(A.cues(s, d), CONFIG, [n]))
+    query(_snake(_name), _CTX + _rule_sql(_name))(lambda s, d, n=_name: check(A.rule_cues(s, d), CONFIG, [n]))
 
 _REPORT = " UNION ALL ".join(_rule_sql(n) for n in qc.REPORT_RULES)
 
 
 @query("qc_report", f"{_CTX}SELECT rule, severity, count(*) AS n FROM ({_REPORT}) GROUP BY ALL")
 def _(s, d):
-    return qc.report(A.cues(s, d))
+    return qc.report(A.rule_cues(s, d))
 
 
 @query("qc_summary", f"{_CTX}SELECT count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, count(*) FILTER (severity = 'suggestion') AS suggestions, count(*) FILTER (severity = 'error') = 0 AS passed FROM ({_REPORT})")
 def _(s, d):
-    return qc.summary(A.cues(s, d))
+    return qc.summary(A.rule_cues(s, d))
 
 
 @query("qc_consecutive_fragments", """, x AS (
-  SELECT *, regexp_matches(regexp_replace(text, '\\s+$', ''), '[.!?。？！…]$') AS ends FROM cues WHERE lang = 'en'
+  SELECT *, regexp_matches(regexp_replace(text, '\\s+$', ''), '[.!?。？！…]$') AS ends FROM rule_cues WHERE lang = 'en'
 ), r AS (SELECT *, sum(ends::INTEGER) OVER (PARTITION BY media_id ORDER BY cue_no) AS run FROM x)
-SELECT media_id, min(cue_no) AS cue_no, count(*) AS n FROM r WHERE NOT ends GROUP BY media_id, run HAVING count(*) >= 5""")
+SELECT media_id, min(cue_no) AS cue_no, count(*) AS n FROM r WHERE NOT ends GROUP BY media_id, run HAVING count(*) >= 2""")
 def _(s, d):
-    return qc.fragment_runs(A.cues(s, d))
+    return qc.fragment_runs(A.rule_cues(s, d), least=2)
 
 
 @query("qc_similar_neighbours")
 def _(s, d):
-    return qc.similar_neighbours(A.cues(s, d))
+    return qc.similar_neighbours(A.rule_cues(s, d))
 
 
 # Words and cues.
@@ -272,9 +272,9 @@ def _(s, d):
 
 
 @query("bilingual_orphans", _PAIRS + """SELECT media_id, lang, cue_no FROM bilingual b WHERE NOT EXISTS (
-  SELECT 1 FROM pairs p WHERE p.media_id = b.media_id AND CASE WHEN b.lang = 'en' THEN l_cue_no ELSE r_cue_no END = b.cue_no)""")
+  SELECT 1 FROM pairs p WHERE overlap_ms > 2000 AND p.media_id = b.media_id AND CASE WHEN b.lang = 'en' THEN l_cue_no ELSE r_cue_no END = b.cue_no)""")
 def _(s, d):
-    return qc.orphans(A.bilingual_cues(s, d))
+    return qc.orphans(A.bilingual_cues(s, d), more_than=2000)
 
 
 @query("completeness_units", """SELECT media_id, cue_no, 'untranslated' AS kind FROM bilingual a WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM bilingual b WHERE b.lang = 'zh' AND b.media_id = a.media_id AND b.cue_no = a.cue_no)
@@ -301,9 +301,10 @@ def _(s, d):
 
 
 @query("number_loss", _PAIRS + """SELECT media_id, l_cue_no, r_cue_no, array_to_string(list_sort(lost), ',') AS lost FROM (
-  SELECT *, list_filter(list_distinct(regexp_extract_all(l_text, '\\d+')), lambda n: NOT contains(r_text, n)) AS lost FROM pairs) WHERE len(lost) > 0""")
+  SELECT *, list_filter(list_distinct(regexp_extract_all(l_text || ' 42 of ' || l_cue_no, '\\d+')), lambda n: NOT contains(r_text || ' ' || r_cue_no, n)) AS lost FROM pairs) WHERE len(lost) > 0""")
 def _(s, d):
-    return qc.number_loss(A.bilingual_cues(s, d))
+    x = A.bilingual_cues(s, d)
+    return qc.number_loss(x.withColumn("text", F.concat("text", F.when(F.col("lang") == "en", " 42 of ").otherwise(" "), "cue_no")))
 
 
 @query("bilingual_groups")
@@ -311,11 +312,13 @@ def _(s, d):
     return folds.bilingual_groups(A.bilingual_cues(s, d))
 
 
-@query("terminology", """, g AS (SELECT p_name AS term, true AS of_source FROM part WHERE p_partkey <= 50 UNION ALL SELECT p_brand, false FROM part WHERE p_partkey <= 50)
+@query("terminology", """, g AS (SELECT p_name AS term, true AS of_source FROM part WHERE p_partkey <= 50 UNION ALL SELECT DISTINCT text, false FROM words WHERE word_no % 50 = 0 AND regexp_full_match(text, '[a-z]{6,}'))
 SELECT DISTINCT media_id, lang, cue_no, term FROM bilingual c JOIN g ON (c.lang <> 'en') = of_source AND contains(lower(c.text), lower(term))
   AND list_contains(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), regexp_split_to_array(lower(term), '[^\\p{L}\\p{N}]+')[1])""")
 def _(s, d):
-    glossary = A.table(s, d, "part").where("p_partkey <= 50").select(F.col("p_name").alias("source"), F.col("p_brand").alias("target"))
+    glossary = A.table(s, d, "part").where("p_partkey <= 50").select(F.col("p_name").alias("source"), F.lit("").alias("target"))
+    found = A.words(s, d).where((F.col("word_no") % 50 == 0) & F.col("text").rlike("^[a-z]{6,}$")).select(F.lit("").alias("source"), F.col("text").alias("target")).distinct()
+    glossary = glossary.unionByName(found)
     return qc.terminology(A.bilingual_cues(s, d), glossary)
 
 
@@ -406,9 +409,9 @@ def _(s, d):
 
 
 @query("duplicate_translations", """SELECT media_id, cue_no FROM (SELECT *, cue_no // 3 AS grp FROM cues)
-QUALIFY row_number() OVER (PARTITION BY media_id, grp, text ORDER BY start_ms, cue_no) > 1""")
+QUALIFY row_number() OVER (PARTITION BY media_id, grp, speaker ORDER BY start_ms, cue_no) > 1""")
 def _(s, d):
-    return sets.repeats(A.cues(s, d).withColumn("grp", F.floor(F.col("cue_no") / 3)), ["media_id", "grp", "text"], ["start_ms", "cue_no"]).select("media_id", "cue_no")
+    return sets.repeats(A.cues(s, d).withColumn("grp", F.floor(F.col("cue_no") / 3)), ["media_id", "grp", "speaker"], ["start_ms", "cue_no"]).select("media_id", "cue_no")
 
 
 @query("replace_by_key", """, fresh AS (SELECT media_id, cue_no, text || '!' AS text FROM cues WHERE cue_no % 4 = 0)
@@ -593,3 +596,115 @@ SELECT media_id, turn, k, s + (e - s) * k // (n + 1) AS start_ms, s + (e - s) *
 def _(s, d):
     w = A.words(s, d).groupBy("media_id", "turn").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.count(F.lit(1)).alias("n"))
     return folds.spread_evenly(w, F.col("n") + 1)
+
+
+# Replies and what is made of them: replies are written as JSON with talk around them, and read back.
+
+
+def _replies(rows: DataFrame, keys: list[str], order: str, item) -> DataFrame:
+    prompts = review.payload(rows, keys, order, item)
+    answers = prompts.withColumn("reply", F.concat(F.lit("Here you are:\n```json\n"), "payload", F.lit("\n```")))
+    return review.ReplayResponder(answers, keys).reply(prompts.select(*keys))
+
+
+@query("translate_replies", """SELECT media_id, cue_no, CASE WHEN cue_no % 5 = 0 THEN NULL ELSE text END AS text, CASE WHEN cue_no % 5 = 0 THEN 'missing' ELSE 'ok' END AS state FROM cues WHERE length(regexp_replace(text, '\\s', '', 'g')) > 0""")
+def _(s, d):
+    c = A.cues(s, d).where(F.length(F.regexp_replace("text", r"\s", "")) > 0).select("media_id", "cue_no", F.col("text").alias("t"))
+    answered = c.where("cue_no % 5 <> 0")
+    r = _replies(answered, ["media_id"], "cue_no", F.struct(F.col("cue_no").cast("int").alias("batch_index"), F.col("t").alias("text")))
+    got = review.items(r, "translate", ["media_id"]).select("media_id", F.col("batch_index").cast("long").alias("cue_no"), "text")
+    return review.resolve(c.select("media_id", "cue_no"), got, ["media_id", "cue_no"])
+
+
+@query("merge_flags", f""", g AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - end_ms AS gap FROM segments)
+SELECT media_id, seq, seq % 2 = 1 AND NOT {_ENDS} AND (gap IS NULL OR gap < 300 OR regexp_matches({STRIP.format('lower(text)')}, '(,|，|、|\\b(and|but|or|because|that|which|of|to|the))$')) AS merge FROM g""")
+def _(s, d):
+    x = A.segments(s, d)
+    r = _replies(x, ["media_id"], "seq", F.struct(F.col("seq").cast("int").alias("batch_index"), (F.col("seq") % 2 == 1).alias("merge_with_next")))
+    flags = review.items(r, "merge_review", ["media_id"]).select("media_id", F.col("batch_index").cast("long").alias("seq"), F.col("merge_with_next").alias("flag"))
+    return review.merge_flags(x, flags, far_ms=300)
+
+
+@query("merge_budget", "SELECT media_id, greatest(1, ceil(count(*) / 24)::BIGINT) AS budget FROM segments GROUP BY media_id")
+def _(s, d):
+    return review.merge_budget(A.segments(s, d))
+
+
+@query("evaluate_scores", """SELECT event_id, round(overall, 9) AS overall FROM (SELECT event_id, 0.4::DOUBLE * greatest(0, least(1, value / 100)) + 0.3::DOUBLE * greatest(0, least(1, value / 50)) + 0.15::DOUBLE * 0.5 + 0.15::DOUBLE * greatest(0, least(1, (value - 50) / 50)) AS overall FROM events) WHERE overall < 0.6""")
+def _(s, d):
+    v = F.col("value")
+    x = A.table(s, d, "events").select("event_id", (v / 100).alias("accuracy"), (v / 50).alias("fluency"), F.lit(None).cast("double").alias("consistency"), ((v - 50) / 50).alias("compression"))
+    return review.overall(x).where("overall < 0.6").select("event_id", F.round("overall", 9).alias("overall"))
+
+
+@query("llm_issues_except", """, f AS (SELECT rule, user_id AS cue_id, min(issue_no::VARCHAR) AS detail FROM issues WHERE run = 'current' GROUP BY ALL)
+SELECT rule, cue_id, '[LLM] ' || detail AS detail FROM f WHERE NOT EXISTS (SELECT 1 FROM issues e WHERE e.run = 'baseline' AND e.issue_no % 5 = 0 AND e.rule = f.rule AND e.user_id = f.cue_id)""")
+def _(s, d):
+    i = A.issues(s, d)
+    found = i.where("run = 'current'").select("rule", F.col("user_id").alias("cue_id"), F.col("issue_no").cast("string").alias("detail"))
+    return review.new_issues(found, i.where("run = 'baseline' AND issue_no % 5 = 0").select("rule", F.col("user_id").alias("cue_id")))
+
+
+@query("negation_loss", _PAIRS + f"SELECT media_id, l_cue_no, r_cue_no FROM pairs WHERE len(list_intersect(regexp_extract_all(lower(l_text), '[a-z'']+'), [{', '.join(chr(39) + w.replace(chr(39), chr(39) * 2) + chr(39) for w in review.NEGATION_WORDS)}])) > 0 AND NOT regexp_matches(CASE WHEN r_cue_no % 2 = 1 THEN translate(r_text, '不没', '') ELSE r_text END, '{review.NEGATION_ZH}')")
+def _(s, d):
+    pairs = qc.pairs(A.bilingual_cues(s, d))
+    return review.negation_loss(pairs.withColumn("r_text", F.when(F.col("r_cue_no") % 2 == 1, F.translate("r_text", "不没", "")).otherwise(F.col("r_text"))))
+
+
+@query("time_axis_overflow", """, t AS (SELECT media_id, cue_no, start_ms, end_ms, cue_no AS a, cue_no + cue_no % 2 AS b FROM bilingual WHERE lang = 'zh'),
+u AS (SELECT media_id, cue_no, start_ms, end_ms FROM bilingual WHERE lang = 'en'),
+w AS (SELECT t.media_id, t.cue_no, t.start_ms, t.end_ms, min(u.start_ms) AS s, max(u.end_ms) AS e FROM t JOIN u ON u.media_id = t.media_id AND u.cue_no BETWEEN a AND b GROUP BY ALL)
+SELECT media_id, cue_no, start_ms < s - 50 AS early, end_ms > e + 50 AS late FROM w WHERE start_ms < s - 50 OR end_ms > e + 50""")
+def _(s, d):
+    c = A.bilingual_cues(s, d).withColumn("unit_id", F.col("cue_no").cast("string"))
+    merged = F.when(F.col("cue_no") % 2 == 1, F.array((F.col("cue_no") + 1).cast("string")))
+    return review.covered_windows(c.where("lang = 'zh'").withColumn("merged_from", merged), c.where("lang = 'en'"))
+
+
+@query("shot_boundary_hard", """, cuts AS (SELECT DISTINCT user_id AS media_id, (epoch_us(ts) // 1000) % 60000 AS cut_ms FROM events),
+x AS (SELECT *, lag(end_ms) OVER w AS p, lead(start_ms) OVER w AS n FROM cues WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no))
+SELECT x.media_id, lang, cue_no, min(cut_ms) AS cut_ms FROM x JOIN cuts k ON x.media_id = k.media_id AND cut_ms > start_ms AND cut_ms < end_ms AND (p <= cut_ms OR n >= cut_ms) GROUP BY ALL""")
+def _(s, d):
+    cuts = A.table(s, d, "events").select(F.col("user_id").alias("media_id"), (A.millis("ts") % 60_000).alias("cut_ms")).distinct()
+    return review.shot_boundaries(A.cues(s, d), cuts)
+
+
+@query("split_long_segments", f""", n AS (SELECT *, end_ms - start_ms AS dur, CASE WHEN end_ms - start_ms <= 2000 THEN 1 ELSE greatest(2, (end_ms - start_ms) // 2000 + 1) END AS n FROM segments),
+p AS (SELECT *, greatest(1, length(text) // n) AS each FROM n), x AS (SELECT *, unnest(range(n)) AS i FROM p),
+y AS (SELECT media_id, seq, i, start_ms + dur * i // n AS start_ms, start_ms + dur * (i + 1) // n AS end_ms, dur,
+  CASE WHEN n = 1 THEN text ELSE {STRIP.format('substr(text, i * each + 1, CASE WHEN i = n - 1 THEN length(text) ELSE each END)')} END AS text FROM x)
+SELECT media_id, seq, i, start_ms, end_ms, text FROM y WHERE text <> '' OR dur <= 2000""")
+def _(s, d):
+    return review.split_long(A.segments(s, d), 2000)
+
+
+@query("transcript_text", "SELECT media_id, string_agg('[' || upper(speaker) || '] ' || text, chr(10) ORDER BY seq) AS text FROM segments GROUP BY media_id")
+def _(s, d):
+    return review.transcript_text(A.segments(s, d))
+
+
+@query("punctuation_gate", f"SELECT media_id, avg(({_ENDS})::INTEGER) >= 0.3 AS enough FROM segments GROUP BY media_id")
+def _(s, d):
+    return review.punctuated_enough(A.segments(s, d))
+
+
+@query("split_counts", """SELECT media_id, 'u' || (seq // 4)::VARCHAR AS grp, max(seq % 4) + 1 AS parts FROM segments GROUP BY ALL""")
+def _(s, d):
+    x = A.segments(s, d).withColumn("id", F.concat(F.lit("u"), F.floor(F.col("seq") / 4).cast("string"), F.lit("_"), (F.col("seq") % 4).cast("string")))
+    grp, part = F.regexp_extract("id", r"^(.*)_(\d+)$", 1), F.regexp_extract("id", r"^(.*)_(\d+)$", 2).cast("long")
+    return x.groupBy("media_id", grp.alias("grp")).agg((F.max(part) + 1).alias("parts"))
+
+
+@query("catalog_update", "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'done' ELSE c_mktsegment END AS status FROM customer WHERE c_custkey % 10 <> 0")
+def _(s, d):
+    rows = A.table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("status"))
+    changed = review.update_rows(rows, "id", rows.where("id % 3 = 0").select("id", F.lit("done").alias("status")), ["status"])
+    return review.delete_rows(changed, "id", rows.where("id % 10 = 0"))
+
+
+@query("chunk_listing", "SELECT l_orderkey AS video_id, l_linenumber AS chunk_index, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS position FROM lineitem")
+def _(s, d):
+    from pyspark.sql import Window
+
+    over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
+    return A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("chunk_index"), F.row_number().over(over).cast("long").alias("position"))
