@@ -591,6 +591,16 @@ def _(s, d):
     return folds.pace(A.cues(s, d))
 
 
+@query("split_overlong")
+def _(s, d):
+    return folds.split_overlong(A.words(s, d))
+
+
+@query("layout_cues")
+def _(s, d):
+    return folds.layout(A.rule_cues(s, d))
+
+
 @query("redistribute_timing", """, w AS (SELECT media_id, turn, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM words GROUP BY ALL)
 SELECT media_id, turn, k, s + (e - s) * k // (n + 1) AS start_ms, s + (e - s) * (k + 1) // (n + 1) AS end_ms FROM w, unnest(range(n + 1)) AS t(k)""")
 def _(s, d):

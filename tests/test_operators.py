@@ -148,3 +148,35 @@ def test_similarity_and_ranges(spark):
 def test_text_functions(spark):
     r = spark.range(1).select(T.slugify(F.lit("  Héllo, wörld!  ")).alias("a"), T.strip_punctuation_zh(F.lit("你好，世界。")).alias("b"), T.smart_join(F.array(F.lit("你"), F.lit("好"))).alias("c"), T.annotation_term(F.lit("※ term：text")).alias("d")).first()
     assert (r.a, r.b, r.c, r.d) == ("Héllo_wörld", "你好 世界", "你好", "term")
+
+
+def test_overlong_units_are_cut_where_it_reads_best(spark):
+    text = "When we came home, the others had left and there was the big old dog in front of the door".split()
+    w = spark.createDataFrame([(1, 0, "a", k, t, 600 * k, 600 * k + 400, 0.9) for k, t in enumerate(text, 1)], WORD)
+    got = folds.split_overlong(w, 7000, 60).orderBy("part").collect()
+    assert [r.first_word for r in got] == [1] + [r.last_word + 1 for r in got[:-1]] and got[-1].last_word == len(text)
+    assert all(r.end_ms - r.start_ms <= 7000 for r in got)
+    assert not any(folds.must_stay_together(text[r.last_word - 1], text[r.last_word]) for r in got[:-1])
+    assert folds.split_overlong(w.limit(0)).count() == 0
+
+
+def test_lines_and_layout(spark):
+    assert folds.break_line("short one") == "short one"
+    first, second = folds.break_line("This is a longer line of text, and it should be in two parts").split("\n")
+    assert first == "This is a longer line of text," and len(second) <= 42
+    c = cues(spark, [("en", "A full sentence.", 0, 1000), ("en", "and so", 1100, 1500), ("en", "Far off", 5000, 6000)])
+    got = [(r.cue_no, r.n_cues, r.end_ms, r.text) for r in folds.layout(c).orderBy("cue_no").collect()]
+    assert got == [(1, 2, 1500, "A full sentence. and so"), (3, 1, 6000, "Far off")]
+    one = spark.createDataFrame([("a b",), (None,)], "t string").select(folds.break_lines("t").alias("x")).collect()
+    assert [r.x for r in one] == ["a b", None]
+
+
+def test_replies_are_checked(spark):
+    from cueloom.plans import review
+
+    replies = spark.createDataFrame([(1, 'Sure: [{"batch_index": 0, "text": "x"}, {"batch_index": 2, "text": "a"}, {"batch_index": 2, "text": "b"}]'), (2, "no idea"), (3, None)], "k long, reply string")
+    got = review.items(replies, "translate", ["k"]).select("k", review.F.col("batch_index").alias("i"), "text")
+    want = spark.createDataFrame([(1, 0), (1, 1), (1, 2), (2, 0)], "k long, i int")
+    assert {(r.k, r.i): r.state for r in review.resolve(want, got, ["k", "i"]).collect()} == {(1, 0): "ok", (1, 1): "missing", (1, 2): "duplicate", (2, 0): "missing"}
+    s = review.overall(spark.createDataFrame([(2.0, -1.0, None, 0.5)], "accuracy double, fluency double, consistency double, compression double")).first()
+    assert s.overall == 0.4 * 1 + 0.3 * 0 + 0.15 * 0.5 + 0.15 * 0.5
