@@ -28,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.llm.common import cut
+from cueloom.llm.common import cut, small_batches
 from cueloom.llm.wordshuffle import gather_runs, spans
 
 WINDOW = 13
 #: Contaminated: a word in so many, or more, is hit.
 SHARE = 20
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 500_000
 CHUNK_BYTES = 16_000_000
 #: Every so manieth position of a run has its place stored, and the first.
 SAMPLE = 8
@@ -91,7 +91,7 @@ def sort_suffixes(symbols: np.ndarray) -> np.ndarray:
     rank[ends] = np.arange(len(ends))
     width = int(rank.max(initial=1)).bit_length()
     depth = 1
-    while (depth + 1) * width <= 63 and depth < 4:  # as many symbols as fit into a key
+    while (depth + 1) * width <= 63 and depth < min(4, n):  # as many symbols as fit into a key
         depth += 1
     # A key holds the symbols up to the first 0; what follows it does not matter, as 0s differ.
     key, open_ = rank.copy(), symbols != 0
@@ -256,14 +256,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
     spans: merged runs of hit words, numbered from 0, end not included; items: ids of the items with
     occurring windows, as strings in order.
     """
+    small_batches(docs.sparkSession)
     names = [key, *keep]
-    schema = T.StructType([*(docs.schema[n] for n in names), T.StructField("body", T.BinaryType()), T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
+    # The text comes along once: as a kept column, or as one of its own that is dropped at the end.
+    body = text if text in names else "_body"
+    own = [] if text in names else [T.StructField(body, T.StringType())]
+    schema = T.StructType([*(docs.schema[n] for n in names), *own, T.StructField("n_words", T.LongType()), T.StructField("spans", SPANS), T.StructField("items", T.ArrayType(T.StringType()))])
     empty = [F.lit(0).cast("long").alias("n_words"), F.array().cast(SPANS).alias("spans"), F.array().cast("array<string>").alias("items")]
-    now = docs.select(*(F.col(f"`{n}`") for n in names), F.col(text).cast("string").cast("binary").alias("body"), *empty)
+    now = docs.select(*(F.col(f"`{n}`") for n in names), *([] if text in names else [F.col(text).cast("string").alias(body)]), *empty)
     context = docs.sparkSession.sparkContext
+    own_names = [f.name for f in own]
     for nth, chunk in enumerate(_chunks(benchmark, item_key, item_text)):
         sent = context.broadcast(chunk)
 
+
         def search(stream: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             bench = Benchmark(sent.value, window)
             symbol_of = _Symbols(bench.symbol).__getitem__
@@ -282,20 +288,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 for batch in batches:
                     n_words, spans_out, items_out = [], [], []
                     for old_spans, old_items in zip(batch.column("spans").to_pylist(), batch.column("items").to_pylist(), strict=True):
-                        own = slice(span_ends[at], span_ends[at + 1])
-                        new = list(zip((starts[own] - ends[at]).tolist(), (stops[own] - ends[at]).tolist(), strict=True))
+                        of = slice(span_ends[at], span_ends[at + 1])
+                        new = list(zip((starts[of] - ends[at]).tolist(), (stops[of] - ends[at]).tolist(), strict=True))
                         items = {bench.ids[i] for i in pairs[item_ends[at] : item_ends[at + 1], 1]}
                         n_words.append(int(sizes[at]))
                         spans_out.append([{"start": a, "end": b} for a, b in merge(new + [(s["start"], s["end"]) for s in old_spans])])
                         items_out.append(sorted(items.union(old_items)))
                         at += 1
-                    columns = [*(batch.column(n) for n in names), batch.column("body"), pa.array(n_words, pa.int64()), pa.array(spans_out, _SPANS), pa.array(items_out, pa.list_(pa.string()))]
+                    columns = [*batch.columns[: len(names) + len(own_names)], pa.array(n_words, pa.int64()), pa.array(spans_out, _SPANS), pa.array(items_out, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
             held, parts, size = [], [], 0
             for batch in stream:
-                for item in batch.column("body"):
-                    words = words_of(item.as_py()) if item.is_valid else []
+                for item in batch.column(body):
+                    words = words_of(item.as_buffer().to_pybytes()) if item.is_valid else []
                     parts.append(np.fromiter(map(symbol_of, words), dtype=np.int32, count=len(words)))
                     size += len(words)
                 held.append(batch)
@@ -306,7 +312,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
                 yield from shard(held, parts)
 
         now = (cut(now) if nth else now).mapInArrow(search, schema)
-    return now.drop("body")
+    return now.drop(*own_names)
 
 
 def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from cueloom.llm.common import small_batches
+
 # The names of HTML elements and frequent function words of four languages.
 RAW = frozenset("script style textarea title xmp noframes noembed iframe noscript template".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -262,6 +264,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every row of ``pages``."""
+    small_batches(pages.sparkSession)
     fields = [pages.schema[key], pages.schema[url]]
     schema = T.StructType([*fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     kinds = [to_arrow_type(f.dataType) for f in fields]

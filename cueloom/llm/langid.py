@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueloom.llm.common import small_batches
+
 UNDETERMINED = "und"
 DIMENSIONS, LONGEST = 8192, 3
 #: Rows of a language that the model is fitted on, at most, and its centroids.
@@ -86,8 +88,12 @@ def cluster(x: np.ndarray, seed: int) -> np.ndarray:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the labelled rows of ``docs``."""
     rows = docs.where(F.col(label).isNotNull() & (F.col(label) != UNDETERMINED) & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
+    # Hashes are even, so three times the sample's share of a language has enough rows in it, and few go on.
+    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    share = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), 3 * sample / F.col("size"))
+    able = rows.select("label", "h").join(F.broadcast(sizes), "label").where((F.col("size") <= 50) | (F.col("h") <= share))
     # Spark limits such a window before it shuffles: each task sends so many rows of a language at most.
-    least = rows.select("label", "h").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= sample)
+    least = able.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("n") <= sample)
     cut_at = least.groupBy("label").agg(F.max("h").alias("cut"))
 
     def features(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +128,7 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
 
 def predict(docs: DataFrame, model: Model, text: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
     """``docs`` with lang_pred, score and rejected (columns of these names are replaced)."""
+    small_batches(docs.sparkSession)
     added = ("lang_pred", "score", "rejected")
     kept = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([*kept, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.llm.common import cut, shuffle_partitions
+from cueloom.llm.common import cut, shuffle_partitions, small_batches
 from cueloom.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 2
@@ -58,6 +58,7 @@ def fingerprint_of(hashes: np.ndarray) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, fp bigint) of every row: the 64 bits as a signed integer."""
+    small_batches(docs.sparkSession)
     key_type = docs.schema[key].dataType
 
     def one(item: pa.BinaryScalar) -> int:

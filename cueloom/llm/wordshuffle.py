@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cueloom.llm.common import shuffle_partitions
+from cueloom.llm.common import shuffle_partitions, small_batches
 
 #: Characters of text in a block; a longer document is a block of its own.
 BLOCK_CHARS = 8_000_000
@@ -139,7 +139,10 @@ class Block:
         return self.chars >= chars or len(self.rows) >= 1 << 17
 
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
-        """The word of each position, and the number of positions of each document."""
+        """The word of each position, and the number of positions of each document. Ends the block: what
+        is known of chunks is let go."""
+        self.chunks.clear()
+        self.chunks.order.clear()
         sizes, flat = np.array(self.sizes, dtype=np.int32), np.array(self.flat, dtype=np.int32)
         if not len(flat):
             return flat, np.zeros(len(self.docs), dtype=np.int64)
@@ -261,6 +264,7 @@ def to_cells(docs: DataFrame, make_block: Callable[[], Block], columns: Callable
 
     columns(block, codes, sizes): more columns for the words of a block.
     """
+    small_batches(docs.sparkSession)
     schema, arrow, _ = row_types(docs)
     names, parts = docs.columns[:-1], parts or parts_of(docs)
 
