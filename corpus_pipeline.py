@@ -33,9 +33,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that benchmark passages do not contaminate."""
-    own = docs.withColumn("whole", F.col("text"))
-    found = decontam.verdicts(decontam.contamination(own, table(spark, sf_dir, "benchmark"), keep=("whole", "lang", "source", "n_chars")))
-    return found.where("NOT contaminated").withColumnRenamed("whole", "text").select(COLUMNS)
+    found = decontam.verdicts(decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keep=("text", "lang", "source", "n_chars")))
+    return found.where("NOT contaminated").select(COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
