@@ -17,7 +17,7 @@ from cueloom.operators import folds, intervals, islands, sets
 from cueloom.plans import qc, review, rollups
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
-from cueloom.sources import subtitles
+from cueloom.sources import artifacts, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -718,3 +718,25 @@ def _(s, d):
 
     over = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     return A.table(s, d, "lineitem").select(F.col("l_orderkey").alias("video_id"), F.col("l_linenumber").alias("chunk_index"), F.row_number().over(over).cast("long").alias("position"))
+
+
+@query("segment_summary", """SELECT media_id, turn, count(*) AS word_count, max(end_ms) - min(start_ms) AS duration_ms, min_by(text, word_no) AS first_word, max_by(text, word_no) AS last_word,
+  min(word_no) AS from_word, max(word_no) AS to_word FROM words GROUP BY ALL""")
+def _(s, d):
+    return artifacts.segment_summary(A.words(s, d), ["media_id", "turn"])
+
+
+@query("cue_json_round_trip", "SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS index, text, lang FROM cues")
+def _(s, d):
+    written = artifacts.cue_json(A.cues(s, d), ["media_id"])
+    return subtitles.parse_cue_json(written, "content", ["media_id"]).select("media_id", "index", "text", "lang")
+
+
+@query("pending_segments", "SELECT media_id, seq, unit_id FROM segments WHERE seq % 3 <> 0 OR media_id % 2 = 0")
+def _(s, d):
+    x = A.segments(s, d)
+    finger = F.concat(F.lit("f"), (F.col("media_id") % 2).cast("string"))
+    listed = F.to_json(F.struct(F.lit("f1").alias("segments_fingerprint"), F.collect_list(F.struct("unit_id", "text")).alias("cues")))
+    saved = x.where("seq % 3 = 0").groupBy("media_id").agg(listed.alias("content"))
+    done = artifacts.load_partial(saved, "content", ["media_id"], finger)
+    return artifacts.pending(x, done, ["media_id", "unit_id"]).select("media_id", "seq", "unit_id")

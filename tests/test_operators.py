@@ -180,3 +180,18 @@ def test_replies_are_checked(spark):
     assert {(r.k, r.i): r.state for r in review.resolve(want, got, ["k", "i"]).collect()} == {(1, 0): "ok", (1, 1): "missing", (1, 2): "duplicate", (2, 0): "missing"}
     s = review.overall(spark.createDataFrame([(2.0, -1.0, None, 0.5)], "accuracy double, fluency double, consistency double, compression double")).first()
     assert s.overall == 0.4 * 1 + 0.3 * 0 + 0.15 * 0.5 + 0.15 * 0.5
+
+
+def test_artifacts(spark):
+    from cueloom.sources import artifacts
+
+    text = '{"transcription":[{"tokens":[{"text":"[_BEG_]","offsets":{"from":0,"to":0}},{"text":" Hi","offsets":{"from":10,"to":20},"p":0.5},{"text":" "}]}]}'
+    other = '{"segments":[{"words":[{"word":"yo","start":1.5,"end":2.0}]}]}'
+    got = artifacts.parse_recogniser_json(spark.createDataFrame([(1, text), (2, other)], "f long, c string"), "c", ["f"]).orderBy("f").collect()
+    assert [(r.f, r.word_no, r.text, r.start_ms, r.end_ms, r.confidence) for r in got] == [(1, 1, " Hi", 10, 20, 0.5), (2, 1, "yo", 1500, 2000, 0.0)]
+    frames = spark.createDataFrame([(1, "0.000,K__"), (1, "0.040,___"), (1, "2.000,K__")], "f long, l string")
+    assert sorted(r.key_ms for r in artifacts.parse_keyframes(frames, "l", ["f"]).collect()) == [0, 2000]
+    saved = spark.createDataFrame([(1, '{"segments_fingerprint":"a","cues":[{"unit_id":"u1","text":"x"}]}'), (2, '{"segments_fingerprint":"old","cues":[{"unit_id":"u2"}]}'), (3, '[{"unit_id":"u3","text":"y"}]')], "f long, c string")
+    assert {r.unit_id for r in artifacts.load_partial(saved, "c", ["f"], F.lit("a")).collect()} == {"u1", "u3"}
+    groups = spark.createDataFrame([(1, 0, 1000, "你好", "hi  there"), (1, 1000, 2000, None, "only"), (1, 2000, 3000, "", None)], "f long, start_ms long, end_ms long, target string, source string")
+    assert artifacts.bilingual_ass(groups, ["f"]).first().content.split("\n") == ["Dialogue: 0,0:00:00.00,0:00:01.00,Default,,0,0,0,,你好\\N{\\fs14}hi there", "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\fs14}only"]
