@@ -2,7 +2,7 @@
 
 The model spells each token (a word in lower case, then a space; the end of a text is a space alone)
 bit by bit. Several hashed contexts predict each bit: the word so far, the word so far whatever the
-class of the text, its last four bytes and its last two. Their predictions are stretched and summed
+class of the text, and its last four, three, two and one bytes. Their predictions are stretched and summed
 with weights that two gates choose (how often the first and the third context have been seen), and
 the sum is refined by an adaptive map from what came out for such a sum in training. A text's class
 (``label``: its language) is not known when it is scored: the probability of a text is the mean of
@@ -12,7 +12,7 @@ What is learned covers all training rows. Distinct words meet by the hash of the
 ``wordshuffle``), so all words that share more than ``LOCAL`` bytes are in one task, which counts the
 contexts of the word so far exactly, however many words the corpus has. Shorter contexts and those of
 the last bytes are counted in hashed tables of ``SLOTS`` slots, which bound what is broadcast:
-3 * SLOTS * 8 bytes a class. Weights are learned online, word by word within each part, and averaged
+5 * SLOTS * 8 bytes a class. Weights are learned online, word by word within each part, and averaged
 over the parts; the map is counted in one more pass. In both, each bit is predicted from the counts
 without its own occurrence, as a held-out text would see it.
 
@@ -48,7 +48,9 @@ GATES, SIDE_GATES, BUCKETS = 20, 64, 33
 #: Edges that the weights are moved by at once.
 BATCH = 8192
 END = b" "
-_INPUTS = 4
+#: Hashed contexts: the word so far, its last four bytes, last three, last two, last one; and the inputs they make.
+_LAST = (4, 3, 2, 1)
+_CONTEXTS, _INPUTS = 1 + len(_LAST), 2 + len(_LAST)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -62,7 +64,7 @@ class Model:
 
     classes: int
     tables: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.5, 0.2, 0.2, 0.1]), (GATES, 1)))
+    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.5, 0.2, 0.15, 0.05, 0.1, 0.0]), (GATES, 1)))
     side: np.ndarray = field(default_factory=lambda: np.zeros((SIDE_GATES, _INPUTS)))
     refined: np.ndarray = field(default_factory=lambda: np.zeros((GATES, BUCKETS, 2)))
 
@@ -79,7 +81,7 @@ class Edges:
     depth: np.ndarray  # bytes of the prefix
     byte: np.ndarray
     prefix: np.ndarray  # number of the prefix
-    contexts: np.ndarray  # (3, edges) hashes: the word so far, its last four bytes, its last two
+    contexts: np.ndarray  # (contexts, edges) hashes
     of_word: np.ndarray  # edges of the words, word after word
     lengths: np.ndarray  # edges of each word
 
@@ -97,12 +99,12 @@ def edges_of(words: list[bytes]) -> Edges:
     for a, b in zip(cuts, cuts[1:], strict=False):
         at = order[a:b]
         whole[at] = _mix(whole[at - 1] + data[at - 1] + np.uint64(1))
-    last = [np.zeros(len(data), dtype=np.uint64), np.zeros(len(data), dtype=np.uint64)]
-    for back in range(1, 5):
+    last = {size: np.zeros(len(data), dtype=np.uint64) for size in _LAST}
+    for back in range(1, max(_LAST) + 1):
         seen = np.flatnonzero(depth >= back)
-        last[0][seen] = last[0][seen] | (data[seen - back] << np.uint64(8 * (back - 1)))
-        if back <= 2:
-            last[1][seen] = last[1][seen] | (data[seen - back] << np.uint64(8 * (back - 1)))
+        for size in _LAST:
+            if back <= size:
+                last[size][seen] |= data[seen - back] << np.uint64(8 * (back - 1))
     _, first, inverse = np.unique(_mix(whole + data * np.uint64(0x2545F4914F6CDD1D)), return_index=True, return_inverse=True)
     # Edges of a prefix stand together, by byte.
     order = np.lexsort((data[first], whole[first]))
@@ -110,7 +112,7 @@ def edges_of(words: list[bytes]) -> Edges:
     number[order] = np.arange(len(order))
     first, inverse = first[order], number[inverse]
     _, prefix = np.unique(whole[first], return_inverse=True)
-    contexts = np.stack([_mix(whole[first] + np.uint64(1)), _mix(last[0][first] + np.uint64(2 << 40)), _mix(last[1][first] + np.uint64(3 << 40))])
+    contexts = np.stack([_mix(whole[first] + np.uint64(1)), *(_mix(last[size][first] + np.uint64((1 + size) << 40)) for size in _LAST)])
     return Edges(depth[first], data[first].astype(np.int64), prefix, contexts, inverse, lengths)
 
 
@@ -129,21 +131,17 @@ def counts_of_edges(edges: Edges, counts: np.ndarray) -> np.ndarray:
 
 def count_tables(edges: Edges, n: np.ndarray, tables: np.ndarray) -> None:
     """Adds the occurrences ``n`` of edges to the hashed tables."""
-    flat = tables.reshape(3, n.shape[1], 2 * SLOTS)
+    flat = tables.reshape(_CONTEXTS, n.shape[1], 2 * SLOTS)
     short = edges.depth < LOCAL
     for j in range(8):
         partial, bit = (1 << j) | (edges.byte >> (8 - j)), (edges.byte >> (7 - j)) & 1
-        for context in range(3):
+        for context in range(_CONTEXTS):
             at = 2 * slots(edges.contexts[context], partial) + bit
             for c in range(n.shape[1]):
                 use = np.flatnonzero((n[:, c] > 0) & short) if context == 0 else np.flatnonzero(n[:, c])
                 np.add.at(flat[context, c], at[use], n[use, c])
 
 
-def stretch(p: np.ndarray) -> np.ndarray:
-    return np.log(p / (1 - p))
-
-
 def squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
@@ -164,56 +162,65 @@ def bits_of(edges: Edges, n: np.ndarray, model: Model, leave_out: bool) -> Itera
     leave_out: only edges that the class has, from counts without one occurrence of the edge.
     """
     every = np.arange(len(edges.depth))
-    short = edges.depth < LOCAL
+    # The top of the words is not local: its few edges read the tables.
+    short = np.flatnonzero(edges.depth < LOCAL)
+    classes = n.shape[1]
+    less = np.float32(leave_out)
     for j in range(8):
         partial, bit = (1 << j) | (edges.byte >> (8 - j)), (edges.byte >> (7 - j)) & 1
         fresh = np.ones(len(every), dtype=bool)
         fresh[1:] = (edges.prefix[1:] != edges.prefix[:-1]) | (partial[1:] != partial[:-1])
         node = np.cumsum(fresh) - 1
-        at = [slots(edges.contexts[k], partial) for k in range(3)]
-        total_same = total_other = None
-        per_class = []
-        for c in range(n.shape[1]):
-            ones = np.bincount(node, weights=n[:, c] * bit)[node]
-            all_ = np.bincount(node, weights=n[:, c])[node]
-            same, other = np.where(bit == 1, ones, all_ - ones), np.where(bit == 1, all_ - ones, ones)
-            top = model.tables[0, c, at[0]]
-            same = np.where(short, top[every, bit], same)
-            other = np.where(short, top[every, 1 - bit], other)
-            per_class.append((same, other))
-            total_same = same if total_same is None else total_same + same
-            total_other = other if total_other is None else total_other + other
-        for c in range(n.shape[1]):
+        side_of = 2 * node + bit
+        at = [slots(edges.contexts[0][short], partial[short]), *(slots(edges.contexts[k], partial) for k in range(1, _CONTEXTS))]
+        whole = []
+        for c in range(classes):
+            counts = np.bincount(side_of, weights=n[:, c], minlength=2 * int(node[-1] + 1) if len(node) else 0).astype(np.float32)
+            same, other = counts[side_of], counts[side_of ^ 1]
+            top = model.tables[0, c].reshape(-1)
+            same[short], other[short] = top[2 * at[0] + bit[short]], top[2 * at[0] + 1 - bit[short]]
+            whole.append((same, other))
+        total_same, total_other = sum(w[0] for w in whole), sum(w[1] for w in whole)
+        total = None if leave_out else _odds(total_same, total_other)
+        for c in range(classes):
             use = np.flatnonzero(n[:, c]) if leave_out else every
             if not len(use):
                 continue
-            less = 1.0 if leave_out else 0.0
-            own_bit = bit[use]
-            pairs = [per_class[c], (total_same, total_other)]
-            pairs = [(s[use], o[use]) for s, o in pairs]
-            for k in (1, 2):
-                table = model.tables[k, c, at[k][use]]
-                rows = np.arange(len(use))
-                pairs.append((table[rows, own_bit], table[rows, 1 - own_bit]))
-            pairs = [(np.maximum(s - less, 0), np.maximum(o, 0)) for s, o in pairs]
-            inputs = np.stack([np.log((s + PRIOR) / (o + PRIOR)) for s, o in pairs], axis=1)
-            size = pairs[0][0] + pairs[0][1]
-            sure = np.minimum(pairs[0][0], pairs[0][1]) == 0
-            gate = np.minimum(np.log2(size + 1).astype(np.int64), GATES // 2 - 1) * 2 + sure
-            size2 = pairs[2][0] + pairs[2][1]
-            sure2 = np.minimum(pairs[2][0], pairs[2][1]) == 0
-            side = (np.minimum(np.log2(size2 + 1).astype(np.int64) // 2, 3) * 2 + sure2) * 8 + j
-            yield j, c, use, Bits(inputs, gate, side)
+            pick = (lambda x: x[use]) if leave_out else (lambda x: x)
+            own_bit = pick(bit)
+            same, other = np.maximum(pick(whole[c][0]) - less, 0), pick(whole[c][1])
+            inputs = np.empty((_INPUTS, len(use)), dtype=np.float32)
+            inputs[0] = _odds(same, other)
+            inputs[1] = _odds(np.maximum(total_same[use] - less, 0), total_other[use]) if leave_out else total
+            for k in range(1, _CONTEXTS):
+                table, place = model.tables[k, c].reshape(-1), 2 * pick(at[k]) + own_bit
+                same2, other2 = np.maximum(table[place] - less, 0), table[place ^ 1]
+                inputs[1 + k] = _odds(same2, other2)
+                if k == 1:
+                    side = (np.minimum(_size(same2 + other2) // 2, 3) * 2 + (np.minimum(same2, other2) == 0)) * 8 + j
+            gate = np.minimum(_size(same + other), GATES // 2 - 1) * 2 + (np.minimum(same, other) == 0)
+            yield j, c, use, Bits(inputs.T, gate, side)
+
+
+def _odds(same: np.ndarray, other: np.ndarray) -> np.ndarray:
+    prior = np.float32(PRIOR)
+    return np.log((same + prior) / (other + prior))
+
+
+def _size(seen: np.ndarray) -> np.ndarray:
+    """Bits of a number of occurrences."""
+    return np.log2(seen + np.float32(1)).astype(np.int64)
 
 
 def mixed(bits: Bits, model: Model) -> np.ndarray:
     """Stretched probability of each edge's own bit, before refinement."""
-    return np.clip(((model.weights[bits.gate] + model.side[bits.side]) * bits.inputs).sum(axis=1), -16, 16)
+    weights, side = model.weights.astype(np.float32), model.side.astype(np.float32)
+    return np.clip(np.einsum("ij,ij->i", weights[bits.gate] + side[bits.side], bits.inputs), -16, 16)
 
 
 def _buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lower bucket of a stretched probability and how far it is on the way to the next."""
-    place = (x + 16) * (BUCKETS - 1) / 32
+    place = (x + np.float32(16)) * np.float32((BUCKETS - 1) / 32)
     low = np.minimum(place.astype(np.int64), BUCKETS - 2)
     return low, place - low
 
@@ -225,17 +232,19 @@ def probabilities(bits: Bits, model: Model) -> np.ndarray:
     low, way = _buckets(x)
     # Each bucket starts as its own centre, with the weight of a few bits.
     centre = squash(np.arange(BUCKETS) * 32 / (BUCKETS - 1) - 16)
-    value = (model.refined[:, :, 1] + 20 * centre) / (model.refined.sum(axis=2) + 20)
+    value = ((model.refined[:, :, 1] + 20 * centre) / (model.refined.sum(axis=2) + 20)).astype(np.float32)
     fine = (1 - way) * value[bits.gate, low] + way * value[bits.gate, low + 1]
     return np.clip(0.5 * squash(x) + 0.5 * fine, 1e-7, 1 - 1e-7)
 
 
-def learn(edges: Edges, n: np.ndarray, model: Model, rate: float = 1.0, epochs: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def learn(edges: Edges, n: np.ndarray, model: Model, rate: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Weights after these edges, seen online, with how much each was moved by."""
     own = Model(model.classes, model.tables, model.weights.copy(), model.side.copy(), model.refined)
     seen, seen_side = np.zeros(GATES), np.zeros(SIDE_GATES)
+    # The predictions do not depend on the weights, so they are made once.
+    seen_bits = list(bits_of(edges, n, own, True))
     for epoch in range(epochs):
-        for _, c, use, bits in bits_of(edges, n, own, True):
+        for _, c, use, bits in seen_bits:
             # Edges of a prefix are seen together, frequent bits with their contraries.
             for at in range(0, len(use), BATCH):
                 part = slice(at, at + BATCH)
@@ -326,7 +335,7 @@ def _learned(words: DataFrame, classes: int) -> tuple[Model, int, int]:
     context = words.sparkSession.sparkContext
 
     def tables_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((3, classes, SLOTS, 2))
+        tables = np.zeros((_CONTEXTS, classes, SLOTS, 2))
         tokens = distinct = 0
         for own, counts in _parts(stream):
             trained = np.flatnonzero(counts.sum(axis=1))
@@ -336,7 +345,7 @@ def _learned(words: DataFrame, classes: int) -> tuple[Model, int, int]:
                 edges = edges_of([own[i] for i in some])
                 count_tables(edges, counts_of_edges(edges, counts[some]), tables)
         yield _row(chunk=-1, tokens=tokens, distinct=distinct, cell=b"")
-        for chunk, values in enumerate(tables.reshape(3 * classes, -1)):
+        for chunk, values in enumerate(tables.reshape(_CONTEXTS * classes, -1)):
             at = np.flatnonzero(values)
             if len(at):
                 yield _row(chunk=chunk, tokens=0, distinct=0, cell=ws.pack([at, *_halves(values[at, None])]))
@@ -351,9 +360,9 @@ def _learned(words: DataFrame, classes: int) -> tuple[Model, int, int]:
 
     counted = cut(words.mapInArrow(tables_of, "chunk long, tokens long, distinct long, cell binary"))
     sums = counted.where("chunk < 0").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    model = Model(classes, np.zeros((3, classes, SLOTS, 2), dtype=np.float32))
-    flat = model.tables.reshape(3 * classes, -1)
-    # 3 * classes rows of SLOTS * 16 bytes at most.
+    model = Model(classes, np.zeros((_CONTEXTS, classes, SLOTS, 2), dtype=np.float32))
+    flat = model.tables.reshape(_CONTEXTS * classes, -1)
+    # _CONTEXTS * classes rows of SLOTS * 16 bytes at most.
     for row in counted.where("chunk >= 0").groupBy("chunk").applyInArrow(add_up, "chunk long, cell binary").collect():
         (at, *halves), _ = ws.unpack(bytes(row["cell"]))
         flat[row["chunk"], at] = _whole(halves)[:, 0]
