@@ -1,12 +1,14 @@
 """A language model of logistic context mixing, with scores per document.
 
-The model spells each token (a word in lower case, then a space; the end of a text is a space alone)
+A text's probability is the mean of two models'. One reads the running text, with contexts that
+cross words and weights that move while it scores (see ``running``). The other knows words without
+their order: it spells each token (a word in lower case, then a space; the end of a text is a space alone)
 bit by bit. Several hashed contexts predict each bit: the word so far, the word so far whatever the
 class of the text, and its last four, three, two and one bytes. Their predictions are stretched and summed
 with weights that two gates choose (how often the first and the third context have been seen), and
 the sum is refined by an adaptive map from what came out for such a sum in training. A text's class
-(``label``: its language) is not known when it is scored: the probability of a text is the mean of
-its probabilities under each class, weighted by how frequent the class was.
+(``label``: its language) is not known when it is scored: the probability of a text's words is the
+mean of their probabilities under each class, weighted by how frequent the class was.
 
 What is learned covers all training rows. Distinct words meet by the hash of their first bytes (see
 ``wordshuffle``), so all words that share more than ``LOCAL`` bytes are in one task, which counts the
@@ -16,7 +18,8 @@ the last bytes are counted in hashed tables of ``SLOTS`` slots, which bound what
 over the parts; the map is counted in one more pass. In both, each bit is predicted from the counts
 without its own occurrence, as a held-out text would see it.
 
-Passes: words are counted and kept in the shared folder once; tables, weights and the map read that.
+Passes: the running text is counted in one and scored in another, together with the words, which
+are counted and kept in the shared folder once; their tables, weights and map read that.
 
 Cases: a null or empty text is its end alone; without training rows every count is zero and the model
 is uniform over bytes; rows with a null key are training rows; a null or infrequent label counts for
@@ -36,8 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cueloom.llm import running
 from cueloom.llm import wordshuffle as ws
-from cueloom.llm.common import cut
+from cueloom.llm.common import cut, small_batches
 
 #: Classes that have counts of their own; the others share one.
 CLASSES = 6
@@ -427,6 +431,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
     for k, name in reversed(list(enumerate(names))):
         number = F.when(F.col("kind") == name, F.lit(k)).otherwise(number)
     x = x.withColumn("kind", F.coalesce(number, F.lit(n_classes - 1))).select("key", "held", "kind", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    small_batches(docs.sparkSession)
+    odds = running.send(x, running.train(x.where("NOT held")))
+    x = running.with_logs(x, odds).select("key", "held", "kind", "size", "run", "text")
 
     def block() -> ws.Block:
         return ws.Block(tokens_of, lambda word: [word], null=b"")
@@ -441,6 +448,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
     cells = ws.by_part(ws.to_cells(x, block, columns, block_chars, part_of=lambda word: zlib.crc32(word[:LOCAL])))
     arrow = ws.row_types_of(cells)
     merged = cut(cells.groupBy("part").applyInArrow(lambda group: _merge(group, arrow), cells.schema))
+    odds.unpersist()
     model, tokens, distinct = _learned(merged.where("block = -1").select("cell"), n_classes)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -471,7 +479,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
         starts = ws.spans(sizes)[:-1]  # no document is without tokens: it has an end
         count = _whole(found[:2])[:, 0]
         base = np.add.reduceat(np.log10(count + 1)[word], starts) - sizes * math.log10(tokens + distinct + 1)
-        sums = np.stack([np.add.reduceat(c.view(np.float32).astype(np.float64)[word], starts) for c in found[2:]], axis=1) + np.log(prior)
+        sums = np.stack([np.add.reduceat(c.view(np.float32).astype(np.float64)[word], starts) for c in found[2:]], axis=1) + np.log(prior / 2)
+        sums = np.column_stack([sums, rows.field(4).to_numpy(zero_copy_only=False) + math.log(0.5)])
         most = sums.max(axis=1)
         log = most + np.log(np.exp(sums - most[:, None]).sum(axis=1))
         return pa.table([rows.field(0), rows.field(1), pa.array(sizes), pa.array(np.add.reduceat((count > 0)[word].astype(np.int64), starts)), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(log / math.log(10)), pa.array(-log / math.log(2) / np.maximum(1, rows.field(3).to_numpy(zero_copy_only=False)))], names=schema.names)

@@ -1,0 +1,219 @@
+"""A byte model of the running text: hashed contexts that cross words, mixed online.
+
+Each bit of a text (words in lower case, each with a space, then the end) is predicted from the last
+1, 2, 3 and 5 bytes whatever words they are of, from the previous word with the word so far, and from
+what followed the last five bytes when the text itself had them before. The inputs are summed with
+weights that a gate chooses (how many contexts training has seen, and whether the text repeats
+itself), and the sum is refined by an adaptive map. Weights, map and repeats are the text's own: they
+start alike for every text and are updated while it is scored, after each ``STEP`` bytes.
+
+Contexts are counted over all training rows, in tables of ``SLOTS`` slots each, of which the log odds
+are broadcast (2 * SLOTS * 5 bytes, less what packing saves). Texts are scored together, each from its own start.
+"""
+
+from __future__ import annotations
+
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+ORDERS = (1, 2, 3, 5)
+CONTEXTS, INPUTS = len(ORDERS) + 1, len(ORDERS) + 2
+SLOTS, CHUNK = 1 << 20, 1 << 17
+GATES, BUCKETS = 2 * (CONTEXTS + 1), 16
+PRIOR, RATE = 0.4, 0.05
+#: Bytes after which a text's weights are moved, and of the texts worked on at once.
+STEP, AT_ONCE = 32, 1 << 19
+_R = np.uint64(0x9E3779B97F4A7C15)
+_R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
+
+def spelled(text: bytes) -> bytes:
+    return b"".join(w + b" " for w in text.lower().split()) + b" "
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * _R
+    return x ^ (x >> np.uint64(29))
+
+
+def contexts_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of spelled texts, the start of each text, (contexts, bytes) hashes of what stands
+    before each byte, and the byte that followed the same five bytes in the text before (-1: none)."""
+    lengths = np.array([len(t) for t in texts])
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    data, n = raw.astype(np.uint64), len(raw)
+    at = np.arange(n)
+    depth = at - np.repeat(starts[:-1], lengths)
+    out = np.empty((CONTEXTS, n), dtype=np.uint64)
+    last = np.zeros(n, dtype=np.uint64)
+    for back in range(1, max(ORDERS) + 1):
+        last[back:] |= np.where(depth[back:] >= back, data[:-back] << np.uint64(8 * (back - 1)), np.uint64(0))
+        if back in ORDERS:
+            out[ORDERS.index(back)] = _mix(last + np.uint64(back << 48))
+    # Hashes of runs of bytes by differences of a polynomial one.
+    up, down = np.cumprod(np.full(n + 1, _R)), np.cumprod(np.full(n + 1, _R_INVERSE))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    first = depth == 0
+    opens = first.copy()
+    opens[1:] |= raw[:-1] == 32
+    word = np.maximum.accumulate(np.where(opens, at, 0))
+    before = np.where(first[word], word, word[np.maximum(word - 1, 0)])
+    run = lambda a, b: (sums[b] - sums[a]) * down[a]
+    out[-1] = _mix(_mix(run(before, word) + np.uint64(7)) + run(word, at))
+    key = (np.repeat(np.arange(len(texts)), lengths).astype(np.uint64) << np.uint64(40)) | last
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero((key[order[1:]] == key[order[:-1]]) & (depth[order[1:]] >= 5) & (depth[order[:-1]] >= 5))
+    repeats = np.full(n, -1)
+    repeats[order[again + 1]] = raw[order[again]]
+    return raw, starts, out, repeats
+
+
+def slots_of(raw: np.ndarray, contexts: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(bit, context, slots, own bits) for the 8 bits of the bytes and each context."""
+    for half in (0, 1):
+        nibble = (raw >> 4 if not half else raw & 15).astype(np.uint32)
+        for k in range(CONTEXTS):
+            seed = contexts[k] if not half else contexts[k] + ((raw >> 4).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
+            base = (_mix(seed) >> np.uint64(20)).astype(np.uint32)
+            for j in range(4):
+                node = np.uint32(1 << j) | (nibble >> np.uint32(4 - j))
+                yield 4 * half + j, k, (base + node * np.uint32(0x9E3779B1)) & np.uint32(SLOTS - 1), (nibble >> np.uint32(3 - j)) & np.uint32(1)
+
+
+def count(texts: list[bytes], tables: np.ndarray) -> None:
+    """Adds what the texts hold to (contexts, 2 * SLOTS) counts."""
+    raw, _, contexts, _ = contexts_of(texts)
+    for _, k, slot, bit in slots_of(raw, contexts):
+        np.add.at(tables[k], 2 * slot + bit, 1)
+
+
+def odds_of(counts: np.ndarray) -> np.ndarray:
+    """Log odds of a 1 in each slot of (2 * slots) counts."""
+    zero, one = counts[::2].astype(np.float64), counts[1::2].astype(np.float64)
+    return np.log((one + PRIOR) / (zero + PRIOR)).astype(np.float16)
+
+
+def logs_of(texts: list[bytes], odds: np.ndarray) -> np.ndarray:
+    """Natural logarithms of the probability of each byte of spelled texts, text after text."""
+    raw, starts, contexts, repeats = contexts_of(texts)
+    n = len(raw)
+    inputs = np.zeros((INPUTS, 8, n), dtype=np.float32)
+    gate = np.zeros((8, n), dtype=np.int8)
+    # Inputs say how likely the own bit is, so a positive sum is a bit foreseen.
+    for j, k, slot, bit in slots_of(raw, contexts):
+        found = odds[k].take(slot).astype(np.float32)
+        gate[j] += found != 0
+        np.negative(found, out=found, where=bit == 0)
+        inputs[k, j] = found
+    on = np.flatnonzero(repeats >= 0)
+    for j in range(8):
+        differ = repeats[on] ^ raw[on]
+        own = on[differ >> (8 - j) == 0]
+        inputs[-1, j, own] = np.where((differ[differ >> (8 - j) == 0] >> (7 - j)) & 1, -1.0, 1.0)
+        gate[j, own] += CONTEXTS + 1
+    out = np.zeros(n)
+    lengths = np.diff(starts)
+    order = np.argsort(-lengths, kind="stable")
+    # Weights as (input, text and gate), and what they were moved by.
+    start = np.zeros((INPUTS, GATES), dtype=np.float32)
+    start[:-1] = 1.1 / np.maximum(1, np.arange(GATES) % (CONTEXTS + 1))
+    start[-1, CONTEXTS + 1 :] = 1.0
+    weights = np.tile(start, len(texts))
+    moved = np.ones_like(weights)
+    shift, shifted = np.zeros(len(texts) * BUCKETS, dtype=np.float32), np.ones(len(texts) * BUCKETS, dtype=np.float32)
+
+    def move(values: np.ndarray, tally: np.ndarray, up: np.ndarray) -> None:
+        up = up.astype(np.float32)
+        tally += up * up
+        values += np.float32(RATE) * up / np.sqrt(tally)
+
+    for step in range(-(-int(lengths.max(initial=0)) // STEP)):
+        # Texts stand by length, so those that go on are the first of the state.
+        active = int(np.searchsorted(-lengths[order], -step * STEP, side="left"))
+        own = order[:active]
+        at = starts[own][:, None] + step * STEP + np.arange(STEP)
+        valid = at < starts[own + 1][:, None]
+        text = np.broadcast_to(np.arange(active, dtype=np.int64)[:, None], at.shape)[valid]
+        at = at[valid]
+        x = inputs.take(at, axis=2).reshape(INPUTS, -1)
+        place = (text * GATES + gate.take(at, axis=1)).ravel()
+        mixed = np.zeros(len(place), dtype=np.float32)
+        for i in range(INPUTS):
+            mixed += weights[i].take(place) * x[i]
+        # The map is odd: a bit and its contrary add up to one.
+        bucket = np.minimum(np.abs(mixed) * 2, BUCKETS - 1).astype(np.int64) + np.tile(text * BUCKETS, 8)
+        sign = np.sign(mixed)
+        p = 1 / (1 + np.exp(-np.clip(mixed + sign * shift.take(bucket), -14, 14)))
+        out[at] = np.log(p).reshape(8, -1).sum(axis=0, dtype=np.float64)
+        error = (1 - p).astype(np.float32)
+        for i in range(INPUTS):
+            move(weights[i, : active * GATES], moved[i, : active * GATES], np.bincount(place, weights=error * x[i], minlength=active * GATES))
+        move(shift[: active * BUCKETS], shifted[: active * BUCKETS], np.bincount(bucket, weights=error * sign, minlength=active * BUCKETS))
+    return out
+
+
+def _together(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def train(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """(contexts, SLOTS) log odds from all rows of ``docs``, whose text is binary."""
+    def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = np.zeros((CONTEXTS, 2 * SLOTS), dtype=np.int64)
+        for some in _together(spelled(t or b"") for batch in stream for t in batch.column(0).to_pylist()):
+            count(some, tables)
+        for chunk, values in enumerate(tables.reshape(-1, 2 * CHUNK)):
+            if values.any():
+                wide = int(values.max() >= 1 << 32)
+                cell = bytes([wide]) + zlib.compress(values.astype("<u8" if wide else "<u4").tobytes(), 1)
+                yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk]), "cell": pa.array([cell], pa.binary())})
+
+    def add_up(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * CHUNK, dtype=np.int64)
+        for batch in group:
+            for cell in batch.column("cell").to_pylist():
+                total += np.frombuffer(zlib.decompress(cell[1:]), dtype="<u8" if cell[0] else "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array([key[0].as_py()]), "cell": pa.array([odds_of(total).tobytes()], pa.binary())})
+
+    odds = np.zeros((CONTEXTS * SLOTS // CHUNK, CHUNK), dtype=np.float16)
+    cells = docs.select(text).mapInArrow(counted, "chunk long, cell binary")
+    # CONTEXTS * SLOTS * 2 bytes in all.
+    for row in cells.groupBy("chunk").applyInArrow(add_up, "chunk long, cell binary").collect():
+        odds[row["chunk"]] = np.frombuffer(bytes(row["cell"]), dtype=np.float16)
+    return odds.reshape(CONTEXTS, SLOTS)
+
+
+def send(docs: DataFrame, odds: np.ndarray) -> Broadcast[bytes]:
+    return docs.sparkSession.sparkContext.broadcast(zlib.compress(odds.tobytes(), 1))
+
+
+def with_logs(docs: DataFrame, sent: Broadcast[bytes], text: str = "text", name: str = "run") -> DataFrame:
+    """``docs`` with the natural logarithm of each text's probability."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+    at = docs.columns.index(text)
+
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        odds = np.frombuffer(zlib.decompress(sent.value), dtype=np.float16).reshape(CONTEXTS, SLOTS)
+        for batch in stream:
+            found = []
+            for some in _together(spelled(t or b"") for t in batch.column(at).to_pylist()):
+                ends = np.cumsum([len(t) for t in some])
+                found.append(np.add.reduceat(logs_of(some, odds), np.concatenate([[0], ends[:-1]])))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found) if found else np.zeros(0))], names=schema.names)
+
+    return docs.mapInArrow(work, schema)

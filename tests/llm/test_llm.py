@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from cueloom.llm import bpe, components, decontam, embeddup, html, langid, mixing, sharding, simhash, tokencount, warc
+from cueloom.llm import bpe, components, decontam, embeddup, html, langid, mixing, running, sharding, simhash, tokencount, warc
 from cueloom.llm import wordshuffle as ws
 from cueloom.llm.common import scratch_path
 
@@ -188,6 +188,36 @@ def test_lm_is_a_probability():
     assert np.exp(logs[at_start]).sum(axis=0) == pytest.approx([1, 1], abs=1e-4)
 
 
+def test_lm_reads_the_running_text(spark):
+    rng = np.random.default_rng(50)
+    follows = rng.permutation(60)
+
+    def walk(n):
+        out = [int(rng.integers(60))]
+        while len(out) < n:
+            out.append(int(follows[out[-1]] if rng.random() < 0.9 else rng.integers(60)))
+        return [f"{'abcdefghij'[k % 10]}{'klmnop'[k // 10]}{k}" for k in out]
+
+    train, held = [walk(60) for _ in range(60)], [walk(60) for _ in range(10)]
+    mixed = [list(rng.permutation(words)) for words in held]
+    x = docs(spark, [" ".join(words) for words in train + held + mixed]).withColumn("held_out", F.col("doc_id") >= 60)
+    score = {r.doc_id: r.score for r in mixing.score(x, block_chars=500).collect()}
+    ordered, shuffled = (sum(score[k] for k in range(a, a + 10)) for a in (60, 70))
+    assert ordered > 0.8 * shuffled  # the same words
+
+
+def test_running_text_is_a_probability():
+    tables = np.zeros((running.CONTEXTS, 2 * running.SLOTS), dtype=np.int64)
+    running.count([running.spelled(b"the cat sat on the mat"), running.spelled("über\x00".encode())], tables)
+    odds = np.stack([running.odds_of(t) for t in tables])
+    for before in (b"", b"the c", b"the cat the cat the cat the c" * 3):
+        last = running.logs_of([before + bytes([b]) for b in range(256)], odds).reshape(256, -1)[:, -1]
+        assert np.exp(last).sum() == pytest.approx(1, abs=1e-4)
+    texts = [b"the cat sat ", b"x", b"the mat " * 30]
+    together = running.logs_of(texts, odds)
+    assert together == pytest.approx(np.concatenate([running.logs_of([t], odds) for t in texts]), abs=1e-4)
+
+
 # 6
 
 
