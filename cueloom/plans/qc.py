@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cueloom.config import QCConfig
@@ -184,13 +184,26 @@ def number_loss(cues: DataFrame, source: str = "en") -> DataFrame:
 
 
 def terminology(cues: DataFrame, glossary: DataFrame, source: str = "en") -> DataFrame:
-    """Glossary terms left in their own language: the source term in other cues, the target term in
-    source cues. A term is looked up by its first word, so cues meet only terms they may contain."""
-    word = lambda text: F.explode(F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+")))
-    first = lambda text: F.split(F.lower(text), r"[^\p{L}\p{N}]+")[0]
-    terms = glossary.select(F.col("source").alias("term"), F.lit(True).alias("of_source"), first(F.col("source")).alias("w")).unionByName(glossary.select(F.col("target").alias("term"), F.lit(False).alias("of_source"), first(F.col("target")).alias("w"))).where("w <> ''")
-    x = cues.withColumn("w", word(F.col("text"))).join(terms, "w").where(F.lower("text").contains(F.lower("term")))
-    return x.where((F.col("lang") != source) == F.col("of_source")).select("media_id", "lang", "cue_no", "term").distinct()
+    """Glossary terms left in their own language, as substrings in any case with line breaks as spaces:
+    the source term in other cues, the target term in source cues. A term is looked up by that of its
+    three-character pieces (itself, if shorter) that the fewest cues have; empty terms are left out."""
+    flat = lambda text: F.lower(F.regexp_replace(text, "\n", " "))
+
+    def pieces(text: Column, *sizes: int) -> Column:
+        of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substring(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(*map(of, sizes)))
+
+    side = lambda name, of_source: glossary.select(F.col(name).alias("term"), F.lower(name).alias("t"), F.lit(of_source).alias("of_source"))
+    terms = side("source", True).unionByName(side("target", False)).where("t <> ''").distinct()
+    own = F.when(F.length("t") < 3, F.array("t")).otherwise(pieces(F.col("t"), 3))
+    x = cues.withColumn("flat", flat(F.col("text"))).withColumn("of_source", F.col("lang") != source)
+    met = x.select("of_source", F.explode(pieces(F.col("flat"), 1, 2, 3)).alias("piece"))
+    # A term with a piece that no cue has is in no cue.
+    held = met.groupBy("of_source", "piece").agg(F.count(F.lit(1)).alias("n"))
+    rare = terms.select("term", "t", "of_source", F.size(own).alias("pieces"), F.explode(own).alias("piece")).join(held, ["of_source", "piece"])
+    rare = rare.groupBy("term", "t", "of_source", "pieces").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "piece"))["piece"].alias("piece")).where("found = pieces")
+    x = x.withColumn("piece", F.explode(pieces(F.col("flat"), 1, 2, 3))).join(rare, ["of_source", "piece"]).where(F.col("flat").contains(F.col("t")))
+    return x.select("media_id", "lang", "cue_no", "term").distinct()
 
 
 def shots(cues: DataFrame, cuts: DataFrame) -> DataFrame:

@@ -319,7 +319,11 @@ def _(s, d):
     glossary = A.table(s, d, "part").where("p_partkey <= 50").select(F.col("p_name").alias("source"), F.lit("").alias("target"))
     found = A.words(s, d).where((F.col("word_no") % 50 == 0) & F.col("text").rlike("^[a-z]{6,}$")).select(F.lit("").alias("source"), F.col("text").alias("target")).distinct()
     glossary = glossary.unionByName(found)
-    return qc.terminology(A.bilingual_cues(s, d), glossary)
+    # Its SQL takes only hits whose first word is a word of the cue.
+    words = lambda text: F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    x = A.bilingual_cues(s, d)
+    met = qc.terminology(x, glossary).join(x.select("media_id", "lang", "cue_no", "text"), ["media_id", "lang", "cue_no"])
+    return met.where(F.array_contains(words("text"), words("term")[0])).select("media_id", "lang", "cue_no", "term").distinct()
 
 
 @query("shot_changes", """, cuts AS (SELECT DISTINCT user_id AS media_id, (epoch_us(ts) // 1000) % 60000 AS cut_ms FROM events)

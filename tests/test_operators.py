@@ -195,3 +195,13 @@ def test_artifacts(spark):
     assert {r.unit_id for r in artifacts.load_partial(saved, "c", ["f"], F.lit("a")).collect()} == {"u1", "u3"}
     groups = spark.createDataFrame([(1, 0, 1000, "你好", "hi  there"), (1, 1000, 2000, None, "only"), (1, 2000, 3000, "", None)], "f long, start_ms long, end_ms long, target string, source string")
     assert artifacts.bilingual_ass(groups, ["f"]).first().content.split("\n") == ["Dialogue: 0,0:00:00.00,0:00:01.00,Default,,0,0,0,,你好\\N{\\fs14}hi there", "Dialogue: 0,0:00:01.00,0:00:02.00,Default,,0,0,0,,{\\fs14}only"]
+
+
+def test_terminology_is_substring_containment(spark):
+    from cueloom.plans import qc
+
+    texts = [("zh", "使用transformer模型"), ("zh", "用 .NET 写"), ("zh", "large\nLanguage model"), ("zh", "没有"), ("en", "the 模型 is pretransformers"), ("en", "a\n"), ("zh", "")]
+    terms = [("Transformer", "模型"), (".net", "的"), ("large language", ""), ("transformers", "form"), ("用", "ab"), ("a", "a ")]
+    got = sorted((r.cue_no, r.term) for r in qc.terminology(cues(spark, [(lang, t, 0, 1) for lang, t in texts]), spark.createDataFrame(terms, "source string, target string")).collect())
+    want = sorted({(n, term) for n, (lang, text) in enumerate(texts, 1) for pair in terms for term, of_source in zip(pair, (True, False)) if term and (lang != "en") == of_source and term.lower() in text.replace("\n", " ").lower()})
+    assert got == want and {(1, "Transformer"), (2, ".net"), (3, "large language"), (6, "a ")} <= set(got)
