@@ -326,6 +326,18 @@ def _(s, d):
     return met.where(F.array_contains(words("text"), words("term")[0])).select("media_id", "lang", "cue_no", "term").distinct()
 
 
+def _whole_glossary(s: SparkSession, d: str) -> DataFrame:
+    """All parts' names, and all distinct words on the target side."""
+    parts = A.table(s, d, "part").select(F.col("p_name").alias("source"), F.lit("").alias("target"))
+    return parts.unionByName(A.words(s, d).select(F.lit("").alias("source"), F.col("text").alias("target")).distinct())
+
+
+@query("terminology_leaks", """, g AS (SELECT p_name AS term, true AS of_source FROM part UNION SELECT text, false FROM words)
+SELECT DISTINCT media_id, lang, cue_no, term FROM bilingual c JOIN g ON (c.lang <> 'en') = of_source AND term <> '' AND contains(lower(replace(c.text, chr(10), ' ')), lower(term))""")
+def _(s, d):
+    return qc.terminology(A.bilingual_cues(s, d), _whole_glossary(s, d))
+
+
 @query("shot_changes", """, cuts AS (SELECT DISTINCT user_id AS media_id, (epoch_us(ts) // 1000) % 60000 AS cut_ms FROM events)
 SELECT c.media_id, lang, cue_no, min(cut_ms) AS cut_ms FROM cues c JOIN cuts k ON c.media_id = k.media_id AND cut_ms > start_ms AND cut_ms < end_ms GROUP BY ALL""")
 def _(s, d):
