@@ -617,6 +617,18 @@ def _(s, d):
     return folds.layout(A.rule_cues(s, d))
 
 
+@query("redistribute_word_timing", """, w AS (SELECT media_id, turn, array_agg(start_ms ORDER BY word_no)[1:1] || array_agg(end_ms ORDER BY word_no) AS b,
+    array_agg(speaker ORDER BY word_no) AS sp, sum((word_no * 7919) % 100)::DOUBLE / 100 / count(*) AS c, count(*) AS n FROM words GROUP BY ALL
+), t AS (SELECT *, n + 1 AS m, unnest(range(n + 1)) AS k FROM w)
+SELECT media_id, turn, k, (b[k * n // m + 1] * (m - k * n % m) + b[k * n // m + 2] * (k * n % m))::DOUBLE / m AS start_ms,
+  CASE WHEN k + 1 = m THEN b[n + 1] ELSE (b[(k + 1) * n // m + 1] * (m - (k + 1) * n % m) + b[(k + 1) * n // m + 2] * ((k + 1) * n % m))::DOUBLE / m END AS end_ms,
+  round(c, 9) AS confidence, sp[k * n // m + 1] AS speaker FROM t""")
+def _(s, d):
+    w = A.words(s, d)
+    counts = w.groupBy("media_id", "turn").agg((F.count(F.lit(1)) + 1).alias("m"))
+    return folds.redistribute_timing(w, counts).withColumn("confidence", F.round("confidence", 9))
+
+
 @query("redistribute_timing", """, w AS (SELECT media_id, turn, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM words GROUP BY ALL)
 SELECT media_id, turn, k, s + (e - s) * k // (n + 1) AS start_ms, s + (e - s) * (k + 1) // (n + 1) AS end_ms FROM w, unnest(range(n + 1)) AS t(k)""")
 def _(s, d):

@@ -205,3 +205,14 @@ def test_terminology_is_substring_containment(spark):
     got = sorted((r.cue_no, r.term) for r in qc.terminology(cues(spark, [(lang, t, 0, 1) for lang, t in texts]), spark.createDataFrame(terms, "source string, target string")).collect())
     want = sorted({(n, term) for n, (lang, text) in enumerate(texts, 1) for pair in terms for term, of_source in zip(pair, (True, False)) if term and (lang != "en") == of_source and term.lower() in text.replace("\n", " ").lower()})
     assert got == want and {(1, "Transformer"), (2, ".net"), (3, "large language"), (6, "a ")} <= set(got)
+
+
+def test_redistributed_times_follow_the_words(spark):
+    spec = [("a", 100, 120, "x"), ("b", 900, 1000, "x"), ("c", 1700, 1940, "y")]
+    for m in (1, 2, 3, 4, 7):
+        counts = spark.createDataFrame([(1, 0, m)], "media_id long, turn long, m long")
+        got = folds.redistribute_timing(words(spark, spec), counts).orderBy("k").collect()
+        bounds = [100] + [e for _, _, e, _ in spec]
+        at = [100.0] + [bounds[k * 3 // m] * (1 - k * 3 / m % 1) + bounds[k * 3 // m + 1] * (k * 3 / m % 1) for k in range(1, m)] + [1940.0]
+        assert [round(r.start_ms, 6) for r in got] == [round(t, 6) for t in at[:-1]] and [round(r.end_ms, 6) for r in got] == [round(t, 6) for t in at[1:]]
+        assert [r.speaker for r in got] == [spec[k * 3 // m][3] for k in range(m)] and {round(r.confidence, 9) for r in got} == {0.9}
