@@ -202,7 +202,10 @@ def terminology(cues: DataFrame, glossary: DataFrame, source: str = "en") -> Dat
     held = met.groupBy("of_source", "piece").agg(F.count(F.lit(1)).alias("n"))
     rare = terms.select("term", "t", "of_source", F.size(own).alias("pieces"), F.explode(own).alias("piece")).join(held, ["of_source", "piece"])
     rare = rare.groupBy("term", "t", "of_source", "pieces").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "piece"))["piece"].alias("piece")).where("found = pieces")
-    x = x.withColumn("piece", F.explode(pieces(F.col("flat"), 1, 2, 3))).join(rare, ["of_source", "piece"]).where(F.col("flat").contains(F.col("t")))
+    # Pieces meet terms without the texts, which are many times as long.
+    key = ["media_id", "lang", "cue_no"]
+    able = x.select(*key, "of_source", F.explode(pieces(F.col("flat"), 1, 2, 3)).alias("piece")).join(rare, ["of_source", "piece"]).select(*key, "term", "t")
+    x = x.select(*key, "flat").join(able, key).where(F.col("flat").contains(F.col("t")))
     return x.select("media_id", "lang", "cue_no", "term").distinct()
 
 
