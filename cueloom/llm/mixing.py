@@ -1,60 +1,64 @@
-"""A language model of logistic context mixing, with scores per document.
-
-A text's probability is the mean of two models'. One reads the running text, with contexts that
-cross words and weights that move while it scores (see ``running``). The other knows words without
-their order: it spells each token (a word in lower case, then a space; the end of a text is a space alone)
-bit by bit. Several hashed contexts predict each bit: the word so far, the word so far whatever the
-class of the text, and its last four, three, two and one bytes. Their predictions are stretched and summed
-with weights that two gates choose (how often the first and the third context have been seen), and
-the sum is refined by an adaptive map from what came out for such a sum in training. A text's class
-(``label``: its language) is not known when it is scored: the probability of a text's words is the
-mean of their probabilities under each class, weighted by how frequent the class was.
-
-What is learned covers all training rows. Distinct words meet by the hash of their first bytes (see
-``wordshuffle``), so all words that share more than ``LOCAL`` bytes are in one task, which counts the
-contexts of the word so far exactly, however many words the corpus has. Shorter contexts and those of
-the last bytes are counted in hashed tables of ``SLOTS`` slots, which bound what is broadcast:
-5 * SLOTS * 8 bytes a class. Weights are learned online, word by word within each part, and averaged
-over the parts; the map is counted in one more pass. In both, each bit is predicted from the counts
-without its own occurrence, as a held-out text would see it.
-
-Passes: the running text is counted in one and scored in another, together with the words, which
-are counted and kept in the shared folder once; their tables, weights and map read that.
-
-Cases: a null or empty text is its end alone; without training rows every count is zero and the model
-is uniform over bytes; rows with a null key are training rows; a null or infrequent label counts for
-the class of all others; repeated rows each keep a row; other columns are left out.
+"""A language model of logistic context mixing over the running text, with scores per document.
+
+A text is spelled as its words in lower case, each with a space, then a space for its end. Each byte
+is a few binary decisions along a prefix code (frequent bytes take few). Several hashed contexts
+predict each decision: the last two, four and seven bytes, whatever words they are of, and the word so
+far after the word before it. Their predictions are stretched and summed with weights that a gate chooses
+(how many of the contexts training has seen), and the sum is refined by an adaptive map from what
+came out for such sums. Weights and map are the text's own: they start alike for every text and move
+while it is scored. A step, after which they move, is ``STEP`` bytes at first and grows with the
+place in the text, so a text of any length takes few steps and its score depends on it alone.
+
+What is learned covers all training rows: the code from the counts of single bytes, and for each
+decision in each context how often it went either way, in hashed tables of fixed size (``BITS``; 2
+bytes a slot are broadcast, 27 MB in all, counts beyond 254 are kept as a ratio). The tables do not
+grow with the corpus; what long contexts cannot tell apart any more, shorter ones still predict, and
+the weights follow. A training row is scored from the counts less its own occurrence of each decision,
+as a held-out text would be; a row that occurs twice then still meets the other.
+
+Counts of whole words, which base_score and n_known need, are exact and grow with the corpus: they
+come from the distinct-word shuffle (see ``wordshuffle``).
+
+Cases: a null or empty text is its end alone; without training rows every count is zero and each
+decision even; rows with a null key are training rows; repeated rows each keep a row; other columns
+are left out, whatever their names; long texts are scored in pieces of ``PIECE`` bytes at a time.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-import zlib
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.llm import running
 from cueloom.llm import wordshuffle as ws
 from cueloom.llm.common import cut, small_batches
 
-#: Classes that have counts of their own; the others share one.
-CLASSES = 6
-LOCAL, SLOTS = 3, 1 << 18
-#: Added to both counts of a context.
-PRIOR = 0.1
-GATES, SIDE_GATES, BUCKETS = 20, 64, 33
-#: Edges that the weights are moved by at once.
-BATCH = 8192
 END = b" "
-#: Hashed contexts: the word so far, its last four bytes, last three, last two, last one; and the inputs they make.
-_LAST = (4, 3, 2, 1)
-_CONTEXTS, _INPUTS = 1 + len(_LAST), 2 + len(_LAST)
+#: Bytes of the contexts of bytes; the last context is the word so far after the word before it.
+ORDERS = (2, 4, 7)
+CONTEXTS = len(ORDERS) + 1
+#: Slots of each context's table, as bits.
+BITS = (20, 22, 22, 22)
+CHUNK = 1 << 17
+#: Added to both counts of a context.
+PRIOR, RATE = 0.02, 0.1
+GATES, BUCKETS = CONTEXTS + 1, 24
+#: Bytes of the first steps, steps in each doubling of the place, and the longest step.
+STEP, STEPS, STEP_MOST = 32, 16, 1 << 16
+#: Bytes worked on at once: of texts scored together, and of these in one piece.
+AT_ONCE, PIECE = 1 << 19, 1 << 18
+#: Counts of a state; one in which the larger is ``FULL`` has been scaled down.
+FULL = 255
+_R, _S, _T = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
 def tokens_of(text: bytes) -> list[bytes]:
@@ -62,413 +66,367 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
-@dataclass
-class Model:
-    """What is broadcast. tables: (context, class, slot, bit) counts of the three hashed contexts."""
-
-    classes: int
-    tables: np.ndarray
-    weights: np.ndarray = field(default_factory=lambda: np.tile(np.array([0.5, 0.2, 0.15, 0.05, 0.1, 0.0]), (GATES, 1)))
-    side: np.ndarray = field(default_factory=lambda: np.zeros((SIDE_GATES, _INPUTS)))
-    refined: np.ndarray = field(default_factory=lambda: np.zeros((GATES, BUCKETS, 2)))
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+def spelled(text: bytes) -> bytes:
+    return b"".join(w + b" " for w in text.lower().split()) + b" "
 
 
 @dataclass
-class Edges:
-    """Distinct (prefix, next byte) pairs of some words."""
-
-    depth: np.ndarray  # bytes of the prefix
-    byte: np.ndarray
-    prefix: np.ndarray  # number of the prefix
-    contexts: np.ndarray  # (contexts, edges) hashes
-    of_word: np.ndarray  # edges of the words, word after word
-    lengths: np.ndarray  # edges of each word
-
-
-def edges_of(words: list[bytes]) -> Edges:
-    spelled = [w if w == END else w + END for w in words]
-    lengths = np.array([len(w) for w in spelled])
-    starts = ws.spans(lengths)
-    data = np.frombuffer(b"".join(spelled), dtype=np.uint8).astype(np.uint64)
-    depth = np.arange(starts[-1]) - np.repeat(starts[:-1], lengths)
-    # Hashes of what stands before each byte: of the whole word so far, by depth.
-    whole = np.zeros(len(data), dtype=np.uint64)
-    order = np.argsort(depth, kind="stable")
-    cuts = np.searchsorted(depth[order], np.arange(1, int(lengths.max(initial=0)) + 1))
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        at = order[a:b]
-        whole[at] = _mix(whole[at - 1] + data[at - 1] + np.uint64(1))
-    last = {size: np.zeros(len(data), dtype=np.uint64) for size in _LAST}
-    for back in range(1, max(_LAST) + 1):
-        seen = np.flatnonzero(depth >= back)
-        for size in _LAST:
-            if back <= size:
-                last[size][seen] |= data[seen - back] << np.uint64(8 * (back - 1))
-    _, first, inverse = np.unique(_mix(whole + data * np.uint64(0x2545F4914F6CDD1D)), return_index=True, return_inverse=True)
-    # Edges of a prefix stand together, by byte.
-    order = np.lexsort((data[first], whole[first]))
-    number = np.empty(len(order), dtype=np.int64)
-    number[order] = np.arange(len(order))
-    first, inverse = first[order], number[inverse]
-    _, prefix = np.unique(whole[first], return_inverse=True)
-    contexts = np.stack([_mix(whole[first] + np.uint64(1)), *(_mix(last[size][first] + np.uint64((1 + size) << 40)) for size in _LAST)])
-    return Edges(depth[first], data[first].astype(np.int64), prefix, contexts, inverse, lengths)
-
-
-def slots(contexts: np.ndarray, partial: np.ndarray) -> np.ndarray:
-    """Slots of contexts together with the bits of the byte so far."""
-    return (_mix(contexts + partial.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(20)).astype(np.int64) & (SLOTS - 1)
-
-
-def counts_of_edges(edges: Edges, counts: np.ndarray) -> np.ndarray:
-    """(edges, classes) occurrences of each edge, given (words, classes)."""
-    out = np.empty((len(edges.depth), counts.shape[1]))
-    for c in range(counts.shape[1]):
-        out[:, c] = np.bincount(edges.of_word, weights=np.repeat(counts[:, c], edges.lengths), minlength=len(edges.depth))
-    return out
-
-
-def count_tables(edges: Edges, n: np.ndarray, tables: np.ndarray) -> None:
-    """Adds the occurrences ``n`` of edges to the hashed tables."""
-    flat = tables.reshape(_CONTEXTS, n.shape[1], 2 * SLOTS)
-    short = edges.depth < LOCAL
-    for j in range(8):
-        partial, bit = (1 << j) | (edges.byte >> (8 - j)), (edges.byte >> (7 - j)) & 1
-        for context in range(_CONTEXTS):
-            at = 2 * slots(edges.contexts[context], partial) + bit
-            for c in range(n.shape[1]):
-                use = np.flatnonzero((n[:, c] > 0) & short) if context == 0 else np.flatnonzero(n[:, c])
-                np.add.at(flat[context, c], at[use], n[use, c])
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+class Code:
+    """A prefix code of bytes: the decisions of byte b are lengths[b] entries of node and bit from starts[b]."""
+
+    lengths: np.ndarray
+    starts: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+
+    @staticmethod
+    def of(counts: list[int]) -> Code:
+        """Huffman's code. Nodes are numbered from the most frequent, which stand close in a table."""
+        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+        heapq.heapify(heap)
+        children, weight = {}, {}
+        for name in range(256, 511):
+            (m, _, a), (n, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+            children[name], weight[name] = (a, b), m + n
+            heapq.heappush(heap, (m + n, name, name))
+        number = {name: k for k, name in enumerate(sorted(children, key=lambda x: (-weight[x], -x)))}
+        paths: dict[int, tuple] = {}
+        todo = [(510, ())]
+        while todo:
+            name, path = todo.pop()
+            if name < 256:
+                paths[name] = path
+            else:
+                todo += [(child, (*path, (number[name], bit))) for bit, child in enumerate(children[name])]
+        lengths = np.array([len(paths[b]) for b in range(256)])
+        flat = np.array([step for b in range(256) for step in paths[b]], dtype=np.uint32)
+        return Code(lengths, ws.spans(lengths)[:-1], flat[:, 0], flat[:, 1])
+
+    def decisions(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many decisions each byte takes, and the node and the outcome of each."""
+        n = self.lengths[raw]
+        at = ws.gather_runs(self.starts[raw], n)
+        return n, self.node[at], self.bit[at]
+
+
+def _hash(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
+    x = (x + np.uint64(salt)) * _R
+    x ^= x >> np.uint64(29)
+    x *= _S
+    return (x >> np.uint64(64 - bits)).astype(np.uint32)
+
+
+def contexts_of(raw: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The slot of each context before each byte of some texts, and each byte's place in its text."""
+    n, starts = len(raw), ws.spans(lengths)[:-1]
+    at = np.arange(n, dtype=np.int64)
+    depth = at - np.repeat(starts, lengths)
+    wide = raw.astype(np.uint64)
+    last = np.zeros(n, dtype=np.uint64)  # the seven bytes before, the nearest lowest
+    for back in range(1, 8):
+        before = np.zeros(n, dtype=np.uint64)
+        before[back:] = wide[:-back]
+        before[depth < back] = 0
+        last |= before << np.uint64(8 * (back - 1))
+    out = [_hash(last & np.uint64((1 << 8 * size) - 1), size << 57, bits) for size, bits in zip(ORDERS, BITS, strict=False)]
+    opens = np.zeros(n, dtype=bool)
+    opens[1:] = raw[:-1] == 32
+    opens[starts] = True
+    first = np.maximum.accumulate(np.where(opens, at, 0))
+    so_far = last & ((np.uint64(1) << (np.uint64(8) * np.minimum(at - first, 7).astype(np.uint64))) - np.uint64(1))
+    so_far ^= (at - first).astype(np.uint64) << np.uint64(56)
+    previous = np.where(depth[first] > 0, so_far[np.maximum(first - 1, 0)], np.uint64(0))
+    out.append(_hash(so_far * _T ^ _R * (previous ^ (previous >> np.uint64(32))), 1, BITS[-1]))
+    return out, depth
+
+
+def count(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> None:
+    """Adds the decisions of spelled texts to each context's (2 * slots) counts."""
+    raw, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
+    contexts, _ = contexts_of(raw, lengths)
+    for at in range(0, len(raw), PIECE):
+        piece = slice(at, at + PIECE)
+        n, node, bit = code.decisions(raw[piece])
+        own = node * np.uint32(2) + bit
+        for table, context in zip(tables, contexts, strict=True):
+            # The nodes of a context stand around its slot.
+            np.add.at(table, (np.repeat(context[piece] << np.uint32(1), n) ^ own).astype(np.int64), table.dtype.type(1))
+
+
+def states_of(counts: np.ndarray) -> np.ndarray:
+    """(2 * slots) counts as two bytes a slot: how often 0, how often 1."""
+    zero, one = counts[::2], counts[1::2]
+    most = np.maximum(np.maximum(zero, one), 1)
+    scale = most >= FULL
+    zero, one = (np.where(scale, -(-x * FULL // most), x) for x in (zero, one))
+    return (one * 256 + zero).astype(np.uint16)
+
+
+def stretched() -> np.ndarray:
+    """For a held-out text's 0 and 1, then a training text's, the log odds of that outcome in each state."""
+    state = np.arange(1 << 16)
+    zero, one = state & 255, state >> 8
+    exact = np.maximum(zero, one) < FULL
+    out = []
+    for training in (0, 1):
+        less = training * exact
+        out.append(np.log((np.maximum(zero - less, 0) + PRIOR) / (one + PRIOR)))
+        out.append(np.log((np.maximum(one - less, 0) + PRIOR) / (zero + PRIOR)))
+    return np.concatenate(out).astype(np.float32)
+
+
+def steps_to(size: int) -> np.ndarray:
+    """Places in a text at which weights move."""
+    out = [0]
+    while out[-1] < size:
+        step = STEP
+        while step < STEP_MOST and step * 2 * STEPS <= out[-1]:
+            step *= 2
+        out.append(out[-1] + step)
+    return np.array(out)
 
 
 @dataclass
-class Bits:
-    """Predictions of one bit of all edges under one class. Inputs say how likely the edge's own bit
-    is, so a positive sum is a bit foreseen."""
+class Model:
+    code: Code
+    tables: list[np.ndarray]  # states of the contexts' slots
+
+    def logs(self, texts: list[bytes], training: list[bool]) -> np.ndarray:
+        """Natural logarithms of the probabilities of spelled texts.
+
+        Texts are worked on together, step by step, each with its own weights and map.
+        """
+        raw, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
+        contexts, depth = contexts_of(raw, lengths)
+        steps = steps_to(int(lengths.max(initial=0)))
+        text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
+        step = (np.searchsorted(steps, depth, side="right") - 1).astype(np.int32)
+        order = np.argsort(step, kind="stable")
+        edges = np.searchsorted(step[order], np.arange(len(steps)))
+        kinds = np.asarray(training, dtype=np.int32) << 17
+        odds = stretched()
+        state = _State(len(texts))
+        done = 0
+        while done < len(steps) - 1:
+            # As many steps as fit into a piece.
+            until = max(done + 1, int(np.searchsorted(edges, edges[done] + PIECE, side="right")) - 1)
+            at = order[edges[done] : edges[until]]
+            n, node, bit = self.code.decisions(raw[at])
+            of = np.repeat(text[at], n)
+            kind = kinds[of] + (bit.astype(np.int32) << 16)
+            inputs = np.empty((CONTEXTS, len(node)), dtype=np.float32)
+            gate = np.zeros(len(node), dtype=np.int32)
+            for k, (table, context) in enumerate(zip(self.tables, contexts, strict=True)):
+                found = table.take(np.repeat(context[at], n) ^ node)
+                odds.take(found + kind, out=inputs[k])
+                gate += inputs[k] != 0
+            cuts = ws.spans(n)[edges[done : until + 1] - edges[done]]
+            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
+                if a < b:
+                    state.step(inputs[:, a:b], of[a:b], gate[a:b])
+            done = until
+        return state.logs
+
+
+class _State:
+    """Weights and maps of some texts, and the logarithms of their probabilities so far."""
+
+    def __init__(self, texts: int) -> None:
+        self.texts, self.logs = texts, np.zeros(texts)
+        # The contexts that training has seen share a sum a little over one.
+        start = np.repeat(1.1 / np.maximum(1, np.arange(GATES)), CONTEXTS).reshape(GATES, CONTEXTS).T
+        self.weights = np.tile(start.astype(np.float32), (1, texts))
+        self.moved = np.ones_like(self.weights)
+        self.shift = np.zeros(texts * BUCKETS, dtype=np.float32)
+        self.shifted = np.ones_like(self.shift)
+
+    def step(self, inputs: np.ndarray, text: np.ndarray, gate: np.ndarray) -> None:
+        # Inputs say how likely the own outcome is, so a positive sum is an outcome foreseen.
+        place = text * np.int32(GATES) + gate
+        mixed = np.zeros(len(text), dtype=np.float32)
+        for w, x in zip(self.weights, inputs, strict=True):
+            mixed += w.take(place) * x
+        # The map is odd: an outcome and its contrary add up to one.
+        bucket = np.minimum(np.abs(mixed) * 2, BUCKETS - 1).astype(np.int32) + text * np.int32(BUCKETS)
+        sign = np.sign(mixed)
+        p = 1 / (1 + np.exp(-np.clip(mixed + sign * self.shift.take(bucket), -14, 14)))
+        self.logs += np.bincount(text, weights=np.log(p), minlength=self.texts)
+        error = 1 - p
+        for w, m, x in zip(self.weights, self.moved, inputs, strict=True):
+            _move(w, m, np.bincount(place, weights=error * x, minlength=len(w)))
+        _move(self.shift, self.shifted, np.bincount(bucket, weights=error * sign, minlength=len(self.shift)))
+
+
+def _move(values: np.ndarray, tally: np.ndarray, up: np.ndarray) -> None:
+    up = up.astype(np.float32)
+    tally += up * up
+    values += np.float32(RATE) * up / np.sqrt(tally)
 
-    inputs: np.ndarray  # (edges, inputs)
-    gate: np.ndarray
-    side: np.ndarray
 
+# What follows spreads the model over the cluster.
 
-def bits_of(edges: Edges, n: np.ndarray, model: Model, leave_out: bool) -> Iterator[tuple[int, int, np.ndarray, Bits]]:
-    """(bit, class, edges, their predictions) for the 8 bits of the edges and each class.
+def _together(texts: Iterator[tuple[bytes, bool]]) -> Iterator[list[tuple[bytes, bool]]]:
+    held, size = [], 0
+    for item in texts:
+        held.append(item)
+        size += len(item[0])
+        if size >= AT_ONCE:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Integers with their low bytes first, then the next bytes, and so on, compressed."""
+    raw = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def _spread(data: bytes, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).reshape(-1)
+
+
+def train(docs: DataFrame, text: str = "text") -> Model:
+    """The model of all rows of ``docs``, whose text is binary: a pass for the code, one for the tables."""
+    def bytes_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(256, dtype=np.int64)
+        for batch in stream:
+            for item in batch.column(0):
+                if item.is_valid:
+                    total += np.bincount(np.frombuffer(spelled(item.as_py()), dtype=np.uint8), minlength=256)
+        yield pa.RecordBatch.from_pydict({"byte": pa.array(range(256), pa.int32()), "n": pa.array(total)})
+
+    found = docs.select(text).mapInArrow(bytes_of, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
+    counts = [0] * 256
+    for row in found:
+        counts[row["byte"]] = row["n"]
+    code = Code.of(counts)
+
+    def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [np.zeros(2 << bits, dtype=np.int64 if bits < 22 else np.int32) for bits in BITS]
+        texts = ((spelled(t or b""), True) for batch in stream for t in batch.column(0).to_pylist())
+        size = 0
+        for some in _together(texts):
+            own = [t for t, _ in some]
+            size += sum(map(len, own))
+            if size > 1 << 27 and tables[-1].dtype == np.int32:  # before 32 bits could run over
+                tables = [t.astype(np.int64) for t in tables]
+            count(own, code, tables)
+        for k, table in enumerate(tables):
+            for chunk, values in enumerate(table.reshape(-1, 2 * CHUNK)):
+                if values.any():
+                    kind = "<i8" if int(values.max()) >= 1 << 31 else "<i4"
+                    cell = kind.encode() + _squeezed(values.astype(kind))
+                    yield pa.RecordBatch.from_pydict({"context": pa.array([k]), "chunk": pa.array([chunk]), "cell": pa.array([cell], pa.binary())})
+
+    def add_up(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * CHUNK, dtype=np.int64)
+        for batch in group:
+            for cell in batch.column("cell").to_pylist():
+                total += _spread(cell[3:], cell[:3].decode())
+        yield pa.RecordBatch.from_pydict({"context": pa.array([key[0].as_py()]), "chunk": pa.array([key[1].as_py()]), "cell": pa.array([_squeezed(states_of(total))], pa.binary())})
+
+    tables = [np.zeros((max(1, (1 << bits) // CHUNK), CHUNK), dtype=np.uint16) for bits in BITS]
+    cells = docs.select(text).mapInArrow(counted, "context long, chunk long, cell binary")
+    # 2 bytes a slot in all, less what packing saves.
+    for row in cells.groupBy("context", "chunk").applyInArrow(add_up, "context long, chunk long, cell binary").toLocalIterator():
+        tables[row["context"]][row["chunk"]] = _spread(bytes(row["cell"]), "<u2")
+    return Model(code, [t.reshape(-1) for t in tables])
+
+
+def send(docs: DataFrame, model: Model) -> Broadcast:
+    return docs.sparkSession.sparkContext.broadcast((model.code, [_squeezed(t) for t in model.tables]))
+
+
+def with_logs(docs: DataFrame, sent: Broadcast, text: str = "text", training: str = "training", name: str = "log") -> DataFrame:
+    """``docs`` with the natural logarithm of each text's probability."""
+    schema = docs.withColumn(name, F.lit(0.0)).schema
+    at, own = docs.columns.index(text), docs.columns.index(training)
 
-    leave_out: only edges that the class has, from counts without one occurrence of the edge.
-    """
-    every = np.arange(len(edges.depth))
-    # The top of the words is not local: its few edges read the tables.
-    short = np.flatnonzero(edges.depth < LOCAL)
-    classes = n.shape[1]
-    less = np.float32(leave_out)
-    for j in range(8):
-        partial, bit = (1 << j) | (edges.byte >> (8 - j)), (edges.byte >> (7 - j)) & 1
-        fresh = np.ones(len(every), dtype=bool)
-        fresh[1:] = (edges.prefix[1:] != edges.prefix[:-1]) | (partial[1:] != partial[:-1])
-        node = np.cumsum(fresh) - 1
-        side_of = 2 * node + bit
-        at = [slots(edges.contexts[0][short], partial[short]), *(slots(edges.contexts[k], partial) for k in range(1, _CONTEXTS))]
-        whole = []
-        for c in range(classes):
-            counts = np.bincount(side_of, weights=n[:, c], minlength=2 * int(node[-1] + 1) if len(node) else 0).astype(np.float32)
-            same, other = counts[side_of], counts[side_of ^ 1]
-            top = model.tables[0, c].reshape(-1)
-            same[short], other[short] = top[2 * at[0] + bit[short]], top[2 * at[0] + 1 - bit[short]]
-            whole.append((same, other))
-        total_same, total_other = sum(w[0] for w in whole), sum(w[1] for w in whole)
-        total = None if leave_out else _odds(total_same, total_other)
-        for c in range(classes):
-            use = np.flatnonzero(n[:, c]) if leave_out else every
-            if not len(use):
-                continue
-            pick = (lambda x: x[use]) if leave_out else (lambda x: x)
-            own_bit = pick(bit)
-            same, other = np.maximum(pick(whole[c][0]) - less, 0), pick(whole[c][1])
-            inputs = np.empty((_INPUTS, len(use)), dtype=np.float32)
-            inputs[0] = _odds(same, other)
-            inputs[1] = _odds(np.maximum(total_same[use] - less, 0), total_other[use]) if leave_out else total
-            for k in range(1, _CONTEXTS):
-                table, place = model.tables[k, c].reshape(-1), 2 * pick(at[k]) + own_bit
-                same2, other2 = np.maximum(table[place] - less, 0), table[place ^ 1]
-                inputs[1 + k] = _odds(same2, other2)
-                if k == 1:
-                    side = (np.minimum(_size(same2 + other2) // 2, 3) * 2 + (np.minimum(same2, other2) == 0)) * 8 + j
-            gate = np.minimum(_size(same + other), GATES // 2 - 1) * 2 + (np.minimum(same, other) == 0)
-            yield j, c, use, Bits(inputs.T, gate, side)
-
-
-def _odds(same: np.ndarray, other: np.ndarray) -> np.ndarray:
-    prior = np.float32(PRIOR)
-    return np.log((same + prior) / (other + prior))
-
-
-def _size(seen: np.ndarray) -> np.ndarray:
-    """Bits of a number of occurrences."""
-    return np.log2(seen + np.float32(1)).astype(np.int64)
-
-
-def mixed(bits: Bits, model: Model) -> np.ndarray:
-    """Stretched probability of each edge's own bit, before refinement."""
-    weights, side = model.weights.astype(np.float32), model.side.astype(np.float32)
-    return np.clip(np.einsum("ij,ij->i", weights[bits.gate] + side[bits.side], bits.inputs), -16, 16)
-
-
-def _buckets(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower bucket of a stretched probability and how far it is on the way to the next."""
-    place = (x + np.float32(16)) * np.float32((BUCKETS - 1) / 32)
-    low = np.minimum(place.astype(np.int64), BUCKETS - 2)
-    return low, place - low
-
-
-def probabilities(bits: Bits, model: Model) -> np.ndarray:
-    """Refined probability of each edge's own bit. The map treats a bit and its contrary alike, so
-    the two probabilities add up to one."""
-    x = mixed(bits, model)
-    low, way = _buckets(x)
-    # Each bucket starts as its own centre, with the weight of a few bits.
-    centre = squash(np.arange(BUCKETS) * 32 / (BUCKETS - 1) - 16)
-    value = ((model.refined[:, :, 1] + 20 * centre) / (model.refined.sum(axis=2) + 20)).astype(np.float32)
-    fine = (1 - way) * value[bits.gate, low] + way * value[bits.gate, low + 1]
-    return np.clip(0.5 * squash(x) + 0.5 * fine, 1e-7, 1 - 1e-7)
-
-
-def learn(edges: Edges, n: np.ndarray, model: Model, rate: float = 1.0, epochs: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Weights after these edges, seen online, with how much each was moved by."""
-    own = Model(model.classes, model.tables, model.weights.copy(), model.side.copy(), model.refined)
-    seen, seen_side = np.zeros(GATES), np.zeros(SIDE_GATES)
-    # The predictions do not depend on the weights, so they are made once.
-    seen_bits = list(bits_of(edges, n, own, True))
-    for epoch in range(epochs):
-        for _, c, use, bits in seen_bits:
-            # Edges of a prefix are seen together, frequent bits with their contraries.
-            for at in range(0, len(use), BATCH):
-                part = slice(at, at + BATCH)
-                b = Bits(bits.inputs[part], bits.gate[part], bits.side[part])
-                weight = n[use[part], c]
-                p = squash(mixed(b, own))
-                error = (1 - p) * weight
-                for gates, size, target, tally in ((b.gate, GATES, own.weights, seen), (b.side, SIDE_GATES, own.side, seen_side)):
-                    for i in range(_INPUTS):
-                        up = np.bincount(gates, weights=error * b.inputs[:, i], minlength=size)
-                        most = np.bincount(gates, weights=weight * b.inputs[:, i] ** 2, minlength=size)
-                        # A step that the largest curvature of the loss allows, shared by the inputs of
-                        # both gates, and smaller where the gate was seen little.
-                        target[:, i] += rate * up / (_INPUTS * most / 2 + 20)
-                    if not epoch:
-                        tally += np.bincount(gates, weights=weight, minlength=size)
-    return own.weights, own.side, seen, seen_side
-
-
-def refine(edges: Edges, n: np.ndarray, model: Model) -> np.ndarray:
-    """(gate, bucket, bit) occurrences of sums in training: bits foreseen and, as their mirror, the contrary."""
-    out = np.zeros((GATES, BUCKETS, 2))
-    for _, c, use, bits in bits_of(edges, n, model, True):
-        x = mixed(bits, model)
-        for sign, hit in ((1, 1), (-1, 0)):
-            low, way = _buckets(sign * x)
-            for k, share in ((low, 1 - way), (low + 1, way)):
-                np.add.at(out, (bits.gate, k, hit), share * n[use, c])
-    return out
-
-
-def score_words(words: list[bytes], counts: np.ndarray, model: Model) -> np.ndarray:
-    """(words, classes) natural logarithms of the words' probabilities."""
-    edges = edges_of(words)
-    logs = np.zeros((len(edges.depth), counts.shape[1]))
-    for _, c, use, bits in bits_of(edges, counts_of_edges(edges, counts), model, False):
-        logs[use, c] += np.log(probabilities(bits, model))
-    ends = ws.spans(edges.lengths)
-    return np.stack([np.diff(np.concatenate([[0.0], np.cumsum(logs[edges.of_word, c])])[ends]) for c in range(counts.shape[1])], axis=1)
+    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, tables = sent.value
+        model = Model(code, [_spread(t, "<u2") for t in tables])
+        for batch in stream:
+            found = [np.zeros(0)]
+            for some in _together((spelled(t or b""), kind) for t, kind in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist(), strict=True)):
+                found.append(model.logs([t for t, _ in some], [kind for _, kind in some]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=schema.names)
 
+    return docs.mapInArrow(work, schema)
 
-# What follows spreads the model over the cluster.
 
 def _halves(counts: np.ndarray) -> list[np.ndarray]:
-    """Columns of 64-bit counts as low and high 32 bits."""
+    """64-bit counts as low and high 32 bits."""
     whole = counts.astype(np.uint64)
-    return [half for c in range(whole.shape[1]) for half in (whole[:, c] & np.uint64(0xFFFFFFFF), whole[:, c] >> np.uint64(32))]
+    return [whole & np.uint64(0xFFFFFFFF), whole >> np.uint64(32)]
 
 
 def _whole(halves: list[np.ndarray]) -> np.ndarray:
-    return np.stack([low + high * 4294967296.0 for low, high in zip(halves[::2], halves[1::2], strict=True)], axis=1)
-
-
-def _merge(group: pa.Table, schema: pa.Schema) -> pa.Table:
-    """A part's cells as one of its distinct words with their counts, then one of word numbers for each block."""
-    words, found, counts, out = ws.Interner(), [], [], []
-    for part, block, head, cell, rows in zip(*(group[c].to_pylist() for c in schema.names), strict=True):
-        if head:
-            out.append((part, block, head, cell, rows))
-            continue
-        (lengths, *halves), blob = ws.unpack(cell)
-        numbers = np.fromiter(map(words.__getitem__, ws.read_words(lengths, blob)), dtype=np.int64, count=len(lengths))
-        found.append((part, block, numbers))
-        counts.append(np.stack(halves, axis=1).astype(np.int64))
-    if found:
-        total = np.zeros((len(words), counts[0].shape[1]), dtype=np.int64)
-        for (_, _, numbers), own in zip(found, counts, strict=True):
-            total[numbers] += own  # a block has a word once
-        out.append((found[0][0], -1, False, ws.pack([np.array([len(w) for w in words.order]), *_halves(total)], b"".join(words.order)), None))
-        out += [(part, block, False, ws.pack([numbers]), None) for part, block, numbers in found]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+    return halves[0] + halves[1] * 4294967296.0
 
 
-def _parts(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    """Distinct words and their counts of each part in a task."""
+def _merge(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Cells in the order of their parts, a part's words with their counts in the whole corpus: a row
+    (block -1) of a part's tokens and distinct words in training, and each block's cell again."""
+    words, cells, part = ws.Interner(), [], None
+
+    def flush() -> Iterator[tuple]:
+        if not cells:
+            return
+        total = np.zeros(len(words), dtype=np.int64)
+        for _, _, numbers, own in cells:
+            total[numbers] += own  # a block has a word once
+        yield part, -1, False, ws.pack([*_halves(np.array([total.sum()])), *_halves(np.array([(total > 0).sum()]))]), None
+        for at, block, numbers, _ in cells:
+            yield at, block, False, ws.pack(_halves(total[numbers])), None
+
     for batch in stream:
-        for cell in batch.column("cell").to_pylist():
+        for at, block, head, cell, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != part:
+                yield from flush()
+                words, cells, part = ws.Interner(), [], at
+            if head:
+                yield at, block, head, cell, rows
+                continue
             (lengths, *halves), blob = ws.unpack(cell)
-            yield ws.read_words(lengths, blob), _whole(halves)
-
-
-def _row(**columns: bytes | int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({k: pa.array([v]) for k, v in columns.items()})
-
-
-def _learned(words: DataFrame, classes: int) -> tuple[Model, int, int]:
-    """The model of the words with their counts, the number of tokens in training and of distinct ones."""
-    context = words.sparkSession.sparkContext
-
-    def tables_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = np.zeros((_CONTEXTS, classes, SLOTS, 2))
-        tokens = distinct = 0
-        for own, counts in _parts(stream):
-            trained = np.flatnonzero(counts.sum(axis=1))
-            tokens, distinct = tokens + int(counts.sum()), distinct + len(trained)
-            for at in range(0, len(trained), 8192):
-                some = trained[at : at + 8192]
-                edges = edges_of([own[i] for i in some])
-                count_tables(edges, counts_of_edges(edges, counts[some]), tables)
-        yield _row(chunk=-1, tokens=tokens, distinct=distinct, cell=b"")
-        for chunk, values in enumerate(tables.reshape(_CONTEXTS * classes, -1)):
-            at = np.flatnonzero(values)
-            if len(at):
-                yield _row(chunk=chunk, tokens=0, distinct=0, cell=ws.pack([at, *_halves(values[at, None])]))
-
-    def add_up(group: pa.Table) -> pa.Table:
-        total = np.zeros(2 * SLOTS)
-        for cell in group["cell"].to_pylist():
-            (at, *halves), _ = ws.unpack(cell)
-            total[at] += _whole(halves)[:, 0]
-        at = np.flatnonzero(total)
-        return pa.table({"chunk": group["chunk"][:1], "cell": pa.array([ws.pack([at, *_halves(total[at, None])])], pa.binary())})
-
-    counted = cut(words.mapInArrow(tables_of, "chunk long, tokens long, distinct long, cell binary"))
-    sums = counted.where("chunk < 0").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    model = Model(classes, np.zeros((_CONTEXTS, classes, SLOTS, 2), dtype=np.float32))
-    flat = model.tables.reshape(_CONTEXTS * classes, -1)
-    # _CONTEXTS * classes rows of SLOTS * 16 bytes at most.
-    for row in counted.where("chunk >= 0").groupBy("chunk").applyInArrow(add_up, "chunk long, cell binary").collect():
-        (at, *halves), _ = ws.unpack(bytes(row["cell"]))
-        flat[row["chunk"], at] = _whole(halves)[:, 0]
-
-    def summed(work: Callable[[Edges, np.ndarray, Model], list[np.ndarray]]) -> list[np.ndarray]:
-        """Sums over all parts of what work gives for each."""
-        sent = context.broadcast(model)
-
-        def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total: list[np.ndarray] = []
-            for own, counts in _parts(stream):
-                trained = np.flatnonzero(counts.sum(axis=1))
-                if len(trained):
-                    edges = edges_of([own[i] for i in trained])
-                    found = work(edges, counts_of_edges(edges, counts[trained]), sent.value)
-                    total = [a + b for a, b in zip(total, found, strict=True)] if total else found
-            if total:
-                yield _row(cell=np.concatenate([x.ravel() for x in total]).astype("<f8").tobytes())
-
-        # A row of a few kB for each task; a second step adds them up by 64 before the driver sees them.
-        rows = words.mapInArrow(run, "cell binary").withColumn("g", F.spark_partition_id() % 64)
-
-        def add(group: pa.Table) -> pa.Table:
-            return pa.table({"cell": pa.array([sum(np.frombuffer(c, dtype="<f8") for c in group["cell"].to_pylist()).tobytes()], pa.binary())})
-
-        got = [np.frombuffer(bytes(r["cell"]), dtype="<f8") for r in rows.groupBy("g").applyInArrow(add, "cell binary").collect()]
-        sent.unpersist()
-        return [np.sum(got, axis=0)] if got else []
-
-    def weighted(edges: Edges, n: np.ndarray, own: Model) -> list[np.ndarray]:
-        weights, side, seen, seen_side = learn(edges, n, own)
-        return [weights * seen[:, None], side * seen_side[:, None], seen, seen_side]
-
-    if found := summed(weighted):
-        w, s, seen, seen_side = np.split(found[0], np.cumsum([GATES * _INPUTS, SIDE_GATES * _INPUTS, GATES]))
-        moved, moved_side = seen > 0, seen_side > 0
-        model.weights[moved] = (w.reshape(GATES, -1)[moved].T / seen[moved]).T
-        model.side[moved_side] = (s.reshape(SIDE_GATES, -1)[moved_side].T / seen_side[moved_side]).T
-    if found := summed(lambda edges, n, own: [refine(edges, n, own)]):
-        model.refined = found[0].reshape(GATES, BUCKETS, 2)
-    return model, int(sums["tokens"] or 0), int(sums["distinct"] or 0)
-
-
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "held_out", label: str | None = "lang", classes: int = CLASSES, block_chars: int = ws.BLOCK_CHARS) -> DataFrame:
+            numbers = np.fromiter(map(words.__getitem__, ws.read_words(lengths, blob)), dtype=np.int32, count=len(lengths))
+            cells.append((at, block, numbers, _whole(halves).astype(np.int64)))
+    yield from flush()
+
+
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: str = "held_out", block_chars: int = ws.BLOCK_CHARS) -> DataFrame:
     """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) of every row.
 
     held_out: a boolean column, true for rows not to learn from. base_score is that of single tokens
     by add-one counts; both scores are logarithms to the base 10.
     """
-    kind = F.col(label).cast("string") if label else F.lit(None).cast("string")
-    x = docs.select(F.col(key).alias("key"), F.coalesce(F.col(held_out), F.lit(False)).alias("held"), kind.alias("kind"), F.col(text).cast("string").cast("binary").alias("text"))
-    sizes = x.where("NOT held").groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
-    top = [r for r in sizes.where("kind IS NOT NULL").orderBy(F.desc("n"), "kind").limit(classes).collect()]
-    all_rows = sizes.agg(F.sum("n")).first()[0] or 0
-    names = [r["kind"] for r in top]
-    rest = all_rows - sum(r["n"] for r in top)
-    # Without training rows of other kinds there is no class of the others.
-    prior = np.array([r["n"] for r in top] + ([rest] if rest or not top else []), dtype=np.float64) + 0.5
-    n_classes = len(prior)
-    prior /= prior.sum()
-    number = F.lit(n_classes - 1)
-    for k, name in reversed(list(enumerate(names))):
-        number = F.when(F.col("kind") == name, F.lit(k)).otherwise(number)
-    x = x.withColumn("kind", F.coalesce(number, F.lit(n_classes - 1))).select("key", "held", "kind", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
     small_batches(docs.sparkSession)
-    odds = running.send(x, running.train(x.where("NOT held")))
-    x = running.with_logs(x, odds).select("key", "held", "kind", "size", "run", "text")
+    x = docs.select(F.col(key).alias("key"), (~F.coalesce(F.col(held_out), F.lit(False))).alias("training"), F.col(text).cast("string").cast("binary").alias("text"))
+    x = x.select("key", "training", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    sent = send(x, train(x.where("training")))
+    x = with_logs(x, sent).select("key", "training", "size", "log", "text")
 
     def block() -> ws.Block:
         return ws.Block(tokens_of, lambda word: [word], null=b"")
 
     def columns(own: ws.Block, codes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        trained = np.repeat([not row[1] for row in own.rows], sizes)
-        of = np.repeat([row[2] for row in own.rows], sizes)
-        n = len(own.names)
-        counts = np.bincount(codes[trained] * np.int64(n_classes) + of[trained], minlength=n * n_classes).reshape(n, n_classes)
-        return list(counts.T)
+        trained = np.repeat(np.array([row[1] for row in own.rows], dtype=bool), sizes)
+        return _halves(np.bincount(codes[trained], minlength=len(own.names)))
 
-    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars, part_of=lambda word: zlib.crc32(word[:LOCAL])))
+    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars))
     arrow = ws.row_types_of(cells)
-    merged = cut(cells.groupBy("part").applyInArrow(lambda group: _merge(group, arrow), cells.schema))
-    odds.unpersist()
-    model, tokens, distinct = _learned(merged.where("block = -1").select("cell"), n_classes)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    merged = cut(cells.sortWithinPartitions("part").mapInArrow(lambda stream: ws.batches(_merge(stream), arrow), cells.schema))
 
-    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
-            results: list[np.ndarray] = []
-            for batch in stream:
-                for part, at, head, cell, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    if head:
-                        yield part, at, head, cell, own
-                    elif at == -1:
-                        (lengths, *halves), blob = ws.unpack(cell)
-                        words, counts = ws.read_words(lengths, blob), _whole(halves)
-                        logs = score_words(words, counts, sent.value).astype(np.float32)
-                        results = [*_halves(counts.sum(axis=1)[:, None]), *(logs[:, c].copy().view(np.uint32) for c in range(n_classes))]
-                    else:
-                        numbers = ws.unpack(cell)[0][0]
-                        yield part, at, head, ws.pack([r[numbers] for r in results]), None
-
-        return ws.batches(rows(), arrow)
+    def totals(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            found = [ws.unpack(cell)[0] for cell in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"tokens": pa.array([int(_whole(f[:2])[0]) for f in found], pa.int64()), "distinct": pa.array([int(_whole(f[2:])[0]) for f in found], pa.int64())})
+
+    sums = merged.where("block = -1").select("cell").mapInArrow(totals, "tokens long, distinct long").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
+    tokens, distinct = int(sums["tokens"] or 0), int(sums["distinct"] or 0)
 
     out = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
     kinds = (T.BooleanType(), T.LongType(), T.LongType(), T.LongType(), T.DoubleType(), T.DoubleType(), T.DoubleType())
@@ -477,12 +435,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
     def finish(rows: pa.StructArray, sizes: np.ndarray, word: np.ndarray, found: list[np.ndarray]) -> pa.Table:
         sizes = sizes.astype(np.int64)
         starts = ws.spans(sizes)[:-1]  # no document is without tokens: it has an end
-        count = _whole(found[:2])[:, 0]
-        base = np.add.reduceat(np.log10(count + 1)[word], starts) - sizes * math.log10(tokens + distinct + 1)
-        sums = np.stack([np.add.reduceat(c.view(np.float32).astype(np.float64)[word], starts) for c in found[2:]], axis=1) + np.log(prior / 2)
-        sums = np.column_stack([sums, rows.field(4).to_numpy(zero_copy_only=False) + math.log(0.5)])
-        most = sums.max(axis=1)
-        log = most + np.log(np.exp(sums - most[:, None]).sum(axis=1))
-        return pa.table([rows.field(0), rows.field(1), pa.array(sizes), pa.array(np.add.reduceat((count > 0)[word].astype(np.int64), starts)), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(log / math.log(10)), pa.array(-log / math.log(2) / np.maximum(1, rows.field(3).to_numpy(zero_copy_only=False)))], names=schema.names)
-
-    return ws.join_back(merged.mapInArrow(work, cells.schema).where("block >= 0"), finish, schema)
+        seen = _whole(found)
+        base = np.add.reduceat(np.log10(seen + 1)[word], starts) - sizes * math.log10(tokens + distinct + 1)
+        known = np.add.reduceat((seen > 0)[word].astype(np.int64), starts)
+        log, size = rows.field(3).to_numpy(zero_copy_only=False), rows.field(2).to_numpy(zero_copy_only=False)
+        held = pa.array(~rows.field(1).to_numpy(zero_copy_only=False).astype(bool))
+        return pa.table([rows.field(0), held, pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), tokens)), pa.array(base), pa.array(log / math.log(10)), pa.array(-log / math.log(2) / np.maximum(1, size))], names=schema.names)
+
+    return ws.join_back(merged.where("block >= 0"), finish, schema)

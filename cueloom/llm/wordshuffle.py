@@ -247,8 +247,8 @@ def parts_of(df: DataFrame) -> int:
 
 
 def by_part(cells: DataFrame) -> DataFrame:
-    """Cells with those of a part in one partition; parts outnumber partitions, so they even out."""
-    return cells.repartition(shuffle_partitions(cells.sparkSession), F.col("part"))
+    """Cells with those of a part in one partition, and as many parts in each."""
+    return cells.repartitionById(shuffle_partitions(cells.sparkSession), F.col("part"))
 
 
 def row_types(docs: DataFrame) -> tuple[T.StructType, pa.Schema, pa.DataType]:
