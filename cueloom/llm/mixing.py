@@ -1,17 +1,17 @@
 """A language model of logistic context mixing over the running text, with scores per document.
 
 A text is spelled as its words in lower case, each with a space, then a space for its end. Each byte
-is a few binary decisions along a prefix code (frequent bytes take few). Several hashed contexts
-predict each decision: the last two, four and seven bytes, whatever words they are of, and the word so
-far after the word before it. Their predictions are stretched and summed with weights that a gate chooses
-(how many of the contexts training has seen), and the sum is refined by an adaptive map from what
-came out for such sums. Weights and map are the text's own: they start alike for every text and move
-while it is scored. A step, after which they move, is ``STEP`` bytes at first and grows with the
+is a few binary decisions along a prefix code of the bytes that follow the one before it (frequent
+ones take few). Several hashed contexts predict each decision: the last three and five bytes, whatever
+words they are of, and the word so far after the word before it. Their predictions are stretched and
+summed with weights that a gate chooses (how many of the contexts training has seen), and the sum is
+refined by an adaptive map from what came out for such sums. Weights and map are the text's own: they
+start alike for every text and move while it is scored. A step, after which they move, is ``STEP`` bytes at first and grows with the
 place in the text, so a text of any length takes few steps and its score depends on it alone.
 
-What is learned covers all training rows: the code from the counts of single bytes, and for each
-decision in each context how often it went either way, in hashed tables of fixed size (``BITS``; 2
-bytes a slot are broadcast, 27 MB in all, counts beyond 254 are kept as a ratio). The tables do not
+What is learned covers all training rows: the code from the counts of pairs of bytes, and for each
+decision in each context how often it went either way, in hashed tables of fixed size (``BITS``;
+a byte a slot is broadcast, 12 MB in all: both counts where they are few, else their log odds). The tables do not
 grow with the corpus; what long contexts cannot tell apart any more, shorter ones still predict, and
 the weights follow. A training row is scored from the counts less its own occurrence of each decision,
 as a held-out text would be; a row that occurs twice then still meets the other.
@@ -44,10 +44,10 @@ from cueloom.llm.common import cut, small_batches
 
 END = b" "
 #: Bytes of the contexts of bytes; the last context is the word so far after the word before it.
-ORDERS = (2, 4, 7)
+ORDERS = (3, 5)
 CONTEXTS = len(ORDERS) + 1
 #: Slots of each context's table, as bits.
-BITS = (20, 22, 22, 22)
+BITS = (22, 22, 22)
 CHUNK = 1 << 17
 #: Added to both counts of a context.
 PRIOR, RATE = 0.02, 0.1
@@ -55,9 +55,9 @@ GATES, BUCKETS = CONTEXTS + 1, 24
 #: Bytes of the first steps, steps in each doubling of the place, and the longest step.
 STEP, STEPS, STEP_MOST = 32, 16, 1 << 16
 #: Bytes worked on at once: of texts scored together, and of these in one piece.
-AT_ONCE, PIECE = 1 << 19, 1 << 18
-#: Counts of a state; one in which the larger is ``FULL`` has been scaled down.
-FULL = 255
+AT_ONCE, PIECE = 1 << 18, 1 << 14
+#: Occurrences up to which a state has both counts, the number of the first other state, and the log odds of the last.
+EXACT, FIRST_ROUGH, MOST_ODDS = 14, 120, 12.0
 _R, _S, _T = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -72,7 +72,8 @@ def spelled(text: bytes) -> bytes:
 
 @dataclass
 class Code:
-    """A prefix code of bytes: the decisions of byte b are lengths[b] entries of node and bit from starts[b]."""
+    """A prefix code of bytes for each byte before: the decisions of byte b after byte a are
+    lengths[256 * a + b] entries of node and bit from starts[256 * a + b]."""
 
     lengths: np.ndarray
     starts: np.ndarray
@@ -80,33 +81,41 @@ class Code:
     bit: np.ndarray
 
     @staticmethod
-    def of(counts: list[int]) -> Code:
-        """Huffman's code. Nodes are numbered from the most frequent, which stand close in a table."""
-        heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
-        heapq.heapify(heap)
-        children, weight = {}, {}
-        for name in range(256, 511):
-            (m, _, a), (n, _, b) = heapq.heappop(heap), heapq.heappop(heap)
-            children[name], weight[name] = (a, b), m + n
-            heapq.heappush(heap, (m + n, name, name))
-        number = {name: k for k, name in enumerate(sorted(children, key=lambda x: (-weight[x], -x)))}
-        paths: dict[int, tuple] = {}
-        todo = [(510, ())]
-        while todo:
-            name, path = todo.pop()
-            if name < 256:
-                paths[name] = path
-            else:
-                todo += [(child, (*path, (number[name], bit))) for bit, child in enumerate(children[name])]
-        lengths = np.array([len(paths[b]) for b in range(256)])
-        flat = np.array([step for b in range(256) for step in paths[b]], dtype=np.uint32)
+    def of(counts: np.ndarray) -> Code:
+        """Huffman's codes of (byte before, byte) counts."""
+        paths = [path for row in counts for path in _paths(row.tolist())]
+        lengths = np.array([len(p) for p in paths])
+        flat = np.array([step for p in paths for step in p], dtype=np.uint8)
         return Code(lengths, ws.spans(lengths)[:-1], flat[:, 0], flat[:, 1])
 
-    def decisions(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many decisions each byte takes, and the node and the outcome of each."""
-        n = self.lengths[raw]
-        at = ws.gather_runs(self.starts[raw], n)
-        return n, self.node[at], self.bit[at]
+    def decisions(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How many decisions each byte takes, given 256 times the byte before and it, and the node and
+        the outcome of each."""
+        n = self.lengths.take(pairs)
+        at = ws.gather_runs(self.starts.take(pairs), n)
+        return n, self.node.take(at).astype(np.int64), self.bit.take(at).astype(np.int64)
+
+
+def _paths(counts: list[int]) -> list[tuple[tuple[int, int], ...]]:
+    """The (node, bit) decisions of each byte. Nodes are numbered from the most frequent, which stand
+    close in a table."""
+    heap = [(int(c) + 1, b, b) for b, c in enumerate(counts)]
+    heapq.heapify(heap)
+    children, weight = {}, {}
+    for name in range(256, 511):
+        (m, _, a), (n, _, b) = heapq.heappop(heap), heapq.heappop(heap)
+        children[name], weight[name] = (a, b), m + n
+        heapq.heappush(heap, (m + n, name, name))
+    number = {name: k for k, name in enumerate(sorted(children, key=lambda x: (-weight[x], -x)))}
+    paths: dict[int, tuple] = {}
+    todo: list[tuple[int, tuple]] = [(510, ())]
+    while todo:
+        name, path = todo.pop()
+        if name < 256:
+            paths[name] = path
+        else:
+            todo += [(child, (*path, (number[name], bit))) for bit, child in enumerate(children[name])]
+    return [paths[b] for b in range(256)]
 
 
 def _hash(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
@@ -116,62 +125,89 @@ def _hash(x: np.ndarray, salt: int, bits: int) -> np.ndarray:
     return (x >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def contexts_of(raw: np.ndarray, lengths: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """The slot of each context before each byte of some texts, and each byte's place in its text."""
-    n, starts = len(raw), ws.spans(lengths)[:-1]
-    at = np.arange(n, dtype=np.int64)
-    depth = at - np.repeat(starts, lengths)
-    wide = raw.astype(np.uint64)
-    last = np.zeros(n, dtype=np.uint64)  # the seven bytes before, the nearest lowest
-    for back in range(1, 8):
-        before = np.zeros(n, dtype=np.uint64)
-        before[back:] = wide[:-back]
-        before[depth < back] = 0
-        last |= before << np.uint64(8 * (back - 1))
-    out = [_hash(last & np.uint64((1 << 8 * size) - 1), size << 57, bits) for size, bits in zip(ORDERS, BITS, strict=False)]
-    opens = np.zeros(n, dtype=bool)
-    opens[1:] = raw[:-1] == 32
-    opens[starts] = True
-    first = np.maximum.accumulate(np.where(opens, at, 0))
-    so_far = last & ((np.uint64(1) << (np.uint64(8) * np.minimum(at - first, 7).astype(np.uint64))) - np.uint64(1))
-    so_far ^= (at - first).astype(np.uint64) << np.uint64(56)
-    previous = np.where(depth[first] > 0, so_far[np.maximum(first - 1, 0)], np.uint64(0))
-    out.append(_hash(so_far * _T ^ _R * (previous ^ (previous >> np.uint64(32))), 1, BITS[-1]))
-    return out, depth
+@dataclass
+class Running:
+    """Some spelled texts, one after the other."""
+
+    lengths: np.ndarray
+    depth: np.ndarray  # each byte's place in its text
+    pairs: np.ndarray  # 256 times the byte before (0: none) and the byte
+    contexts: list[np.ndarray]  # the slot of each context before each byte
+
+    @staticmethod
+    def of(texts: list[bytes]) -> Running:
+        raw, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64)
+        n, starts = len(raw), ws.spans(lengths)[:-1]
+        at = np.arange(n)
+        depth = at - np.repeat(starts, lengths)
+        # The seven bytes before, the nearest lowest, by doubling.
+        last = np.zeros(n, dtype=np.uint64)
+        last[1:] = raw[:-1]
+        for size in (1, 2, 4):
+            last[size:] |= last[:-size] << np.uint64(8 * size)
+        last &= _MASKS.take(np.minimum(depth, 7))
+        contexts = [_hash(last & _MASKS[size], size << 57, bits) for size, bits in zip(ORDERS, BITS, strict=False)]
+        opens = np.zeros(n, dtype=bool)
+        opens[1:] = raw[:-1] == 32
+        opens[starts] = True
+        words = np.flatnonzero(opens)
+        sizes = np.diff(np.append(words, n))
+        into = at - np.repeat(words, sizes)
+        so_far = last & _MASKS.take(np.minimum(into, 7))
+        so_far ^= into.astype(np.uint64) << np.uint64(56)
+        previous = np.where(depth[words] > 0, so_far[np.maximum(words - 1, 0)], np.uint64(0))
+        previous = _R * (previous ^ (previous >> np.uint64(32)))
+        contexts.append(_hash(so_far * _T ^ np.repeat(previous, sizes), 1, BITS[-1]))
+        return Running(lengths, depth, ((last & np.uint64(255)) << np.uint64(8)).astype(np.int64) | raw, contexts)
+
+
+_MASKS = np.array([(1 << 8 * size) - 1 for size in range(8)], dtype=np.uint64)
 
 
 def count(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> None:
     """Adds the decisions of spelled texts to each context's (2 * slots) counts."""
-    raw, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
-    contexts, _ = contexts_of(raw, lengths)
-    for at in range(0, len(raw), PIECE):
-        piece = slice(at, at + PIECE)
-        n, node, bit = code.decisions(raw[piece])
-        own = node * np.uint32(2) + bit
-        for table, context in zip(tables, contexts, strict=True):
+    own = Running.of(texts)
+    for start in range(0, len(own.pairs), PIECE):
+        piece = slice(start, start + PIECE)
+        n, node, bit = code.decisions(own.pairs[piece])
+        low = 2 * node + bit
+        for table, context in zip(tables, own.contexts, strict=True):
             # The nodes of a context stand around its slot.
-            np.add.at(table, (np.repeat(context[piece] << np.uint32(1), n) ^ own).astype(np.int64), table.dtype.type(1))
+            at = np.repeat(2 * context[piece].astype(np.int64), n)
+            at ^= low
+            np.add.at(table, at, table.dtype.type(1))
+
+
+def pair_counts(texts: list[bytes]) -> np.ndarray:
+    """How often each byte follows each in spelled texts; a text's first follows 0."""
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    before = np.zeros(len(raw), dtype=np.int64)
+    before[1:] = raw[:-1]
+    before[ws.spans(np.array([len(t) for t in texts]))[:-1]] = 0
+    return np.bincount(before << 8 | raw, minlength=1 << 16)
 
 
 def states_of(counts: np.ndarray) -> np.ndarray:
-    """(2 * slots) counts as two bytes a slot: how often 0, how often 1."""
-    zero, one = counts[::2], counts[1::2]
-    most = np.maximum(np.maximum(zero, one), 1)
-    scale = most >= FULL
-    zero, one = (np.where(scale, -(-x * FULL // most), x) for x in (zero, one))
-    return (one * 256 + zero).astype(np.uint16)
+    """(2 * slots) counts as a byte a slot: the two counts where they are few, else their log odds."""
+    zero, one = counts[::2].astype(np.int64), counts[1::2].astype(np.int64)
+    total = zero + one
+    few = np.minimum(total, EXACT)
+    odds = np.log((one + PRIOR) / (zero + PRIOR))
+    rough = FIRST_ROUGH + np.rint((np.clip(odds, -MOST_ODDS, MOST_ODDS) / MOST_ODDS + 1) * (255 - FIRST_ROUGH) / 2)
+    return np.where(total <= EXACT, few * (few + 1) // 2 + one, rough).astype(np.uint8)
 
 
 def stretched() -> np.ndarray:
-    """For a held-out text's 0 and 1, then a training text's, the log odds of that outcome in each state."""
-    state = np.arange(1 << 16)
-    zero, one = state & 255, state >> 8
-    exact = np.maximum(zero, one) < FULL
+    """For a held-out text's 0 and 1, then a training text's, the log odds of that outcome in each state.
+    A training text's own occurrence is taken from counts that are exact."""
+    total = np.repeat(np.arange(EXACT + 1), np.arange(1, EXACT + 2))
+    one = np.concatenate([np.arange(t + 1) for t in range(EXACT + 1)])
+    zero = total - one
+    rough = np.linspace(-MOST_ODDS, MOST_ODDS, 256 - FIRST_ROUGH)
     out = []
-    for training in (0, 1):
-        less = training * exact
-        out.append(np.log((np.maximum(zero - less, 0) + PRIOR) / (one + PRIOR)))
-        out.append(np.log((np.maximum(one - less, 0) + PRIOR) / (zero + PRIOR)))
+    for less in (0, 1):
+        out += [np.log((np.maximum(zero - less, 0) + PRIOR) / (one + PRIOR)), -rough]
+        out += [np.log((np.maximum(one - less, 0) + PRIOR) / (zero + PRIOR)), rough]
     return np.concatenate(out).astype(np.float32)
 
 
@@ -196,14 +232,14 @@ class Model:
 
         Texts are worked on together, step by step, each with its own weights and map.
         """
-        raw, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts])
-        contexts, depth = contexts_of(raw, lengths)
-        steps = steps_to(int(lengths.max(initial=0)))
-        text = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
-        step = (np.searchsorted(steps, depth, side="right") - 1).astype(np.int32)
+        running = Running.of(texts)
+        steps = steps_to(int(running.lengths.max(initial=0)))
+        text = np.repeat(np.arange(len(texts)), running.lengths)
+        step_at = np.repeat(np.arange(len(steps) - 1, dtype=np.int16 if len(steps) < 1 << 15 else np.int32), np.diff(steps))
+        step = step_at.take(running.depth)
         order = np.argsort(step, kind="stable")
-        edges = np.searchsorted(step[order], np.arange(len(steps)))
-        kinds = np.asarray(training, dtype=np.int32) << 17
+        edges = np.concatenate([[0], np.cumsum(np.bincount(step, minlength=len(steps) - 1))])
+        kinds = np.asarray(training, dtype=np.int64) << 9
         odds = stretched()
         state = _State(len(texts))
         done = 0
@@ -211,14 +247,15 @@ class Model:
             # As many steps as fit into a piece.
             until = max(done + 1, int(np.searchsorted(edges, edges[done] + PIECE, side="right")) - 1)
             at = order[edges[done] : edges[until]]
-            n, node, bit = self.code.decisions(raw[at])
-            of = np.repeat(text[at], n)
-            kind = kinds[of] + (bit.astype(np.int32) << 16)
+            n, node, bit = self.code.decisions(running.pairs.take(at))
+            of = np.repeat(text.take(at), n)
+            kind = kinds.take(of) + (bit << 8)
             inputs = np.empty((CONTEXTS, len(node)), dtype=np.float32)
-            gate = np.zeros(len(node), dtype=np.int32)
-            for k, (table, context) in enumerate(zip(self.tables, contexts, strict=True)):
-                found = table.take(np.repeat(context[at], n) ^ node)
-                odds.take(found + kind, out=inputs[k])
+            gate = of * GATES
+            for k, (table, context) in enumerate(zip(self.tables, running.contexts, strict=True)):
+                slot = np.repeat(context.take(at).astype(np.int64), n)
+                slot ^= node
+                odds.take(table.take(slot, mode="clip") + kind, out=inputs[k], mode="clip")
                 gate += inputs[k] != 0
             cuts = ws.spans(n)[edges[done : until + 1] - edges[done]]
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
@@ -240,16 +277,15 @@ class _State:
         self.shift = np.zeros(texts * BUCKETS, dtype=np.float32)
         self.shifted = np.ones_like(self.shift)
 
-    def step(self, inputs: np.ndarray, text: np.ndarray, gate: np.ndarray) -> None:
+    def step(self, inputs: np.ndarray, text: np.ndarray, place: np.ndarray) -> None:
         # Inputs say how likely the own outcome is, so a positive sum is an outcome foreseen.
-        place = text * np.int32(GATES) + gate
         mixed = np.zeros(len(text), dtype=np.float32)
         for w, x in zip(self.weights, inputs, strict=True):
-            mixed += w.take(place) * x
+            mixed += w.take(place, mode="clip") * x
         # The map is odd: an outcome and its contrary add up to one.
-        bucket = np.minimum(np.abs(mixed) * 2, BUCKETS - 1).astype(np.int32) + text * np.int32(BUCKETS)
+        bucket = np.minimum(np.abs(mixed) * 2, BUCKETS - 1).astype(np.int64) + text * BUCKETS
         sign = np.sign(mixed)
-        p = 1 / (1 + np.exp(-np.clip(mixed + sign * self.shift.take(bucket), -14, 14)))
+        p = 1 / (1 + np.exp(-np.clip(mixed + sign * self.shift.take(bucket, mode="clip"), -14, 14)))
         self.logs += np.bincount(text, weights=np.log(p), minlength=self.texts)
         error = 1 - p
         for w, m, x in zip(self.weights, self.moved, inputs, strict=True):
@@ -291,19 +327,17 @@ def _spread(data: bytes, kind: str) -> np.ndarray:
 
 def train(docs: DataFrame, text: str = "text") -> Model:
     """The model of all rows of ``docs``, whose text is binary: a pass for the code, one for the tables."""
-    def bytes_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(256, dtype=np.int64)
-        for batch in stream:
-            for item in batch.column(0):
-                if item.is_valid:
-                    total += np.bincount(np.frombuffer(spelled(item.as_py()), dtype=np.uint8), minlength=256)
-        yield pa.RecordBatch.from_pydict({"byte": pa.array(range(256), pa.int32()), "n": pa.array(total)})
-
-    found = docs.select(text).mapInArrow(bytes_of, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()  # 256 rows
-    counts = [0] * 256
+    def pairs_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << 16, dtype=np.int64)
+        for some in _together((spelled(t or b""), True) for batch in stream for t in batch.column(0).to_pylist()):
+            total += pair_counts([t for t, _ in some])
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(range(1 << 16), pa.int32()), "n": pa.array(total)})
+
+    found = docs.select(text).mapInArrow(pairs_of, "pair int, n long").where("n > 0").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
+    counts = np.zeros(1 << 16, dtype=np.int64)
     for row in found:
-        counts[row["byte"]] = row["n"]
-    code = Code.of(counts)
+        counts[row["pair"]] = row["n"]
+    code = Code.of(counts.reshape(256, 256))
 
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << bits, dtype=np.int64 if bits < 22 else np.int32) for bits in BITS]
@@ -329,11 +363,11 @@ def train(docs: DataFrame, text: str = "text") -> Model:
                 total += _spread(cell[3:], cell[:3].decode())
         yield pa.RecordBatch.from_pydict({"context": pa.array([key[0].as_py()]), "chunk": pa.array([key[1].as_py()]), "cell": pa.array([_squeezed(states_of(total))], pa.binary())})
 
-    tables = [np.zeros((max(1, (1 << bits) // CHUNK), CHUNK), dtype=np.uint16) for bits in BITS]
+    tables = [np.zeros(((1 << bits) // CHUNK, CHUNK), dtype=np.uint8) for bits in BITS]
     cells = docs.select(text).mapInArrow(counted, "context long, chunk long, cell binary")
-    # 2 bytes a slot in all, less what packing saves.
+    # A byte a slot in all, less what packing saves.
     for row in cells.groupBy("context", "chunk").applyInArrow(add_up, "context long, chunk long, cell binary").toLocalIterator():
-        tables[row["context"]][row["chunk"]] = _spread(bytes(row["cell"]), "<u2")
+        tables[row["context"]][row["chunk"]] = _spread(bytes(row["cell"]), "u1")
     return Model(code, [t.reshape(-1) for t in tables])
 
 
@@ -341,21 +375,19 @@ def send(docs: DataFrame, model: Model) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast((model.code, [_squeezed(t) for t in model.tables]))
 
 
-def with_logs(docs: DataFrame, sent: Broadcast, text: str = "text", training: str = "training", name: str = "log") -> DataFrame:
-    """``docs`` with the natural logarithm of each text's probability."""
-    schema = docs.withColumn(name, F.lit(0.0)).schema
-    at, own = docs.columns.index(text), docs.columns.index(training)
-
-    def work(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables = sent.value
-        model = Model(code, [_spread(t, "<u2") for t in tables])
-        for batch in stream:
-            found = [np.zeros(0)]
-            for some in _together((spelled(t or b""), kind) for t, kind in zip(batch.column(at).to_pylist(), batch.column(own).to_pylist(), strict=True)):
-                found.append(model.logs([t for t, _ in some], [kind for _, kind in some]))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(found))], names=schema.names)
+def with_logs(stream: Iterator[pa.RecordBatch], sent: Broadcast, training: int) -> Iterator[pa.RecordBatch]:
+    """Batches, whose last column is the text, with the natural logarithm of each text's probability before it.
 
-    return docs.mapInArrow(work, schema)
+    training: the place of the column that says whether training has seen the text.
+    """
+    code, tables = sent.value
+    model = Model(code, [_spread(t, "u1") for t in tables])
+    for batch in stream:
+        *others, text = batch.columns
+        found = [np.zeros(0)]
+        for some in _together((spelled(t or b""), kind) for t, kind in zip(text.to_pylist(), others[training].to_pylist(), strict=True)):
+            found.append(model.logs([t for t, _ in some], [kind for _, kind in some]))
+        yield pa.RecordBatch.from_arrays([*others, pa.array(np.concatenate(found)), text], names=[*batch.schema.names[:-1], "log", "text"])
 
 
 def _halves(counts: np.ndarray) -> list[np.ndarray]:
@@ -407,16 +439,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
     x = docs.select(F.col(key).alias("key"), (~F.coalesce(F.col(held_out), F.lit(False))).alias("training"), F.col(text).cast("string").cast("binary").alias("text"))
     x = x.select("key", "training", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
     sent = send(x, train(x.where("training")))
-    x = with_logs(x, sent).select("key", "training", "size", "log", "text")
+    scored = x.select("key", "training", "size", F.lit(0.0).alias("log"), "text").schema
 
     def block() -> ws.Block:
-        return ws.Block(tokens_of, lambda word: [word], null=b"")
+        return ws.Block(tokens_of, None, null=b"")
 
     def columns(own: ws.Block, codes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         trained = np.repeat(np.array([row[1] for row in own.rows], dtype=bool), sizes)
         return _halves(np.bincount(codes[trained], minlength=len(own.names)))
 
-    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars))
+    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars, before=lambda stream: with_logs(stream, sent, 1), schema=scored))
     arrow = ws.row_types_of(cells)
     merged = cut(cells.sortWithinPartitions("part").mapInArrow(lambda stream: ws.batches(_merge(stream), arrow), cells.schema))
 

@@ -100,11 +100,11 @@ class Block:
 
     split(text) gives a text's chunks as hashable keys; words(key) gives the words, as bytes, that a
     chunk stands for, or None if it doesn't stand alone, in which case the key whole(text) stands for
-    the text. Chunks are cut up once for each block. A null text is read as ``null``; where that is
+    the text. Chunks are cut up once for each block; without ``words`` they are words. A null text is read as ``null``; where that is
     None, null and empty texts have no chunks.
     """
 
-    def __init__(self, split: Callable[[Any], list], words: Callable[[Any], list[bytes] | None], whole: Callable[[Any], Any] | None = None, null: Any = None) -> None:
+    def __init__(self, split: Callable[[Any], list], words: Callable[[Any], list[bytes] | None] | None, whole: Callable[[Any], Any] | None = None, null: Any = None) -> None:
         self.split, self.words, self.whole, self.null = split, words, whole, null
         self.chunks, self.names = Interner(), Interner()
         self.flat: list[int] = []  # words of the chunks, chunk after chunk
@@ -115,6 +115,8 @@ class Block:
         self.chars = 0
 
     def _codes(self, keys: list) -> np.ndarray:
+        if self.words is None:
+            return np.fromiter(map(self.names.__getitem__, keys), dtype=np.int32, count=len(keys))
         known, name = len(self.chunks), self.names.__getitem__
         codes = np.fromiter(map(self.chunks.__getitem__, keys), dtype=np.int32, count=len(keys))
         for code, key in enumerate(self.chunks.order[known:], known):
@@ -141,6 +143,8 @@ class Block:
     def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """The word of each position, and the number of positions of each document. Ends the block: what
         is known of chunks is let go."""
+        if self.words is None:
+            return np.concatenate([np.zeros(0, np.int32), *self.docs]), np.array([len(d) for d in self.docs], dtype=np.int64)
         self.chunks.clear()
         self.chunks.order.clear()
         sizes, flat = np.array(self.sizes, dtype=np.int32), np.array(self.flat, dtype=np.int32)
@@ -160,7 +164,7 @@ CELL = T.StructType(
 CELL_ARROW = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("head", pa.bool_()), ("cell", pa.binary())])
 
 
-def block_cells(block: Block, number: int, parts: int, columns: Callable[[np.ndarray, np.ndarray], list[np.ndarray]] | None = None, part_of: Callable[[bytes], int] = zlib.crc32) -> Iterator[tuple]:
+def block_cells(block: Block, number: int, parts: int, columns: Callable[[np.ndarray, np.ndarray], list[np.ndarray]] | None = None) -> Iterator[tuple]:
     """Rows (part, block, head, cell) of a block.
 
     A head has the documents' sizes and a symbol for each position: 0 where a word comes for the
@@ -175,7 +179,7 @@ def block_cells(block: Block, number: int, parts: int, columns: Callable[[np.nda
     by_first = np.argsort(first, kind="stable")[: int((first < n).sum())]  # without the words of odd chunks
     counts = np.bincount(codes, minlength=len(first))[by_first]
     words = [block.names.order[i] for i in by_first.tolist()]
-    where = np.fromiter((part_of(w) % parts for w in words), dtype=np.int32, count=len(words))
+    where = np.fromiter((zlib.crc32(w) % parts for w in words), dtype=np.int32, count=len(words))
     bits = np.log2(np.maximum(counts, 1)).astype(np.int32)
     rank = np.empty(len(first), dtype=np.int32)
     rank[by_first[by_frequency(bits)]] = np.arange(1, len(words) + 1, dtype=np.int32)
@@ -251,29 +255,31 @@ def by_part(cells: DataFrame) -> DataFrame:
     return cells.repartitionById(shuffle_partitions(cells.sparkSession), F.col("part"))
 
 
-def row_types(docs: DataFrame) -> tuple[T.StructType, pa.Schema, pa.DataType]:
+def row_types(docs: T.StructType) -> tuple[T.StructType, pa.Schema, pa.DataType]:
     """The types of cells whose heads carry all columns of ``docs`` but the last, the text."""
-    own = T.StructType(docs.schema.fields[:-1])
+    own = T.StructType(docs.fields[:-1])
     rows = T.ArrayType(own)
     arrow = to_arrow_type(rows)
     return T.StructType([*CELL.fields, T.StructField("rows", rows)]), pa.schema([*CELL_ARROW, pa.field("rows", arrow)]), arrow.value_type
 
 
-def to_cells(docs: DataFrame, make_block: Callable[[], Block], columns: Callable | None = None, block_chars: int = BLOCK_CHARS, parts: int | None = None, part_of: Callable[[bytes], int] = zlib.crc32) -> DataFrame:
+def to_cells(docs: DataFrame, make_block: Callable[[], Block], columns: Callable | None = None, block_chars: int = BLOCK_CHARS, parts: int | None = None, before: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: T.StructType | None = None) -> DataFrame:
     """Cells of ``docs``, whose last column is the text.
 
-    columns(block, codes, sizes): more columns for the words of a block.
+    columns(block, codes, sizes): more columns for the words of a block. before(batches): what the
+    batches become before they are cut into blocks, of the columns of ``schema``.
     """
     small_batches(docs.sparkSession)
-    schema, arrow, _ = row_types(docs)
-    names, parts = docs.columns[:-1], parts or parts_of(docs)
+    own = schema or docs.schema
+    schema, arrow, _ = row_types(own)
+    names, parts = own.names[:-1], parts or parts_of(docs)
 
     def cells_of(block: Block, number: int) -> Iterator[tuple]:
         more = (lambda codes, sizes: columns(block, codes, sizes)) if columns else None
-        for part, at, head, cell in block_cells(block, number, parts, more, part_of):
+        for part, at, head, cell in block_cells(block, number, parts, more):
             yield part, at, head, cell, [dict(zip(names, row, strict=True)) for row in block.rows] if head else None
 
-    return docs.mapInArrow(lambda stream: batches(explode(stream, make_block, block_chars, cells_of), arrow), schema)
+    return docs.mapInArrow(lambda stream: batches(explode(before(stream) if before else stream, make_block, block_chars, cells_of), arrow), schema)
 
 
 def join_back(worked: DataFrame, finish: Callable[[pa.StructArray, np.ndarray, np.ndarray, list[np.ndarray]], pa.Table], schema: T.StructType) -> DataFrame:
