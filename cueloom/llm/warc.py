@@ -97,7 +97,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_records(records: DataFrame, record: str = "record") -> DataFrame:
-    """``records`` with warc_type, target_uri and payload (null for a revisit) out of each record's bytes."""
+    """``records`` with warc_type, record_id, refers_to_id, target_uri and payload (null for a revisit)
+    out of each record's bytes."""
     latin = F.decode(record, "ISO-8859-1")  # a character for each byte
     parts = F.split(latin, "\r\n\r\n", 3)
     start = F.length(parts[0]) + 5  # of the block, counted from 1
@@ -105,14 +106,18 @@ def parse_records(records: DataFrame, record: str = "record") -> DataFrame:
     head = F.decode(F.substring(F.col(record), F.lit(1), start - 1), "UTF-8")
     field = lambda name: F.nullif(F.regexp_extract(head, rf"(?m)^{name}: (.*?)\r?$", 1), F.lit(""))
     payload = F.substring(F.col(record), body, field("Content-Length").cast("int") - (body - start))
-    return records.withColumns({"warc_type": field("WARC-Type"), "target_uri": field("WARC-Target-URI"), "payload": F.when(field("WARC-Type") == "response", payload)})
+    found = {"warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to_id": "WARC-Refers-To", "target_uri": "WARC-Target-URI"}
+    return records.withColumns({**{column: field(name) for column, name in found.items()}, "payload": F.when(field("WARC-Type") == "response", payload)})
 
 
 def report(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
-    """(key, payload_bytes, payload_digest, record_type, refers_to) of an archive read back: sizes and
-    digests are those of the payloads in the responses' bytes, which revisits share."""
-    read = parse_records(read_records(spark, path).where("record_type = 'response'"))
-    # Payloads that are too short to be merged have more than one response.
-    found = read.groupBy("address").agg(F.min(F.struct(F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.upper(F.sha1("payload"))).alias("payload_digest"))).alias("x"))
-    headers = read_headers(spark, path).select(F.col("key").alias(key), "record_type", "refers_to", "address")
-    return headers.join(found, "address").select(key, "x.payload_bytes", "x.payload_digest", "record_type", "refers_to")
+    """(key, payload_bytes, payload_digest, record_type, refers_to) of an archive read back: all of it is
+    out of the records' bytes. A revisit meets the response that its header names, whose payload it has."""
+    read = parse_records(read_records(spark, path))
+    size, digest = F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.upper(F.sha1("payload"))).alias("payload_digest")
+    responses = cut(read.where("warc_type = 'response'").select("key", "record_id", size, digest))
+    revisits = read.where("warc_type = 'revisit'").select("key", F.col("refers_to_id").alias("record_id"))
+    met = revisits.join(responses.withColumnRenamed("key", "refers_to"), "record_id")
+    columns = [F.col("key").alias(key), "payload_bytes", "payload_digest"]
+    own = responses.select(*columns, F.lit("response").alias("record_type"), F.lit(None).cast(responses.schema["key"].dataType).alias("refers_to"))
+    return own.unionByName(met.select(*columns, F.lit("revisit").alias("record_type"), "refers_to"))
