@@ -345,6 +345,15 @@ def test_embeddings_against_brute_force(spark, tile, monkeypatch):
     assert all(r.kept == (r.vec_id == r.component_id and r.vec_id is not None) for r in got)
 
 
+def test_embeddings_keep_labels_and_precision(spark):
+    rows = [(1, [1e-50, 0.0], 1.2, "a"), (2, [2e-50, 0.0], 1.2, "a"), (3, [1e300, 0.0], 1.7, "a"), (4, [1e300, 1e200], 1.7, "b"), (5, [1.0, 0.0], None, None)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, d double, s string")
+    of = lambda label: {r.vec_id: r.component_id for r in embeddup.near_duplicates(table, label=label).collect()}
+    assert of("d") == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+    assert of("s") == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+    assert embeddup.near_duplicates(table.limit(0), label="s").count() == 0
+
+
 def test_quantisation_bound_holds():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 64))
@@ -417,7 +426,7 @@ def test_warc_round_trip(spark):
     for r in records:
         head, _, rest = bytes(r.record).partition(b"\r\n\r\n")
         size = int(regex.search(rb"Content-Length: (\d+)", head)[1])
-        assert rest[size:] == b"\r\n\r\n" and r.warc_type == r.record_type
+        assert rest[size:] == b"\r\n\r\n" and r.warc_type == r.record_type and (r.refers_to_id is None) == (r.warc_type == "response")
     assert {bytes(r.payload).decode() for r in records if r.payload is not None} == {"x", "", body}
     assert spark.read.parquet(f"{path}/payloads").count() == 3
     large = scratch_path(spark, "test-warc")
@@ -450,15 +459,29 @@ def test_sharding(spark):
         places.setdefault(r.shard, []).append(r.slot)
     assert len(got) == len(texts) and all(sorted(p) == list(range(len(p))) for p in places.values())
     assert sorted((r["size"], r.text_crc32) for r in got) == sorted((len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for t in texts)
-    rest = [size[s] for s in range(24) if size[s] < 20_000]
-    assert len(rest) == 23 and max(rest) - min(rest) <= 100
+    # One record is larger than a shard's due and has its shard to itself, but for what hashes with it.
+    rest = sorted(size[s] for s in range(24))[:-1]
+    assert max(size.values()) < 20_008 + 500 and max(rest) - min(rest) <= 100
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
-    maps = [{r.slot: r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (0, 1)]
-    assert all(len(m) == sharding.SLOTS for m in maps) and maps[0] != maps[1]
-    assert all(maps[1][r.virtual_slot] == r.shard for r in got)
+    maps = [{(r.slot, r.piece): r.shard for r in sharding.load_map(spark, path, v).collect()} for v in (0, 1)]
+    assert all(len({s for s, _ in m}) == sharding.SLOTS for m in maps) and maps[0] != maps[1]
+    assert all(maps[1][r.virtual_slot, r.piece] == r.shard for r in got)
     assert sharding.assign(docs(spark, ["a"]).limit(0), 24).count() == 0
 
 
+@pytest.mark.parametrize("copy", ["c" * 100, None])
+def test_sharding_of_repeated_rows(spark, copy):
+    texts = ["t" * (k % 200) for k in range(1000)] + [copy] * 1000
+    rows = docs(spark, texts, list(range(1000)) + [7 if copy else None] * 1000).withColumn("size", F.lit("clash")).withColumn("shard", F.lit(1))
+    got = sharding.assign(rows, 24).collect()
+    size, n = Counter(), Counter()
+    for r in got:
+        size[r.shard] += r["size"]
+        n[r.shard] += 1
+    assert len(size) == 24 and max(size.values()) - min(size.values()) <= 208
+    assert all(sorted(r.slot for r in got if r.shard == s) == list(range(n[s])) for s in range(24))
+
+
 def test_growing_moves_slots_only_into_the_new_shard():
     rng = np.random.default_rng(10)
     sizes = rng.integers(1, 100, 500).tolist()
