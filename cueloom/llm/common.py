@@ -18,13 +18,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the cluster names none (tests in one process) is a folder under /tmp set.
+    A session in one process (tests) that names none gets a folder under /tmp; a cluster has to name one.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
+    named, context = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    folder = named or f"file:///tmp/cueloom-{os.getuid()}"
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(named or f"file:///tmp/cueloom-{os.getuid()}")
-    return named or f"file:///tmp/cueloom-{os.getuid()}"
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:
@@ -32,6 +34,12 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/cueloom/{what}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Deletes a table of ``scratch_path`` that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, without its lineage."""
     shared_dir(df.sparkSession)

@@ -20,6 +20,7 @@ an id count once; repeated documents each keep a row; other columns are left out
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,8 @@ SAMPLE = 8
 #: Words are runs of a-z, 0-9 and what isn't ASCII, after A-Z are put in lower case.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
+_WORD = re.compile(rb"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_TABLE).split()
@@ -326,6 +329,28 @@ def merge(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def cut_spans(found: DataFrame, text: str = "text") -> DataFrame:
+    """``found`` with its texts less the spans, from the first byte of a span's first word to the last of
+    its last. A text without spans stays as it is."""
+    at, spans_at, schema = found.columns.index(text), found.columns.index("spans"), found.schema
+
+    def left(item: str | None, runs: list[dict]) -> str | None:
+        if item is None or not runs:
+            return item
+        raw = item.encode()
+        words = [m.span() for m in _WORD.finditer(raw)]
+        edges = [0, *(e for run in runs for e in (words[run["start"]][0], words[run["end"] - 1][1])), len(raw)]
+        return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)).decode()
+
+    def each(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in stream:
+            columns = list(batch.columns)
+            columns[at] = pa.array(map(left, columns[at].to_pylist(), columns[spans_at].to_pylist()), pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return found.mapInArrow(each, schema)
+
+
 def verdicts(found: DataFrame, share: int = SHARE) -> DataFrame:
     """``found`` with n_hit, n_items, items_sha256 and contaminated in the place of spans and items."""
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])

@@ -3,8 +3,9 @@
 A text's letters, in lower case, give hashed byte n-grams of 1 to 3 bytes; their counts, damped by
 a square root and weighted by inverse document frequency, are a vector of length one. Training
 clusters the vectors of each language into a few centroids (spherical k-means). A text gets the
-language of the centroid with the largest cosine, which is its score; one below ``MIN_COSINE`` is
-too far from every language and counts as rejected.
+language of the centroid with the largest cosine, which is its score. A text is rejected if it is much
+further from that centroid than the rows that made it: below ``REJECT_SHARE`` of the cosine that all
+but a hundredth of them reach.
 
 The model is fitted on a bounded sample: of each language the ``SAMPLE`` labelled training rows
 whose hashed key is smallest. It is at most languages * CENTROIDS * DIMENSIONS * 4 bytes (128 kB a
@@ -32,7 +33,9 @@ UNDETERMINED = "und"
 DIMENSIONS, LONGEST = 8192, 3
 #: Rows of a language that the model is fitted on, at most, and its centroids.
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 12
-MIN_COSINE = 0.1
+#: A cosine is too small below this share of the quantile ``REJECT_QUANTILE`` of a centroid's own rows,
+#: or of the language's, if the centroid has fewer than ``OWN_ROWS``.
+REJECT_SHARE, REJECT_QUANTILE, OWN_ROWS = 0.5, 0.01, 50
 #: ASCII letters in lower case, other ASCII as a space, everything else as it is.
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
@@ -63,12 +66,14 @@ class Model:
     languages: list[str]
     weights: np.ndarray  # inverse document frequencies
     centroids: np.ndarray  # rows: the centroids of a language, language after language
+    limits: np.ndarray  # the least cosine that is not rejected, of each centroid
 
-    def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The nearest language of each row of counts and the cosine."""
+    def score(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The nearest language of each row of counts, the cosine, and whether that is too small."""
         cosines = unit_rows(np.sqrt(counts) * self.weights) @ self.centroids.T
         nearest = cosines.argmax(axis=1)
-        return nearest // CENTROIDS, np.clip(cosines[np.arange(len(nearest)), nearest], 0, 1).astype(np.float64)
+        found = cosines[np.arange(len(nearest)), nearest]
+        return nearest // CENTROIDS, np.clip(found, 0, 1).astype(np.float64), found < self.limits[nearest]
 
 
 def cluster(x: np.ndarray, seed: int) -> np.ndarray:
@@ -85,6 +90,14 @@ def cluster(x: np.ndarray, seed: int) -> np.ndarray:
     return centre
 
 
+def limits_of(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """The least cosine that is not rejected, of each centroid of the unit rows of a language."""
+    cosines = x @ centre.T
+    of, best = cosines.argmax(axis=1), cosines.max(axis=1)
+    low = [np.quantile(best[of == k] if (of == k).sum() >= OWN_ROWS else best, REJECT_QUANTILE) for k in range(len(centre))]
+    return REJECT_SHARE * np.array(low)
+
+
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
     """A model of the labelled rows of ``docs``."""
     rows = docs.where(F.col(label).isNotNull() & (F.col(label) != UNDETERMINED) & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
@@ -122,11 +135,13 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
     total = sum(len(x) for x in dense.values())
     in_docs = sum(((x > 0).sum(axis=0) for x in dense.values()), np.zeros(DIMENSIONS))
     weights = np.log((1 + total) / (1 + in_docs)).astype(np.float32) + 1
-    centroids = [cluster(unit_rows(np.sqrt(dense[name]) * weights), seed) for seed, name in enumerate(languages)]
-    return Model(languages, weights, np.concatenate([np.zeros((0, DIMENSIONS)), *centroids]).astype(np.float32))
+    units = [unit_rows(np.sqrt(dense[name]) * weights) for name in languages]
+    centroids = [cluster(x, seed) for seed, x in enumerate(units)]
+    limits = [limits_of(x, centre) for x, centre in zip(units, centroids, strict=True)]
+    return Model(languages, weights, np.concatenate([np.zeros((0, DIMENSIONS)), *centroids]).astype(np.float32), np.concatenate([np.zeros(0), *limits]))
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", min_cosine: float = MIN_COSINE) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and rejected (columns of these names are replaced)."""
     small_batches(docs.sparkSession)
     added = ("lang_pred", "score", "rejected")
@@ -148,11 +163,11 @@ def predict(docs: DataFrame, model: Model, text: str = "text", min_cosine: float
                         fit[k] = True
                         counts[k] = np.bincount(ngrams(value), minlength=DIMENSIONS)
                 name = np.full(batch.num_rows, UNDETERMINED, dtype=object)
-                score = np.zeros(batch.num_rows)
+                score, rejected = np.zeros(batch.num_rows), np.ones(batch.num_rows, dtype=bool)
                 if fit.any():
-                    best, score[fit] = own.score(counts[fit])
+                    best, score[fit], rejected[fit] = own.score(counts[fit])
                     name[fit] = np.array(own.languages, dtype=object)[best]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(~fit | (score < min_cosine))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(name, pa.string()), pa.array(score), pa.array(rejected)], names=schema.names)
 
     return docs.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(nearest, schema)
 
