@@ -1,19 +1,27 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block-level tags. The first pass decides what it can from where a
-block stands (menus, forms, adverts and the like are never main text), its link density, its length
-and its density of stop words. Short blocks that stay ambiguous then take the label of the nearest
-decided neighbours. Where a page marks its article, blocks outside are not main text, and ambiguous
-blocks inside look for neighbours inside only, or count as main text.
+block stands, its link density, its length and its density of stop words. Where most of a page does
+not read like one of the languages whose stop words are listed, length and links decide alone. Short
+blocks that stay ambiguous then take the label of the nearest decided neighbours. Where a page marks
+its article, blocks outside are not main text, and ambiguous blocks inside look for neighbours inside
+only, or count as main text.
+
+Where a block stands: menus, buttons and the like are never main text. Forms, headers, and elements
+that a word of their class, id or role speaks against, are not unless they hold most of the page's
+text. After a heading such as "3 comments" come readers' comments, as far as that heading's element
+goes; a block of consent words about cookies is a notice.
 
 Cases: a null, empty or textless page gives an empty text; repeated rows each keep a row; other
 columns are left out. Broken markup is read as far as it goes: what opens with < and a letter is a
-tag, an unclosed comment or script runs to the end, and unmatched end tags are ignored.
+tag, an unclosed comment or script runs to the end, and unmatched end tags are ignored, in time that
+grows with the page's length alone.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -34,7 +42,8 @@ BLOCKS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary "
     "table tbody td tfoot th thead tr ul button svg math object audio video canvas".split()
 )
-NEVER = frozenset("head nav footer aside form button select menu dialog svg math object audio video canvas fieldset".split())
+NEVER = frozenset("head nav footer aside button select menu dialog svg math object audio video canvas".split())
+SELDOM = frozenset("form fieldset".split())
 #: Words of a class, id or role that say that an element is not main text.
 NEVER_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner cookie "
@@ -44,6 +53,17 @@ NEVER_WORDS = frozenset(
     "contentinfo complementary dialog form skip hidden".split()
 )
 HEADER_WORDS = frozenset(["header", "topbar"])
+#: With one of these, a class tells of a state of the page ("has-sidebar", "comments-open").
+STATE_WORDS = frozenset("has is no not with without open opened closed enabled disabled on off target".split())
+#: Headings over readers' comments, and words of notices about cookies of which a notice has two.
+COMMENT_HEADING = re.compile(
+    r"(\d+\s+)?((reader|user)s?\W*\s+)?(comments?|responses?|replies|kommentare?|leserkommentare|commentaires?|comentarios?|leave a (reply|comment)|post a comment|join the (discussion|conversation)|комментарии|评论)(\s*\W?\s*\d+\W?)?\W*",
+    re.I,
+)
+CONSENT_WORDS = re.compile(r"\b(cookies?|consent|accept|agree|privacy policy|akzeptieren|zustimmen|datenschutz|accepter|confidentialité|aceptar|privacidad)\b", re.I)
+NOTICE_LONGEST = 400
+#: An element that holds more of the page's text than this share is no aside, whatever it is called.
+MOST = 0.6
 STOP_WORDS = frozenset(
     "a about all also an and are as at be been but by can for from had has have he her his if in into is it its not of on one or "
     "our she so that the their there they this to was we were what when which who will with would you "
@@ -57,31 +77,36 @@ STOP_WORDS = frozenset(
 #: Shorter blocks are ambiguous; longer ones than the second need a lower density of stop words.
 SHORT, LONG = 70, 200
 STOP_LOW, STOP_HIGH = 0.2, 0.3
-LINKS_MOST = 0.5
+LINKS_MOST, LINKS_ALONE = 0.5, 0.2
 
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'/])(class|id|role|style|itemprop|aria-hidden|hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/>"']|$)""", re.I)
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""")
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _WORD = re.compile(r"[^\W\d_]+")
+_WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
+_COOKIES = frozenset(["cookie", "cookies"])
 
 
 @dataclass
 class Block:
     text: str
     linked: int  # characters in links
-    never: bool  # inside what is never main text
-    article: int  # number of the article or main element it stands in, or 0
-    group: int = 0  # the element that it stands in with its siblings
+    element: int  # the element that it stands in
+    group: int = 0  # the nearest element around it that holds blocks
     heading: bool = False
+    article: int = 0  # number of the article or main element it stands in, or 0
+    never: bool = False  # inside what is not main text
     label: bool | None = None
 
 
 @dataclass
-class _Open:
+class _Element:
     name: str
-    never: bool
+    parent: int
+    never: bool  # it or one around it is never main text
+    seldom: bool  # by itself: not main text unless it holds most of it
     article: int
-    number: int = 0
+    group: int
 
 
 @dataclass
@@ -89,12 +114,13 @@ class _Reader:
     """Blocks of a page in order."""
 
     blocks: list[Block] = field(default_factory=list)
-    stack: list[_Open] = field(default_factory=lambda: [_Open("", False, 0)])
+    elements: list[_Element] = field(default_factory=lambda: [_Element("", 0, False, False, 0, 0)])
+    stack: list[int] = field(default_factory=lambda: [0])
+    open_names: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
     in_link: bool = False
     articles: int = 0
-    elements: int = 0
 
     def text(self, raw: str) -> None:
         if "&" in raw:
@@ -107,20 +133,23 @@ class _Reader:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                top = self.stack[-1]
-                group = next(o.number for o in reversed(self.stack) if o.name not in _LEAVES)
-                self.blocks.append(Block(" ".join(words), len(" ".join("".join(self.links).split())), top.never, top.article, group, top.name in _HEADINGS))
+                top = self.elements[self.stack[-1]]
+                self.blocks.append(Block(" ".join(words), len(" ".join("".join(self.links).split())), self.stack[-1], top.group, top.name in _HEADINGS, top.article, top.never))
             self.parts.clear()
             self.links.clear()
 
     def close(self, name: str, until: frozenset[str] = frozenset()) -> None:
         """Closes the innermost open element of the name, unless one of ``until`` stands before it."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].name == name:
-                del self.stack[k:]
-                return
-            if self.stack[k].name in until:
+        if not self.open_names[name]:
+            return
+        k = len(self.stack) - 1
+        while (found := self.elements[self.stack[k]].name) != name:
+            if found in until:
                 return
+            k -= 1
+        for at in self.stack[k:]:
+            self.open_names[self.elements[at].name] -= 1
+        del self.stack[k:]
 
     def open(self, name: str, attributes: str) -> None:
         self.end_block()
@@ -132,27 +161,54 @@ class _Reader:
             self.close("dd", _DL_ENDS)
         if name in VOID:
             return
-        top = self.stack[-1]
-        never, article = top.never or name in NEVER or (name == "header" and not top.article), top.article
+        parent = self.stack[-1]
+        top = self.elements[parent]
+        never, article = top.never or name in NEVER, top.article
+        seldom = name in SELDOM or (name == "header" and not article)
         if attributes and not never:
             of: dict[str, str] = {}
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
                 of.setdefault(key.lower(), a or b or c)
-            words = set(re.split(r"[\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", " ".join(of.get(k, "") for k in ("class", "id", "role"))).lower()))
-            container = name not in ("html", "body")
-            never = container and (
-                not words.isdisjoint(NEVER_WORDS) or "hidden" in of or of.get("aria-hidden", "").lower() == "true"
-                or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", ""), re.I))
-                or (not article and name not in ("article", "main") and (not words.isdisjoint(HEADER_WORDS) or of.get("role", "").lower() == "banner"))
-            )
-            if not article and (of.get("role", "").lower() in ("main", "article") or of.get("itemprop", "").lower() == "articlebody"):
+            role = of.get("role", "").lower()
+            if name not in ("html", "body"):
+                never = "hidden" in of or of.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", ""), re.I))
+                if name not in ("article", "main"):
+                    against = NEVER_WORDS if article else NEVER_WORDS | HEADER_WORDS
+                    seldom = seldom or (not article and role == "banner") or any(_speaks(word, against) for k in ("class", "id", "role") for word in of.get(k, "").split())
+            if not article and (role in ("main", "article") or of.get("itemprop", "").lower() == "articlebody"):
                 self.articles += 1
                 article = self.articles
         if name in ("article", "main") and not article:
             self.articles += 1
             article = self.articles
-        self.elements += 1
-        self.stack.append(_Open(name, never, article, self.elements))
+        number = len(self.elements)
+        self.elements.append(_Element(name, parent, never, seldom, article, top.group if name in _LEAVES else number))
+        self.stack.append(number)
+        self.open_names[name] += 1
+
+    def settle(self) -> None:
+        """Decides which seldom elements are main text after all, now that all text is known."""
+        sizes, marked = [0] * len(self.elements), [0] * len(self.elements)
+        for b in self.blocks:
+            if not b.never:
+                sizes[b.element] += len(b.text)
+                marked[b.element] += bool(b.article)
+        for k in range(len(self.elements) - 1, 0, -1):
+            sizes[self.elements[k].parent] += sizes[k]
+            marked[self.elements[k].parent] += marked[k]
+        never = [False] * len(self.elements)
+        for k, e in enumerate(self.elements):
+            # One that leaves a marked article outside is no article itself.
+            most = sizes[k] > MOST * sizes[0] and (e.article > 0 or marked[k] == marked[0])
+            never[k] = never[e.parent] or e.never or (e.seldom and not most)
+        for b in self.blocks:
+            b.never = never[b.element]
+
+
+def _speaks(token: str, against: frozenset[str]) -> bool:
+    """Whether a class, id or role says that an element is not main text."""
+    words = set(re.split(r"[\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+    return not words.isdisjoint(against) and words.isdisjoint(STATE_WORDS)
 
 
 _P_ENDS = frozenset("div section article main aside nav header footer form td th li blockquote table body button object".split())
@@ -210,25 +266,56 @@ def read_blocks(html: str) -> list[Block]:
         elif name == "a":
             page.in_link = not closing
     page.end_block()
+    page.settle()
+    _end_with_comments(page)
     return page.blocks
 
 
+def _end_with_comments(page: _Reader) -> None:
+    """What follows a heading of comments, as far as its element goes, is never main text."""
+    around = -1  # the element whose rest is comments
+    for b in page.blocks:
+        if around >= 0:
+            at = b.element
+            while at > around:
+                at = page.elements[at].parent
+            if at == around:
+                b.never = True
+                continue
+            around = -1
+        if (b.heading or len(b.text) < 40) and COMMENT_HEADING.fullmatch(b.text) and not b.never:
+            b.never, around = True, b.group
+
+
+def _width(text: str) -> float:
+    """Characters, of which one of a script without spaces counts as three."""
+    return len(text) + 2 * len(_WIDE.findall(text))
+
+
 def classify(blocks: list[Block]) -> None:
     """Labels every block: main text or not."""
     marked = any(b.article and not b.never for b in blocks)
+    density = []
     for b in blocks:
+        words = _WORD.findall(b.text.lower())
+        density.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
         if b.never or (marked and not b.article) or b.linked > LINKS_MOST * len(b.text):
             b.label = False
-            continue
-        words = _WORD.findall(b.text.lower())
-        density = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if len(b.text) < SHORT:
-            b.label = None
-        elif density >= (STOP_LOW if len(b.text) > LONG else STOP_HIGH):
-            b.label = True
-        else:
-            # Long text of few stop words is main text only where the page says so.
-            b.label = True if b.article else False if density < STOP_LOW else None
+        elif len(b.text) <= NOTICE_LONGEST and len({w.lower() for w in CONSENT_WORDS.findall(b.text)} & _COOKIES) and len({w.lower() for w in CONSENT_WORDS.findall(b.text)}) > 1:
+            b.label = False
+    able = [(b, d) for b, d in zip(blocks, density, strict=True) if b.label is None]
+    long = [(len(b.text), d) for b, d in able if len(b.text) >= SHORT]
+    listed = 2 * sum(n for n, d in long if d >= STOP_LOW) > sum(n for n, _ in long)
+    for b, d in able:
+        if not listed:
+            if _width(b.text) >= SHORT:
+                b.label = b.linked <= LINKS_ALONE * len(b.text)
+        elif len(b.text) >= SHORT:
+            if d >= (STOP_LOW if len(b.text) > LONG else STOP_HIGH):
+                b.label = True
+            else:
+                # Long text of few stop words is main text only where the page says so.
+                b.label = True if b.article else False if d < STOP_LOW and (b.linked or len(b.text) <= LONG) else None
     decided = [b.label for b in blocks]
     # Nearest decided neighbours, in the same article where the page marks one.
     before: list[tuple[int, bool] | None] = []

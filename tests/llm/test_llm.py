@@ -80,6 +80,59 @@ def test_html_articles_and_broken_pages(spark):
     assert html.extract(rows.limit(0)).count() == 0
 
 
+PROSE = "It was the best of times, it was the worst of times, and that is what there was to say about it all, as they had said to us."
+MORE = "He had been to the town and it was what they said that it would be when we were there with the others in the rain."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><p>{0}</p><p>{1}</p></div><div class="sidebar"><p>{0}</p></div>',
+        '<article class="post comments-open"><p>{0}</p><p>{1}</p></article>',
+        '<main class="skip-link-target"><p>{0}</p><p>{1}</p></main>',
+        '<form id="aspnetForm"><div><p>{0}</p><p>{1}</p></div><input></form>',
+        '<body class="page sidebar"><div class="share-wrapper"><div><p>{0}</p><p>{1}</p></div></div>',
+        "<p>{0}</p><p>{1}</p><div><p>We use cookies to make this site better for you. Accept them all, or read what they are for.</p></div>",
+        "<article><p>{0}</p><p>{1}</p><div><h3>2 Comments</h3><p>I think that this is the best of all that I have read about it on the web, and so it is.</p></div></article>",
+        '<div><p>{0}</p><p>{1}</p></div><div class="comment-list"><p>{1}</p></div><form><p>{0}</p><input></form>',
+    ],
+)
+def test_html_keeps_main_text_whatever_it_is_called(page):
+    assert html.main_text(page.format(PROSE, MORE)) == f"{PROSE}\n\n{MORE}"
+
+
+def test_html_in_languages_without_listed_stop_words():
+    russian = "Вчера вечером мы пошли в магазин, чтобы купить хлеб, молоко и яблоки, но он был уже закрыт, и мы вернулись домой."
+    chinese = "昨天晚上我们去商店买面包、牛奶和苹果，可是商店已经关门了，所以我们只好回家，第二天早上再去。路上还下起了大雨。"
+    for text in (russian, chinese):
+        page = f'<ul><li><a href="/">{text[:9]}</a></li></ul><h1>{text[:12]}</h1><div><p>{text}</p><p>{text[::-1]}</p></div><p><a href="/a">{text}</a></p>'
+        assert html.main_text(page) == f"{text[:12]}\n\n{text}\n\n{text[::-1]}"
+
+
+@pytest.mark.parametrize("page", ["<div>" * 20_000 + "</section>" * 20_000, "<td>x" * 20_000, "<p>" * 20_000 + "</p>" * 20_000, "<li><div>x" * 20_000, "<h2>2 comments</h2>" + "<div>x" * 5_000, "<section>" + "<ul>" * 10_000 + "<p>x</ol>" * 10_000])
+def test_html_takes_linear_time(page):
+    import time
+
+    start = time.process_time()
+    html.main_text(page)
+    assert time.process_time() - start < 1
+
+
+def test_html_without_names_against_the_marked_article(spark):
+    """The driver's pages with the names of elements and classes taken out, against their articles."""
+    path = "/root/testdata/sf0.001/pages.parquet"
+    if not __import__("os").path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("needs the driver's tables")
+    both = sizes = 0
+    for r in spark.read.parquet(path).where("html is not null").collect():
+        want = html.main_text(r.html).split()
+        plain = regex.sub(r"<(/?)(article|nav|footer|aside|header|main)\b[^>]*>", r"<\1div>", regex.sub(r' (class|id)=("[^"]*"|[^ >]*)', "", r.html))
+        got = html.main_text(plain).split()
+        both += 2 * sum((Counter(want) & Counter(got)).values())
+        sizes += len(want) + len(got)
+    assert both > 0.9 * sizes
+
+
 # 3
 
 
