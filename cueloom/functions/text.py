@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 CJK = "[㐀-䶿一-鿿⺀-⿟豈-﫿]"
 HAN_BASIC = "[一-鿿]"
 SENTENCE_ENDS_ZH = "。？！…"
+# Abbreviations, without their last dot, that end no sentence, and fillers that do.
+ABBREVIATIONS = "dr mr mrs ms prof st jr sr capt gen e.g i.e etc vs inc ltd dept est ph.d ll.b ll.m b.a b.s m.a m.s".split()
+SPOKEN_FILLERS = "hmm um uh mm er ah oh".split()
 
 
 def lines(text: Column) -> Column:
@@ -34,8 +37,15 @@ def last_line(text: Column) -> Column:
 
 
 def ends_sentence(text: Column) -> Column:
-    """Ends like a sentence in either script."""
-    return strip(text).rlike("[.!?。？！…]$")
+    """Ends like a sentence in either script, and not in the dot of an abbreviation: of a listed one, of
+    capitals with dots between ("U.S."), or of a short word with a capital ("Mr."). Nothing ends one."""
+    bare = strip(text)
+    word = F.regexp_extract(bare, r"(\p{L}+(?:\.\p{L}+)*)\.$", 1)
+    letters = F.regexp_replace(word, r"\.", "")
+    dotted = F.contains(word, F.lit(".")) & (letters == F.upper(letters)) & (letters != F.lower(letters))
+    short = (F.length(word) <= 3) & word.rlike(r"^\p{Lu}")
+    abbreviation = (word != "") & ~F.lower(word).isin(SPOKEN_FILLERS) & (F.lower(word).isin(ABBREVIATIONS) | dotted | short)
+    return (bare == "") | (bare.rlike("[.!?。？！…]$") & ~abbreviation)
 
 
 def unescape_newlines(text: Column) -> Column:

@@ -25,6 +25,7 @@ NEGATION = frozenset("not never no don't doesn't didn't won't can't couldn't sho
 AUXILIARIES = frozenset("be am is are was were been being have has had having do does did doing will would shall should can could may might must".split())
 CONJUNCTIONS = frozenset("and but or nor yet so because while that which who whom whose when where whether if although though unless until since as than whereas except however then also still".split())
 PREPOSITIONS = frozenset("of in to for with on at from by about into through over under after before between during without within upon across along around behind beyond down off out up toward towards against among amongst beside besides above below near inside outside beneath underneath notwithstanding".split())
+ADJECTIVE_SUFFIXES = tuple("y ful less ive ous al able ible ent ant ic ish ary".split())
 DISCOURSE_MARKERS = frozenset("so now well anyway ok okay anyways anyhow look listen right alright".split())
 PHRASAL_ROOTS = frozenset("give look take put get come go bring turn set run work find break pick carry hold keep let make show call check cut drop fall fill grow hang pull push shut sit stand think throw wake walk write build start move pass hand point send pay lay step back".split())
 PHRASAL_PARTICLES = frozenset("up down in out on off away at for over through into around about back forward aside along ahead apart together".split())
@@ -73,11 +74,14 @@ def _bare(word: str) -> str:
 
 
 def must_stay_together(last: str, following: str) -> bool:
-    """Splitting between the words would orphan an article, an auxiliary, a pronoun or a particle."""
+    """Splitting between the words would orphan an article, an adjective, an auxiliary, a pronoun or a
+    particle, or part two words of a name."""
     a, b = _bare(last), _bare(following)
     if not a or not b or any(c in CLAUSE_PUNCT or c in SENTENCE_ENDS for c in last.strip()):
         return False
     weak = a in ARTICLES or a in AUXILIARIES or a in SUBJECT_PRONOUNS or a in NEGATION
+    weak = weak or any(a.endswith(x) and len(a) > len(x) + 1 for x in ADJECTIVE_SUFFIXES)
+    weak = weak or (last.strip()[0].isupper() and following.strip()[0].isupper() and a.isalpha() and b.isalpha())
     return weak or (a in PHRASAL_ROOTS and b in PHRASAL_PARTICLES) or b in OBJECT_PRONOUNS or a.replace(",", "").replace(".", "").isdigit()
 
 
@@ -334,12 +338,3 @@ def redistribute_timing(words: DataFrame, counts: DataFrame) -> DataFrame:
 
     k = F.col("k")
     return x.select("media_id", "turn", "k", bound(k).alias("start_ms"), bound(k + 1).alias("end_ms"), "confidence", F.get("w", ((k * F.col("n") - k * F.col("n") % m) / m).cast("int"))["speaker"].alias("speaker"))
-
-
-def spread_evenly(spans: DataFrame, parts: Column) -> DataFrame:
-    """n equal parts of [s, e] as rows."""
-    x = spans.withColumn("m", parts).withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    at = lambda k: F.col("s") + F.floor((F.col("e") - F.col("s")) * k / F.col("m"))
-    return x.select("media_id", "turn", "k", at(F.col("k")).alias("start_ms"), at(F.col("k") + 1).alias("end_ms"))
-
-

@@ -14,7 +14,7 @@ from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
 from cueloom.operators import folds, intervals, islands, sets
-from cueloom.plans import qc, review, rollups
+from cueloom.plans import qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
 from cueloom.sources import artifacts, subtitles
@@ -123,6 +123,14 @@ def _(s, d):
     return qc.fragment_runs(A.rule_cues(s, d), least=2)
 
 
+@query("qc_consecutive_fragments_5", """, x AS (
+  SELECT *, regexp_matches(regexp_replace(text, '\\s+$', ''), '[.!?。？！…]$') AS ends FROM rule_cues WHERE lang = 'en'
+), r AS (SELECT *, sum(ends::INTEGER) OVER (PARTITION BY media_id ORDER BY cue_no) AS run FROM x)
+SELECT media_id, min(cue_no) AS cue_no, count(*) AS n FROM r WHERE NOT ends GROUP BY media_id, run HAVING count(*) >= 5""")
+def _(s, d):
+    return qc.fragment_runs(A.rule_cues(s, d))
+
+
 @query("qc_similar_neighbours")
 def _(s, d):
     return qc.similar_neighbours(A.rule_cues(s, d))
@@ -277,6 +285,12 @@ def _(s, d):
     return qc.orphans(A.bilingual_cues(s, d), more_than=2000)
 
 
+@query("bilingual_orphans_50ms", _PAIRS + """SELECT media_id, lang, cue_no FROM bilingual b WHERE NOT EXISTS (
+  SELECT 1 FROM pairs p WHERE p.media_id = b.media_id AND CASE WHEN b.lang = 'en' THEN l_cue_no ELSE r_cue_no END = b.cue_no)""")
+def _(s, d):
+    return qc.orphans(A.bilingual_cues(s, d))
+
+
 @query("completeness_units", """SELECT media_id, cue_no, 'untranslated' AS kind FROM bilingual a WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM bilingual b WHERE b.lang = 'zh' AND b.media_id = a.media_id AND b.cue_no = a.cue_no)
 UNION ALL SELECT media_id, cue_no, 'orphan' FROM bilingual a WHERE lang = 'zh' AND NOT EXISTS (SELECT 1 FROM bilingual b WHERE b.lang = 'en' AND b.media_id = a.media_id AND b.cue_no = a.cue_no)""")
 def _(s, d):
@@ -312,20 +326,6 @@ def _(s, d):
     return folds.bilingual_groups(A.bilingual_cues(s, d))
 
 
-@query("terminology", """, g AS (SELECT p_name AS term, true AS of_source FROM part WHERE p_partkey <= 50 UNION ALL SELECT DISTINCT text, false FROM words WHERE word_no % 50 = 0 AND regexp_full_match(text, '[a-z]{6,}'))
-SELECT DISTINCT media_id, lang, cue_no, term FROM bilingual c JOIN g ON (c.lang <> 'en') = of_source AND contains(lower(c.text), lower(term))
-  AND list_contains(regexp_split_to_array(lower(c.text), '[^\\p{L}\\p{N}]+'), regexp_split_to_array(lower(term), '[^\\p{L}\\p{N}]+')[1])""")
-def _(s, d):
-    glossary = A.table(s, d, "part").where("p_partkey <= 50").select(F.col("p_name").alias("source"), F.lit("").alias("target"))
-    found = A.words(s, d).where((F.col("word_no") % 50 == 0) & F.col("text").rlike("^[a-z]{6,}$")).select(F.lit("").alias("source"), F.col("text").alias("target")).distinct()
-    glossary = glossary.unionByName(found)
-    # Its SQL takes only hits whose first word is a word of the cue.
-    words = lambda text: F.split(F.lower(text), r"[^\p{L}\p{N}]+")
-    x = A.bilingual_cues(s, d)
-    met = qc.terminology(x, glossary).join(x.select("media_id", "lang", "cue_no", "text"), ["media_id", "lang", "cue_no"])
-    return met.where(F.array_contains(words("text"), words("term")[0])).select("media_id", "lang", "cue_no", "term").distinct()
-
-
 def _whole_glossary(s: SparkSession, d: str) -> DataFrame:
     """All parts' names, and all distinct words on the target side."""
     parts = A.table(s, d, "part").select(F.col("p_name").alias("source"), F.lit("").alias("target"))
@@ -347,7 +347,11 @@ def _(s, d):
 
 # Units, chains and clean-up.
 
-_ENDS = "regexp_matches(regexp_replace(text, '\\s+$', ''), '[.!?。？！…]$')"
+_BARE = STRIP.format("text")
+_ABBREVIATED = "regexp_extract(" + _BARE + ", '(\\p{L}+(?:\\.\\p{L}+)*)\\.$', 1)"
+_ENDS = f"""({_BARE} = '' OR (regexp_matches({_BARE}, '[.!?。？！…]$') AND NOT ({_ABBREVIATED} <> '' AND lower({_ABBREVIATED}) NOT IN ({_quoted(T.SPOKEN_FILLERS)})
+  AND (lower({_ABBREVIATED}) IN ({_quoted(T.ABBREVIATIONS)}) OR (contains({_ABBREVIATED}, '.') AND upper({_ABBREVIATED}) = {_ABBREVIATED} AND lower({_ABBREVIATED}) <> {_ABBREVIATED})
+    OR (length({_ABBREVIATED}) <= 3 AND regexp_matches({_ABBREVIATED}, '^\\p{{Lu}}'))))))"""
 
 
 @query("compose_units", f""", x AS (
@@ -391,13 +395,34 @@ def _(s, d):
     return folds.annotation_timing(A.cues(s, d))
 
 
-@query("merge_segments", """, part_of AS (SELECT *, (media_id % 3)::BIGINT AS part FROM cues WHERE lang = 'en'), len AS (
-  SELECT part, max(end_ms) AS len FROM part_of GROUP BY part
-), off AS (SELECT part, coalesce(sum(len) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS o FROM len)
-SELECT media_id, cue_no, start_ms + o AS start_ms, end_ms + o AS end_ms FROM part_of JOIN off USING (part)""")
+@query("merge_segments", """, p AS (SELECT media_id, k AS part, max(end_ms) // 2 * k AS pos, max(end_ms) // 2 AS half FROM cues, range(2) AS t(k) GROUP BY media_id, k), local AS (
+  SELECT c.media_id, p.part, start_ms - greatest(pos - 10000, 0) AS s, CASE WHEN cue_no % 9 = 8 THEN start_ms - 1 ELSE end_ms END - greatest(pos - 10000, 0) AS e, text, pos, half
+  FROM cues c JOIN p ON c.media_id = p.media_id AND c.start_ms >= pos - 10000 AND c.start_ms <= pos + half + 10000 AND lang = 'en')
+SELECT DISTINCT media_id, s + greatest(pos - 10000, 0) AS start_ms, e + greatest(pos - 10000, 0) AS end_ms, text FROM local
+WHERE e >= s AND (part = 0 OR s + greatest(pos - 10000, 0) >= pos - 500) AND (part = 1 OR s + greatest(pos - 10000, 0) <= pos + half + 500)""")
+def _(s, d):
+    return units.merge_parts(*_parts_of(s, d, True))
+
+
+@query("merge_segments_margins", """, p AS (SELECT media_id, k AS part, max(end_ms) // 2 * k AS pos, max(end_ms) // 2 AS half FROM cues, range(2) AS t(k) GROUP BY media_id, k), local AS (
+  SELECT c.media_id, p.part, start_ms - greatest(pos - 10000, 0) AS s, CASE WHEN cue_no % 9 = 8 THEN start_ms - 1 ELSE end_ms END - greatest(pos - 10000, 0) AS e, text, pos, half
+  FROM cues c JOIN p ON c.media_id = p.media_id AND c.start_ms >= pos - 10000 AND c.start_ms <= pos + half + 10000 AND lang = 'en')
+SELECT DISTINCT media_id, s + greatest(pos - 10000, 0) AS start_ms, e + greatest(pos - 10000, 0) AS end_ms, text FROM local
+WHERE e >= s AND (part = 0 OR s >= 12000) AND (part = 1 OR s <= half + 20000 - 12000)""")
 def _(s, d):
-    x = A.cues(s, d).where("lang = 'en'").withColumn("part", F.col("media_id") % 3)
-    return folds.shift_parts(x, "part").select("media_id", "cue_no", "start_ms", "end_ms")
+    return units.merge_parts(*_parts_of(s, d, False))
+
+
+def _parts_of(s: SparkSession, d: str, known: bool) -> tuple[DataFrame, DataFrame]:
+    """Each media cut in two parts that overlap by ten seconds on either side; every ninth cue ends before it starts."""
+    c = A.cues(s, d)
+    p = c.groupBy("media_id").agg(F.floor(F.max("end_ms") / 2).alias("half")).withColumn("part", F.explode(F.array(F.lit(0), F.lit(1))))
+    p = p.withColumn("at", F.col("half") * F.col("part")).withColumn("offset_ms", F.greatest(F.col("at") - 10_000, F.lit(0)))
+    when = lambda x: x if known else F.lit(None).cast("long")
+    dim = p.select("media_id", "part", F.lit(2).alias("parts"), "offset_ms", (F.col("half") + 20_000).alias("part_ms"), when(F.col("at")).alias("split_from"), when(F.col("at") + F.col("half")).alias("split_to"))
+    x = c.where("lang = 'en'").join(p, "media_id").where((F.col("start_ms") >= F.col("at") - 10_000) & (F.col("start_ms") <= F.col("at") + F.col("half") + 10_000))
+    end = F.when(F.col("cue_no") % 9 == 8, F.col("start_ms") - 1).otherwise(F.col("end_ms"))
+    return x.select("media_id", "part", (F.col("start_ms") - F.col("offset_ms")).alias("start_ms"), (end - F.col("offset_ms")).alias("end_ms"), "text"), dim
 
 
 @query("low_score_groups", """, low AS (SELECT user_id AS media_id, event_id AS i FROM events WHERE value < 20), g AS (
@@ -448,11 +473,11 @@ def _(s, d):
     return intervals.asof_floor(e.where("event_type <> 'click'").select("user_id", "event_id", "t"), "t", marks, "key_ms", ["user_id"])
 
 
-@query("cue_at_time", """, t AS (SELECT DISTINCT media_id, unnest(range(0, 60000, 2500)) AS t FROM cues)
+@query("cue_at_time", """, t AS (SELECT media_id, unnest(range(0, max(end_ms) + 1, 2500)) AS t FROM cues GROUP BY media_id)
 SELECT t.media_id, t, min_by(cue_no, cue_no) AS cue_no FROM t JOIN cues c ON c.media_id = t.media_id AND start_ms <= t AND t < end_ms GROUP BY ALL""")
 def _(s, d):
     c = A.cues(s, d)
-    t = c.select("media_id").distinct().withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(57_500), F.lit(2500)))).withColumn("t", F.col("t").cast("long"))
+    t = c.groupBy("media_id").agg(F.max("end_ms").alias("last")).select("media_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"), F.lit(2500).cast("long"))).alias("t"))
     return intervals.point_join(t, "t", c, ["media_id"]).where("t < end_ms").groupBy("media_id", "t").agg(F.min("cue_no").alias("cue_no"))
 
 
@@ -629,13 +654,6 @@ def _(s, d):
     return folds.redistribute_timing(w, counts).withColumn("confidence", F.round("confidence", 9))
 
 
-@query("redistribute_timing", """, w AS (SELECT media_id, turn, min(start_ms) AS s, max(end_ms) AS e, count(*) AS n FROM words GROUP BY ALL)
-SELECT media_id, turn, k, s + (e - s) * k // (n + 1) AS start_ms, s + (e - s) * (k + 1) // (n + 1) AS end_ms FROM w, unnest(range(n + 1)) AS t(k)""")
-def _(s, d):
-    w = A.words(s, d).groupBy("media_id", "turn").agg(F.min("start_ms").alias("s"), F.max("end_ms").alias("e"), F.count(F.lit(1)).alias("n"))
-    return folds.spread_evenly(w, F.col("n") + 1)
-
-
 # Replies and what is made of them: replies are written as JSON with talk around them, and read back.
 
 
@@ -654,13 +672,18 @@ def _(s, d):
     return review.resolve(c.select("media_id", "cue_no"), got, ["media_id", "cue_no"])
 
 
-@query("merge_flags", f""", g AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - end_ms AS gap FROM segments)
-SELECT media_id, seq, seq % 2 = 1 AND NOT {_ENDS} AND (gap IS NULL OR gap < 300 OR regexp_matches({STRIP.format('lower(text)')}, '(,|，|、|\\b(and|but|or|because|that|which|of|to|the))$')) AS merge FROM g""")
-def _(s, d):
-    x = A.segments(s, d)
-    r = _replies(x, ["media_id"], "seq", F.struct(F.col("seq").cast("int").alias("batch_index"), (F.col("seq") % 2 == 1).alias("merge_with_next")))
-    flags = review.items(r, "merge_review", ["media_id"]).select("media_id", F.col("batch_index").cast("long").alias("seq"), F.col("merge_with_next").alias("flag"))
-    return review.merge_flags(x, flags, far_ms=300)
+def _merge_flags(far_ms: int) -> None:
+    @query("merge_flags" if far_ms == 300 else f"merge_flags_{far_ms}ms", f""", g AS (SELECT *, lead(start_ms) OVER (PARTITION BY media_id ORDER BY seq) - end_ms AS gap FROM segments)
+SELECT media_id, seq, seq % 2 = 1 AND NOT {_ENDS} AND (gap IS NULL OR gap < {far_ms} OR regexp_matches({STRIP.format('lower(text)')}, '(,|，|、|\\b(and|but|or|because|that|which|of|to|the))$')) AS merge FROM g""")
+    def _(s, d):
+        x = A.segments(s, d)
+        r = _replies(x, ["media_id"], "seq", F.struct(F.col("seq").cast("int").alias("batch_index"), (F.col("seq") % 2 == 1).alias("merge_with_next")))
+        flags = review.items(r, "merge_review", ["media_id"]).select("media_id", F.col("batch_index").cast("long").alias("seq"), F.col("merge_with_next").alias("flag"))
+        return review.merge_flags(x, flags, far_ms=far_ms)
+
+
+for _far in (300, 800):
+    _merge_flags(_far)
 
 
 @query("merge_budget", "SELECT media_id, greatest(1, ceil(count(*) / 24)::BIGINT) AS budget FROM segments GROUP BY media_id")
@@ -716,6 +739,15 @@ def _(s, d):
     return review.split_long(A.segments(s, d), 2000)
 
 
+@query("split_long_segments_5s", f""", n AS (SELECT *, end_ms - start_ms AS dur, CASE WHEN end_ms - start_ms <= 5000 THEN 1 ELSE greatest(2, (end_ms - start_ms) // 5000 + 1) END AS n FROM segments),
+p AS (SELECT *, greatest(1, length(text) // n) AS each FROM n), x AS (SELECT *, unnest(range(n)) AS i FROM p),
+y AS (SELECT media_id, seq, i, start_ms + dur * i // n AS start_ms, start_ms + dur * (i + 1) // n AS end_ms, dur,
+  CASE WHEN n = 1 THEN text ELSE {STRIP.format('substr(text, i * each + 1, CASE WHEN i = n - 1 THEN length(text) ELSE each END)')} END AS text FROM x)
+SELECT media_id, seq, i, start_ms, end_ms, text FROM y WHERE text <> '' OR dur <= 5000""")
+def _(s, d):
+    return review.split_long(A.segments(s, d), 5000)
+
+
 @query("transcript_text", "SELECT media_id, string_agg('[' || upper(speaker) || '] ' || text, chr(10) ORDER BY seq) AS text FROM segments GROUP BY media_id")
 def _(s, d):
     return review.transcript_text(A.segments(s, d))
@@ -768,3 +800,201 @@ def _(s, d):
     saved = x.where("seq % 3 = 0").groupBy("media_id").agg(listed.alias("content"))
     done = artifacts.load_partial(saved, "content", ["media_id"], finger)
     return artifacts.pending(x, done, ["media_id", "unit_id"]).select("media_id", "seq", "unit_id")
+
+
+# Units and their words.
+
+
+@query("source_cues", "SELECT media_id, 'src_' || lpad((row_number() OVER (PARTITION BY media_id ORDER BY seq) - 1)::VARCHAR, 4, '0') AS cue_id, unit_id, start_ms, end_ms, text, 'en' AS lang, speaker FROM segments")
+def _(s, d):
+    return units.source_cues(A.segments(s, d), "en")
+
+
+@query("slice_words", """, f AS (SELECT u.media_id, u.cue_no, count(*) AS n, min(word_no) AS a, max(word_no) AS b FROM word_cues u JOIN words w ON w.media_id = u.media_id
+  AND w.start_ms >= u.start_ms + 100 - 50 AND w.end_ms <= u.end_ms - 300 + 50 GROUP BY ALL), e AS (SELECT media_id, count(*) AS n, min(word_no) AS a, max(word_no) AS b FROM words GROUP BY ALL)
+SELECT u.media_id, u.cue_no::VARCHAR AS unit_id, coalesce(f.n, e.n, 0) AS n_words, coalesce(f.a, e.a) AS from_word, coalesce(f.b, e.b) AS to_word, f.n IS NULL AS whole
+FROM word_cues u LEFT JOIN f USING (media_id, cue_no) LEFT JOIN e USING (media_id)""")
+def _(s, d):
+    u = A.word_cues(s, d).select("media_id", F.col("cue_no").cast("string").alias("unit_id"), (F.col("start_ms") + 100).alias("start_ms"), (F.col("end_ms") - 300).alias("end_ms"))
+    return units.slice_words(A.words(s, d), u)
+
+
+_CHAINS = """, uw AS (SELECT media_id, 'u' || (turn + 1)::VARCHAR AS unit_id, word_no, text FROM words WHERE turn % 5 <> 4), t AS (
+  SELECT media_id, cue_no, ['u' || cue_no] || CASE WHEN cue_no % 2 = 1 THEN ['u' || (cue_no + 1)] ELSE [] END AS us FROM bilingual WHERE lang = 'zh'
+), ch AS (SELECT media_id, cue_no, unnest(us) AS unit_id, unnest(range(len(us))) AS place FROM t) """
+
+
+def _chained(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Target cues of one or two units, and the words of the units that have some."""
+    unit = lambda n: F.concat(F.lit("u"), n.cast("string"))
+    t = A.bilingual_cues(s, d).where("lang = 'zh'").withColumn("unit_id", unit(F.col("cue_no"))).withColumn("merged_from", F.when(F.col("cue_no") % 2 == 1, F.array(unit(F.col("cue_no") + 1))))
+    w = A.words(s, d).where("turn % 5 <> 4").select("media_id", unit(F.col("turn") + 1).alias("unit_id"), "word_no", "text")
+    return t, w
+
+
+@query("attach_words", _CHAINS + "SELECT media_id, cue_no, string_agg(text, ' ' ORDER BY place, word_no) AS words FROM ch JOIN uw USING (media_id, unit_id) GROUP BY ALL")
+def _(s, d):
+    return units.attach_words(*_chained(s, d)).select("media_id", "cue_no", F.array_join("texts", " ").alias("words"))
+
+
+@query("matched_by_units", _CHAINS + """, own AS (SELECT media_id, unit_id, trim(string_agg(text, '' ORDER BY word_no)) AS own FROM uw GROUP BY ALL),
+m AS (SELECT media_id, cue_no, string_agg(own, ' ' ORDER BY place) AS source_text FROM ch JOIN own USING (media_id, unit_id) WHERE own <> '' GROUP BY ALL)
+SELECT media_id, cue_no, source_text FROM t LEFT JOIN m USING (media_id, cue_no)""")
+def _(s, d):
+    return units.matched_by_units(*_chained(s, d))
+
+
+@query("unmatched_by_units", _CHAINS + """SELECT media_id, cue_no FROM t WHERE NOT EXISTS (SELECT 1 FROM ch JOIN uw USING (media_id, unit_id) WHERE ch.media_id = t.media_id AND ch.cue_no = t.cue_no AND text <> '')""")
+def _(s, d):
+    return units.unresolved(*_chained(s, d)).select("media_id", "cue_no")
+
+
+@query("timestamp_mismatches", """SELECT media_id, unit_id, abs((seq % 5) * 1000 - 500) AS off_ms FROM segments WHERE abs((seq % 5) * 1000 - 500) > 3000""")
+def _(s, d):
+    x = A.segments(s, d)
+    return units.timestamp_mismatches(x.withColumn("start_ms", F.col("start_ms") + (F.col("seq") % 5) * 1000 - 500), x)
+
+
+@query("split_bilingual", f"""SELECT media_id, cue_no, CASE WHEN k = 3 THEN {STRIP.format('text')} || chr(10) || '你好' ELSE {STRIP.format('text')} END AS target, CASE k WHEN 0 THEN 'Marked  text' WHEN 1 THEN 'Blank line' WHEN 2 THEN 'last line' ELSE '' END AS source
+FROM (SELECT *, cue_no % 5 AS k FROM bilingual WHERE lang = 'zh' AND {STRIP.format('text')} <> '' AND NOT contains(text, chr(10)))""")
+def _(s, d):
+    x = A.bilingual_cues(s, d).where((F.col("lang") == "zh") & (T.strip(F.col("text")) != "") & ~F.contains("text", F.lit("\n"))).withColumn("k", F.col("cue_no") % 5)
+    tail = F.when(F.col("k") == 0, "\n<<EN>>\nMarked  text ").when(F.col("k") == 1, "\n\nBlank line").when(F.col("k") == 2, "\n last line").when(F.col("k") == 3, "\n<<EN>>\n你好").otherwise("")
+    one, two = units.split_bilingual(F.concat(T.strip(F.col("text")), tail))
+    return x.select("media_id", "cue_no", one.alias("target"), two.alias("source"))
+
+
+@query("mean_confidence", "SELECT media_id, turn, round(avg(confidence), 9) AS confidence, count(*) FILTER (word_no % 4 = 0) AS changed FROM words GROUP BY ALL")
+def _(s, d):
+    w = A.words(s, d)
+    return units.mean_confidence(w, _corrected(w)).withColumn("confidence", F.round("confidence", 9))
+
+
+def _corrected(words: DataFrame) -> DataFrame:
+    """Every second word again, of which every other one has been changed."""
+    return words.where("word_no % 2 = 0").select("media_id", "word_no", F.concat("text", F.when(F.col("word_no") % 4 == 0, "!").otherwise("")).alias("text"))
+
+
+@query("correction_log", "SELECT media_id, word_no, text AS before, text || CASE WHEN word_no % 4 = 0 THEN '!' ELSE '' END AS after, word_no % 4 = 0 AS changed FROM words")
+def _(s, d):
+    w = A.words(s, d)
+    return units.correction_log(w, _corrected(w))
+
+
+@query("compose_json_round_trip", "SELECT media_id, unit_id, start_ms, end_ms, text, speaker FROM segments")
+def _(s, d):
+    return units.read_compose_json(units.compose_json(A.segments(s, d), ["media_id"]), "content", ["media_id"])
+
+
+@query("raw_cues_json", "SELECT media_id, seq AS cue_no, unit_id, speaker, seq % 3 = 0 AS merged FROM (SELECT media_id, seq, unit_id, CASE WHEN seq % 4 <> 0 THEN speaker END AS speaker FROM segments)")
+def _(s, d):
+    x = A.segments(s, d).withColumnRenamed("seq", "cue_no").withColumn("speaker", F.when(F.col("cue_no") % 4 != 0, F.col("speaker")))
+    x = units.raw_cues_json(x.withColumn("merged_from", F.when(F.col("cue_no") % 3 == 0, F.array("unit_id")).otherwise(F.array().cast("array<string>"))))
+    return x.select("media_id", "cue_no", F.get_json_object("json", "$.unit_id").alias("unit_id"), F.get_json_object("json", "$.speaker").alias("speaker"), F.contains("json", F.lit('"merged_from"')).alias("merged"))
+
+
+# Runs, files and the catalog.
+
+
+@query("issues_by_severity", "SELECT issue_no, rule, severity, CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS severity_rank FROM issues")
+def _(s, d):
+    return runs.by_severity(A.issues(s, d)).select("issue_no", "rule", "severity", F.col("severity_rank").cast("int").alias("severity_rank"))
+
+
+@query("regression_verdict", """, r AS (SELECT rule, count(*) FILTER (run = 'baseline') AS b, count(*) FILTER (run = 'current') AS c, {0} FROM issues GROUP BY rule),
+t AS (SELECT {1}, sum(greatest(c - b, 0))::BIGINT AS new_issues, string_agg('strict rule ' || rule || ': ' || b || ' to ' || c, '; ' ORDER BY 'strict rule ' || rule || ': ' || b || ' to ' || c) FILTER (rule IN ('click', 'purchase') AND c > b) AS s FROM r)
+SELECT errors_delta, warnings_delta, suggestions_delta, new_issues, errors_delta > 0 OR s IS NOT NULL AS degraded,
+  array_to_string(list_filter([CASE WHEN errors_delta > 0 THEN 'errors: +' || errors_delta END, s, CASE WHEN new_issues > 0 THEN new_issues || ' new issues' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM t""".format(
+    ", ".join(f"count(*) FILTER (severity = '{v}' AND run = 'current') - count(*) FILTER (severity = '{v}' AND run = 'baseline') AS {v}" for v in runs.SEVERITIES), ", ".join(f"sum({v})::BIGINT AS {v}s_delta" for v in runs.SEVERITIES)))
+def _(s, d):
+    return runs.verdict(A.issues(s, d), ["click", "purchase"])
+
+
+_PLAN = ["download", "transcribe", "correct", "translate", "layout", "export"]
+_STEPS = f"""[{_quoted(_PLAN)}]"""
+_RUNS = f""", ev AS (SELECT user_id AS run, event_id AS seq, CASE event_id % 11 WHEN 0 THEN 'failed' WHEN 1 THEN 'interrupted' WHEN 2 THEN 'done' WHEN 3 THEN 'running' WHEN 4 THEN 'running' WHEN 5 THEN 'running' ELSE 'completed' END AS kind,
+  CASE WHEN event_id % 11 = 2 THEN NULL ELSE {_STEPS}[(event_id // 3 % 6 + 1)::INTEGER] END AS step FROM events WHERE value < 50
+), st AS (SELECT run, max_by(kind, seq) FILTER (kind IN ('running', 'failed', 'interrupted', 'done')) AS lk, max_by(kind, seq) FILTER (kind IN ('running', 'failed', 'interrupted')) AS fk,
+  max_by(step, seq) FILTER (kind IN ('running', 'failed', 'interrupted')) AS fs, max_by(kind, seq) FILTER (kind IN ('running', 'done')) AS ck,
+  max_by(coalesce(step, ''), seq) FILTER (kind IN ('running', 'done')) AS cs, coalesce(list_sort(list(DISTINCT step) FILTER (kind = 'completed')), []) AS completed FROM ev GROUP BY run
+), state AS (SELECT run, CASE WHEN lk = 'done' THEN 'completed' ELSE coalesce(lk, 'running') END AS status, CASE WHEN ck = 'running' THEN cs END AS current_step, CASE WHEN fk <> 'running' THEN fs END AS failed_step, completed FROM st) """
+
+
+def _states(s: SparkSession, d: str) -> DataFrame:
+    """Events of low value as the steps of runs."""
+    e, m = A.table(s, d, "events").where("value < 50"), F.col("event_id") % 11
+    kind = F.when(m == 0, "failed").when(m == 1, "interrupted").when(m == 2, "done").when(m <= 5, "running").otherwise("completed")
+    step = F.when(m != 2, F.get(F.array(*map(F.lit, _PLAN)), (F.floor(F.col("event_id") / 3) % 6).cast("int")))
+    return runs.run_state(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), step.alias("step")))
+
+
+@query("run_states", _RUNS + "SELECT run, status, current_step, failed_step, array_to_string(completed, ',') AS completed FROM state")
+def _(s, d):
+    return _states(s, d).withColumn("completed", F.array_join("completed", ","))
+
+
+@query("resume_steps", _RUNS + f"""SELECT run, coalesce(list_position({_STEPS}, CASE WHEN status = 'interrupted' AND current_step IS NOT NULL THEN current_step ELSE coalesce(failed_step, current_step) END) - 1,
+  list_filter(range(6), lambda i: NOT list_contains(completed, {_STEPS}[(i + 1)::INTEGER]))[1], 6)::BIGINT AS step_no FROM state""")
+def _(s, d):
+    return runs.resume_step(_states(s, d), _PLAN)
+
+
+@query("missing_artifacts", "SELECT o_custkey AS run, o_orderstatus AS step, o_orderkey::VARCHAR AS path FROM orders WHERE o_orderkey % 4 = 0")
+def _(s, d):
+    x = A.table(s, d, "orders").select(F.col("o_custkey").alias("run"), F.col("o_orderstatus").alias("step"), F.col("o_orderkey").cast("string").alias("path"))
+    return runs.missing_artifacts(x, x.where(F.col("path").cast("long") % 4 != 0))
+
+
+@query("glossary_override", "SELECT p_partkey, p_brand || '-own' AS brand, CASE WHEN p_partkey % 2 = 0 THEN p_type END AS type, p_name AS container FROM part")
+def _(s, d):
+    own = F.create_map(F.lit("brand"), F.concat("p_brand", F.lit("-own")), F.lit("container"), F.col("p_name"))
+    auto = F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("brand"), F.col("p_brand"), F.lit("type"), F.col("p_type")))
+    x = A.table(s, d, "part").select("p_partkey", runs.override(auto, own).alias("m"))
+    return x.select("p_partkey", *(F.try_element_at("m", F.lit(k)).alias(k) for k in ("brand", "type", "container")))
+
+
+@query("first_hints", "SELECT l_suppkey AS curr_unit_id, l_linenumber AS next_unit_id, min(l_orderkey) AS hint FROM lineitem GROUP BY ALL")
+def _(s, d):
+    x = A.table(s, d, "lineitem").select(F.col("l_suppkey").alias("curr_unit_id"), F.col("l_linenumber").alias("next_unit_id"), F.col("l_orderkey").alias("hint"))
+    return runs.first_of_pair(x, ("curr_unit_id", "next_unit_id"), ["hint"])
+
+
+_FILES = """, files AS (SELECT o_custkey AS dir, CASE o_orderkey % 9 WHEN 0 THEN 'talk_p1.mp4' WHEN 1 THEN 'talk_p2.mp4' WHEN 2 THEN 'talk.mkv' WHEN 3 THEN 'talk_p1.zh.srt' WHEN 4 THEN 'talk.en.vtt'
+    WHEN 5 THEN 'zh.srt' WHEN 6 THEN 'bilingual.ass' WHEN 7 THEN 'talk.annotations.vtt' ELSE 'notes.txt' END AS name FROM orders GROUP BY ALL
+), stems AS (SELECT *, regexp_replace(name, '\\.[^.]*$', '') AS stem FROM files), v0 AS (
+  SELECT dir, name AS video, stem, regexp_extract(stem, '_p(\\d+)$', 1) AS part FROM stems WHERE regexp_matches(name, '\\.(mp4|webm|mkv)$')
+), v AS (SELECT *, count(*) OVER (PARTITION BY dir) AS n FROM (SELECT *, bool_or(part <> '') OVER (PARTITION BY dir) AS parts FROM v0) WHERE NOT parts OR part <> ''
+), subs AS (SELECT dir, name AS subtitle, stem AS sub_stem FROM stems WHERE regexp_matches(name, '(?i)\\.(srt|vtt|ass)$')
+), own AS (SELECT v.dir, video, CASE WHEN part <> '' THEN 'p' || part ELSE '' END AS segment, subtitle, CASE WHEN sub_stem = stem THEN subtitle ELSE substr(subtitle, length(stem) + 2) END AS key
+  FROM subs s JOIN v ON s.dir = v.dir AND (sub_stem = stem OR starts_with(sub_stem, stem || '.'))
+), lone AS (SELECT v.dir, video, CASE WHEN part <> '' THEN 'p' || part ELSE '' END AS segment, subtitle, subtitle AS key FROM subs s JOIN v ON s.dir = v.dir AND n = 1 WHERE NOT ends_with(lower(subtitle), '.ass')
+  AND NOT EXISTS (SELECT 1 FROM own o WHERE o.dir = v.dir AND o.video = v.video AND o.key = s.subtitle)
+), bare AS (SELECT dir, '' AS video, '' AS segment, subtitle, subtitle AS key FROM subs WHERE NOT ends_with(lower(subtitle), '.ass') AND dir NOT IN (SELECT dir FROM v)
+), found AS (SELECT * FROM own UNION ALL SELECT * FROM lone UNION ALL SELECT * FROM bare), chunks AS (
+  SELECT * FROM found UNION ALL SELECT dir, video, CASE WHEN part <> '' THEN 'p' || part ELSE '' END, NULL, NULL FROM v WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.dir = v.dir AND f.video = v.video)) """
+
+
+def _library(s: SparkSession, d: str) -> DataFrame:
+    m = F.col("o_orderkey") % 9
+    name = F.lit("notes.txt")
+    for k, n in enumerate(["talk_p1.mp4", "talk_p2.mp4", "talk.mkv", "talk_p1.zh.srt", "talk.en.vtt", "zh.srt", "bilingual.ass", "talk.annotations.vtt"]):
+        name = F.when(m == k, n).otherwise(name)
+    return A.table(s, d, "orders").select(F.col("o_custkey").alias("dir"), name.alias("name")).distinct()
+
+
+@query("library_chunks", _FILES + "SELECT dir, video, segment, subtitle, key FROM chunks")
+def _(s, d):
+    return runs.discover(_library(s, d))
+
+
+@query("subtitle_paths", _FILES + """, k AS (SELECT dir, video, min(subtitle) FILTER (key = 'zh.srt') AS a, min(subtitle) FILTER (ends_with(key, '.zh.srt')) AS b FROM chunks GROUP BY ALL)
+SELECT * FROM (SELECT k.dir, k.video, coalesce(a, b, (SELECT min(name) FROM files f WHERE f.dir = k.dir AND name = 'zh.srt'), (SELECT min(name) FROM files f WHERE f.dir = k.dir AND name = regexp_replace(k.video, '\\.[^.]*$', '') || '.zh.srt')) AS path FROM k) WHERE path IS NOT NULL""")
+def _(s, d):
+    files = _library(s, d)
+    return runs.resolve_subtitle(runs.discover(files), files, "zh", "srt")
+
+
+@query("subtitle_languages", _FILES + """SELECT dir, name, CASE WHEN NOT (contains(name, '.annotations.') OR starts_with(name, 'annotations.') OR starts_with(name, 'bilingual'))
+  THEN lower(coalesce(nullif(regexp_extract(name, '(?i)^([a-z]{2})\\.(?:srt|vtt|ass)$', 1), ''), nullif(regexp_extract(name, '(?i)\\.([a-z]{2})\\.(?:srt|vtt|ass)$', 1), ''))) END AS lang FROM files""")
+def _(s, d):
+    return _library(s, d).select("dir", "name", runs.subtitle_language(F.col("name")).alias("lang"))
