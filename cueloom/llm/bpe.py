@@ -2,8 +2,9 @@
 
 Every text is cut into pre-tokens by the pattern, the pre-tokens are exploded with their positions,
 each distinct pre-token of the corpus is encoded once, and its ids are joined back to all its
-occurrences and put in place by position (see ``wordshuffle``). Decoding looks every id up in the
-token-byte table, which the vocabulary bounds (about 50,000 rows, under 1 MB).
+occurrences and put in place by position (see ``wordshuffle``). Decoding joins every id to the
+token-byte table, which the vocabulary bounds (about 50,000 rows, under 1 MB): the table is sent to
+each worker once and looked up there, which is a broadcast join without rows of their own for ids.
 
 Cases: a null or empty text has no ids; null ids decode to null bytes; ids that the vocabulary lacks,
 and null ids in a list, decode to U+FFFD; repeated rows and null or repeated keys each keep a row of
@@ -28,6 +29,9 @@ from pyspark.sql import types as T
 
 from cueloom.llm import wordshuffle as ws
 
+#: Pre-tokens whose ids a task remembers; beyond it starts anew.
+KNOWN = 1_000_000
+
 
 @lru_cache(maxsize=2)
 def load_ranks(name: str) -> dict[bytes, int]:
@@ -88,6 +92,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc_id",
         known: dict[bytes, list[int]] = {}
 
         def ids_of(words: list[bytes], _: list[np.ndarray]) -> list[np.ndarray]:
+            if len(known) > KNOWN:
+                known.clear()
             for word in words:
                 if word not in known:
                     known[word] = one(word)

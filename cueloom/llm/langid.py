@@ -35,7 +35,7 @@ DIMENSIONS, LONGEST = 8192, 3
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 12
 #: A cosine is too small below this share of the quantile ``REJECT_QUANTILE`` of a centroid's own rows,
 #: or of the language's, if the centroid has fewer than ``OWN_ROWS``.
-REJECT_SHARE, REJECT_QUANTILE, OWN_ROWS = 0.5, 0.01, 50
+REJECT_SHARE, REJECT_QUANTILE, OWN_ROWS = 0.36, 0.01, 50
 #: ASCII letters in lower case, other ASCII as a space, everything else as it is.
 _TABLE = bytes(b if b >= 128 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 

@@ -98,6 +98,8 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, key: str = "doc
         known: dict[bytes, int] = {}
 
         def counts_of(words: list[bytes], _: list[np.ndarray]) -> list[np.ndarray]:
+            if len(known) > bpe.KNOWN:
+                known.clear()
             for word in sorted(set(words).difference(known)):
                 known[word] = trie.insert(word)
             return [np.array([known[word] for word in words]), np.array([len(word) for word in words])]
