@@ -113,9 +113,10 @@ def parse_records(records: DataFrame, record: str = "record") -> DataFrame:
 def report(spark: SparkSession, path: str, key: str = "page_id") -> DataFrame:
     """(key, payload_bytes, payload_digest, record_type, refers_to) of an archive read back: all of it is
     out of the records' bytes. A revisit meets the response that its header names, whose payload it has."""
-    read = parse_records(read_records(spark, path))
     size, digest = F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.upper(F.sha1("payload"))).alias("payload_digest")
-    responses = cut(read.where("warc_type = 'response'").select("key", "record_id", size, digest))
+    # Records are put together and parsed once; what is left of them is small.
+    read = cut(parse_records(read_records(spark, path)).select("key", "warc_type", "record_id", "refers_to_id", size, digest))
+    responses = read.where("warc_type = 'response'").select("key", "record_id", "payload_bytes", "payload_digest")
     revisits = read.where("warc_type = 'revisit'").select("key", F.col("refers_to_id").alias("record_id"))
     met = revisits.join(responses.withColumnRenamed("key", "refers_to"), "record_id")
     columns = [F.col("key").alias(key), "payload_bytes", "payload_digest"]
