@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cueloom import adapters as A
@@ -13,8 +13,8 @@ from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
-from cueloom.operators import folds, intervals, islands, sets
-from cueloom.plans import qc, review, rollups, runs, units
+from cueloom.operators import entry, folds, intervals, islands, segmentation, sets
+from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
 from cueloom.sources import artifacts, subtitles
@@ -998,3 +998,127 @@ def _(s, d):
   THEN lower(coalesce(nullif(regexp_extract(name, '(?i)^([a-z]{2})\\.(?:srt|vtt|ass)$', 1), ''), nullif(regexp_extract(name, '(?i)\\.([a-z]{2})\\.(?:srt|vtt|ass)$', 1), ''))) END AS lang FROM files""")
 def _(s, d):
     return _library(s, d).select("dir", "name", runs.subtitle_language(F.col("name")).alias("lang"))
+
+
+# Chinese words by a dictionary: the cues without their spaces, with a line end in the middle, and their own words.
+
+_HAN = """, spaced AS (SELECT media_id, lang, cue_no, text, replace(text, ' ', '') AS t FROM cues WHERE lang = 'zh'),
+  han AS (SELECT media_id, lang, cue_no, left(t, length(t) // 2) || chr(10) || substr(t, length(t) // 2 + 1) AS text FROM spaced),
+  dict AS (SELECT word, count(*) AS freq FROM (SELECT unnest(regexp_extract_all(text, '[一-鿿]+')) AS word FROM spaced) GROUP BY word HAVING count(*) > 2)"""
+_CUT = """, runs AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[一-鿿]{2,}')) AS run FROM texts),
+  known AS (SELECT word, round(ln(freq / (SELECT sum(freq) FROM dict)) * 1000000)::BIGINT AS w FROM dict),
+  ats AS (SELECT run, unnest(range(1, length(run) + 1)) AS i FROM runs),
+  spans AS (SELECT run, i, unnest(range(1, least((SELECT max(length(word)) FROM dict), length(run) - i + 1) + 1)) AS n FROM ats),
+  dag AS MATERIALIZED (SELECT run, i, list(struct_pack(w := coalesce(w, round(ln(1 / (SELECT sum(freq) FROM dict)) * 1000000)::BIGINT), n := n)) AS c
+    FROM spans LEFT JOIN known ON word = substr(run, i, n) WHERE w IS NOT NULL OR n = 1 GROUP BY run, i),
+  route AS MATERIALIZED (SELECT run, length(run) + 1 AS i, [0::BIGINT] AS s, []::BIGINT[] AS p, (SELECT max(length(word)) FROM dict) AS m FROM runs
+    UNION ALL SELECT run, i, list_prepend(b.w, s)[1:m], list_prepend(b.n, p), m FROM (
+      SELECT r.run, d.i, s, p, m, list_max(list_transform(c, lambda x: struct_pack(w := x.w + s[x.n], n := x.n))) AS b FROM route r JOIN dag d ON d.run = r.run AND d.i = r.i - 1)),
+  walk AS (SELECT run, p, 1::BIGINT AS k FROM route WHERE i = 1 UNION ALL SELECT run, p, k + p[k] FROM walk WHERE k + p[k] <= length(run)),
+  pieces AS (SELECT * EXCLUDE (text, ps), unnest(ps) AS piece, unnest(range(len(ps))) AS place FROM (SELECT *, regexp_extract_all(text, '(?s)[一-鿿]+|[A-Za-z0-9]+|.') AS ps FROM texts)),
+  placed AS (SELECT *, sum(length(piece)) OVER (PARTITION BY rule, media_id, cue_no, sub_no ORDER BY place) - length(piece) AS off FROM pieces),
+  cut AS (SELECT * EXCLUDE (piece, place, off, run, p, k), substr(run, k, p[k]) AS word, off + k - 1 AS first FROM placed JOIN walk ON run = piece
+    UNION ALL SELECT * EXCLUDE (piece, place, off), piece, off FROM placed WHERE NOT regexp_full_match(piece, '[一-鿿]{2,}'))"""
+_BORDERS = f""", near AS (SELECT *, {STRIP.format("string_split(text, chr(10))[1]")} AS head, {STRIP.format("string_split(prev_text, chr(10))[-1]")} AS tail
+  FROM (SELECT *, string_split(text, chr(10)) AS lines, lag(cue_no) OVER w AS prev_no, lag(text) OVER w AS prev_text FROM han WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)))"""
+
+
+def _han(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Chinese cues without spaces, and the words that they have more than twice."""
+    cues = A.cues(s, d).where("lang = 'zh'")
+    t = F.replace("text", F.lit(" "), F.lit(""))
+    half = F.floor(F.length(t) / 2).cast("int")
+    han = cues.select("media_id", "lang", "cue_no", F.concat(F.left(t, half), F.lit("\n"), F.substr(t, half + 1)).alias("text"))
+    words = cues.select(F.explode(F.regexp_extract_all("text", F.lit(f"{T.HAN_BASIC}+"), 0)).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
+    return han, words.where("freq > 2")
+
+
+@query("segment_han", f"{_HAN}, texts AS (SELECT '' AS rule, media_id, cue_no, 0 AS sub_no, text FROM han){_CUT} SELECT media_id, cue_no, first::INTEGER AS first, word FROM cut")
+def _(s, d):
+    han, words = _han(s, d)
+    return segmentation.segment(han, ["media_id", "cue_no"], words).select("media_id", "cue_no", "first", "word")
+
+
+@query("split_words", f"""{_HAN}{_BORDERS}, by_line AS (SELECT *, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM near), texts AS (
+  SELECT 'CompoundWords' AS rule, media_id, lang, cue_no, 0::BIGINT AS sub_no, list_transform(range(1, len(lines)), lambda k: length(array_to_string(lines[1:k], ''))) AS breaks, array_to_string(lines, '') AS text FROM near WHERE len(lines) > 1
+  UNION ALL SELECT 'ParticleLine', media_id, lang, cue_no, k, [], {STRIP.format('line')} FROM by_line WHERE k > 0 AND regexp_matches({STRIP.format('line')}, '^[{segmentation.PARTICLES}]')
+  UNION ALL SELECT 'ParticleCue', media_id, lang, prev_no, 0, [], head FROM near WHERE prev_no IS NOT NULL AND regexp_matches(head, '^[{segmentation.PARTICLES}]')
+  UNION ALL SELECT 'TokenAcrossCues', media_id, lang, prev_no, 0, [length(tail)], tail || head FROM near WHERE tail <> '' AND head <> ''){_CUT}
+  SELECT rule, media_id, lang, cue_no, (CASE WHEN rule = 'CompoundWords' THEN first ELSE sub_no END)::INTEGER AS sub_no, word FROM cut
+  WHERE CASE WHEN rule LIKE 'Particle%' THEN first = 0 AND length(word) = 1
+    ELSE length(word) > 1 AND len(list_filter(breaks, lambda b: b > first AND b < first + length(word))) > 0 AND (rule = 'TokenAcrossCues' OR regexp_full_match(word, '[一-鿿]+')) END""")
+def _(s, d):
+    return segmentation.split_words(*_han(s, d))
+
+
+@query("mend_words", f"""{_HAN}{_BORDERS}, texts AS (SELECT 'm' AS rule, media_id, lang, cue_no, length(tail) AS sub_no, tail || head AS text FROM near WHERE tail <> '' AND head <> ''){_CUT},
+  moved AS (SELECT media_id, cue_no, substr(word, 1, (sub_no - first)::BIGINT) AS moved FROM cut WHERE first + length(word) > sub_no AND sub_no - first >= 2 AND first > 0)
+  SELECT media_id, lang, cue_no, coalesce(moved, '') || CASE WHEN gone IS NULL THEN text ELSE rtrim(left(rtrim(text), length(rtrim(text)) - length(gone))) END AS text
+  FROM (SELECT han.*, moved, lead(moved) OVER (PARTITION BY media_id, lang ORDER BY cue_no) AS gone FROM han LEFT JOIN moved USING (media_id, cue_no))""")
+def _(s, d):
+    return segmentation.mend_words(*_han(s, d))
+
+
+_ENDS_OF = f"""regexp_extract(string_split(prev_text, chr(10))[-1], '([{R.LETTERS}]{{3,}})\\s*$', 1) AS trail, regexp_extract(string_split(text, chr(10))[1], '^\\s*([{R.LETTERS}]+)', 1) AS lead"""
+
+
+@query("english_across_cues", f"""SELECT media_id, lang, prev_no AS cue_no, trail || lead AS word FROM (SELECT *, {_ENDS_OF} FROM (
+  SELECT media_id, 'zh' AS lang, cue_no, text, lag(cue_no) OVER w AS prev_no, lag(text) OVER w AS prev_text FROM (
+    SELECT media_id, cue_no, regexp_replace(text, '[.,]+$', '') AS text FROM cues WHERE lang = 'en') WINDOW w AS (PARTITION BY media_id ORDER BY cue_no)))
+  WHERE trail <> '' AND lead <> '' AND lower(trail) NOT IN ({_quoted(R.SAFE_ENGLISH)})""")
+def _(s, d):
+    cues = A.cues(s, d).where("lang = 'en'").withColumns({"lang": F.lit("zh"), "text": F.regexp_replace("text", "[.,]+$", "")})
+    return segmentation.english_across_cues(cues)
+
+
+_LAST_OF = STRIP.format("string_split(cur, chr(10))[-1]")
+_HEAD_OF = STRIP.format("string_split(n.text, chr(10))[1]")
+
+
+@query("mend_names", f""", t AS (SELECT media_id, lang, cue_no, regexp_replace(text, '[.,]+$', '') AS t FROM cues WHERE lang = 'en'),
+  n AS (SELECT media_id, lang, cue_no, regexp_extract(t, '(?s)^(.*) ', 1) || chr(10) || translate(regexp_extract(t, ' ([^ ]*)$', 1), '{A.LATIN}', '{A.LATIN.upper()}') AS text, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS k FROM t),
+  r AS (SELECT media_id, k, NULL::BIGINT AS done_no, NULL::VARCHAR AS done, cue_no, text AS cur FROM n WHERE k = 1
+    UNION ALL SELECT media_id, k, before, CASE WHEN move THEN coalesce(nullif(array_to_string(list_filter(string_split(cur, chr(10))[:-2], lambda x: {STRIP.format('x')} <> ''), chr(10)), ''), ' ') ELSE cur END, cue_no,
+      CASE WHEN move THEN array_to_string(list_prepend(name || ' ' || head, string_split(text, chr(10))[2:]), chr(10)) ELSE text END
+    FROM (SELECT *, length(name) BETWEEN 1 AND 6 AND regexp_full_match(name, '[A-Z][\\x00-\\x7F]*') AND NOT regexp_matches(name, '[.!?,;:]$') AND regexp_matches(head, '^\\p{{Lu}}') AS move
+      FROM (SELECT n.*, r.cue_no AS before, r.cur, {_LAST_OF} AS name, {_HEAD_OF} AS head FROM r JOIN n ON n.media_id = r.media_id AND n.k = r.k + 1)))
+  SELECT media_id, 'en' AS lang, done_no AS cue_no, done AS text FROM r WHERE done_no IS NOT NULL
+  UNION ALL SELECT media_id, 'en', max_by(cue_no, k), max_by(cur, k) FROM r GROUP BY media_id""")
+def _(s, d):
+    t = F.regexp_replace("text", "[.,]+$", "")
+    text = F.concat(F.regexp_extract(t, "(?s)^(.*) ", 1), F.lit("\n"), F.translate(F.regexp_extract(t, r" ([^ ]*)\z", 1), A.LATIN, A.LATIN.upper()))
+    return segmentation.mend_names(A.cues(s, d).where("lang = 'en'").withColumn("text", text))
+
+
+@query("entry_points", """, c AS (SELECT media_id, lang, cue_no, 3 * start_ms AS s, 3 * end_ms AS e FROM word_cues),
+  x AS (SELECT c.*, 3 * start_ms AS ws, 3 * end_ms AS we, confidence, row_number() OVER w AS k, 3 * lag(end_ms) OVER w AS pe, 3 * lead(start_ms) OVER w AS ns
+    FROM c JOIN words v ON v.media_id = c.media_id AND 3 * v.start_ms BETWEEN s - 50 AND e + 50 WINDOW w AS (PARTITION BY c.media_id, lang, cue_no ORDER BY start_ms, word_no)),
+  a AS (SELECT media_id, lang, cue_no, s, count(*) AS n, max(confidence) FILTER (k = 1) AS f, max(confidence) FILTER (k BETWEEN 2 AND 6) AS peak, min_by(ws, k) FILTER (confidence > 0.5) - 100 AS good,
+    min_by(ws, k) FILTER (ws - pe > 1500 AND coalesce(ns - we <= 1500, true) AND ws - 100 - s >= 80 AND confidence >= 0.45) - 100 AS anchor FROM x GROUP BY ALL),
+  b AS (SELECT *, f < 0.4 AND peak >= 0.7 AND peak - f >= 0.3::DOUBLE AS cliff FROM a WHERE n > 1)
+  SELECT media_id, lang, cue_no, CASE WHEN cliff THEN good ELSE anchor END AS start_ms, CASE WHEN cliff THEN 'cliff' ELSE 'gap' END AS reason FROM b WHERE CASE WHEN cliff THEN good - s BETWEEN 80 AND 1500 ELSE anchor IS NOT NULL END""")
+def _(s, d):
+    slow = lambda df: df.withColumns({"start_ms": 3 * F.col("start_ms"), "end_ms": 3 * F.col("end_ms")})
+    return entry.entry_points(slow(A.words(s, d)), slow(A.word_cues(s, d)))
+
+
+# Replies by language models, aligned by differences: tested on fixtures.
+
+
+@query("correct_words")
+def _(s, d):
+    """Replies with every fifth word spelled otherwise, a word more where the turn is odd."""
+    words = A.words(s, d)
+    token = F.when(F.col("word_no") % 5 == 0, F.upper("text")).otherwise(F.col("text"))
+    tokens = words.groupBy("media_id", "turn").agg(F.array_sort(F.collect_list(F.struct("word_no", token.alias("t"))))["t"].alias("tokens"))
+    return corrections.correct_words(words, tokens.withColumn("tokens", F.when(F.col("turn") % 2 == 1, F.array_append("tokens", F.lit("more"))).otherwise(F.col("tokens"))))
+
+
+@query("restore_punctuation", """SELECT media_id, turn, word_no, CASE WHEN word_no > min(word_no) OVER (PARTITION BY media_id, turn) THEN ' ' ELSE '' END || t || CASE WHEN word_no % 4 = 0 AND t <> '' THEN '?' ELSE '' END AS text
+  FROM (SELECT *, regexp_replace(text, '[^\\p{L}]', '', 'g') AS t FROM words)""")
+def _(s, d):
+    words = A.words(s, d).withColumn("text", F.regexp_replace("text", r"[^\p{L}]", ""))
+    marked = F.concat("text", F.when((F.col("word_no") % 4 == 0) & (F.col("text") != ""), "?").otherwise(""))
+    replies = words.groupBy("media_id", "turn").agg(F.array_join(F.array_sort(F.collect_list(F.struct("word_no", marked.alias("t"))))["t"], " ").alias("reply"))
+    first = F.min("word_no").over(Window.partitionBy("media_id", "turn"))
+    return corrections.restore_punctuation(words.withColumn("text", F.when(F.col("word_no") > first, F.concat(F.lit(" "), "text")).otherwise(F.col("text"))), replies)
