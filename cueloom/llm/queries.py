@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cueloom.llm import bpe, decontam, embeddup, html, langid, mixing, sharding, simhash, tokencount, warc
+from cueloom.llm import bpe, centroids, decontam, embeddup, html, langid, mixing, sharding, simhash, tokencount, veccodes, vptrees, warc
 from cueloom.llm.common import scratch_path, table
 
 
@@ -122,9 +122,38 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptrees.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0").drop("row")
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e, row_number() OVER () AS row FROM embeddings
+), usable AS (
+  SELECT * FROM v
+  WHERE vec_id IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), met AS (
+  SELECT q.vec_id AS query_id, q.row, c.vec_id, list_cosine_similarity(q.e, c.e) AS score
+  FROM usable q JOIN usable c ON q.row <> c.row AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM met
+)
+SELECT * FROM ranked WHERE rank <= 5
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_html_extraction, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding)}
+    return {f.__name__: f for f in (op1_bpe_encode_decode, op2_html_extraction, op3_decontamination, op4_token_counts, op5_lm_scoring, op6_language_id, op7_embedding_near_dedup, op8_simhash_near_dedup, op9_warc, op10_sharding, op11_vector_codes, op12_centroid_clustering, op13_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_warc": OP9_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_warc": OP9_SQL, "op13_nearest_neighbours": OP13_SQL}
