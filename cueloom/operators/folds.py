@@ -130,42 +130,6 @@ def segment_words(words: DataFrame, max_duration: int = 7000, max_chars: int = 4
     return fold(words.select("media_id", "word_no", "speaker", "text", "start_ms", "end_ms"), ["media_id"], ["word_no"], "segment long, first_word long, last_word long, start_ms long, end_ms long, text string", step)
 
 
-def pace(cues: DataFrame, min_duration: int = 800, max_duration: int = 7000, padding: int = 250, least_gap: int = 105) -> DataFrame:
-    """Display times: durations fixed, overlaps shared out by length, small gaps widened, then padding
-    and the least duration borrowed from the gaps: (media_id, lang, cue_no, start_ms, end_ms)."""
-    span = F.greatest(F.least(F.col("end_ms") - F.col("start_ms"), F.lit(max_duration)), F.lit(min_duration))
-    fixed = cues.select("media_id", "lang", "cue_no", F.col("start_ms"), (F.col("start_ms") + span).alias("end_ms"), F.length(F.regexp_replace("text", "\n", "")).alias("chars"))
-
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        number, start, end, chars = (rows[c].tolist() for c in ("cue_no", "start_ms", "end_ms", "chars"))
-        n = len(number)
-        for i in range(n - 1):
-            gap = start[i + 1] - end[i]
-            if gap < 0:
-                both = chars[i] + chars[i + 1]
-                end[i] = start[i + 1] + (-gap * chars[i] // both if both else 0)
-            elif 0 < gap < 150:
-                middle = end[i] + gap // 2
-                end[i], start[i + 1] = middle - least_gap // 2, middle + (least_gap + 1) // 2
-        for i in range(1, n):
-            push = least_gap - (start[i] - end[i - 1])
-            if push > 0:
-                start[i], end[i] = start[i] + push, end[i] + push
-        room = lambda i: start[i + 1] - end[i] - least_gap if i + 1 < n else None
-        for i in range(n):
-            free = room(i)
-            end[i] += padding if free is None else min(padding, max(0, free))
-        for i in range(n):
-            lack = min_duration - (end[i] - start[i])
-            if lack > 0:
-                after = min(lack, max(0, room(i) or 0))
-                before = min(lack - after, max(0, start[i] - end[i - 1] - least_gap) if i else 0)
-                end[i], start[i] = end[i] + after, start[i] - before
-        yield from zip(number, start, end, strict=True)
-
-    return fold(fixed, ["media_id", "lang"], ["cue_no"], "cue_no long, start_ms long, end_ms long", step)
-
-
 def bilingual_groups(cues: DataFrame, source: str = "en", gap: int = 10) -> DataFrame:
     """Cues of two languages as groups on screen: each target cue takes the source cue it overlaps most,
     the largest overlaps first and each source cue once; source cues left over are fitted between

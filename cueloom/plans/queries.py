@@ -13,7 +13,7 @@ from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
-from cueloom.operators import entry, folds, intervals, islands, segmentation, sets
+from cueloom.operators import entry, folds, intervals, islands, pacing, segmentation, sets
 from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
@@ -627,9 +627,44 @@ def _(s, d):
     return folds.segment_words(A.words(s, d))
 
 
-@query("pace_cues")
+_SHORTEST = """{0}a AS (SELECT *, greatest(800 - (e - s), 0) AS lack, greatest(coalesce(lead(s) OVER w - e - 105, 0), 0) AS room FROM {1} WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  {0}b AS (SELECT * EXCLUDE (e, lack, room), lack - least(lack, room) AS rest, e + least(lack, room) AS e FROM {0}a),
+  {0} AS (SELECT * EXCLUDE (s, rest), s - least(rest, greatest(coalesce(s - lag(e) OVER w - 105, 0), 0)) AS s FROM {0}b WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no))"""
+_PACE = f""", w AS (SELECT media_id, turn + 1 AS cue_no, word_no, 3 * start_ms AS ws, 3 * end_ms AS we, confidence FROM words),
+  p0 AS (SELECT media_id, lang, cue_no, cue_no % 5 = 0 AS merged, length(replace(text, chr(10), '')) AS chars, 3 * start_ms AS s, 3 * end_ms AS e, row_number() OVER (PARTITION BY media_id, lang ORDER BY cue_no) AS k FROM word_cues),
+  p1 AS (SELECT * EXCLUDE (e), s + CASE WHEN e - s < 800 THEN 800 WHEN e - s > 7000 AND NOT merged THEN 7000 ELSE e - s END AS e FROM p0),
+  p2a AS (SELECT *, lead(s) OVER w AS ns, lead(chars) OVER w AS nc, lag(e) OVER w AS pe FROM p1 WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  p2 AS (SELECT media_id, lang, cue_no, merged, chars, k, CASE WHEN s - pe > 0 AND s - pe < 150 THEN floor((pe + s - 105) / 2)::BIGINT + 105 ELSE s END AS s,
+    CASE WHEN ns - e < 0 THEN ns + CASE WHEN chars + nc > 0 THEN (e - ns) * chars // (chars + nc) ELSE 0 END WHEN ns - e > 0 AND ns - e < 150 THEN floor((e + ns - 105) / 2)::BIGINT ELSE e END AS e FROM p2a),
+  p3a AS MATERIALIZED (SELECT *, greatest(coalesce(lead(s) OVER w - e - 105, 0), 0) AS ahead, greatest(coalesce(s - lag(e) OVER w - 105, 0), 0) AS back, CASE WHEN e <= s THEN 0 ELSE greatest(CASE WHEN merged THEN need - (e - s) ELSE least(need - (e - s), greatest(7000 - (e - s), 0)) END, 0) END AS lack
+    FROM (SELECT *, (chars * 1000 + CASE WHEN lang = 'zh' THEN 8 ELSE 24 END) // CASE WHEN lang = 'zh' THEN 9 ELSE 25 END AS need FROM p2) WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  took AS (SELECT media_id, lang, k, 0::BIGINT AS b, CASE WHEN lack <= ahead THEN lack ELSE 0 END::BIGINT AS f FROM p3a WHERE k = 1
+    UNION ALL SELECT media_id, lang, k, CASE WHEN lack <= ahead OR lack > ahead + left_ THEN 0 ELSE least(lack, left_) END, CASE WHEN lack <= ahead THEN lack WHEN lack > ahead + left_ THEN 0 ELSE lack - least(lack, left_) END
+      FROM (SELECT p.*, greatest(p.back - t.f, 0) AS left_ FROM took t JOIN p3a p ON p.media_id = t.media_id AND p.lang = t.lang AND p.k = t.k + 1)),
+  p3 AS (SELECT p.media_id, p.lang, cue_no, s - b AS s, e + f AS e FROM p3a p JOIN took USING (media_id, lang, k)),
+  p4a AS (SELECT *, sum(e - s + 105) OVER w - (e - s + 105) AS packed FROM p3 WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  p4b AS (SELECT *, packed + max(s - packed) OVER w AS m FROM p4a WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  p4 AS (SELECT media_id, lang, cue_no, m AS s, m + e - s AS e FROM p4b),
+  p5 AS (SELECT media_id, lang, cue_no, s, e + CASE WHEN lead(s) OVER w IS NULL THEN 300 ELSE least(300, greatest(lead(s) OVER w - e - 105, 0)) END AS e FROM p4 WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  {_SHORTEST.format("p6", "p5")},
+  p7a AS (SELECT p.*, said, silent, lead(s) OVER w AS ns FROM p6 p LEFT JOIN (SELECT media_id, cue_no, min(ws) AS said, max(we) AS silent FROM w GROUP BY ALL) USING (media_id, cue_no) WINDOW w AS (PARTITION BY p.media_id, p.lang ORDER BY p.cue_no)),
+  p7b AS (SELECT * EXCLUDE (e), CASE WHEN silent - e > 100 AND (ns IS NULL OR ns - silent >= 105) THEN silent ELSE e END AS e FROM p7a),
+  p7c AS (SELECT * EXCLUDE (e), CASE WHEN e > silent + 800 THEN CASE WHEN ns IS NULL THEN silent + 800 ELSE least(silent + 800, ns - 105) END ELSE e END AS e FROM p7b),
+  p7d AS (SELECT *, lag(e) OVER w AS pe FROM p7c WINDOW w AS (PARTITION BY media_id, lang ORDER BY cue_no)),
+  p7 AS (SELECT media_id, lang, cue_no, CASE WHEN s - said > 100 AND (pe IS NULL OR said - pe >= 105) THEN said ELSE s END AS s, e FROM p7d),
+  x AS (SELECT c.*, ws, we, confidence, row_number() OVER w AS k, lag(we) OVER w AS pe, lead(ws) OVER w AS ns
+    FROM p7 c JOIN w v ON v.media_id = c.media_id AND ws BETWEEN s - 50 AND e + 50 WINDOW w AS (PARTITION BY c.media_id, lang, c.cue_no ORDER BY ws, word_no)),
+  a AS (SELECT media_id, lang, cue_no, s, count(*) AS n, max(confidence) FILTER (k = 1) AS f, max(confidence) FILTER (k BETWEEN 2 AND 6) AS peak, min_by(ws, k) FILTER (confidence > 0.5) - 100 AS good,
+    min_by(ws, k) FILTER (ws - pe > 1500 AND coalesce(ns - we <= 1500, true) AND ws - 100 - s >= 80 AND confidence >= 0.45) - 100 AS anchor FROM x GROUP BY ALL),
+  late AS (SELECT media_id, lang, cue_no, CASE WHEN f < 0.4 AND peak >= 0.7 AND peak - f >= 0.3::DOUBLE THEN CASE WHEN good - s BETWEEN 80 AND 1500 THEN good END ELSE anchor END AS entry FROM a WHERE n > 1),
+  p8 AS (SELECT media_id, lang, cue_no, coalesce(entry, s) AS s, e FROM p7 LEFT JOIN late USING (media_id, lang, cue_no)),
+  {_SHORTEST.format("p9", "p8")} SELECT media_id, lang, cue_no, s AS start_ms, e AS end_ms FROM p9"""
+
+
+@query("pace_cues", _PACE)
 def _(s, d):
-    return folds.pace(A.cues(s, d))
+    slow = lambda df: df.withColumns({"start_ms": 3 * F.col("start_ms"), "end_ms": 3 * F.col("end_ms")})
+    return pacing.pace(slow(A.word_cues(s, d)).withColumn("merged", F.col("cue_no") % 5 == 0), slow(A.words(s, d)).withColumn("cue_no", F.col("turn") + 1))
 
 
 @query("split_overlong")

@@ -77,14 +77,6 @@ def test_segments_split_where_they_should(spark):
     assert got == ["Hello world.", "The dog ran", "Now"]  # no split after an article, one at a new speaker
 
 
-def test_pace_keeps_order_and_gaps(spark):
-    c = cues(spark, [("en", "a" * 10, 0, 2000), ("en", "b" * 30, 1500, 4000), ("en", "c", 4050, 4300), ("en", "d", 9000, 30_000)])
-    got = folds.pace(c).orderBy("cue_no").collect()
-    assert [r.cue_no for r in got] == [1, 2, 3, 4]
-    assert all(b.start_ms - a.end_ms >= 105 for a, b in zip(got, got[1:]))
-    assert got[3].end_ms - got[3].start_ms == 7250 and got[2].end_ms - got[2].start_ms >= 800
-
-
 def test_bilingual_groups_use_each_source_once(spark):
     rows = [(1, "en", 1, "a", "one", 0, 2000), (1, "en", 2, "a", "two", 2000, 4000), (1, "en", 3, "a", "three", 8000, 9000), (1, "zh", 1, "a", "一", 300, 2300), (1, "zh", 2, "a", "二", 1800, 3900)]
     got = [(r.target_no, r.source_no, r.start_ms, r.end_ms) for r in folds.bilingual_groups(spark.createDataFrame(rows, CUE)).orderBy("group_no").collect()]
