@@ -75,7 +75,7 @@ def _reading_time(cues: DataFrame, longest: int, limit: Column) -> DataFrame:
     took = "array<struct<before:bigint,after:bigint>>"
 
     def step(done: Column, row: Column) -> Column:
-        room = _least(row["room"] - F.coalesce(F.element_at(done, -1)["after"], F.lit(0)))
+        room = _least(row["room"] - F.coalesce(F.try_element_at(done, F.lit(-1))["after"], F.lit(0)))
         before = F.when(~row["leans"] | (row["lack"] > row["after"] + room), 0).otherwise(F.least(row["lack"], room))
         after = F.when(row["leans"], F.when(row["lack"] > row["after"] + room, 0).otherwise(row["lack"] - before)).when(row["lack"] <= row["after"], row["lack"]).otherwise(0)
         return F.concat(done, F.array(F.struct(before.cast("long").alias("before"), after.cast("long").alias("after"))).cast(took))

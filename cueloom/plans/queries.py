@@ -13,7 +13,7 @@ from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
-from cueloom.operators import entry, folds, intervals, islands, pacing, segmentation, sets
+from cueloom.operators import entry, folds, intervals, islands, pacing, segmentation, sets, wordindex
 from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
@@ -667,6 +667,50 @@ def _(s, d):
     return pacing.pace(slow(A.word_cues(s, d)).withColumn("merged", F.col("cue_no") % 5 == 0), slow(A.words(s, d)).withColumn("cue_no", F.col("turn") + 1))
 
 
+# Chunks of seven words in two lines, of which every third has a line of its own between them that nobody said.
+_CHUNKS = f""", k AS (SELECT *, word_no - min(word_no) OVER (PARTITION BY media_id, turn) AS p FROM words),
+  lines AS (SELECT media_id, turn, p // 7 AS chunk_no, string_agg(translate(text, '{A.LATIN}', '{A.LATIN.upper()}'), ' ' ORDER BY p) FILTER (p % 7 < 4) AS a, string_agg(text, ' ' ORDER BY p) FILTER (p % 7 >= 4) AS b, min(start_ms) AS s FROM k GROUP BY ALL),
+  chunks AS (SELECT media_id, turn, chunk_no, CASE WHEN chunk_no % 3 = 1 THEN [a, 'unsaid 0', coalesce(b, '')] ELSE [a, coalesce(b, '')] END AS lines, s FROM lines)"""
+_BARE = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
+
+
+def _chunks(words: DataFrame) -> DataFrame:
+    x = words.withColumn("p", F.col("word_no") - F.min("word_no").over(Window.partitionBy("media_id", "turn")))
+    x = x.groupBy("media_id", "turn", F.floor(F.col("p") / 7).alias("chunk_no")).agg(F.array_sort(F.collect_list(F.struct("p", "text")))["text"].alias("t"), F.min("start_ms").alias("start_ms"))
+    first, second = F.translate(F.array_join(F.slice("t", 1, 4), " "), A.LATIN, A.LATIN.upper()), F.array_join(F.slice("t", 5, 3), " ")
+    return x.withColumn("lines", F.when(F.col("chunk_no") % 3 == 1, F.array(first, F.lit("unsaid 0"), second)).otherwise(F.array(first, second)))
+
+
+@query("find_words", _CHUNKS + f""", u AS (SELECT media_id, turn, string_agg({_BARE.format("text")}, '' ORDER BY word_no) AS whole FROM words GROUP BY ALL),
+  ends AS (SELECT media_id, turn, word_no, start_ms, end_ms, sum(length({_BARE.format("text")})) OVER w AS e, row_number() OVER w AS i FROM words WINDOW w AS (PARTITION BY media_id, turn ORDER BY word_no)),
+  n AS (SELECT c.*, whole, {_BARE.format("array_to_string(lines, '')")} AS t, {_BARE.format("lines[1]")} AS head, {_BARE.format("lines[-1]")} AS tail,
+    greatest(list_sum(list_transform(lines, lambda x: length(x))) * 1000 // 9, 800) AS reading FROM chunks c JOIN u USING (media_id, turn)),
+  h AS (SELECT *, instr(whole, t) AS pos, CASE WHEN head = '' THEN 1 ELSE instr(whole, head) END AS a,
+    CASE WHEN tail = '' THEN length(whole) + 1 WHEN instr(whole, tail) = 0 THEN 0 ELSE length(whole) - instr(reverse(whole), reverse(tail)) - length(tail) + 2 END AS b FROM n),
+  hit AS (SELECT *, CASE WHEN t <> '' AND pos > 0 THEN pos WHEN t <> '' AND a > 0 AND b > a THEN a END AS f, CASE WHEN t <> '' AND pos > 0 THEN pos + length(t) - 1 WHEN t <> '' AND a > 0 AND b > a THEN b + length(tail) - 1 END AS l FROM h),
+  x AS (SELECT hit.*, (SELECT min(i) FROM ends e WHERE e.media_id = hit.media_id AND e.turn = hit.turn AND e.e >= f) AS i, (SELECT min(i) FROM ends e WHERE e.media_id = hit.media_id AND e.turn = hit.turn AND e.e >= l) AS j FROM hit)
+  SELECT x.media_id, x.turn, chunk_no, p.word_no AS first_word, q.word_no AS last_word, coalesce(x.j - x.i + 1, 0)::INTEGER AS n_words, (coalesce(p.start_ms, s))::BIGINT AS start_ms,
+    (CASE WHEN f IS NULL THEN s + reading ELSE greatest(q.end_ms, p.start_ms + reading) END)::BIGINT AS end_ms
+  FROM x LEFT JOIN ends p ON p.media_id = x.media_id AND p.turn = x.turn AND p.i = x.i LEFT JOIN ends q ON q.media_id = x.media_id AND q.turn = x.turn AND q.i = x.j""")
+def _(s, d):
+    words = A.words(s, d)
+    return wordindex.find_words(words, _chunks(words), ["media_id", "turn"], CONFIG.cps_limit)
+
+
+@query("words_in_order", f""", k AS (SELECT media_id, turn, {_BARE.format("text")} AS v, row_number() OVER (PARTITION BY media_id, turn ORDER BY word_no) - 1 AS p FROM words),
+  t AS (SELECT media_id, turn, v, row_number() OVER (PARTITION BY media_id, turn ORDER BY p) - 1 AS p FROM k WHERE v <> ''),
+  w AS (SELECT media_id, turn, v, row_number() OVER (PARTITION BY media_id, turn ORDER BY p) - 1 AS i FROM (SELECT media_id, turn, p, v FROM t WHERE p % 3 <> 1 UNION ALL SELECT media_id, turn, 1e9, 'unsaid' FROM (SELECT DISTINCT media_id, turn FROM t) WHERE turn % 4 = 3)),
+  r AS (SELECT DISTINCT media_id, turn, -1::BIGINT AS i, -1::BIGINT AS p FROM t
+    UNION ALL SELECT r.media_id, r.turn, r.i + 1, (SELECT min(t.p) FROM t WHERE t.media_id = r.media_id AND t.turn = r.turn AND t.v = w.v AND t.p > r.p) FROM r JOIN w ON w.media_id = r.media_id AND w.turn = r.turn AND w.i = r.i + 1 WHERE r.p IS NOT NULL)
+  SELECT media_id, turn, CASE WHEN bool_and(p IS NOT NULL) THEN string_agg(p::VARCHAR, ',' ORDER BY i) FILTER (i >= 0) END AS places, bool_and(p IS NOT NULL) AND max(i) >= 0 AS holds FROM r GROUP BY ALL""")
+def _(s, d):
+    """Two thirds of each turn's tokens, with one more that nobody said in every fourth turn."""
+    tokens = A.words(s, d).withColumn("v", wordindex.letters_and_digits(F.col("text"))).where("v <> ''").groupBy("media_id", "turn").agg(F.array_sort(F.collect_list(F.struct("word_no", "v")))["v"].alias("line"))
+    some = F.filter("line", lambda _, k: k % 3 != 1)
+    x = tokens.withColumn("words", F.when(F.col("turn") % 4 == 3, F.array_append(some, F.lit("unsaid"))).otherwise(some))
+    return x.select("media_id", "turn", F.array_join(wordindex.match_in_order("line", "words").cast("array<string>"), ",").alias("places"), wordindex.contains_in_order(F.col("line"), F.col("words")).alias("holds"))
+
+
 @query("split_overlong")
 def _(s, d):
     return folds.split_overlong(A.words(s, d))
