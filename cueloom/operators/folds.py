@@ -222,27 +222,6 @@ def break_lines(text: pd.Series) -> pd.Series:
     return text.map(break_line, na_action="ignore")
 
 
-def layout(cues: DataFrame, max_duration: int = 7000, max_chars: int = 84, near_ms: int = 300) -> DataFrame:
-    """Cues laid out for display: one that cannot stand alone (three words or fewer that end no sentence)
-    joins the cue before it, if near and within the limits, and texts are broken into lines:
-    (media_id, lang, cue_no, n_cues, start_ms, end_ms, text)."""
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        held: list | None = None
-        for no, text, start, end in rows[["cue_no", "text", "start_ms", "end_ms"]].itertuples(index=False):
-            text = " ".join(text.split())
-            if held:
-                alone = len(text.split()) > 3 or text.endswith(tuple(SENTENCE_ENDS))
-                if not alone and 0 <= start - held[3] <= near_ms and end - held[2] <= max_duration and len(held[4]) + len(text) < max_chars:
-                    held[1], held[3], held[4] = held[1] + 1, end, f"{held[4]} {text}".strip()
-                    continue
-                yield tuple(held[:4] + [break_line(held[4])])
-            held = [no, 1, start, end, text]
-        if held:
-            yield tuple(held[:4] + [break_line(held[4])])
-
-    return fold(cues.select("media_id", "lang", "cue_no", "text", "start_ms", "end_ms"), ["media_id", "lang"], ["cue_no"], "cue_no long, n_cues long, start_ms long, end_ms long, text string", step)
-
-
 # Steps that need no fold: a row and its neighbours decide.
 
 

@@ -9,7 +9,7 @@ not guessed. Weights are whole millionths, so that sums do not depend on their o
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
@@ -23,52 +23,84 @@ PIECES = f"(?s){T.HAN_BASIC}+|[A-Za-z0-9]+|."
 MILLION = 1_000_000
 
 
+def _best_sizes(text: str, words, alone: int) -> list[int]:
+    """How long the first word of the likeliest cut of each suffix is, out of dictionary words (first, size, weight)."""
+    starts: list[dict[int, int]] = [{1: alone} for _ in text]
+    for w in () if words is None else words:
+        starts[w["first"]][w["size"]] = w["weight"]
+    best = [(0, 0)] * (len(text) + 1)
+    for at in range(len(text) - 1, -1, -1):
+        best[at] = max((weight + best[at + size][0], size) for size, weight in starts[at].items())
+    return [size for _, size in best[:-1]]
+
+
 @F.pandas_udf(ArrayType(StructType().add("word", StringType()).add("first", IntegerType())))
 def _best_words(run: pd.Series, found: pd.Series, unseen: pd.Series) -> pd.Series:
     """The likeliest words of each run, out of its dictionary words (first, size, weight)."""
     def cut(text: str, words, alone: int) -> list[tuple[str, int]]:
-        starts: list[dict[int, int]] = [{1: alone} for _ in text]
-        for w in () if words is None else words:
-            starts[w["first"]][w["size"]] = w["weight"]
-        best = [(0, 0)] * (len(text) + 1)
-        for at in range(len(text) - 1, -1, -1):
-            best[at] = max((weight + best[at + size][0], size) for size, weight in starts[at].items())
-        out, at = [], 0
+        sizes, out, at = _best_sizes(text, words, alone), [], 0
         while at < len(text):
-            size = best[at][1]
-            out.append((text[at : at + size], at))
-            at += size
+            out.append((text[at : at + sizes[at]], at))
+            at += sizes[at]
         return out
 
     return pd.Series([cut(*x) for x in zip(run, found, unseen, strict=True)])
 
 
-def segment(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
-    """Words of each text with their place: (keys, word, first), first counting characters from 0.
+@F.pandas_udf(ArrayType(IntegerType()))
+def _best_steps(run: pd.Series, found: pd.Series, unseen: pd.Series) -> pd.Series:
+    return pd.Series([_best_sizes(*x) for x in zip(run, found, unseen, strict=True)])
+
+
+def _candidates(texts: DataFrame, dictionary: DataFrame, text: str) -> tuple[DataFrame, Column]:
+    """Each distinct run (piece) with the dictionary words in it (found), and the weight of a character that no word holds.
 
-    Each distinct run is cut once; its substrings meet the dictionary in an equi-join, which Spark
-    broadcasts where the dictionary is small and shuffles where it is not. A null or empty text has no
-    words; keys are expected to be distinct. Words of the dictionary that are empty or never seen are left out, and
-    of repeated words the frequencies add up.
+    Each run's substrings meet the dictionary in an equi-join, which Spark broadcasts where the dictionary is
+    small and shuffles where it is not.
     """
     known = dictionary.where("word <> '' AND freq > 0").groupBy("word").agg(F.sum("freq").alias("freq"))
     longest, total = known.agg(F.coalesce(F.max(F.length("word")), F.lit(1)), F.coalesce(F.sum("freq"), F.lit(1))).first()
     weight = lambda seen: F.round(F.log(seen / F.lit(float(total))) * MILLION).cast("long")
     known = known.select("word", weight(F.col("freq")).alias("weight"))
-    pieces = texts.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(PIECES), 0)).alias("place", "piece"))
-    upto = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    pieces = pieces.withColumn("at", (F.sum(F.length("piece")).over(upto) - F.length("piece")).cast("int"))
-    han = F.col("piece").rlike(f"^{T.HAN_BASIC}{{2,}}$")
     runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"{T.HAN_BASIC}{{2,}}"), 0))).alias("piece")).distinct()
     met = runs.select("piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("first"))
     met = met.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(int(longest)), F.length("piece") - F.col("first")))))
     met = met.withColumn("word", F.substring("piece", F.col("first") + 1, F.col("size"))).join(known, "word")
     met = met.groupBy("piece").agg(F.collect_list(F.struct("first", "size", "weight")).alias("found"))
-    cut = runs.join(met, "piece", "left").select("piece", F.explode(_best_words("piece", "found", weight(F.lit(1.0)))).alias("w"))
+    return runs.join(met, "piece", "left"), weight(F.lit(1.0))
+
+
+def _pieces(texts: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Column]:
+    """Runs of one kind of each text, in order, and which of them a dictionary cuts."""
+    pieces = texts.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(PIECES), 0)).alias("place", "piece"))
+    return pieces, F.col("piece").rlike(f"^{T.HAN_BASIC}{{2,}}$")
+
+
+def segment(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """Words of each text with their place: (keys, word, first), first counting characters from 0.
+
+    Each distinct run is cut once. A null or empty text has no words; keys are expected to be distinct. Words of
+    the dictionary that are empty or never seen are left out, and of repeated words the frequencies add up.
+    """
+    pieces, han = _pieces(texts, keys, text)
+    upto = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    pieces = pieces.withColumn("at", (F.sum(F.length("piece")).over(upto) - F.length("piece")).cast("int"))
+    runs, alone = _candidates(texts, dictionary, text)
+    cut = runs.select("piece", F.explode(_best_words("piece", "found", alone)).alias("w"))
     cut = pieces.where(han).join(cut, "piece").select(*keys, F.col("w.word").alias("word"), (F.col("at") + F.col("w.first")).alias("first"))
     return cut.unionByName(pieces.where(~han).select(*keys, F.col("piece").alias("word"), F.col("at").alias("first")))
 
 
+def word_steps(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
+    """(keys, steps): for each character of a text, how long the word is that starts there if what stands
+    before it is left out, as by a line's end. Texts without characters have no row."""
+    pieces, han = _pieces(texts, keys, text)
+    runs, alone = _candidates(texts, dictionary, text)
+    met = pieces.join(runs.select("piece", _best_steps("piece", "found", alone).alias("steps")), "piece", "left")
+    steps = F.when(han, F.col("steps")).otherwise(F.sequence(F.length("piece"), F.lit(1), F.lit(-1)))
+    return met.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(F.struct("place", steps.alias("steps"))))["steps"]).alias("steps"))
+
+
 def _neighbours(cues: DataFrame) -> DataFrame:
     """Chinese cues with the stripped first line, and the number, text and stripped last line of the cue before."""
     over = Window.partitionBy("media_id", "lang").orderBy("cue_no")

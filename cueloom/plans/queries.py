@@ -13,7 +13,7 @@ from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
-from cueloom.operators import entry, folds, intervals, islands, pacing, segmentation, sets, wordindex
+from cueloom.operators import entry, folds, hanlines, intervals, islands, layout, pacing, segmentation, sets, wordindex
 from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
@@ -718,7 +718,7 @@ def _(s, d):
 
 @query("layout_cues")
 def _(s, d):
-    return folds.layout(A.rule_cues(s, d))
+    return layout.layout(A.rule_cues(s, d), _han(s, d)[1])
 
 
 @query("redistribute_word_timing", """, w AS (SELECT media_id, turn, array_agg(start_ms ORDER BY word_no)[1:1] || array_agg(end_ms ORDER BY word_no) AS b,
@@ -1118,6 +1118,13 @@ def _(s, d):
     return segmentation.segment(han, ["media_id", "cue_no"], words).select("media_id", "cue_no", "first", "word")
 
 
+@query("break_han_lines")
+def _(s, d):
+    """Chinese cues as their text stands; tested against a plain search over all places."""
+    lines = hanlines.han_lines(A.cues(s, d).where("lang = 'zh'"), ["media_id", "cue_no"], _han(s, d)[1])
+    return lines.select("media_id", "cue_no", F.posexplode("lines").alias("line_no", "line"))
+
+
 @query("split_words", f"""{_HAN}{_BORDERS}, by_line AS (SELECT *, unnest(lines) AS line, unnest(range(len(lines))) AS k FROM near), texts AS (
   SELECT 'CompoundWords' AS rule, media_id, lang, cue_no, 0::BIGINT AS sub_no, list_transform(range(1, len(lines)), lambda k: length(array_to_string(lines[1:k], ''))) AS breaks, array_to_string(lines, '') AS text FROM near WHERE len(lines) > 1
   UNION ALL SELECT 'ParticleLine', media_id, lang, cue_no, k, [], {STRIP.format('line')} FROM by_line WHERE k > 0 AND regexp_matches({STRIP.format('line')}, '^[{segmentation.PARTICLES}]')

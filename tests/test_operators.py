@@ -10,7 +10,7 @@ from cueloom.functions import text as T
 from cueloom.functions import timecode as C
 from cueloom.functions.interval import byte_range
 from cueloom.functions.similarity import seq_ratio
-from cueloom.operators import folds, intervals, islands, sets
+from cueloom.operators import folds, intervals, islands, layout, sets
 from cueloom.rules.registry import RULES, check
 from cueloom.sources import subtitles
 
@@ -157,7 +157,7 @@ def test_lines_and_layout(spark):
     first, second = folds.break_line("This is a longer line of text, and it should be in two parts").split("\n")
     assert first == "This is a longer line of text," and len(second) <= 42
     c = cues(spark, [("en", "A full sentence.", 0, 1000), ("en", "and so", 1100, 1500), ("en", "Far off", 5000, 6000)])
-    got = [(r.cue_no, r.n_cues, r.end_ms, r.text) for r in folds.layout(c).orderBy("cue_no").collect()]
+    got = [(r.cue_no, r.n_cues, r.end_ms, r.text) for r in layout.layout(c, spark.createDataFrame([], "word string, freq long")).orderBy("cue_no").collect()]
     assert got == [(1, 2, 1500, "A full sentence. and so"), (3, 1, 6000, "Far off")]
     one = spark.createDataFrame([("a b",), (None,)], "t string").select(folds.break_lines("t").alias("x")).collect()
     assert [r.x for r in one] == ["a b", None]
