@@ -2,8 +2,13 @@
 
 The dictionary is a table (word, freq). Runs of Han characters are cut into the words whose product of
 frequencies is largest; of equal ones the longer first word wins. A character that no word holds counts
-as seen once. Runs of Latin letters and digits are one word, every other character is its own. Unseen words are
-not guessed. Weights are whole millionths, so that sums do not depend on their order.
+as seen once. Runs of Latin letters and digits are one word, every other character is its own.
+
+Words that the dictionary lacks are guessed where a table of states is given: two or more characters in a row that
+the dictionary leaves alone are cut by the likeliest states of a word's characters (B begins, M goes on, E ends,
+S stands alone). The table (state, next, char, weight) holds what a first state weighs (next and char null), what a
+state after another does (next), and what a character in a state does (char); ``word_states`` makes one out of a dictionary.
+Weights are whole millionths, so that sums do not depend on their order.
 """
 
 from __future__ import annotations
@@ -21,6 +26,9 @@ from cueloom.rules.cue_rules import LETTERS, SAFE_ENGLISH
 PARTICLES = "了着过吗呢吧啊么嘛呗"
 PIECES = f"(?s){T.HAN_BASIC}+|[A-Za-z0-9]+|."
 MILLION = 1_000_000
+# Which states stand before which, and the weight of what was never seen.
+BEFORE = {"B": "ES", "M": "BM", "E": "BM", "S": "ES"}
+NEVER = -(10**12)
 
 
 def _best_sizes(text: str, words, alone: int) -> list[int]:
@@ -47,6 +55,44 @@ def _best_words(run: pd.Series, found: pd.Series, unseen: pd.Series) -> pd.Serie
     return pd.Series([cut(*x) for x in zip(run, found, unseen, strict=True)])
 
 
+def _likeliest_states(weights: list[dict[str, int]], first: dict[str, int], after: dict[tuple[str, str], int]) -> str:
+    """The states of the likeliest path; of equal ones the later letter wins, from the end on."""
+    best = {s: (first.get(s, NEVER) + weights[0].get(s, NEVER), s) for s in BEFORE}
+    for own in weights[1:]:
+        step = {}
+        for s, froms in BEFORE.items():
+            came = max(froms, key=lambda f: (best[f][0] + after.get((f, s), NEVER), f))
+            step[s] = best[came][0] + after.get((came, s), NEVER) + own.get(s, NEVER), best[came][1] + s
+        best = step
+    return max(best["E"], best["S"], key=lambda b: (b[0], b[1][-1]))[1]
+
+
+def _guess(run: str, words: list[tuple[str, int]], known, weights, first: dict, after: dict) -> list[tuple[str, int]]:
+    """Characters in a row that stand alone and are no word together, as the words that their states tell."""
+    whole = set() if known is None else {(w["first"], w["size"]) for w in known}
+    own: list[dict[str, int]] = [{} for _ in run]
+    for w in [] if weights is None else weights:
+        own[w["at"]][w["state"]] = w["weight"]
+    out: list[tuple[str, int]] = []
+    at = 0
+    while at < len(words):
+        until = at
+        while until < len(words) and len(words[until][0]) == 1:
+            until += 1
+        start, size = words[at][1], until - at
+        if size < 2 or (start, size) in whole:
+            until = max(until, at + 1)
+            out += words[at:until]
+        else:
+            states, since = _likeliest_states(own[start : start + size], first, after), 0
+            for k, state in enumerate(states):
+                if state in "ES":
+                    out.append((run[start + since : start + k + 1], start + since))
+                    since = k + 1
+        at = until
+    return out
+
+
 @F.pandas_udf(ArrayType(IntegerType()))
 def _best_steps(run: pd.Series, found: pd.Series, unseen: pd.Series) -> pd.Series:
     return pd.Series([_best_sizes(*x) for x in zip(run, found, unseen, strict=True)])
@@ -76,17 +122,60 @@ def _pieces(texts: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Co
     return pieces, F.col("piece").rlike(f"^{T.HAN_BASIC}{{2,}}$")
 
 
-def segment(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
+def word_states(dictionary: DataFrame) -> DataFrame:
+    """States out of the words of a dictionary (word, freq), each as often as it was seen: (state, next, char, weight).
+
+    A word follows another as often as words are seen, so a state that starts one weighs the same at the start and
+    after a word. Words that are empty, or hold anything but Han characters, are left out.
+    """
+    words = dictionary.where(F.col("word").rlike(f"^{T.HAN_BASIC}+$") & (F.col("freq") > 0)).select("freq", F.regexp_extract_all("word", F.lit("(?s)."), 0).alias("c"))
+    n = F.size("c")
+    state = F.when(n == 1, "S").when(F.col("p") == 0, "B").when(F.col("p") == n - 1, "E").otherwise("M")
+    each = words.select("freq", "c", F.posexplode("c").alias("p", "char")).withColumn("state", state)
+    following = F.when(F.col("state").isin("B", "M"), F.when(F.col("p") == n - 2, "E").otherwise("M"))
+    each = each.select("freq", "char", "state", following.alias("next"))
+    weight = lambda seen, of: F.round(F.log(seen.cast("double") / of) * MILLION).cast("long").alias("weight")
+    of_state = each.groupBy("state").agg(F.sum("freq").alias("of"))
+    chars = each.groupBy("state", "char").agg(F.sum("freq").alias("seen")).join(F.broadcast(of_state), "state").select("state", F.lit(None).cast("string").alias("next"), "char", weight(F.col("seen"), F.col("of")))
+    inner = each.where("next IS NOT NULL").groupBy("state", "next").agg(F.sum("freq").alias("seen")).join(F.broadcast(of_state), "state").select("state", "next", F.lit(None).cast("string").alias("char"), weight(F.col("seen"), F.col("of")))
+    starts = of_state.where("state IN ('B', 'S')").withColumn("all", F.sum("of").over(Window.partitionBy()))
+    starts = starts.select(F.explode(F.array(F.lit(None).cast("string"), F.lit("E"), F.lit("S"))).alias("before"), "state", weight(F.col("of"), F.col("all")))
+    starts = starts.select(F.coalesce("before", "state").alias("state"), F.when(F.col("before").isNotNull(), F.col("state")).alias("next"), F.lit(None).cast("string").alias("char"), "weight")
+    return chars.unionByName(inner).unionByName(starts)
+
+
+def _guessing(states: DataFrame):
+    """A function of (run, dictionary words, their words, weights of the characters' states) that guesses unseen words.
+    Of the table only what has no character is read here: four first states and eight pairs."""
+    few = states.where("char IS NULL").where(F.col("state").isin(*BEFORE) & (F.col("next").isNull() | F.col("next").isin(*BEFORE))).groupBy("state", "next").agg(F.max("weight").alias("weight")).collect()
+    first, after = {r.state: r.weight for r in few if r.next is None}, {(r.state, r.next): r.weight for r in few if r.next}
+
+    @F.pandas_udf(ArrayType(StructType().add("word", StringType()).add("first", IntegerType())))
+    def guess(run: pd.Series, found: pd.Series, words: pd.Series, weights: pd.Series) -> pd.Series:
+        return pd.Series([_guess(r, [(w["word"], w["first"]) for w in ws], f, own, first, after) for r, f, ws, own in zip(run, found, words, weights, strict=True)])
+
+    return guess
+
+
+def segment(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text", states: DataFrame | None = None) -> DataFrame:
     """Words of each text with their place: (keys, word, first), first counting characters from 0.
 
     Each distinct run is cut once. A null or empty text has no words; keys are expected to be distinct. Words of
-    the dictionary that are empty or never seen are left out, and of repeated words the frequencies add up.
+    the dictionary that are empty or never seen are left out, and of repeated words the frequencies add up. With
+    ``states`` unseen words are guessed; of repeated rows of that table the heaviest counts, and what it lacks
+    is next to impossible.
     """
     pieces, han = _pieces(texts, keys, text)
     upto = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     pieces = pieces.withColumn("at", (F.sum(F.length("piece")).over(upto) - F.length("piece")).cast("int"))
     runs, alone = _candidates(texts, dictionary, text)
-    cut = runs.select("piece", F.explode(_best_words("piece", "found", alone)).alias("w"))
+    cut = runs.select("piece", "found", _best_words("piece", "found", alone).alias("words"))
+    if states is not None:
+        at = runs.select("piece", F.posexplode(F.regexp_extract_all("piece", F.lit("(?s)."), 0)).alias("at", "char"))
+        heaviest = states.where(F.col("char").isNotNull() & F.col("state").isin(*BEFORE)).groupBy("char", "state").agg(F.max("weight").alias("weight"))
+        own = at.join(heaviest, "char").groupBy("piece").agg(F.collect_list(F.struct("at", "state", "weight")).alias("own"))
+        cut = cut.join(own, "piece", "left").select("piece", _guessing(states)("piece", "found", "words", "own").alias("words"))
+    cut = cut.select("piece", F.explode("words").alias("w"))
     cut = pieces.where(han).join(cut, "piece").select(*keys, F.col("w.word").alias("word"), (F.col("at") + F.col("w.first")).alias("first"))
     return cut.unionByName(pieces.where(~han).select(*keys, F.col("piece").alias("word"), F.col("at").alias("first")))
 

@@ -1118,6 +1118,40 @@ def _(s, d):
     return segmentation.segment(han, ["media_id", "cue_no"], words).select("media_id", "cue_no", "first", "word")
 
 
+_STATES = """, spread AS (SELECT freq, length(word) AS n, unnest(regexp_extract_all(word, '(?s).')) AS char, unnest(range(length(word))) AS p FROM dict WHERE regexp_full_match(word, '[一-鿿]+')),
+  each AS (SELECT *, CASE WHEN n = 1 THEN 'S' WHEN p = 0 THEN 'B' WHEN p = n - 1 THEN 'E' ELSE 'M' END AS st, CASE WHEN n = 1 OR p = n - 1 THEN NULL WHEN p = n - 2 THEN 'E' ELSE 'M' END AS nx FROM spread),
+  tot AS (SELECT st, sum(freq) AS t FROM each GROUP BY st),
+  emit AS MATERIALIZED (SELECT char, max(w) FILTER (st = 'B') AS b, max(w) FILTER (st = 'M') AS m, max(w) FILTER (st = 'E') AS e, max(w) FILTER (st = 'S') AS s
+    FROM (SELECT st, char, round(ln(sum(freq)::DOUBLE / any_value(t)) * 1000000)::BIGINT AS w FROM each JOIN tot USING (st) GROUP BY st, char) GROUP BY char),
+  step_ AS (SELECT st, nx, round(ln(sum(freq)::DOUBLE / any_value(t)) * 1000000)::BIGINT AS w FROM each JOIN tot USING (st) WHERE nx IS NOT NULL GROUP BY ALL),
+  word_ AS (SELECT st, round(ln(t::DOUBLE / (SELECT sum(t) FROM tot WHERE st IN ('B', 'S'))) * 1000000)::BIGINT AS w FROM tot WHERE st IN ('B', 'S')),
+  k AS MATERIALIZED (SELECT -1000000000000 AS never, coalesce((SELECT w FROM word_ WHERE st = 'B'), never) AS wb, coalesce((SELECT w FROM word_ WHERE st = 'S'), never) AS ws, coalesce((SELECT w FROM step_ WHERE st = 'B' AND nx = 'E'), never) AS be,
+    coalesce((SELECT w FROM step_ WHERE st = 'B' AND nx = 'M'), never) AS bm, coalesce((SELECT w FROM step_ WHERE st = 'M' AND nx = 'E'), never) AS me, coalesce((SELECT w FROM step_ WHERE st = 'M' AND nx = 'M'), never) AS mm),
+  parts AS (SELECT run, k AS pos, p[k] AS n, row_number() OVER (PARTITION BY run ORDER BY k) AS r FROM walk),
+  lone AS (SELECT *, r - row_number() OVER (PARTITION BY run ORDER BY pos) AS g FROM parts WHERE n = 1),
+  gaps AS MATERIALIZED (SELECT run, pos, t FROM (SELECT run, min(pos) AS pos, substr(run, min(pos), count(*)) AS t FROM lone GROUP BY run, g HAVING count(*) > 1) WHERE t NOT IN (SELECT word FROM dict)),
+  distinct_gaps AS (SELECT DISTINCT t FROM gaps),
+  hmm AS (SELECT t, 1 AS i, wb + coalesce(b, never) AS vb, 2 * never + CASE WHEN m IS NULL THEN 0 ELSE m - never END AS vm, 2 * never + CASE WHEN e IS NULL THEN 0 ELSE e - never END AS ve, ws + coalesce(s, never) AS vs, 'B' AS pb, 'M' AS pm, 'E' AS pe, 'S' AS ps
+      FROM distinct_gaps LEFT JOIN emit ON char = substr(t, 1, 1), k
+    UNION ALL SELECT t, i + 1, CASE WHEN vs >= ve THEN vs ELSE ve END + wb + coalesce(b, never), CASE WHEN vm + mm >= vb + bm THEN vm + mm ELSE vb + bm END + coalesce(m, never), CASE WHEN vm + me >= vb + be THEN vm + me ELSE vb + be END + coalesce(e, never),
+      CASE WHEN vs >= ve THEN vs ELSE ve END + ws + coalesce(s, never), CASE WHEN vs >= ve THEN ps ELSE pe END || 'B', CASE WHEN vm + mm >= vb + bm THEN pm ELSE pb END || 'M', CASE WHEN vm + me >= vb + be THEN pm ELSE pb END || 'E', CASE WHEN vs >= ve THEN ps ELSE pe END || 'S'
+      FROM hmm LEFT JOIN emit ON char = substr(t, i + 1, 1), k WHERE i < length(t)),
+  told AS (SELECT t, CASE WHEN vs >= ve THEN ps ELSE pe END AS states FROM hmm WHERE i = length(t)),
+  ends AS (SELECT t, j, lag(j, 1, 0) OVER (PARTITION BY t ORDER BY j) AS before FROM (SELECT t, states, unnest(range(1, length(t) + 1)) AS j FROM told) WHERE substr(states, j, 1) IN ('E', 'S')),
+  guessed AS (SELECT run, pos + before AS pos, j - before AS n FROM gaps JOIN ends USING (t)),
+  final AS (SELECT run, pos, n FROM parts ANTI JOIN (SELECT run, unnest(range(pos, pos + length(t))) AS pos FROM gaps) USING (run, pos) UNION ALL SELECT run, pos, n FROM guessed)
+  SELECT media_id, cue_no, (off + pos - 1)::INTEGER AS first, substr(run, pos, n) AS word FROM placed JOIN final ON run = piece
+    UNION ALL SELECT media_id, cue_no, off::INTEGER, piece FROM placed WHERE NOT regexp_full_match(piece, '[一-鿿]{2,}')"""
+
+
+@query("segment_unseen", f"{_HAN}, texts AS (SELECT '' AS rule, media_id, cue_no, 0 AS sub_no, text FROM han){_CUT}{_STATES}".replace(", text FROM han)", ", replace(text, chr(10), '') AS text FROM han)"))
+def _(s, d):
+    """As ``segment_han`` without line ends, with the states of the dictionary's own words."""
+    han, words = _han(s, d)
+    han = han.withColumn("text", F.replace("text", F.lit("\n"), F.lit("")))
+    return segmentation.segment(han, ["media_id", "cue_no"], words, states=segmentation.word_states(words)).select("media_id", "cue_no", "first", "word")
+
+
 @query("break_han_lines")
 def _(s, d):
     """Chinese cues as their text stands; tested against a plain search over all places."""

@@ -116,3 +116,60 @@ def test_restored_punctuation(spark):
     for r in corrections.restore_punctuation(words, replies).orderBy("turn", "word_no").collect():
         got.setdefault(r.turn, []).append(r.text)
     assert got == {0: ["well,", " so", " it", " is! "], 1: ["well,", " so.", " it", " is? "], 2: ["well", " so", " it", " is "]}
+
+
+def plain_states(chars, weight, first, after):
+    """The likeliest of all paths of states; of equal ones that whose letters are later, from the end on."""
+    allowed = {"B": "ME", "M": "ME", "E": "BS", "S": "BS"}
+    paths = [p for p in itertools.product("BMES", repeat=len(chars)) if p[-1] in "ES" and all(b in allowed[a] for a, b in itertools.pairwise(p))]
+    cost = lambda p: first.get(p[0], segmentation.NEVER) + sum(weight.get((s, c), segmentation.NEVER) for s, c in zip(p, chars)) + sum(after.get(x, segmentation.NEVER) for x in itertools.pairwise(p))
+    return max(paths, key=lambda p: (cost(p), p[::-1]))
+
+
+def test_unseen_words_against_all_paths(spark):
+    """Real words in the dictionary tell how characters stand in words that it lacks."""
+    words = {"我们": 50, "你们": 40, "老师": 30, "学生": 30, "学习": 25, "图书馆": 20, "飞机场": 15, "在": 60, "的": 80, "去": 30, "人": 30, "火车": 20, "车站": 20}
+    dictionary = spark.createDataFrame(list(words.items()), "word string, freq long")
+    table = segmentation.word_states(dictionary)
+    rows = table.collect()
+    weight = {(r.state, r.char): r.weight for r in rows if r.char}
+    first, after = {r.state: r.weight for r in rows if not r.char and not r.next}, {(r.state, r.next): r.weight for r in rows if r.next}
+    assert set(after) == {("B", "E"), ("B", "M"), ("M", "E"), ("E", "B"), ("E", "S"), ("S", "B"), ("S", "S")}
+    draw = random.Random(8)
+    texts = ["我们在火场学馆", "老生去飞站", "他们", "的在", "们", "在去人"] + ["".join(draw.choice("我你们老师学生习图书馆飞机场在的去人火车站猫") for _ in range(draw.randint(1, 9))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "no long, text string")
+    known = {}
+    for r in segmentation.segment(df, ["no"], dictionary).collect():
+        known.setdefault(r.no, []).append((r["first"], r.word))
+    got = {}
+    for r in segmentation.segment(df, ["no"], dictionary, states=table).collect():
+        got.setdefault(r.no, []).append((r["first"], r.word))
+    more = 0
+    for no, text in enumerate(texts):
+        want, alone = [], []
+        for at, w in [*sorted(known[no]), (len(text), None)]:
+            if w and len(w) == 1:
+                alone.append((at, w))
+                continue
+            chars = "".join(c for _, c in alone)
+            if len(alone) < 2 or chars in words:
+                want += alone
+            else:
+                begin, since = alone[0][0], 0
+                for k, s in enumerate(plain_states(chars, weight, first, after)):
+                    if s in "ES":
+                        want.append((begin + since, chars[since : k + 1]))
+                        since = k + 1
+            alone = []
+            want += [(at, w)] if w else []
+        assert sorted(got[no]) == want, text
+        more += len(want) < len(known[no])
+    assert more > 50 and all("".join(w for _, w in sorted(got[k])) == t for k, t in enumerate(texts))
+
+
+def test_states_that_say_nothing_leave_characters_alone(spark):
+    df = spark.createDataFrame([(1, "猫狗鸟"), (2, ""), (3, None)], "no long, text string")
+    none = spark.createDataFrame([], "word string, freq long")
+    empty = segmentation.word_states(none)
+    assert empty.collect() == []
+    assert "".join(r.word for r in segmentation.segment(df, ["no"], none, states=empty).orderBy("first").collect()) == "猫狗鸟"
