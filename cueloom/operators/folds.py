@@ -166,40 +166,6 @@ def bilingual_groups(cues: DataFrame, source: str = "en", gap: int = 10) -> Data
     return fold(met.unionByName(own), ["media_id"], ["kind", "t", "s"], "group_no long, target_no long, source_no long, start_ms long, end_ms long", step)
 
 
-def split_overlong(words: DataFrame, max_duration: int = 7000, max_chars: int = 84) -> DataFrame:
-    """Units (media_id, turn) cut into parts that last and hold no more than the limits, each time at
-    the boundary that scores best: (media_id, turn, part, first_word, last_word, start_ms, end_ms).
-
-    A boundary scores for the punctuation before it, the pause at it, a conjunction after it and how
-    even the halves are; one that must stay together is taken only if there is no other.
-    """
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        number, text, start, end = (rows[c].tolist() for c in ("word_no", "text", "start_ms", "end_ms"))
-
-        def fits(a: int, b: int) -> bool:
-            return end[b - 1] - start[a] <= max_duration and sum(map(len, text[a:b])) + b - a - 1 <= max_chars
-
-        def score(a: int, b: int, k: int) -> tuple:
-            last = text[k - 1].strip()
-            mark = 60 if last.endswith(tuple(SENTENCE_ENDS)) else 40 if last.endswith(tuple(CLAUSE_PUNCT)) else 0
-            pause = min(40, max(0, start[k] - end[k - 1]) // 20)
-            middle = 30 - 60 * abs((end[k - 1] - start[a]) / max(1, end[b - 1] - start[a]) - 0.5)
-            return not must_stay_together(text[k - 1], text[k]), mark + pause + 20 * (_bare(text[k]) in CONJUNCTIONS) + middle, -k
-
-        todo, done = [(0, len(number))], []
-        while todo:
-            a, b = todo.pop()
-            if b - a < 2 or fits(a, b):
-                done.append((a, b))
-                continue
-            k = max(range(a + 1, b), key=lambda k: score(a, b, k))
-            todo += [(k, b), (a, k)]
-        for part, (a, b) in enumerate(sorted(done), 1):
-            yield part, number[a], number[b - 1], start[a], end[b - 1]
-
-    return fold(words.select("media_id", "turn", "word_no", "text", "start_ms", "end_ms"), ["media_id", "turn"], ["word_no"], "part long, first_word long, last_word long, start_ms long, end_ms long", step)
-
-
 def break_line(text: str, most: int = 42) -> str:
     """A text in two lines, at the space where they are most even, after punctuation or before a
     conjunction if that is nearly as even; never after what must stay together if it can be helped."""

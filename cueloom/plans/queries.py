@@ -13,7 +13,7 @@ from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
-from cueloom.operators import entry, folds, hanlines, intervals, islands, layout, pacing, segmentation, sets, wordindex
+from cueloom.operators import entry, folds, hanlines, intervals, islands, layout, overlong, pacing, segmentation, sets, wordindex
 from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
@@ -711,9 +711,47 @@ def _(s, d):
     return x.select("media_id", "turn", F.array_join(wordindex.match_in_order("line", "words").cast("array<string>"), ",").alias("places"), wordindex.contains_in_order(F.col("line"), F.col("words")).alias("holds"))
 
 
-@query("split_overlong")
-def _(s, d):
-    return folds.split_overlong(A.words(s, d))
+_in = lambda words: ", ".join("'" + w.replace("'", "''") + "'" for w in words)
+_NORM = "regexp_replace(lower({}), '^[!-/:-@\\[-`{{-~“”‘’]+|[!-/:-@\\[-`{{-~“”‘’]+$', '', 'g')"
+_LAST = "(CASE WHEN len({0}) > 1 AND dangles AND NOT (idiom AND n - {0}[len({0})] > 0) THEN {0}[1:len({0}) - 1] ELSE {0} END)"
+# The boundary that scores best between words a and b, from 1; the earlier of equal ones.
+_BEST = """-(list_max(list_transform(list_filter(range(({a} + 1)::BIGINT, ({b} + 1)::BIGINT), lambda k: w[k] IS NOT NULL), lambda k: struct_pack(sc := 1000 * w[k]
+  + CASE WHEN greatest(e[k - 1] - s[{a}], e[{b}] - s[k]) <= 7000 THEN 180000 WHEN greatest(e[k - 1] - s[{a}], e[{b}] - s[k]) <= 8050 THEN 80000 ELSE -120 * (greatest(e[k - 1] - s[{a}], e[{b}] - s[k]) - 8050) END
+  - 9 * abs(2 * (e[k - 1] - s[{a}]) - CASE WHEN 10 * (e[{b}] - s[{a}]) <= 154000 THEN e[{b}] - s[{a}] ELSE 14000 END)
+  - CASE WHEN k - {a} < 3 THEN 180000 ELSE 0 END - CASE WHEN {b} + 1 - k < 3 THEN 180000 ELSE 0 END - CASE WHEN e[k - 1] - s[{a}] < 1000 THEN 120000 ELSE 0 END - CASE WHEN e[{b}] - s[k] < 1000 THEN 120000 ELSE 0 END, neg := -k))).neg)"""
+_O = overlong
+
+
+@query("split_overlong", f""", t0 AS (SELECT media_id, turn, word_no, start_ms, end_ms, {STRIP.format("text")} AS t FROM words),
+  t1 AS (SELECT *, {_NORM.format("t")} AS nm FROM t0 WHERE t <> ''),
+  t2 AS (SELECT *, lag(t) OVER v AS pt, lag(nm) OVER v AS pn FROM t1 WINDOW v AS (PARTITION BY media_id, turn ORDER BY word_no)),
+  t3 AS (SELECT *, CASE WHEN pn = '' OR nm = '' OR pn IN ({_in(_O.PREPOSITIONS + _O.ARTICLES + _O.STRANDED)}) OR nm IN ({_in(_O.PREPOSITIONS)}) THEN NULL WHEN regexp_matches(pt, '[.!?。！？…]$') THEN 1000 WHEN regexp_matches(pt, '[,;:，；：—–]$') THEN 760
+    WHEN nm IN ({_in(_O.STRONG)}) THEN 900 WHEN nm IN ({_in(_O.MEDIUM)}) THEN 620 WHEN nm IN ({_in(_O.WEAK)}) THEN 420 WHEN pn IN ({_in(_O.STRONG)}) THEN 320 ELSE 100 END AS worth,
+    nm IN ({_in(_O.PREPOSITIONS)}) AS dg, coalesce((pn = 'so' AND nm = 'on') OR (pn = 'thinking' AND nm = 'about') OR (pn = 'afraid' AND nm = 'of'), false) AS idm FROM t2),
+  u AS MATERIALIZED (SELECT media_id, turn, list(word_no ORDER BY word_no) AS nos, list(start_ms ORDER BY word_no) AS s, list(end_ms ORDER BY word_no) AS e, list(worth ORDER BY word_no) AS w, count(*) AS n, max_by(dg, word_no) AS dangles, max_by(idm, word_no) AS idiom FROM t3 GROUP BY ALL),
+  long_ AS MATERIALIZED (SELECT * FROM u WHERE e[n] - s[1] > 7000),
+  roots AS (SELECT *, unnest(range(1, n + 1)) AS root, false AS must FROM long_ UNION ALL SELECT *, 1, true FROM long_),
+  r AS (SELECT media_id, turn, s, e, w, root, must, root AS a, n AS b, CASE WHEN n > root AND (must OR e[n] - s[root] > 8050) THEN {_BEST.format(a="root", b="n")} END AS k FROM roots
+    UNION ALL SELECT media_id, turn, s, e, w, root, must, a, b, CASE WHEN b > a AND e[b] - s[a] > 8050 THEN {_BEST.format(a="a", b="b")} END
+      FROM (SELECT media_id, turn, s, e, w, root, must, CASE side WHEN 0 THEN a ELSE k END AS a, CASE side WHEN 0 THEN k - 1 ELSE b END AS b FROM r, (VALUES (0), (1)) AS sides(side) WHERE k IS NOT NULL)),
+  leaves AS MATERIALIZED (SELECT media_id, turn, root, must, list(a ORDER BY a) AS cuts FROM r WHERE k IS NULL GROUP BY ALL),
+  st AS (SELECT media_id, turn, 0 AS round, cuts, false AS done FROM leaves WHERE must
+    UNION ALL SELECT media_id, turn, round + 1, again, again = cuts FROM (SELECT x.media_id, x.turn, round, x.cuts, now[1:len(now) - 1] || l.cuts AS again
+      FROM (SELECT st.*, {_LAST.format("cuts")} AS now FROM st JOIN long_ USING (media_id, turn) WHERE NOT done AND round < 8) x JOIN leaves l ON l.media_id = x.media_id AND l.turn = x.turn AND l.root = now[len(now)] AND NOT l.must)),
+  mended AS (SELECT media_id, turn, max_by(cuts, round) AS cuts FROM st GROUP BY ALL),
+  final AS (SELECT u.*, CASE WHEN cuts IS NULL THEN [1] WHEN len(cuts) > 1 AND len({_LAST.format("cuts")}) < len(cuts) AND 100 * (e[n] - s[cuts[len(cuts) - 1]]) <= 1750000 THEN cuts[1:len(cuts) - 1] ELSE cuts END AS cuts FROM u LEFT JOIN mended USING (media_id, turn)),
+  p AS (SELECT *, unnest(range(1, len(cuts) + 1)) AS part FROM final)
+  SELECT media_id, turn, part, nos[cuts[part]] AS first_word, nos[coalesce(cuts[part + 1] - 1, n)] AS last_word, s[cuts[part]] AS start_ms, e[coalesce(cuts[part + 1] - 1, n)] AS end_ms FROM p""")
+def _(s, d):
+    return overlong.split_overlong(A.words(s, d), ["media_id", "turn"])
+
+
+@query("part_texts")
+def _(s, d):
+    """Each part's share of its turn's text, which has dashes that nobody said; tested on known sentences."""
+    words = A.words(s, d)
+    units = A.table(s, d, "conversations").select(F.col("conv_id").alias("media_id"), "turn", F.regexp_replace("text", "([aeiou]) ", "$1 -- ").alias("text"))
+    return overlong.part_texts(overlong.split_overlong(words, ["media_id", "turn"]), words, units, ["media_id", "turn"])
 
 
 @query("layout_cues")

@@ -142,16 +142,6 @@ def test_text_functions(spark):
     assert (r.a, r.b, r.c, r.d) == ("Héllo_wörld", "你好 世界", "你好", "term")
 
 
-def test_overlong_units_are_cut_where_it_reads_best(spark):
-    text = "When we came home, the others had left and there was the big old dog in front of the door".split()
-    w = spark.createDataFrame([(1, 0, "a", k, t, 600 * k, 600 * k + 400, 0.9) for k, t in enumerate(text, 1)], WORD)
-    got = folds.split_overlong(w, 7000, 60).orderBy("part").collect()
-    assert [r.first_word for r in got] == [1] + [r.last_word + 1 for r in got[:-1]] and got[-1].last_word == len(text)
-    assert all(r.end_ms - r.start_ms <= 7000 for r in got)
-    assert not any(folds.must_stay_together(text[r.last_word - 1], text[r.last_word]) for r in got[:-1])
-    assert folds.split_overlong(w.limit(0)).count() == 0
-
-
 def test_lines_and_layout(spark):
     assert folds.break_line("short one") == "short one"
     first, second = folds.break_line("This is a longer line of text, and it should be in two parts").split("\n")
