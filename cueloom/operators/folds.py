@@ -130,42 +130,6 @@ def segment_words(words: DataFrame, max_duration: int = 7000, max_chars: int = 4
     return fold(words.select("media_id", "word_no", "speaker", "text", "start_ms", "end_ms"), ["media_id"], ["word_no"], "segment long, first_word long, last_word long, start_ms long, end_ms long, text string", step)
 
 
-def bilingual_groups(cues: DataFrame, source: str = "en", gap: int = 10) -> DataFrame:
-    """Cues of two languages as groups on screen: each target cue takes the source cue it overlaps most,
-    the largest overlaps first and each source cue once; source cues left over are fitted between
-    their neighbours: (media_id, group_no, target_no, source_no, start_ms, end_ms).
-
-    The overlaps come from a bucketed join; the fold sees only pairs that overlap.
-    """
-    s = cues.where(F.col("lang") == source)
-    met = overlap_join(cues.where(F.col("lang") != source), s, ["media_id"]).select("media_id", F.lit("pair").alias("kind"), F.col("l_cue_no").alias("t"), F.col("r_cue_no").alias("s"), F.col("overlap_ms").alias("x"), F.lit(0).cast("long").alias("y"))
-    own = cues.select("media_id", F.when(F.col("lang") == source, "source").otherwise("target").alias("kind"), F.col("cue_no").alias("t"), F.col("cue_no").alias("s"), F.col("start_ms").alias("x"), F.col("end_ms").alias("y"))
-
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        pairs = sorted((-x, t, s) for kind, t, s, x in rows[["kind", "t", "s", "x"]].itertuples(index=False) if kind == "pair")
-        partner: dict[int, int] = {}
-        used: set[int] = set()
-        for _, t, s in pairs:
-            if t not in partner and s not in used:
-                partner[t] = s
-                used.add(s)
-        of = lambda kind: rows[rows["kind"] == kind][["t", "x", "y"]].itertuples(index=False)
-        groups = [(x, t, partner.get(t), y) for t, x, y in of("target")] + [(x, None, s, y) for s, x, y in of("source") if s not in used]
-        groups.sort(key=lambda g: (g[0], g[1] is None, g[1] or g[2]))
-        number, before = 0, None
-        for k, (start, t, s, end) in enumerate(groups):
-            if t is None:
-                start = start if before is None else max(start, before + gap)
-                if k + 1 < len(groups) and end > groups[k + 1][0] - gap:
-                    end = max(start + gap, groups[k + 1][0] - gap)
-                if start >= end:
-                    continue
-            number, before = number + 1, end
-            yield number, t, s, start, end
-
-    return fold(met.unionByName(own), ["media_id"], ["kind", "t", "s"], "group_no long, target_no long, source_no long, start_ms long, end_ms long", step)
-
-
 def break_line(text: str, most: int = 42) -> str:
     """A text in two lines, at the space where they are most even, after punctuation or before a
     conjunction if that is nearly as even; never after what must stay together if it can be helped."""

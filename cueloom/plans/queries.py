@@ -13,7 +13,7 @@ from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions import timecode
 from cueloom.functions.interval import byte_range
-from cueloom.operators import entry, folds, hanlines, intervals, islands, layout, overlong, pacing, segmentation, sets, wordindex
+from cueloom.operators import entry, folds, hanlines, intervals, islands, layout, matching, overlong, pacing, segmentation, sets, wordindex
 from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
@@ -321,9 +321,21 @@ def _(s, d):
     return qc.number_loss(x.withColumn("text", F.concat("text", F.when(F.col("lang") == "en", " 42 of ").otherwise(" "), "cue_no")))
 
 
-@query("bilingual_groups")
-def _(s, d):
-    return folds.bilingual_groups(A.bilingual_cues(s, d))
+@query("bilingual_groups", """, met AS MATERIALIZED (SELECT t.media_id, t.cue_no AS t, s.cue_no AS s, row_number() OVER (PARTITION BY t.media_id ORDER BY least(t.end_ms, s.end_ms) - greatest(t.start_ms, s.start_ms) DESC, t.cue_no, s.cue_no) AS k
+    FROM bilingual t JOIN bilingual s ON t.media_id = s.media_id AND t.lang = 'zh' AND s.lang = 'en' AND least(t.end_ms, s.end_ms) > greatest(t.start_ms, s.start_ms)),
+  greedy AS (SELECT DISTINCT media_id, 0::BIGINT AS k, []::BIGINT[] AS ts, []::BIGINT[] AS ss, false AS is_, NULL::BIGINT AS t, NULL::BIGINT AS s FROM met
+    UNION ALL SELECT media_id, k, CASE WHEN f THEN list_append(ts, t) ELSE ts END, CASE WHEN f THEN list_append(ss, s) ELSE ss END, f, t, s
+      FROM (SELECT m.media_id, m.k, ts, ss, m.t, m.s, NOT list_contains(ts, m.t) AND NOT list_contains(ss, m.s) AS f FROM greedy g JOIN met m ON m.media_id = g.media_id AND m.k = g.k + 1)),
+  mates AS MATERIALIZED (SELECT media_id, t, s FROM greedy WHERE is_),
+  groups AS (SELECT b.media_id, b.cue_no AS target_no, m.s AS source_no, start_ms, end_ms FROM bilingual b LEFT JOIN mates m ON m.media_id = b.media_id AND m.t = b.cue_no WHERE lang = 'zh'
+    UNION ALL SELECT media_id, NULL, cue_no, start_ms, end_ms FROM bilingual b WHERE lang = 'en' AND NOT EXISTS (SELECT 1 FROM mates m WHERE m.media_id = b.media_id AND m.s = b.cue_no)),
+  g AS MATERIALIZED (SELECT *, row_number() OVER v AS k, lead(start_ms) OVER v AS ns FROM groups WINDOW v AS (PARTITION BY media_id ORDER BY start_ms, target_no IS NULL, coalesce(target_no, source_no))),
+  fit AS (SELECT DISTINCT media_id, 0::BIGINT AS k, NULL::BIGINT AS target_no, NULL::BIGINT AS source_no, 0::BIGINT AS b, 0::BIGINT AS e, false AS kept, -1::BIGINT AS until_ FROM g
+    UNION ALL SELECT media_id, k, target_no, source_no, b, e2, kept2, CASE WHEN kept2 THEN e2 ELSE until_ END FROM (SELECT *, target_no IS NOT NULL OR b < e2 AS kept2 FROM (SELECT *, CASE WHEN target_no IS NULL AND end_ms > ns - 10 THEN greatest(b + 10, ns - 10) ELSE end_ms END AS e2
+      FROM (SELECT g.*, f.until_, CASE WHEN g.target_no IS NULL AND f.until_ > 0 THEN greatest(g.start_ms, f.until_ + 10) ELSE g.start_ms END AS b FROM fit f JOIN g ON g.media_id = f.media_id AND g.k = f.k + 1))))
+  SELECT media_id, row_number() OVER (PARTITION BY media_id ORDER BY k) AS group_no, target_no, source_no, b AS start_ms, e AS end_ms FROM fit WHERE kept""")
+def _(s, d):
+    return matching.bilingual_groups(A.bilingual_cues(s, d))
 
 
 def _whole_glossary(s: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from cueloom.functions import text as T
 from cueloom.functions import timecode as C
 from cueloom.functions.interval import byte_range
 from cueloom.functions.similarity import seq_ratio
-from cueloom.operators import folds, intervals, islands, layout, sets
+from cueloom.operators import folds, intervals, islands, layout, matching, sets
 from cueloom.rules.registry import RULES, check
 from cueloom.sources import subtitles
 
@@ -79,7 +79,7 @@ def test_segments_split_where_they_should(spark):
 
 def test_bilingual_groups_use_each_source_once(spark):
     rows = [(1, "en", 1, "a", "one", 0, 2000), (1, "en", 2, "a", "two", 2000, 4000), (1, "en", 3, "a", "three", 8000, 9000), (1, "zh", 1, "a", "一", 300, 2300), (1, "zh", 2, "a", "二", 1800, 3900)]
-    got = [(r.target_no, r.source_no, r.start_ms, r.end_ms) for r in folds.bilingual_groups(spark.createDataFrame(rows, CUE)).orderBy("group_no").collect()]
+    got = [(r.target_no, r.source_no, r.start_ms, r.end_ms) for r in matching.bilingual_groups(spark.createDataFrame(rows, CUE)).orderBy("group_no").collect()]
     assert got == [(1, 1, 300, 2300), (2, 2, 1800, 3900), (None, 3, 8000, 9000)]
 
 
