@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from cueloom.functions import text as T
 from cueloom.operators.intervals import overlap_join
 from cueloom.operators.islands import gap_sessions
 
@@ -49,8 +50,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], schema: str, step: Ca
 def merge_short_sessions(words: DataFrame, gap_ms: int = 500, near_ms: int = 800, most_ms: int = 15_000, short: int = 3) -> DataFrame:
     """Sessions of words where short ones that end no sentence have joined the one before:
     (media_id, session, n_words, start_ms, end_ms)."""
-    last_char = F.right(F.rtrim(F.max_by("text", "word_no")), F.lit(1))
-    s = gap_sessions(words, gap_ms).groupBy("media_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min_by("start_ms", "word_no").alias("s"), F.max_by("end_ms", "word_no").alias("e"), last_char.isin(*SENTENCE_ENDS).alias("ends"))
+    s = gap_sessions(words, gap_ms).groupBy("media_id", "session").agg(F.count(F.lit(1)).alias("n"), F.min_by("start_ms", "word_no").alias("s"), F.max_by("end_ms", "word_no").alias("e"), T.ends_sentence(F.max_by("text", "word_no")).alias("ends"))
 
     def step(rows: pd.DataFrame) -> Iterator[tuple]:
         held = None
@@ -91,10 +91,10 @@ def segment_words(words: DataFrame, max_duration: int = 7000, max_chars: int = 4
     A boundary scores what the first signal in the list below gives, less what speaks for going on;
     it splits from ``threshold`` on, and always where the speaker changes.
     """
-    def positive(last: str, following: str, gap: int, span: int, chars: int, n: int, marked: bool) -> int:
+    def positive(last: str, ends: bool, following: str, gap: int, span: int, chars: int, n: int, marked: bool) -> int:
         bare = following.lower().rstrip(TRAILING)
         signals = (
-            (last.endswith(tuple(SENTENCE_ENDS)), 100),
+            (ends, 100),
             (span + gap > max_duration, 100),
             (chars + len(following) > 3 * max_chars and gap > 150, 70),
             (following[:1].isupper() and gap > 300, 80),
@@ -116,7 +116,7 @@ def segment_words(words: DataFrame, max_duration: int = 7000, max_chars: int = 4
                 last, bare = held[-1], text.lower().rstrip(TRAILING)
                 gap = w.start_ms - last.end_ms
                 less = 30 * text[:1].islower() + 25 * (bare in PREPOSITIONS or bare in ARTICLES) + 40 * (len(held) <= 3 and not marked)
-                score = positive(last.text.strip(), text, gap, last.end_ms - held[0].start_ms, chars, len(held), marked) - less
+                score = positive(last.text.strip(), last.ends, text, gap, last.end_ms - held[0].start_ms, chars, len(held), marked) - less
                 if w.speaker != last.speaker or (score >= threshold and not must_stay_together(last.text, text)):
                     number += 1
                     yield number, held[0].word_no, last.word_no, held[0].start_ms, last.end_ms, " ".join(t for t in (x.text.strip() for x in held) if t)
@@ -127,7 +127,7 @@ def segment_words(words: DataFrame, max_duration: int = 7000, max_chars: int = 4
         if held:
             yield number + 1, held[0].word_no, held[-1].word_no, held[0].start_ms, held[-1].end_ms, " ".join(t for t in (x.text.strip() for x in held) if t)
 
-    return fold(words.select("media_id", "word_no", "speaker", "text", "start_ms", "end_ms"), ["media_id"], ["word_no"], "segment long, first_word long, last_word long, start_ms long, end_ms long, text string", step)
+    return fold(words.select("media_id", "word_no", "speaker", "text", T.ends_sentence(F.col("text")).alias("ends"), "start_ms", "end_ms"), ["media_id"], ["word_no"], "segment long, first_word long, last_word long, start_ms long, end_ms long, text string", step)
 
 
 def break_line(text: str, most: int = 42) -> str:

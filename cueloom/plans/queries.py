@@ -629,7 +629,16 @@ def _(s, d):
 # Ordered folds, which SQL cannot express: tested against plain loops.
 
 
-@query("merge_short_sessions")
+_ENDS_LAST = _ENDS.replace("(text)", "(last_text)").replace("regexp_replace(text,", "regexp_replace(last_text,")
+
+
+@query("merge_short_sessions", f""", g AS (SELECT *, sum(n) OVER (PARTITION BY media_id ORDER BY word_no) AS session FROM (SELECT *, coalesce(start_ms - lag(end_ms) OVER (PARTITION BY media_id ORDER BY word_no) > 500, true)::INTEGER AS n FROM words)),
+  x AS (SELECT media_id, session, count(*) AS n, min_by(start_ms, word_no) AS s, max_by(end_ms, word_no) AS e, max_by(text, word_no) AS last_text FROM g GROUP BY ALL),
+  y AS MATERIALIZED (SELECT media_id, n, s, e, {_ENDS_LAST} AS ends, row_number() OVER (PARTITION BY media_id ORDER BY session) AS i FROM x),
+  r AS (SELECT media_id, i, 1::BIGINT AS session, n, s, e, ends FROM y WHERE i = 1
+    UNION ALL SELECT media_id, i, session + CASE WHEN m THEN 0 ELSE 1 END, CASE WHEN m THEN hn + n ELSE n END, CASE WHEN m THEN hs ELSE s END, e, ends FROM (SELECT y.*, r.session, r.n AS hn, r.s AS hs,
+      ((r.n <= 3 AND NOT r.ends) OR (y.n <= 3 AND NOT y.ends)) AND y.s - r.e <= 800 AND y.e - r.s <= 15000 AS m FROM r JOIN y ON y.media_id = r.media_id AND y.i = r.i + 1))
+  SELECT media_id, session, max_by(n, i)::BIGINT AS n_words, max_by(s, i) AS start_ms, max_by(e, i) AS end_ms FROM r GROUP BY media_id, session""")
 def _(s, d):
     return folds.merge_short_sessions(A.words(s, d))
 
@@ -683,7 +692,7 @@ def _(s, d):
 _CHUNKS = f""", k AS (SELECT *, word_no - min(word_no) OVER (PARTITION BY media_id, turn) AS p FROM words),
   lines AS (SELECT media_id, turn, p // 7 AS chunk_no, string_agg(translate(text, '{A.LATIN}', '{A.LATIN.upper()}'), ' ' ORDER BY p) FILTER (p % 7 < 4) AS a, string_agg(text, ' ' ORDER BY p) FILTER (p % 7 >= 4) AS b, min(start_ms) AS s FROM k GROUP BY ALL),
   chunks AS (SELECT media_id, turn, chunk_no, CASE WHEN chunk_no % 3 = 1 THEN [a, 'unsaid 0', coalesce(b, '')] ELSE [a, coalesce(b, '')] END AS lines, s FROM lines)"""
-_BARE = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
+_PLAIN = "regexp_replace(lower({}), '[^\\p{{L}}\\p{{Nd}}]', '', 'g')"
 
 
 def _chunks(words: DataFrame) -> DataFrame:
@@ -693,9 +702,9 @@ def _chunks(words: DataFrame) -> DataFrame:
     return x.withColumn("lines", F.when(F.col("chunk_no") % 3 == 1, F.array(first, F.lit("unsaid 0"), second)).otherwise(F.array(first, second)))
 
 
-@query("find_words", _CHUNKS + f""", u AS (SELECT media_id, turn, string_agg({_BARE.format("text")}, '' ORDER BY word_no) AS whole FROM words GROUP BY ALL),
-  ends AS (SELECT media_id, turn, word_no, start_ms, end_ms, sum(length({_BARE.format("text")})) OVER w AS e, row_number() OVER w AS i FROM words WINDOW w AS (PARTITION BY media_id, turn ORDER BY word_no)),
-  n AS (SELECT c.*, whole, {_BARE.format("array_to_string(lines, '')")} AS t, {_BARE.format("lines[1]")} AS head, {_BARE.format("lines[-1]")} AS tail,
+@query("find_words", _CHUNKS + f""", u AS (SELECT media_id, turn, string_agg({_PLAIN.format("text")}, '' ORDER BY word_no) AS whole FROM words GROUP BY ALL),
+  ends AS (SELECT media_id, turn, word_no, start_ms, end_ms, sum(length({_PLAIN.format("text")})) OVER w AS e, row_number() OVER w AS i FROM words WINDOW w AS (PARTITION BY media_id, turn ORDER BY word_no)),
+  n AS (SELECT c.*, whole, {_PLAIN.format("array_to_string(lines, '')")} AS t, {_PLAIN.format("lines[1]")} AS head, {_PLAIN.format("lines[-1]")} AS tail,
     greatest(list_sum(list_transform(lines, lambda x: length(x))) * 1000 // 9, 800) AS reading FROM chunks c JOIN u USING (media_id, turn)),
   h AS (SELECT *, instr(whole, t) AS pos, CASE WHEN head = '' THEN 1 ELSE instr(whole, head) END AS a,
     CASE WHEN tail = '' THEN length(whole) + 1 WHEN instr(whole, tail) = 0 THEN 0 ELSE length(whole) - instr(reverse(whole), reverse(tail)) - length(tail) + 2 END AS b FROM n),
@@ -709,7 +718,7 @@ def _(s, d):
     return wordindex.find_words(words, _chunks(words), ["media_id", "turn"], CONFIG.cps_limit)
 
 
-@query("words_in_order", f""", k AS (SELECT media_id, turn, {_BARE.format("text")} AS v, row_number() OVER (PARTITION BY media_id, turn ORDER BY word_no) - 1 AS p FROM words),
+@query("words_in_order", f""", k AS (SELECT media_id, turn, {_PLAIN.format("text")} AS v, row_number() OVER (PARTITION BY media_id, turn ORDER BY word_no) - 1 AS p FROM words),
   t AS (SELECT media_id, turn, v, row_number() OVER (PARTITION BY media_id, turn ORDER BY p) - 1 AS p FROM k WHERE v <> ''),
   w AS (SELECT media_id, turn, v, row_number() OVER (PARTITION BY media_id, turn ORDER BY p) - 1 AS i FROM (SELECT media_id, turn, p, v FROM t WHERE p % 3 <> 1 UNION ALL SELECT media_id, turn, 1e9, 'unsaid' FROM (SELECT DISTINCT media_id, turn FROM t) WHERE turn % 4 = 3)),
   r AS (SELECT DISTINCT media_id, turn, -1::BIGINT AS i, -1::BIGINT AS p FROM t
@@ -1042,7 +1051,7 @@ def _(s, d):
 _PLAN = ["download", "transcribe", "correct", "translate", "layout", "export"]
 _STEPS = f"""[{_quoted(_PLAN)}]"""
 _RUNS = f""", ev AS (SELECT user_id AS run, event_id AS seq, CASE event_id % 11 WHEN 0 THEN 'failed' WHEN 1 THEN 'interrupted' WHEN 2 THEN 'done' WHEN 3 THEN 'running' WHEN 4 THEN 'running' WHEN 5 THEN 'running' ELSE 'completed' END AS kind,
-  CASE WHEN event_id % 11 = 2 THEN NULL ELSE {_STEPS}[(event_id // 3 % 6 + 1)::INTEGER] END AS step FROM events WHERE value < 50
+  CASE WHEN event_id % 11 = 2 THEN NULL ELSE {_STEPS}[(event_id // 3 % 6 + 1)::INTEGER] END AS step FROM events
 ), st AS (SELECT run, max_by(kind, seq) FILTER (kind IN ('running', 'failed', 'interrupted', 'done')) AS lk, max_by(kind, seq) FILTER (kind IN ('running', 'failed', 'interrupted')) AS fk,
   max_by(step, seq) FILTER (kind IN ('running', 'failed', 'interrupted')) AS fs, max_by(kind, seq) FILTER (kind IN ('running', 'done')) AS ck,
   max_by(coalesce(step, ''), seq) FILTER (kind IN ('running', 'done')) AS cs, coalesce(list_sort(list(DISTINCT step) FILTER (kind = 'completed')), []) AS completed FROM ev GROUP BY run
@@ -1050,8 +1059,8 @@ _RUNS = f""", ev AS (SELECT user_id AS run, event_id AS seq, CASE event_id % 11
 
 
 def _states(s: SparkSession, d: str) -> DataFrame:
-    """Events of low value as the steps of runs."""
-    e, m = A.table(s, d, "events").where("value < 50"), F.col("event_id") % 11
+    """Events as the steps of runs."""
+    e, m = A.table(s, d, "events"), F.col("event_id") % 11
     kind = F.when(m == 0, "failed").when(m == 1, "interrupted").when(m == 2, "done").when(m <= 5, "running").otherwise("completed")
     step = F.when(m != 2, F.get(F.array(*map(F.lit, _PLAN)), (F.floor(F.col("event_id") / 3) % 6).cast("int")))
     return runs.run_state(e.select(F.col("user_id").alias("run"), F.col("event_id").alias("seq"), kind.alias("kind"), step.alias("step")))

@@ -75,6 +75,8 @@ def test_segments_split_where_they_should(spark):
     w = words(spark, [("Hello", 0, 400, "a"), ("world.", 500, 900, "a"), ("The", 1000, 1200, "a"), ("dog", 3000, 3300, "a"), ("ran", 3400, 3800, "a"), ("Now", 3900, 4200, "b")])
     got = [r.text for r in folds.segment_words(w).orderBy("segment").collect()]
     assert got == ["Hello world.", "The dog ran", "Now"]  # no split after an article, one at a new speaker
+    w = words(spark, [("Ask", 0, 400, "a"), ("my", 500, 700, "a"), ("old", 800, 900, "a"), ("friend", 1000, 1200, "a"), ("Mr.", 1300, 1500, "a"), ("Smith", 1600, 1900, "a"), ("there.", 2000, 2300, "a"), ("Yes.", 2400, 2700, "a")])
+    assert [r.text for r in folds.segment_words(w).orderBy("segment").collect()] == ["Ask my old friend Mr. Smith there.", "Yes."]
 
 
 def test_bilingual_groups_use_each_source_once(spark):
