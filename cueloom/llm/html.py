@@ -7,10 +7,12 @@ blocks that stay ambiguous then take the label of the nearest decided neighbours
 its article, blocks outside are not main text, and ambiguous blocks inside look for neighbours inside
 only, or count as main text.
 
-Where a block stands: menus, buttons and the like are never main text. Forms, headers, and elements
-that a word of their class, id or role speaks against, are not unless they hold most of the page's
-text. After a heading such as "3 comments" come readers' comments, as far as that heading's element
-goes; a block of consent words about cookies is a notice.
+Where a block stands: menus are never main text, nor is what buttons, pictures and the like hold, which stand in a
+line without ending it; formulas are text. Forms, headers, and elements that a word of their class, id or
+role speaks against, are not unless they hold most of the page's text; in a marked article such a word
+beside another ("share-price") only takes from the element that the article speaks for it. After a heading such
+as "3 comments" come readers' comments, as far as that heading's element goes. Outside of a marked article, a short block
+of consent words about cookies is a notice if it has a link or a button, or stands at the page's top or bottom.
 
 Cases: a null, empty or textless page gives an empty text; repeated rows each keep a row; other
 columns are left out. Broken markup is read as far as it goes: what opens with < and a letter is a
@@ -39,10 +41,12 @@ RAW = frozenset("script style textarea title xmp noframes noembed iframe noscrip
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form "
-    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary "
-    "table tbody td tfoot th thead tr ul button svg math object audio video canvas".split()
+    "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary "
+    "table tbody td tfoot th thead tr ul".split()
 )
-NEVER = frozenset("head nav footer aside button select menu dialog svg math object audio video canvas".split())
+NEVER = frozenset("head nav footer aside menu dialog".split())
+#: Controls and pictures: they stand in a line of text without ending it, and what they hold is not main text.
+CONTROLS = frozenset("button select svg object audio video canvas".split())
 SELDOM = frozenset("form fieldset".split())
 #: Words of a class, id or role that say that an element is not main text.
 NEVER_WORDS = frozenset(
@@ -53,6 +57,13 @@ NEVER_WORDS = frozenset(
     "contentinfo complementary dialog form skip hidden".split()
 )
 HEADER_WORDS = frozenset(["header", "topbar"])
+#: Words of a class that name its form. In a marked article one that speaks against an element has to stand alone or with these;
+#: beside any other word ("share-price") it is a doubt, which the text decides.
+FORM_WORDS = frozenset(
+    "area article articles bar block body bottom box btn button buttons card cards col column container content count counter cta desktop el entry "
+    "first float footer form group header holder icon icons in inline inner item items js last layout left line link links list main mobile module new "
+    "outer panel part post posts primary right row secondary section slot small sticky text title tool tools top unit view wrap wrapper".split()
+)
 #: With one of these, a class tells of a state of the page ("has-sidebar", "comments-open").
 STATE_WORDS = frozenset("has is no not with without open opened closed enabled disabled on off target".split())
 #: Headings over readers' comments, and words of notices about cookies of which a notice has two.
@@ -84,7 +95,6 @@ _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I) for name in RAW}
 _WORD = re.compile(r"[^\W\d_]+")
 _WIDE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
-_COOKIES = frozenset(["cookie", "cookies"])
 
 
 @dataclass
@@ -96,6 +106,8 @@ class Block:
     heading: bool = False
     article: int = 0  # number of the article or main element it stands in, or 0
     never: bool = False  # inside what is not main text
+    doubt: bool = False  # a class raises a doubt, so the article around does not speak for it
+    control: bool = False  # a button or the like stands in it
     label: bool | None = None
 
 
@@ -107,6 +119,8 @@ class _Element:
     seldom: bool  # by itself: not main text unless it holds most of it
     article: int
     group: int
+    doubt: bool = False
+    mute: bool = False  # a control, or inside one
 
 
 @dataclass
@@ -119,12 +133,17 @@ class _Reader:
     open_names: Counter = field(default_factory=Counter)
     parts: list[str] = field(default_factory=list)
     links: list[str] = field(default_factory=list)
+    muted: list[str] = field(default_factory=list)
+    control: bool = False
     in_link: bool = False
     articles: int = 0
 
     def text(self, raw: str) -> None:
         if "&" in raw:
             raw = unescape(raw)
+        if self.elements[self.stack[-1]].mute:
+            self.muted.append(raw)
+            return
         self.parts.append(raw)
         if self.in_link:
             self.links.append(raw)
@@ -133,10 +152,48 @@ class _Reader:
         if self.parts:
             words = "".join(self.parts).split()
             if words:
-                top = self.elements[self.stack[-1]]
-                self.blocks.append(Block(" ".join(words), len(" ".join("".join(self.links).split())), self.stack[-1], top.group, top.name in _HEADINGS, top.article, top.never))
+                at = next(k for k in reversed(self.stack) if not self.elements[k].mute)
+                top = self.elements[at]
+                self.blocks.append(Block(" ".join(words), len(" ".join("".join(self.links).split())), at, top.group, top.name in _HEADINGS, top.article, top.never, top.doubt, self.control))
             self.parts.clear()
             self.links.clear()
+        self.control = False
+
+    def open_control(self, name: str) -> None:
+        """A control, or an element inside one: no block ends."""
+        parent = self.stack[-1]
+        top = self.elements[parent]
+        self.stack.append(len(self.elements))
+        self.elements.append(_Element(name, parent, True, False, top.article, top.group, top.doubt, True))
+        self.open_names[name] += 1
+
+    def end_controls(self, control: int) -> None:
+        """After the end of a control (its element): one that nothing stood before is a block of its own, which is never main text."""
+        if self.elements[self.stack[-1]].mute:
+            return
+        words = "".join(self.muted).split()
+        self.muted.clear()
+        if words and not "".join(self.parts).strip():
+            e = self.elements[control]
+            self.blocks.append(Block(" ".join(words), 0, control, e.group, False, e.article, True))
+        self.control = True
+
+    def close_tag(self, name: str) -> None:
+        """An end tag of a block, or of a control. Inside a control only what was opened there ends without ending a block."""
+        muted = self.elements[self.stack[-1]].mute
+        if not muted:
+            if name not in CONTROLS:
+                self.end_block()
+                self.close(name)
+            return
+        if not self.open_names[name]:
+            return
+        k = next(k for k in range(len(self.stack) - 1, -1, -1) if self.elements[self.stack[k]].name == name)
+        if not self.elements[self.stack[k]].mute:
+            self.end_block()
+        control = next(at for at in self.stack if self.elements[at].mute)
+        self.close(name)
+        self.end_controls(control)
 
     def close(self, name: str, until: frozenset[str] = frozenset()) -> None:
         """Closes the innermost open element of the name, unless one of ``until`` stands before it."""
@@ -152,6 +209,11 @@ class _Reader:
         del self.stack[k:]
 
     def open(self, name: str, attributes: str) -> None:
+        if self.elements[self.stack[-1]].mute:
+            if name not in VOID:
+                self.muted.append(" ")
+                self.open_control(name)
+            return
         self.end_block()
         self.close("p", _P_ENDS)
         if name == "li":
@@ -164,7 +226,7 @@ class _Reader:
         parent = self.stack[-1]
         top = self.elements[parent]
         never, article = top.never or name in NEVER, top.article
-        seldom = name in SELDOM or (name == "header" and not article)
+        seldom, doubt = name in SELDOM or (name == "header" and not article), top.doubt
         if attributes and not never:
             of: dict[str, str] = {}
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -173,8 +235,11 @@ class _Reader:
             if name not in ("html", "body"):
                 never = "hidden" in of or of.get("aria-hidden", "").lower() == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", of.get("style", ""), re.I))
                 if name not in ("article", "main"):
-                    against = NEVER_WORDS if article else NEVER_WORDS | HEADER_WORDS
-                    seldom = seldom or (not article and role == "banner") or any(_speaks(word, against) for k in ("class", "id", "role") for word in of.get(k, "").split())
+                    tokens = [word for k in ("class", "id", "role") for word in of.get(k, "").split()]
+                    against = [t for t in tokens if _speaks(t, NEVER_WORDS if article else NEVER_WORDS | HEADER_WORDS)]
+                    sure = [t for t in against if not article or _words(t) <= NEVER_WORDS | FORM_WORDS]
+                    seldom = seldom or (not article and role == "banner") or bool(sure)
+                    doubt = doubt or bool(against)
             if not article and (role in ("main", "article") or of.get("itemprop", "").lower() == "articlebody"):
                 self.articles += 1
                 article = self.articles
@@ -182,7 +247,7 @@ class _Reader:
             self.articles += 1
             article = self.articles
         number = len(self.elements)
-        self.elements.append(_Element(name, parent, never, seldom, article, top.group if name in _LEAVES else number))
+        self.elements.append(_Element(name, parent, never, seldom, article, top.group if name in _LEAVES else number, doubt))
         self.stack.append(number)
         self.open_names[name] += 1
 
@@ -205,13 +270,18 @@ class _Reader:
             b.never = never[b.element]
 
 
+def _words(token: str) -> set[str]:
+    """The words of a class, id or role, without numbers."""
+    return {w for w in re.split(r"[\W_\d]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()) if w}
+
+
 def _speaks(token: str, against: frozenset[str]) -> bool:
     """Whether a class, id or role says that an element is not main text."""
-    words = set(re.split(r"[\W_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", token).lower()))
+    words = _words(token)
     return not words.isdisjoint(against) and words.isdisjoint(STATE_WORDS)
 
 
-_P_ENDS = frozenset("div section article main aside nav header footer form td th li blockquote table body button object".split())
+_P_ENDS = frozenset("div section article main aside nav header footer form td th li blockquote table body".split())
 _LI_ENDS = frozenset("ul ol menu".split())
 _DL_ENDS = frozenset(["dl"])
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -256,11 +326,15 @@ def read_blocks(html: str) -> list[Block]:
             at = end.end() if end else size
         elif name in BLOCKS:
             if closing:
-                page.end_block()
-                page.close(name)
+                page.close_tag(name)
                 page.in_link = False
             else:
                 page.open(name, attributes)
+        elif name in CONTROLS:
+            if closing:
+                page.close_tag(name)
+            elif not attributes.endswith("/"):
+                page.open_control(name)
         elif name == "br":
             page.text(" ")
         elif name == "a":
@@ -292,16 +366,27 @@ def _width(text: str) -> float:
     return len(text) + 2 * len(_WIDE.findall(text))
 
 
+def _notice(blocks: list[Block], at: int) -> bool:
+    """A short block about cookies and consent, outside of any marked article, where a notice would stand:
+    with a link or a control in it or next to it, or at the page's top or bottom."""
+    b = blocks[at]
+    if b.article or len(b.text) > NOTICE_LONGEST:
+        return False
+    words = {w.lower().replace("cookies", "cookie") for w in CONSENT_WORDS.findall(b.text)}
+    if "cookie" not in words or len(words) + b.control < 2:
+        return False
+    near = blocks[max(0, at - 1) : at] + blocks[at + 1 : at + 2]
+    return bool(b.linked or b.control) or min(at, len(blocks) - 1 - at) < 2 or any(n.never and n.group == b.group for n in near)
+
+
 def classify(blocks: list[Block]) -> None:
     """Labels every block: main text or not."""
     marked = any(b.article and not b.never for b in blocks)
     density = []
-    for b in blocks:
+    for k, b in enumerate(blocks):
         words = _WORD.findall(b.text.lower())
         density.append(sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0)
-        if b.never or (marked and not b.article) or b.linked > LINKS_MOST * len(b.text):
-            b.label = False
-        elif len(b.text) <= NOTICE_LONGEST and len({w.lower() for w in CONSENT_WORDS.findall(b.text)} & _COOKIES) and len({w.lower() for w in CONSENT_WORDS.findall(b.text)}) > 1:
+        if b.never or (marked and not b.article) or b.linked > LINKS_MOST * len(b.text) or _notice(blocks, k):
             b.label = False
     able = [(b, d) for b, d in zip(blocks, density, strict=True) if b.label is None]
     long = [(len(b.text), d) for b, d in able if len(b.text) >= SHORT]
@@ -315,7 +400,7 @@ def classify(blocks: list[Block]) -> None:
                 b.label = True
             else:
                 # Long text of few stop words is main text only where the page says so.
-                b.label = True if b.article else False if d < STOP_LOW and (b.linked or len(b.text) <= LONG) else None
+                b.label = True if b.article and not b.doubt else False if d < STOP_LOW and (b.linked or len(b.text) <= LONG) else None
     decided = [b.label for b in blocks]
     # Nearest decided neighbours, in the same article where the page marks one.
     before: list[tuple[int, bool] | None] = []
@@ -337,7 +422,7 @@ def classify(blocks: list[Block]) -> None:
             least = min((x[0] for x in near), default=0)
             labels = {label for distance, label in near if distance == least}
             # Neighbours that are as near and differ, or none at all: it depends on the article.
-            b.label = labels.pop() if len(labels) == 1 else bool(b.article)
+            b.label = labels.pop() if len(labels) == 1 else bool(b.article and not b.doubt)
 
 
 def main_text(html: str | None) -> str:

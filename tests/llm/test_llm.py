@@ -65,6 +65,35 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{a:b}</style><scrip
 <form>Search for what you want to have <input></form><footer>All of the rights are with the owners of the site and with no one else in the world.</footer></body></html>"""
 
 
+PASSAGE = "<p>" + "This is the story of the people who lived in the town and of what they did when the river was high. " * 3 + "</p>"
+
+
+@pytest.mark.parametrize(("inside", "want"), [
+    ("<p>When the cookies are brown at the edges you should take them out, and let each cookie cool before you accept praise.</p>", ["When the cookies are brown at the edges you should take them out, and let each cookie cool before you accept praise."]),
+    ("<p>Most bakers agree that cookies are best when they are warm.</p>", ["Most bakers agree that cookies are best when they are warm."]),
+    ("<p>The recipe that we use <svg><text>x</text></svg> is the one of <math><mi>a</mi></math> and <button>Copy</button> we like <select><option>a<option>b</select> it.</p>", ["The recipe that we use is the one of a and we like it."]),
+    ('<p class="share-price">The share price fell by two per cent after the news.</p>', ["The share price fell by two per cent after the news."]),
+    ('<div class="search-results">The search results that the team had found were of no use to them.</div>', ["The search results that the team had found were of no use to them."]),
+    ('<div class="share-buttons">Share Tweet</div><div class="related-posts"><p>Read this too</p></div><button><div>Subscribe</div></button><p>Short end.</p>', ["Short end."]),
+    ("<p>Unclosed <button>Copy</p><p>After it there is text.</p>", ["Unclosed", "After it there is text."]),
+    ("<p>One <object><p>fallback</p></object> sentence of the text</p>", ["One sentence of the text"]),
+    ("<p>One <button/> sentence of <canvas>no</canvas>the text</p>", ["One sentence of the text"]),
+])
+def test_html_inside_a_marked_article(inside, want):
+    page = f"<html><body><nav>Home About</nav><article>{PASSAGE}{inside}{PASSAGE}</article><footer>c</footer></body></html>"
+    plain = " ".join(PASSAGE[3:-4].split())
+    assert html.main_text(page).split("\n\n") == [plain, *want, plain]
+
+
+def test_html_notices_need_more_than_words():
+    plain = " ".join(PASSAGE[3:-4].split())
+    notice = "<div>We use cookies to improve. <button>Accept</button></div>"
+    linked = "<div><p>We use cookies, do you accept? <a href=x>more</a></p></div>"
+    said = "<p>The cookies that we use to bake are those that most of them accept.</p>"
+    page = f"<body>{notice}{PASSAGE}{PASSAGE}{said}{PASSAGE}{PASSAGE}{linked}{PASSAGE}</body>"
+    assert html.main_text(page).split("\n\n") == [plain, plain, said[3:-4], plain, plain, plain]
+
+
 def test_html_by_rules():
     assert html.main_text(PAGE) == "Head & tail\n\nIt was the best of times, it was the worst of times, and that is what there was to say about it all.\n\nShort one.\n\nHe had been to the town and it was what they said that it would be when we were there with the others."
 
