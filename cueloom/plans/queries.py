@@ -17,7 +17,7 @@ from cueloom.operators import entry, folds, hanlines, intervals, islands, layout
 from cueloom.plans import corrections, qc, review, rollups, runs, units
 from cueloom.rules import cue_rules as R
 from cueloom.rules.registry import check
-from cueloom.sources import artifacts, subtitles
+from cueloom.sources import artifacts, mixed, subtitles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -603,6 +603,19 @@ def _(s, d):
     return subtitles.parse_srt(subtitles.write_srt(c, ["media_id"]), "content", ["media_id"])
 
 
+@query("mixed_formats", f""", c AS (SELECT *, {STRIP.format("text")} AS t, CASE media_id % 3 WHEN 0 THEN '.srt' WHEN 1 THEN '.vtt' ELSE '.SSA' END AS suffix FROM cues WHERE {STRIP.format("text")} <> ''),
+  x AS (SELECT media_id::VARCHAR || suffix AS path, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS index, CASE WHEN suffix = '.SSA' THEN start_ms // 10 * 10 ELSE start_ms END AS start_ms, CASE WHEN suffix = '.SSA' THEN end_ms // 10 * 10 ELSE end_ms END AS end_ms, t AS text,
+    CASE WHEN regexp_matches(t, '{T.HAN_BASIC}') THEN 'zh' ELSE 'en' END AS cue_lang FROM c)
+  SELECT path, CASE WHEN count(*) FILTER (cue_lang = 'zh') OVER (PARTITION BY path) > count(*) FILTER (cue_lang = 'en') OVER (PARTITION BY path) THEN 'zh' ELSE 'en' END AS lang, index, NULL::VARCHAR AS cue_id, start_ms, end_ms, text, cue_lang FROM x""")
+def _(s, d):
+    """All cues, a file for each medium, in three formats by turns."""
+    c = A.cues(s, d).where(T.strip(F.col("text")) != "").withColumn("text", F.regexp_replace("text", "\n{2,}", "\n"))
+    of = lambda k: c.where(F.col("media_id") % 3 == k)
+    files = [(subtitles.write_srt(of(0), ["media_id"]), ".srt"), (subtitles.write_vtt(of(1), ["media_id"]), ".vtt"), (subtitles.write_ass(of(2), ["media_id"]), ".SSA")]
+    named = [f.select(F.concat(F.col("media_id").cast("string"), F.lit(suffix)).alias("path"), "content") for f, suffix in files]
+    return mixed.load_mixed(named[0].unionByName(named[1]).unionByName(named[2]))
+
+
 @query("byte_ranges", """SELECT doc_id, greatest(n_chars - 500, 0) AS first, n_chars - 1 AS last FROM documents WHERE n_chars > 0""")
 def _(s, d):
     x = A.table(s, d, "documents").where("n_chars > 0")
