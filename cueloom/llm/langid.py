@@ -8,10 +8,11 @@ further from that centroid than the rows that made it: below ``REJECT_SHARE`` of
 but a hundredth of them reach.
 
 The model is fitted on a bounded sample: of each language the ``SAMPLE`` labelled training rows
-whose hashed key is smallest. It is at most languages * CENTROIDS * DIMENSIONS * 4 bytes (128 kB a
-language), which bounds what is broadcast. Every row is then predicted from its whole text alone.
+whose hashed key is smallest. Each language is clustered in a task of its own. The model is languages * CENTROIDS *
+DIMENSIONS * 4 bytes (128 kB a language) for at most LANGUAGES languages, which bounds what the driver holds and broadcasts;
+the sizes and cuts of languages that are broadcast while it is fitted are a few bytes each. Every row is then predicted from its whole text alone.
 
-Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text
+Cases: a label ``und`` is not learned from; a null text, or one without a letter, is ``und`` with score 0 and rejected; so is every text
 if there was nothing to learn from; rows with a null label are predicted but not learned from;
 languages that tie go to the first in alphabetical order; repeated rows each keep a row.
 """
@@ -27,12 +28,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cueloom.llm.common import small_batches
+from cueloom.llm.common import cut, small_batches
 
 UNDETERMINED = "und"
 DIMENSIONS, LONGEST = 8192, 3
 #: Rows of a language that the model is fitted on, at most, and its centroids.
 SAMPLE, CENTROIDS, ROUNDS = 400, 4, 12
+#: Languages at most: a model of 256 MB.
+LANGUAGES = 2000
 #: A cosine is too small below this share of the quantile ``REJECT_QUANTILE`` of a centroid's own rows,
 #: or of the language's, if the centroid has fewer than ``OWN_ROWS``.
 REJECT_SHARE, REJECT_QUANTILE, OWN_ROWS = 0.36, 0.01, 50
@@ -99,10 +102,12 @@ def limits_of(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", sample: int = SAMPLE) -> Model:
-    """A model of the labelled rows of ``docs``."""
+    """A model of the labelled rows of ``docs``; more languages than ``LANGUAGES`` are refused."""
     rows = docs.where(F.col(label).isNotNull() & (F.col(label) != UNDETERMINED) & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("label"), F.xxhash64(key).alias("h"), F.col(text).alias("text"))
     # Hashes are even, so three times the sample's share of a language has enough rows in it, and few go on.
-    sizes = rows.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    sizes = cut(rows.groupBy("label").agg(F.count(F.lit(1)).alias("size")))
+    if sizes.limit(LANGUAGES + 1).count() > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     share = F.lit(-(2.0**63)) + F.lit(2.0**64) * F.least(F.lit(1.0), 3 * sample / F.col("size"))
     able = rows.select("label", "h").join(F.broadcast(sizes), "label").where((F.col("size") <= 50) | (F.col("h") <= share))
     # Spark limits such a window before it shuffles: each task sends so many rows of a language at most.
@@ -121,24 +126,32 @@ def train(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str =
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["label", "h", "at", "n"])
 
     picked = rows.join(F.broadcast(cut_at), "label").where("h <= cut").select("label", "h", "text")
-    seen: dict[str, list] = {}
-    found = picked.mapInArrow(features, "label string, h long, at array<int>, n array<int>").orderBy("label", "h", "at", "n")
-    for row in found.toLocalIterator():
-        if len(own := seen.setdefault(row["label"], [])) < sample:  # repeated keys share a hash
-            own.append((row["at"], row["n"]))
-    languages = sorted(seen)
-    dense = {}
-    for name in languages:
-        x = dense[name] = np.zeros((len(seen[name]), DIMENSIONS), dtype=np.float32)
-        for k, (at, n) in enumerate(seen[name]):
-            x[k, at] = n
-    total = sum(len(x) for x in dense.values())
-    in_docs = sum(((x > 0).sum(axis=0) for x in dense.values()), np.zeros(DIMENSIONS))
-    weights = np.log((1 + total) / (1 + in_docs)).astype(np.float32) + 1
-    units = [unit_rows(np.sqrt(dense[name]) * weights) for name in languages]
-    centroids = [cluster(x, seed) for seed, x in enumerate(units)]
-    limits = [limits_of(x, centre) for x, centre in zip(units, centroids, strict=True)]
-    return Model(languages, weights, np.concatenate([np.zeros((0, DIMENSIONS)), *centroids]).astype(np.float32), np.concatenate([np.zeros(0), *limits]))
+    found = picked.mapInArrow(features, "label string, h long, at array<int>, n array<int>")
+    # Repeated keys share a hash, so the sample is counted once more; tasks again send so many rows of a language at most.
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "at", "n"))
+    kept = cut(found.withColumn("place", place).where(F.col("place") <= sample))
+    languages = sorted(r["label"] for r in kept.select("label").distinct().collect())
+    in_docs = np.zeros(DIMENSIONS)
+    for at, n in kept.select(F.explode("at").alias("at")).groupBy("at").count().collect():  # one row a dimension
+        in_docs[at] = n
+    weights = np.log((1 + kept.count()) / (1 + in_docs)).astype(np.float32) + 1
+    seeds = {name: seed for seed, name in enumerate(languages)}
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by("place")
+        x = np.zeros((group.num_rows, DIMENSIONS), dtype=np.float32)
+        for k, (at, n) in enumerate(zip(group["at"], group["n"], strict=True)):
+            x[k, at.values.to_numpy()] = n.values.to_numpy()
+        name = group["label"][0].as_py()
+        unit = unit_rows(np.sqrt(x) * weights)
+        centre = cluster(unit, seeds[name])
+        return pa.table({"label": [name], "centroids": [centre.astype("<f4").tobytes()], "limits": [limits_of(unit, centre).astype("<f8").tobytes()]})
+
+    # Each language is clustered in a task of its own, of one bounded sample; the driver gets its centroids.
+    fitted = {r["label"]: r for r in kept.groupBy("label").applyInArrow(fit, "label string, centroids binary, limits binary").collect()}
+    centroids = [np.frombuffer(fitted[name]["centroids"], "<f4").reshape(-1, DIMENSIONS) for name in languages]
+    limits = [np.frombuffer(fitted[name]["limits"], "<f8") for name in languages]
+    return Model(languages, weights, np.concatenate([np.zeros((0, DIMENSIONS), np.float32), *centroids]), np.concatenate([np.zeros(0), *limits]))
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cueloom.llm import bpe, centroids, decontam, embeddup, html, langid, mixing, sharding, simhash, tokencount, veccodes, vptrees, warc
-from cueloom.llm.common import scratch_path, table
+from cueloom.llm.common import drop_scratch, scratch_path, table
 
 
 def op1_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +99,9 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "warc")
     warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.report(spark, path)
+    told = warc.report(spark, path)  # reads the archive once, and keeps what it needs of it
+    drop_scratch(spark, path)
+    return told
 
 
 OP9_SQL = """
