@@ -128,10 +128,58 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return veccodes.compress(table(spark, sf_dir, "embeddings"))
 
 
+#: Rows of ``kept`` (vec_id, part, v) meet the entries of each round (part, c, v); what they are nearest to moves them.
+_FITS = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x) OR abs({0}::DOUBLE * x::DOUBLE) >= 67108864)) = 0"
+
+
+def _rounds(n: int) -> str:
+    """Assignments at_0 to at_n and books book_1 to book_n out of ``kept`` and book_0, a round after the other."""
+    steps = []
+    for r in range(n + 1):
+        steps.append(f"""at_{r} AS MATERIALIZED (SELECT k.vec_id, k.row, k.part, k.v, min(struct_pack(
+    d := list_dot_product(k.v, k.v) - 2 * list_dot_product(k.v, b.v) + list_dot_product(b.v, b.v), c := b.c)) AS near FROM kept k JOIN book_{r} b USING (part) GROUP BY ALL)""")
+        if r < n:
+            steps.append(f"""sum_{r} AS (SELECT part, c, list(x ORDER BY p) AS v FROM (SELECT part, c, p, floor(sum(x) / count(*)) AS x
+    FROM (SELECT part, near.c AS c, unnest(v) AS x, unnest(range(len(v))) AS p FROM at_{r}) GROUP BY part, c, p) GROUP BY part, c),
+  book_{r + 1} AS MATERIALIZED (SELECT part, c, coalesce(s.v, b.v) AS v FROM book_{r} b LEFT JOIN sum_{r} s USING (part, c))""")
+    return ",\n  ".join(steps)
+
+
+OP11_SQL = f"""
+WITH whole AS (
+  SELECT vec_id, label, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings WHERE {_FITS.format(1024)}
+), usual AS (
+  SELECT * FROM whole WHERE len(v) = (SELECT len(v) FROM whole WHERE len(v) % 4 = 0 GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1)
+), kept AS MATERIALIZED (
+  SELECT vec_id, row, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS v FROM usual, range(4) AS parts(part)
+), first AS (
+  SELECT row, row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS c FROM usual QUALIFY c < 256
+), book_0 AS MATERIALIZED (
+  SELECT part, c, v FROM kept JOIN first USING (row)
+), {_rounds(4)}, coded AS (
+  SELECT row, string_agg(format('{{:02x}}', near.c), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM at_4 GROUP BY row
+), digest AS (
+  SELECT sha256(string_agg(x::BIGINT::VARCHAR, ',' ORDER BY part, c, p)) AS codebooks_sha256 FROM (SELECT part, c, unnest(v) AS x, unnest(range(len(v))) AS p FROM book_4)
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM usual JOIN coded USING (row), digest
+"""
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(table(spark, sf_dir, "embeddings"))
 
 
+OP12_SQL = f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, 0 AS part, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings WHERE {_FITS.format(256)} AND len(embedding) = 64
+), book_0 AS MATERIALIZED (
+  SELECT part, row_number() OVER (ORDER BY sha256('2:' || vec_id) NULLS LAST, v) - 1 AS c, v FROM kept QUALIFY c < 40
+), {_rounds(5)}
+SELECT vec_id, near.c::INT AS cluster, near.d::BIGINT AS distance, (sum(near.d) OVER (PARTITION BY near.c))::BIGINT AS cluster_inertia, (sum(near.d) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(list_transform(b.v, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256 FROM at_5 JOIN book_5 b ON b.c = near.c
+"""
+
+
 def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptrees.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 50 = 0").drop("row")
 
@@ -158,4 +206,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_warc": OP9_SQL, "op13_nearest_neighbours": OP13_SQL}
+    return {"op3_decontamination": OP3_SQL, "op7_embedding_near_dedup": OP7_SQL, "op9_warc": OP9_SQL, "op11_vector_codes": OP11_SQL, "op12_centroid_clustering": OP12_SQL, "op13_nearest_neighbours": OP13_SQL}
