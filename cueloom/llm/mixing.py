@@ -13,8 +13,9 @@ What is learned covers all training rows: the code from the counts of pairs of b
 decision in each context how often it went either way, in hashed tables of fixed size (``BITS``;
 a byte a slot is broadcast, 12 MB in all: both counts where they are few, else their log odds). The tables do not
 grow with the corpus; what long contexts cannot tell apart any more, shorter ones still predict, and
-the weights follow. A training row is scored from the counts less its own occurrence of each decision,
-as a held-out text would be; a row that occurs twice then still meets the other.
+the weights follow. Every text is scored by the same model, so its score is the logarithm of one
+probability distribution over texts. What a training row says is among the counts, as it is in those of base_score:
+training rows are foreseen better than held-out ones, and only rows of one kind should be compared.
 
 Counts of whole words, which base_score and n_known need, are exact and grow with the corpus: they
 come from the distinct-word shuffle (see ``wordshuffle``).
@@ -198,17 +199,11 @@ def states_of(counts: np.ndarray) -> np.ndarray:
 
 
 def stretched() -> np.ndarray:
-    """For a held-out text's 0 and 1, then a training text's, the log odds of that outcome in each state.
-    A training text's own occurrence is taken from counts that are exact."""
+    """For the outcomes 0 and 1, the log odds of that outcome in each state."""
     total = np.repeat(np.arange(EXACT + 1), np.arange(1, EXACT + 2))
     one = np.concatenate([np.arange(t + 1) for t in range(EXACT + 1)])
-    zero = total - one
-    rough = np.linspace(-MOST_ODDS, MOST_ODDS, 256 - FIRST_ROUGH)
-    out = []
-    for less in (0, 1):
-        out += [np.log((np.maximum(zero - less, 0) + PRIOR) / (one + PRIOR)), -rough]
-        out += [np.log((np.maximum(one - less, 0) + PRIOR) / (zero + PRIOR)), rough]
-    return np.concatenate(out).astype(np.float32)
+    odds = np.concatenate([np.log((one + PRIOR) / (total - one + PRIOR)), np.linspace(-MOST_ODDS, MOST_ODDS, 256 - FIRST_ROUGH)])
+    return np.concatenate([-odds, odds]).astype(np.float32)
 
 
 def steps_to(size: int) -> np.ndarray:
@@ -227,7 +222,7 @@ class Model:
     code: Code
     tables: list[np.ndarray]  # states of the contexts' slots
 
-    def logs(self, texts: list[bytes], training: list[bool]) -> np.ndarray:
+    def logs(self, texts: list[bytes]) -> np.ndarray:
         """Natural logarithms of the probabilities of spelled texts.
 
         Texts are worked on together, step by step, each with its own weights and map.
@@ -239,7 +234,6 @@ class Model:
         step = step_at.take(running.depth)
         order = np.argsort(step, kind="stable")
         edges = np.concatenate([[0], np.cumsum(np.bincount(step, minlength=len(steps) - 1))])
-        kinds = np.asarray(training, dtype=np.int64) << 9
         odds = stretched()
         state = _State(len(texts))
         done = 0
@@ -249,14 +243,15 @@ class Model:
             at = order[edges[done] : edges[until]]
             n, node, bit = self.code.decisions(running.pairs.take(at))
             of = np.repeat(text.take(at), n)
-            kind = kinds.take(of) + (bit << 8)
+            kind = bit << 8
             inputs = np.empty((CONTEXTS, len(node)), dtype=np.float32)
             gate = of * GATES
             for k, (table, context) in enumerate(zip(self.tables, running.contexts, strict=True)):
                 slot = np.repeat(context.take(at).astype(np.int64), n)
                 slot ^= node
-                odds.take(table.take(slot, mode="clip") + kind, out=inputs[k], mode="clip")
-                gate += inputs[k] != 0
+                met = table.take(slot, mode="clip")
+                odds.take(met + kind, out=inputs[k], mode="clip")
+                gate += met != 0  # a context that training has seen, even if its counts are even
             cuts = ws.spans(n)[edges[done : until + 1] - edges[done]]
             for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
                 if a < b:
@@ -301,11 +296,11 @@ def _move(values: np.ndarray, tally: np.ndarray, up: np.ndarray) -> None:
 
 # What follows spreads the model over the cluster.
 
-def _together(texts: Iterator[tuple[bytes, bool]]) -> Iterator[list[tuple[bytes, bool]]]:
+def _together(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for item in texts:
         held.append(item)
-        size += len(item[0])
+        size += len(item)
         if size >= AT_ONCE:
             yield held
             held, size = [], 0
@@ -375,18 +370,15 @@ def send(docs: DataFrame, model: Model) -> Broadcast:
     return docs.sparkSession.sparkContext.broadcast((model.code, [_squeezed(t) for t in model.tables]))
 
 
-def with_logs(stream: Iterator[pa.RecordBatch], sent: Broadcast, training: int) -> Iterator[pa.RecordBatch]:
-    """Batches, whose last column is the text, with the natural logarithm of each text's probability before it.
-
-    training: the place of the column that says whether training has seen the text.
-    """
+def with_logs(stream: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Batches, whose last column is the text, with the natural logarithm of each text's probability before it."""
     code, tables = sent.value
     model = Model(code, [_spread(t, "u1") for t in tables])
     for batch in stream:
         *others, text = batch.columns
         found = [np.zeros(0)]
-        for some in _together((spelled(t or b""), kind) for t, kind in zip(text.to_pylist(), others[training].to_pylist(), strict=True)):
-            found.append(model.logs([t for t, _ in some], [kind for _, kind in some]))
+        for some in _together(spelled(t or b"") for t in text.to_pylist()):
+            found.append(model.logs(some))
         yield pa.RecordBatch.from_arrays([*others, pa.array(np.concatenate(found)), text], names=[*batch.schema.names[:-1], "log", "text"])
 
 
@@ -448,7 +440,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
         trained = np.repeat(np.array([row[1] for row in own.rows], dtype=bool), sizes)
         return _halves(np.bincount(codes[trained], minlength=len(own.names)))
 
-    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars, before=lambda stream: with_logs(stream, sent, 1), schema=scored))
+    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars, before=lambda stream: with_logs(stream, sent), schema=scored))
     arrow = ws.row_types_of(cells)
     merged = cut(cells.sortWithinPartitions("part").mapInArrow(lambda stream: ws.batches(_merge(stream), arrow), cells.schema))
 

@@ -278,7 +278,7 @@ def brute_logs(texts, training):
                 for node, bit in path_of(s, k):
                     seen.setdefault((context, node), [0, 0])[bit] += 1
     out = []
-    for s, own in zip(spelled, training):
+    for s in spelled:
         weights, moved = {}, {}
         shift, shifted = {}, {}
         total, k, edges = 0.0, 0, mixing.steps_to(len(s)).tolist()
@@ -286,12 +286,11 @@ def brute_logs(texts, training):
             up, up_shift = {}, {}
             for k in range(k, min(end, len(s))):
                 for node, bit in path_of(s, k):
-                    x = []
+                    x, gate = [], 0
                     for context in contexts(s, k):
-                        n = list(seen.get((context, node), [0, 0]))
-                        n[bit] -= own and sum(n) <= mixing.EXACT
+                        n = seen.get((context, node), [0, 0])
+                        gate += sum(n) > 0
                         x.append(max(-mixing.MOST_ODDS, min(mixing.MOST_ODDS, math.log((n[bit] + mixing.PRIOR) / (n[1 - bit] + mixing.PRIOR)))))
-                    gate = sum(v != 0 for v in x)
                     w = [weights.get((gate, i), 1.1 / max(1, gate)) for i in range(3)]
                     mixed = sum(a * b for a, b in zip(w, x))
                     bucket, sign = min(int(abs(mixed) * 2), mixing.BUCKETS - 1), (mixed > 0) - (mixed < 0)
@@ -331,9 +330,6 @@ def test_lm_against_brute_force(spark, monkeypatch):
     want = brute_logs([(t or "").encode() for t in texts], [not h for h in held])
     for k, log in enumerate(want):
         assert got[k] == pytest.approx(log / math.log(10), rel=0.02, abs=1e-4), k
-    # A text of the training rows that occurs again is foreseen better than one that does not.
-    per_byte = {k: got[k] / len(texts[k]) for k in range(4, len(texts))}
-    assert per_byte[16] > max(per_byte[k] for k in range(4, 16) if k != 6 and len(texts[k]) > 40 and not held[k])
 
 
 def test_lm_is_a_probability():
@@ -341,23 +337,30 @@ def test_lm_is_a_probability():
     model = small_model(texts)
     for before in (b"", b"the c", b"the cat the cat the cat the c" * 3):
         ends = [before + bytes([b]) for b in range(256)]
-        last = model.logs(ends, [False] * 256) - (model.logs([before], [False])[0] if before else 0.0)
+        last = model.logs(ends) - (model.logs([before])[0] if before else 0.0)
         assert np.exp(last).sum() == pytest.approx(1, abs=1e-4)
     some = [b"the cat sat ", b"x", b"the mat " * 30, b"the mat " * 3000]
-    together = model.logs(some, [False, True, False, False])
-    alone = [model.logs([t], [k == 1])[0] for k, t in enumerate(some)]
+    together = model.logs(some)
+    alone = [model.logs([t])[0] for t in some]
     assert together == pytest.approx(alone, rel=1e-6)
 
 
 def test_lm_states():
     pairs = [(0, 0), (3, 11), (14, 0), (7, 8), (10**6, 3 * 10**6), (0, 10**9)]
     states = mixing.states_of(np.array(pairs).ravel())
-    odds = mixing.stretched().reshape(4, 256)
+    odds = mixing.stretched().reshape(2, 256)
     for (zero, one), s in zip(pairs, states):
         want = max(-mixing.MOST_ODDS, min(mixing.MOST_ODDS, math.log((one + mixing.PRIOR) / (zero + mixing.PRIOR))))
         assert odds[1, s] == pytest.approx(want, abs=1e-5 if zero + one <= mixing.EXACT else 0.1)
         assert odds[0, s] == -odds[1, s]
-    assert odds[3, states[1]] == pytest.approx(math.log(10.02 / 3.02), abs=1e-5) and odds[3, states[3]] == odds[1, states[3]]
+
+
+def test_lm_outcomes_of_training_rows_add_up_to_one(spark):
+    """A row scores alike whether training has seen it or not, if it was there either way."""
+    texts = ["the cat sat on the mat again and again", "a dog ran over the hill to the cat", "the cat sat on the mat again and again"]
+    x = docs(spark, texts).withColumn("held_out", F.col("doc_id") == 2)
+    got = {r.doc_id: r.score for r in mixing.score(x).collect()}
+    assert got[0] == got[2]
 
 
 def test_lm_reads_the_running_text(spark):
