@@ -324,8 +324,8 @@ def train(docs: DataFrame, text: str = "text") -> Model:
     """The model of all rows of ``docs``, whose text is binary: a pass for the code, one for the tables."""
     def pairs_of(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << 16, dtype=np.int64)
-        for some in _together((spelled(t or b""), True) for batch in stream for t in batch.column(0).to_pylist()):
-            total += pair_counts([t for t, _ in some])
+        for some in _together(spelled(t or b"") for batch in stream for t in batch.column(0).to_pylist()):
+            total += pair_counts(some)
         yield pa.RecordBatch.from_pydict({"pair": pa.array(range(1 << 16), pa.int32()), "n": pa.array(total)})
 
     found = docs.select(text).mapInArrow(pairs_of, "pair int, n long").where("n > 0").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
@@ -336,14 +336,12 @@ def train(docs: DataFrame, text: str = "text") -> Model:
 
     def counted(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [np.zeros(2 << bits, dtype=np.int64 if bits < 22 else np.int32) for bits in BITS]
-        texts = ((spelled(t or b""), True) for batch in stream for t in batch.column(0).to_pylist())
         size = 0
-        for some in _together(texts):
-            own = [t for t, _ in some]
-            size += sum(map(len, own))
+        for some in _together(spelled(t or b"") for batch in stream for t in batch.column(0).to_pylist()):
+            size += sum(map(len, some))
             if size > 1 << 27 and tables[-1].dtype == np.int32:  # before 32 bits could run over
                 tables = [t.astype(np.int64) for t in tables]
-            count(own, code, tables)
+            count(some, code, tables)
         for k, table in enumerate(tables):
             for chunk, values in enumerate(table.reshape(-1, 2 * CHUNK)):
                 if values.any():
