@@ -56,7 +56,7 @@ GATES, BUCKETS = CONTEXTS + 1, 24
 #: Bytes of the first steps, steps in each doubling of the place, and the longest step.
 STEP, STEPS, STEP_MOST = 32, 16, 1 << 16
 #: Bytes worked on at once: of texts scored together, and of these in one piece.
-AT_ONCE, PIECE = 1 << 18, 1 << 14
+AT_ONCE, PIECE = 1 << 19, 1 << 15
 #: Occurrences up to which a state has both counts, the number of the first other state, and the log odds of the last.
 EXACT, FIRST_ROUGH, MOST_ODDS = 14, 120, 12.0
 _R, _S, _T = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
