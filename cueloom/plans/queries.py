@@ -603,6 +603,20 @@ def _(s, d):
     return subtitles.parse_srt(subtitles.write_srt(c, ["media_id"]), "content", ["media_id"])
 
 
+@query("bilingual_webvtt", f""", g AS (SELECT media_id, cue_no, s.start_ms, s.end_ms, t.text AS target, nullif(trim(regexp_replace(s.text, '\\s+', ' ', 'g')), '') AS source
+    FROM (SELECT * FROM bilingual WHERE lang = 'en') s LEFT JOIN (SELECT * FROM bilingual WHERE lang = 'zh') t USING (media_id, cue_no)),
+  x AS (SELECT media_id, row_number() OVER v AS k, start_ms, end_ms, body FROM (SELECT *, CASE WHEN coalesce(target, '') <> '' AND source IS NOT NULL THEN target || chr(10) || '<<EN>>' || chr(10) || source ELSE coalesce(nullif(target, ''), source) END AS body FROM g) WHERE body IS NOT NULL
+    WINDOW v AS (PARTITION BY media_id ORDER BY start_ms, end_ms, body)),
+  c AS (SELECT *, list_transform([start_ms, end_ms], lambda t: format('{{:02d}}:{{:02d}}:{{:02d}}.{{:03d}}', t // 3600000, t // 60000 % 60, t // 1000 % 60, t % 1000)) AS z FROM x)
+  SELECT media_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(k || chr(10) || z[1] || ' --> ' || z[2] || chr(10) || body || chr(10) || chr(10), '' ORDER BY k) AS content FROM c GROUP BY media_id""")
+def _(s, d):
+    """Each source cue with the target of its number, in the source's time."""
+    x = A.bilingual_cues(s, d)
+    target = x.where("lang = 'zh'").select("media_id", "cue_no", F.col("text").alias("target"))
+    groups = x.where("lang = 'en'").select("media_id", "cue_no", "start_ms", "end_ms", F.col("text").alias("source")).join(target, ["media_id", "cue_no"], "left")
+    return artifacts.bilingual_vtt(groups, ["media_id"])
+
+
 @query("mixed_formats", f""", c AS (SELECT *, {STRIP.format("text")} AS t, CASE media_id % 3 WHEN 0 THEN '.srt' WHEN 1 THEN '.vtt' ELSE '.SSA' END AS suffix FROM cues WHERE {STRIP.format("text")} <> ''),
   x AS (SELECT media_id::VARCHAR || suffix AS path, row_number() OVER (PARTITION BY media_id ORDER BY cue_no) AS index, CASE WHEN suffix = '.SSA' THEN start_ms // 10 * 10 ELSE start_ms END AS start_ms, CASE WHEN suffix = '.SSA' THEN end_ms // 10 * 10 ELSE end_ms END AS end_ms, t AS text,
     CASE WHEN regexp_matches(t, '{T.HAN_BASIC}') THEN 'zh' ELSE 'en' END AS cue_lang FROM c)

@@ -73,3 +73,18 @@ def bilingual_ass(groups: DataFrame, keys: list[str]) -> DataFrame:
     line = F.concat(F.lit("Dialogue: 0,"), C.to_ass(F.col("start_ms")), F.lit(","), C.to_ass(F.col("end_ms")), F.lit(",Default,,0,0,0,,"), text)
     rows = F.array_sort(F.collect_list(F.struct("start_ms", "end_ms", line.alias("l"))))
     return groups.where(text != "").groupBy(*keys).agg(F.array_join(F.transform(rows, lambda r: r["l"]), "\n").alias("content"))
+
+
+def bilingual_vtt(groups: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, content): numbered WebVTT cues of (target, source) texts on screen together, a line ``<<EN>>`` between
+    the two; groups without either are skipped, and numbers go on without them. A source is one line."""
+    from pyspark.sql import Window
+
+    target = F.nullif(F.coalesce("target", F.lit("")), F.lit(""))
+    source = F.nullif(F.trim(F.regexp_replace(F.coalesce("source", F.lit("")), r"\s+", " ")), F.lit(""))
+    text = F.when(target.isNotNull() & source.isNotNull(), F.concat(target, F.lit("\n<<EN>>\n"), source)).otherwise(F.coalesce(target, source))
+    x = groups.select(*keys, "start_ms", "end_ms", text.alias("text")).where("text IS NOT NULL")
+    x = x.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("start_ms", "end_ms", "text")))
+    entry = F.concat(F.col("k").cast("string"), F.lit("\n"), C.to_vtt(F.col("start_ms")), F.lit(" --> "), C.to_vtt(F.col("end_ms")), F.lit("\n"), F.col("text"), F.lit("\n\n"))
+    rows = F.array_sort(F.collect_list(F.struct("k", entry.alias("e"))))
+    return x.groupBy(*keys).agg(F.concat(F.lit("WEBVTT\n\n"), F.array_join(F.transform(rows, lambda r: r["e"]), "")).alias("content"))

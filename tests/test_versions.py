@@ -70,6 +70,22 @@ def test_untouched_parts_are_not_written_again(spark, tmp_path):
     assert len(before) == 8 and sum(before[k] != after[k] for k in before) == 1
 
 
+def test_bilingual_webvtt_reads_back(spark):
+    from cueloom.plans import units
+    from cueloom.sources import artifacts, subtitles
+
+    rows = [("f", 0, 1000, "你好\n吗", "hi  there\n"), ("f", 1000, 2000, "", " "), ("f", 2000, 3000, None, "only"), ("f", 3000, 4000, "只", None)]
+    groups = spark.createDataFrame(rows, "file string, start_ms long, end_ms long, target string, source string")
+    (out,) = artifacts.bilingual_vtt(groups, ["file"]).collect()
+    assert out.content == (
+        "WEBVTT\n\n1\n00:00:00.000 --> 00:00:01.000\n你好\n吗\n<<EN>>\nhi there\n\n2\n00:00:02.000 --> 00:00:03.000\nonly\n\n3\n00:00:03.000 --> 00:00:04.000\n只\n\n"
+    )
+    read = subtitles.parse_vtt(spark.createDataFrame([("f", out.content)], "file string, content string"), "content", ["file"])
+    one, two = units.split_bilingual(read["text"])
+    assert [(r.a, r.b) for r in read.orderBy("index").select(one.alias("a"), two.alias("b")).collect()][0] == ("你好\n吗", "hi there")
+    assert artifacts.bilingual_vtt(groups.limit(0), ["file"]).collect() == []
+
+
 def test_a_folder_of_mixed_formats(spark, tmp_path):
     (tmp_path / "a.SRT").write_text("1\n00:00:01,000 --> 00:00:02,000\n你好\n\n2\n00:00:03,000 --> 00:00:04,000\n好\n\n3\n00:00:05,000 --> 00:00:06,000\nok\n")
     (tmp_path / "b.vtt").write_text("WEBVTT\n\n00:01.000 --> 00:02.000\nHello\n\n00:02.000 --> 00:03.000\n你\n")
