@@ -1,6 +1,6 @@
 """Words of text without spaces, by a dictionary, and the rules and repairs that need them.
 
-The dictionary is a table (word, freq). Runs of Han characters are cut into the words whose product of
+The dictionary is a table (word, freq), which is sent to the texts (``lookup``). Runs of Han characters are cut into the words whose product of
 frequencies is largest; of equal ones the longer first word wins. A character that no word holds counts
 as seen once. Runs of Latin letters and digits are one word, every other character is its own.
 
@@ -13,46 +13,62 @@ Weights are whole millionths, so that sums do not depend on their order.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from cueloom.functions import text as T
+from cueloom.operators import lookup
 from cueloom.operators.folds import CLAUSE_PUNCT, SENTENCE_ENDS, fold
 from cueloom.rules.cue_rules import LETTERS, SAFE_ENGLISH
 
 # Particles that start no line.
 PARTICLES = "了着过吗呢吧啊么嘛呗"
-PIECES = f"(?s){T.HAN_BASIC}+|[A-Za-z0-9]+|."
+HAN_FIRST, HAN_LAST = "一", "鿿"
 MILLION = 1_000_000
 # Which states stand before which, and the weight of what was never seen.
 BEFORE = {"B": "ES", "M": "BM", "E": "BM", "S": "ES"}
 NEVER = -(10**12)
 
 
-def _best_sizes(text: str, words, alone: int) -> list[int]:
-    """How long the first word of the likeliest cut of each suffix is, out of dictionary words (first, size, weight)."""
-    starts: list[dict[int, int]] = [{1: alone} for _ in text]
-    for w in () if words is None else words:
-        starts[w["first"]][w["size"]] = w["weight"]
-    best = [(0, 0)] * (len(text) + 1)
+def _best_sizes(text: str, found: Iterable[tuple[int, int, int]], alone: int) -> list[int]:
+    """How long the first word of the likeliest cut of each suffix is, out of dictionary words (first, size, weight).
+    Latin letters and digits in a row are one word. What follows a run weighs the same for all cuts of it."""
+    own = [alone] * len(text)
+    longer: list[list[tuple[int, int]] | None] = [None] * len(text)
+    for first, size, weight in found:
+        if size == 1:
+            own[first] = weight
+        elif longer[first] is None:
+            longer[first] = [(size, weight)]
+        else:
+            longer[first].append((size, weight))
+    best, sizes = [0] * (len(text) + 1), [1] * len(text)
     for at in range(len(text) - 1, -1, -1):
-        best[at] = max((weight + best[at + size][0], size) for size, weight in starts[at].items())
-    return [size for _, size in best[:-1]]
-
-
-@F.pandas_udf(ArrayType(StructType().add("word", StringType()).add("first", IntegerType())))
-def _best_words(run: pd.Series, found: pd.Series, unseen: pd.Series) -> pd.Series:
-    """The likeliest words of each run, out of its dictionary words (first, size, weight)."""
-    def cut(text: str, words, alone: int) -> list[tuple[str, int]]:
-        sizes, out, at = _best_sizes(text, words, alone), [], 0
-        while at < len(text):
-            out.append((text[at : at + sizes[at]], at))
-            at += sizes[at]
-        return out
-
-    return pd.Series([cut(*x) for x in zip(run, found, unseen, strict=True)])
+        most, length = own[at] + best[at + 1], 1
+        for size, weight in longer[at] or ():
+            whole = weight + best[at + size]
+            if whole > most or (whole == most and size > length):
+                most, length = whole, size
+        best[at], sizes[at] = most, length
+    for m in re.finditer("[A-Za-z0-9]+", text):
+        sizes[m.start() : m.end()] = range(m.end() - m.start(), 0, -1)
+    return sizes
+
+
+def _words(text: str, sizes: list[int]) -> list[tuple[str, int]]:
+    """The words of a text (word, first), by the length of the first word of each rest."""
+    out, at = [], 0
+    while at < len(text):
+        out.append((text[at : at + sizes[at]], at))
+        at += sizes[at]
+    return out
 
 
 def _likeliest_states(weights: list[dict[str, int]], first: dict[str, int], after: dict[tuple[str, str], int]) -> str:
@@ -67,59 +83,39 @@ def _likeliest_states(weights: list[dict[str, int]], first: dict[str, int], afte
     return max(best["E"], best["S"], key=lambda b: (b[0], b[1][-1]))[1]
 
 
-def _guess(run: str, words: list[tuple[str, int]], known, weights, first: dict, after: dict) -> list[tuple[str, int]]:
-    """Characters in a row that stand alone and are no word together, as the words that their states tell."""
-    whole = set() if known is None else {(w["first"], w["size"]) for w in known}
-    own: list[dict[str, int]] = [{} for _ in run]
-    for w in [] if weights is None else weights:
-        own[w["at"]][w["state"]] = w["weight"]
+def _guess(text: str, words: list[tuple[str, int]], whole: set[tuple[int, int]], weights: dict[str, dict[str, int]], first: dict, after: dict) -> list[tuple[str, int]]:
+    """Chinese characters in a row that stand alone and are no word together, as the words that their states tell."""
     out: list[tuple[str, int]] = []
     at = 0
     while at < len(words):
         until = at
-        while until < len(words) and len(words[until][0]) == 1:
+        while until < len(words) and len(words[until][0]) == 1 and HAN_FIRST <= words[until][0] <= HAN_LAST:
             until += 1
         start, size = words[at][1], until - at
         if size < 2 or (start, size) in whole:
             until = max(until, at + 1)
             out += words[at:until]
         else:
-            states, since = _likeliest_states(own[start : start + size], first, after), 0
+            states, since = _likeliest_states([weights.get(c, {}) for c in text[start : start + size]], first, after), 0
             for k, state in enumerate(states):
                 if state in "ES":
-                    out.append((run[start + since : start + k + 1], start + since))
+                    out.append((text[start + since : start + k + 1], start + since))
                     since = k + 1
         at = until
     return out
 
 
-@F.pandas_udf(ArrayType(IntegerType()))
-def _best_steps(run: pd.Series, found: pd.Series, unseen: pd.Series) -> pd.Series:
-    return pd.Series([_best_sizes(*x) for x in zip(run, found, unseen, strict=True)])
-
-
-def _candidates(texts: DataFrame, dictionary: DataFrame, text: str) -> tuple[DataFrame, Column]:
-    """Each distinct run (piece) with the dictionary words in it (found), and the weight of a character that no word holds.
-
-    Each run's substrings meet the dictionary in an equi-join, which Spark broadcasts where the dictionary is
-    small and shuffles where it is not.
-    """
+def _known(dictionary: DataFrame) -> tuple[list[Broadcast], int]:
+    """The dictionary's Chinese words with their weights, in parts, and the weight of a character that no word holds.
+    Other words, though they count, are in no run."""
     known = dictionary.where("word <> '' AND freq > 0").groupBy("word").agg(F.sum("freq").alias("freq"))
-    longest, total = known.agg(F.coalesce(F.max(F.length("word")), F.lit(1)), F.coalesce(F.sum("freq"), F.lit(1))).first()
-    weight = lambda seen: F.round(F.log(seen / F.lit(float(total))) * MILLION).cast("long")
-    known = known.select("word", weight(F.col("freq")).alias("weight"))
-    runs = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(f"{T.HAN_BASIC}{{2,}}"), 0))).alias("piece")).distinct()
-    met = runs.select("piece", F.explode(F.sequence(F.lit(0), F.length("piece") - 1)).alias("first"))
-    met = met.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(int(longest)), F.length("piece") - F.col("first")))))
-    met = met.withColumn("word", F.substring("piece", F.col("first") + 1, F.col("size"))).join(known, "word")
-    met = met.groupBy("piece").agg(F.collect_list(F.struct("first", "size", "weight")).alias("found"))
-    return runs.join(met, "piece", "left"), weight(F.lit(1.0))
+    total, alone = known.agg(F.coalesce(F.sum("freq"), F.lit(1)).alias("total")).select("total", _weight(F.lit(1.0), F.col("total")).alias("alone")).first()
+    known = known.where(F.col("word").rlike(f"^{T.HAN_BASIC}+$"))
+    return lookup.parts_of(known.select("word", _weight(F.col("freq"), F.lit(float(total))).alias("weight")), "weight"), alone
 
 
-def _pieces(texts: DataFrame, keys: list[str], text: str) -> tuple[DataFrame, Column]:
-    """Runs of one kind of each text, in order, and which of them a dictionary cuts."""
-    pieces = texts.select(*keys, F.posexplode(F.regexp_extract_all(text, F.lit(PIECES), 0)).alias("place", "piece"))
-    return pieces, F.col("piece").rlike(f"^{T.HAN_BASIC}{{2,}}$")
+def _weight(seen: Column, total: Column) -> Column:
+    return F.round(F.log(seen / total.cast("double")) * MILLION).cast("long")
 
 
 def word_states(dictionary: DataFrame) -> DataFrame:
@@ -144,56 +140,86 @@ def word_states(dictionary: DataFrame) -> DataFrame:
     return chars.unionByName(inner).unionByName(starts)
 
 
-def _guessing(states: DataFrame):
-    """A function of (run, dictionary words, their words, weights of the characters' states) that guesses unseen words.
-    Of the table only what has no character is read here: four first states and eight pairs."""
-    few = states.where("char IS NULL").where(F.col("state").isin(*BEFORE) & (F.col("next").isNull() | F.col("next").isin(*BEFORE))).groupBy("state", "next").agg(F.max("weight").alias("weight")).collect()
-    first, after = {r.state: r.weight for r in few if r.next is None}, {(r.state, r.next): r.weight for r in few if r.next}
-
-    @F.pandas_udf(ArrayType(StructType().add("word", StringType()).add("first", IntegerType())))
-    def guess(run: pd.Series, found: pd.Series, words: pd.Series, weights: pd.Series) -> pd.Series:
-        return pd.Series([_guess(r, [(w["word"], w["first"]) for w in ws], f, own, first, after) for r, f, ws, own in zip(run, found, words, weights, strict=True)])
-
-    return guess
+def _guessing(states: DataFrame) -> tuple[dict, dict, Broadcast]:
+    """First states, pairs of states, and the states of Chinese characters with their weights: four, eight, and four
+    for each of some 21,000 characters, whatever the table holds besides."""
+    known = states.where(F.col("state").isin(*BEFORE) & F.coalesce(F.col("char").rlike(f"^{T.HAN_BASIC}$"), F.col("next").isNull() | F.col("next").isin(*BEFORE)))
+    rows = known.groupBy(F.when(F.col("char").isNull(), F.col("next")).alias("next"), "state", "char").agg(F.max("weight").alias("weight")).collect()
+    first, after, chars = {}, {}, {}
+    for r in rows:
+        if r.char is not None:
+            chars.setdefault(r.char, {})[r.state] = r.weight
+        elif r.next is None:
+            first[r.state] = r.weight
+        else:
+            after[r.state, r.next] = r.weight
+    return first, after, states.sparkSession.sparkContext.broadcast(chars)
+
+
+def words_of(text: Column, dictionary: DataFrame, states: DataFrame | None = None) -> Column:
+    """The words of each text, as an array of (word, first); null for a null text."""
+    parts, alone = _known(dictionary)
+    guess = None if states is None else _guessing(states)
+
+    @F.arrow_udf(ArrayType(StructType().add("word", StringType()).add("first", IntegerType())))
+    def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in lookup.search((b.to_pylist() for b in batches), parts):
+            ends, words, firsts = [0], [], []
+            none = []
+            for whole, matches in batch:
+                if whole and guess:
+                    found = list(matches)
+                    own = _guess(whole, _words(whole, _best_sizes(whole, found, alone)), {m[:2] for m in found}, guess[2].value, *guess[:2])
+                else:
+                    own = _words(whole, _best_sizes(whole, matches, alone)) if whole else []
+                words += [w for w, _ in own]
+                firsts += [at for _, at in own]
+                ends.append(len(words))
+                none.append(whole is None)
+            items = pa.StructArray.from_arrays([pa.array(words, pa.string()), pa.array(firsts, pa.int32())], ["word", "first"])
+            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items, mask=pa.array(none, pa.bool_()))
+
+    return cut(text)
 
 
 def segment(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text", states: DataFrame | None = None) -> DataFrame:
     """Words of each text with their place: (keys, word, first), first counting characters from 0.
 
-    Each distinct run is cut once. A null or empty text has no words; keys are expected to be distinct. Words of
+    Texts are dealt out once, and the dictionary goes to them in parts of bounded size (``lookup``). A null or empty text has no
+    words; keys are expected to be distinct. Words of
     the dictionary that are empty or never seen are left out, and of repeated words the frequencies add up. With
     ``states`` unseen words are guessed; of repeated rows of that table the heaviest counts, and what it lacks
     is next to impossible.
     """
-    pieces, han = _pieces(texts, keys, text)
-    upto = Window.partitionBy(*keys).orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    pieces = pieces.withColumn("at", (F.sum(F.length("piece")).over(upto) - F.length("piece")).cast("int"))
-    runs, alone = _candidates(texts, dictionary, text)
-    cut = runs.select("piece", "found", _best_words("piece", "found", alone).alias("words"))
-    if states is not None:
-        at = runs.select("piece", F.posexplode(F.regexp_extract_all("piece", F.lit("(?s)."), 0)).alias("at", "char"))
-        heaviest = states.where(F.col("char").isNotNull() & F.col("state").isin(*BEFORE)).groupBy("char", "state").agg(F.max("weight").alias("weight"))
-        own = at.join(heaviest, "char").groupBy("piece").agg(F.collect_list(F.struct("at", "state", "weight")).alias("own"))
-        cut = cut.join(own, "piece", "left").select("piece", _guessing(states)("piece", "found", "words", "own").alias("words"))
-    cut = cut.select("piece", F.explode("words").alias("w"))
-    cut = pieces.where(han).join(cut, "piece").select(*keys, F.col("w.word").alias("word"), (F.col("at") + F.col("w.first")).alias("first"))
-    return cut.unionByName(pieces.where(~han).select(*keys, F.col("piece").alias("word"), F.col("at").alias("first")))
+    return texts.select(*keys, text).repartition(*keys).select(*keys, F.explode(words_of(F.col(text), dictionary, states)).alias("w")).select(*keys, "w.word", "w.first")
+
+
+def steps_of(text: Column, dictionary: DataFrame) -> Column:
+    """For each character of a text, how long the word is that starts there if what stands before it is left
+    out, as by a line's end; null for a null text."""
+    parts, alone = _known(dictionary)
+
+    @F.arrow_udf(ArrayType(IntegerType()))
+    def steps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in lookup.search((b.to_pylist() for b in batches), parts):
+            yield pa.array([None if whole is None else _best_sizes(whole, matches, alone) for whole, matches in batch], pa.list_(pa.int32()))
+
+    return steps(text)
 
 
 def word_steps(texts: DataFrame, keys: list[str], dictionary: DataFrame, text: str = "text") -> DataFrame:
-    """(keys, steps): for each character of a text, how long the word is that starts there if what stands
-    before it is left out, as by a line's end. Texts without characters have no row."""
-    pieces, han = _pieces(texts, keys, text)
-    runs, alone = _candidates(texts, dictionary, text)
-    met = pieces.join(runs.select("piece", _best_steps("piece", "found", alone).alias("steps")), "piece", "left")
-    steps = F.when(han, F.col("steps")).otherwise(F.sequence(F.length("piece"), F.lit(1), F.lit(-1)))
-    return met.groupBy(*keys).agg(F.flatten(F.array_sort(F.collect_list(F.struct("place", steps.alias("steps"))))["steps"]).alias("steps"))
+    """(keys, steps) of each text (``steps_of``). Texts without characters have no row."""
+    return texts.select(*keys, text).repartition(*keys).select(*keys, steps_of(F.col(text), dictionary).alias("steps")).where(F.size("steps") > 0)
 
 
 def _neighbours(cues: DataFrame) -> DataFrame:
     """Chinese cues with the stripped first line, and the number, text and stripped last line of the cue before."""
+    return _with_neighbours(cues.where("lang = 'zh'"))
+
+
+def _with_neighbours(cues: DataFrame) -> DataFrame:
     over = Window.partitionBy("media_id", "lang").orderBy("cue_no")
-    x = cues.where("lang = 'zh'").withColumns({"prev_no": F.lag("cue_no").over(over), "prev_text": F.lag("text").over(over)})
+    x = cues.withColumns({"prev_no": F.lag("cue_no").over(over), "prev_text": F.lag("text").over(over)})
     return x.withColumns({"head": T.strip(F.get(T.lines(F.col("text")), 0)), "tail": T.strip(F.element_at(T.lines(F.col("prev_text")), -1))})
 
 
@@ -261,14 +287,15 @@ def mend_words(cues: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Chinese cues where the first part, of two characters or more, of a word parted by the border went to the
     next cue: (media_id, lang, cue_no, text). A part that would empty its line stays, and so do other
     languages' cues. Borders are read as they are in the input, not as a move before them left them."""
-    x = _neighbours(cues)
-    pair = x.where((F.col("tail") != "") & (F.col("head") != "")).select("media_id", "lang", "cue_no", F.length("tail").alias("border"), F.concat("tail", "head").alias("text"))
-    words = segment(pair, ["media_id", "lang", "cue_no", "border"], dictionary)
-    size = F.col("border") - F.col("first")
-    words = words.where((F.length("word") > size) & (size >= 2) & (F.col("first") > 0))
-    moved = words.select("media_id", "lang", "cue_no", F.substring("word", F.lit(1), size).alias("moved"))
     over = Window.partitionBy("media_id", "lang").orderBy("cue_no")
-    x = cues.join(moved, ["media_id", "lang", "cue_no"], "left").withColumn("gone", F.lead("moved").over(over))
+    x = _with_neighbours(cues.select("media_id", "lang", "cue_no", "text"))
+    whole = F.when((F.col("lang") == "zh") & (F.col("tail") != "") & (F.col("head") != ""), F.concat("tail", "head"))
+    x = x.withColumns({"border": F.length("tail"), "words": words_of(whole, dictionary)}).drop("prev_no", "prev_text", "head", "tail")
+    size = F.col("border") - F.col("w.first")
+    # The one word over the border, if its first part may move.
+    x = x.withColumn("w", F.get(F.filter("words", lambda w: (w["first"] < F.col("border")) & (w["first"] + F.length(w["word"]) > F.col("border"))), F.lit(0))).drop("words")
+    x = x.withColumn("moved", F.when((size >= 2) & (F.col("w.first") > 0), F.substring("w.word", F.lit(1), size))).drop("w", "border")
+    x = x.withColumn("gone", F.lead("moved").over(over))
     bare = F.regexp_replace("text", r"(?U)\s+$", "")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.regexp_replace(F.left(bare, F.length(bare) - F.length("gone")), r"(?U)\s+$", ""))
     return x.select("media_id", "lang", "cue_no", F.concat(F.coalesce("moved", F.lit("")), kept).alias("text"))
