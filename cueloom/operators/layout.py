@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cueloom.functions import text as T
-from cueloom.operators import hanlines
+from cueloom.operators import hanlines, segmentation
 from cueloom.operators.folds import break_line, fold
 
 KEY = ["media_id", "lang", "cue_no"]
@@ -31,11 +31,13 @@ def layout(cues: DataFrame, dictionary: DataFrame, longest: int = 7000, most: in
     text are left out; a null text counts as empty. Lines of Chinese words follow the dictionary.
     """
     x = cues.select(*KEY, F.coalesce("text", F.lit("")).alias("text"), "start_ms", "end_ms")
-    zh = hanlines.prepared(x.where("lang = 'zh'"), KEY, dictionary).select(*KEY, F.col("text").alias("whole"), "steps")
+    whole = F.when(F.col("lang") == "zh", hanlines.normalise(T.strip(F.col("text"))))
     bare = T.strip(F.regexp_replace("text", r"(?U)\s+", " "))
     few = F.size(F.split(bare, " ")) <= 3
     alone = F.when(F.col("lang") == "zh", hanlines.stands_alone(F.col("text"))).otherwise(~few | T.ends_sentence(bare))
-    x = x.join(zh, KEY, "left").select(*KEY, "start_ms", "end_ms", alone.alias("alone"), F.coalesce("whole", bare).alias("whole"), "steps", (F.col("lang") == "zh").alias("zh"))
+    x = x.select(*KEY, "start_ms", "end_ms", alone.alias("alone"), whole.alias("whole_zh"), bare.alias("bare"))
+    x = x.withColumn("steps", segmentation.steps_of(F.col("whole_zh"), dictionary))
+    x = x.select(*KEY, "start_ms", "end_ms", "alone", F.coalesce("whole_zh", "bare").alias("whole"), "steps", (F.col("lang") == "zh").alias("zh"))
 
     def step(rows: pd.DataFrame) -> Iterator[tuple]:
         held: dict | None = None
