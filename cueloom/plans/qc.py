@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from cueloom.config import QCConfig
 from cueloom.functions import text as T
 from cueloom.functions.similarity import seq_ratio
+from cueloom.operators import lookup
 from cueloom.operators.intervals import align_words, overlap_join
 from cueloom.operators.islands import number_runs
 from cueloom.rules import cue_rules  # noqa: F401  (fills the registry)
@@ -185,28 +191,27 @@ def number_loss(cues: DataFrame, source: str = "en") -> DataFrame:
 
 def terminology(cues: DataFrame, glossary: DataFrame, source: str = "en") -> DataFrame:
     """Glossary terms left in their own language, as substrings in any case with line breaks as spaces:
-    the source term in other cues, the target term in source cues. A term is looked up by that of its
-    three-character pieces (itself, if shorter) that the fewest cues have; empty terms are left out."""
-    flat = lambda text: F.lower(F.regexp_replace(text, "\n", " "))
-
-    def pieces(text: Column, *sizes: int) -> Column:
-        of = lambda n: F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda k: F.substring(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-        return F.array_distinct(F.concat(*map(of, sizes)))
-
-    side = lambda name, of_source: glossary.select(F.col(name).alias("term"), F.lower(name).alias("t"), F.lit(of_source).alias("of_source"))
-    terms = side("source", True).unionByName(side("target", False)).where("t <> ''").distinct()
-    own = F.when(F.length("t") < 3, F.array("t")).otherwise(pieces(F.col("t"), 3))
-    x = cues.withColumn("flat", flat(F.col("text"))).withColumn("of_source", F.col("lang") != source)
-    met = x.select("of_source", F.explode(pieces(F.col("flat"), 1, 2, 3)).alias("piece"))
-    # A term with a piece that no cue has is in no cue.
-    held = met.groupBy("of_source", "piece").agg(F.count(F.lit(1)).alias("n"))
-    rare = terms.select("term", "t", "of_source", F.size(own).alias("pieces"), F.explode(own).alias("piece")).join(held, ["of_source", "piece"])
-    rare = rare.groupBy("term", "t", "of_source", "pieces").agg(F.count(F.lit(1)).alias("found"), F.min(F.struct("n", "piece"))["piece"].alias("piece")).where("found = pieces")
-    # Pieces meet terms without the texts, which are many times as long.
+    the source term in other cues, the target term in source cues. Terms go to the cues, in parts of bounded
+    size (``lookup``); empty terms are left out."""
     key = ["media_id", "lang", "cue_no"]
-    able = x.select(*key, "of_source", F.explode(pieces(F.col("flat"), 1, 2, 3)).alias("piece")).join(rare, ["of_source", "piece"]).select(*key, "term", "t")
-    x = x.select(*key, "flat").join(able, key).where(F.col("flat").contains(F.col("t")))
-    return x.select("media_id", "lang", "cue_no", "term").distinct()
+    # Texts of a repeated cue are put together by a mark that no text has, and no term may have.
+    x = cues.withColumn("flat", F.lower(F.regexp_replace(F.col("text"), "\n", " "))).groupBy(*key).agg(F.array_join(F.collect_list("flat"), "\n").alias("flat"))
+    of_source = F.coalesce(F.col("lang") != source, F.lit(False))
+
+    def terms(name: str) -> list[Broadcast]:
+        t = glossary.select(F.col(name).alias("term"), F.lower(name).alias("word")).where(~F.contains("word", F.lit("\n")) & (F.col("word") != ""))
+        return lookup.parts_of(t.groupBy("word").agg(F.collect_set("term").alias("terms")), "terms")
+
+    def found(parts: list[Broadcast], text: Column) -> Column:
+        @F.arrow_udf(ArrayType(StringType()))
+        def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in lookup.search((b.to_pylist() for b in batches), parts):
+                yield pa.array([list({t for _, _, own in matches for t in own}) for _, matches in batch], pa.list_(pa.string()))
+
+        return find(text)
+
+    x = x.select(*key, found(terms("source"), F.when(of_source, F.col("flat"))).alias("a"), found(terms("target"), F.when(F.col("lang") == source, F.col("flat"))).alias("b"))
+    return x.select(*key, F.explode(F.concat("a", "b")).alias("term"))
 
 
 def shots(cues: DataFrame, cuts: DataFrame) -> DataFrame:
