@@ -194,20 +194,29 @@ def shift_parts(cues: DataFrame, part: str) -> DataFrame:
     return x.withColumns({"start_ms": F.col("start_ms") + F.col("o"), "end_ms": F.col("end_ms") + F.col("o")}).drop("o")
 
 
+def bounds(words: Column) -> Column:
+    """The times that part the words of a turn, with its start and end."""
+    return F.concat(F.slice(words["start_ms"], 1, 1), words["end_ms"])
+
+
+def word_of(k: Column, n: Column, m: Column) -> Column:
+    """Which of n words the k-th of m tokens starts in."""
+    return ((k * n - k * n % m) / m).cast("int")
+
+
+def bound(b: Column, k: Column, n: Column, m: Column) -> Column:
+    """When the k-th of m tokens starts on the bounds of n words."""
+    f, i = k * n % m, word_of(k, n, m)
+    return F.when(k == m, F.get(b, n.cast("int")).cast("double")).otherwise((F.get(b, i) * (m - f) + F.get(b, i + 1) * f).cast("double") / m)
+
+
 def redistribute_timing(words: DataFrame, counts: DataFrame) -> DataFrame:
     """Times of m new tokens (counts: media_id, turn, m) on the bounds of a turn's n words, by linear
     interpolation: (media_id, turn, k, start_ms, end_ms, confidence, speaker), the confidence being the
     words' mean and the speaker that of the word a token starts in. Turns without tokens have no row."""
     own = F.array_sort(F.collect_list(F.struct("word_no", "start_ms", "end_ms", "speaker")))
     x = words.groupBy("media_id", "turn").agg(own.alias("w"), F.avg("confidence").alias("confidence")).join(counts.where("m > 0"), ["media_id", "turn"])
-    x = x.withColumn("n", F.size("w").cast("long")).withColumn("b", F.concat(F.slice("w.start_ms", 1, 1), F.col("w.end_ms")))
+    x = x.withColumn("n", F.size("w").cast("long")).withColumn("b", bounds(F.col("w")))
     x = x.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-    m = F.col("m")
-
-    def bound(k: Column) -> Column:
-        f = k * F.col("n") % m
-        i = ((k * F.col("n") - f) / m).cast("int")
-        return F.when(k == m, F.get("b", F.col("n").cast("int")).cast("double")).otherwise((F.get("b", i) * (m - f) + F.get("b", i + 1) * f).cast("double") / m)
-
-    k = F.col("k")
-    return x.select("media_id", "turn", "k", bound(k).alias("start_ms"), bound(k + 1).alias("end_ms"), "confidence", F.get("w", ((k * F.col("n") - k * F.col("n") % m) / m).cast("int"))["speaker"].alias("speaker"))
+    b, k, n, m = (F.col(c) for c in "bknm")
+    return x.select("media_id", "turn", "k", bound(b, k, n, m).alias("start_ms"), bound(b, k + 1, n, m).alias("end_ms"), "confidence", F.get("w", word_of(k, n, m))["speaker"].alias("speaker"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from cueloom.operators.folds import redistribute_timing
+from cueloom.operators.folds import bound, bounds, word_of
 
 # How far numbers of words may differ, from how many words on, and what counts as punctuation.
 MOST_MORE, LEAST_WORDS = 2, 4
 PUNCTUATION = ",.?!:;，。？！、；："
+MARKS = re.compile(f"[{PUNCTUATION}]")
 
 
 def _spaced(old: str, new: str) -> str:
@@ -62,20 +64,47 @@ def correct_words(words: DataFrame, replies: DataFrame) -> DataFrame:
     """
     key = ["media_id", "turn"]
     own = F.array_sort(F.collect_list(F.struct("word_no", "text", "start_ms", "end_ms", "confidence", "speaker")))
-    x = words.groupBy(*key).agg(own.alias("w")).join(replies.select(*key, "tokens"), key, "left")
-    x = x.withColumn("texts", aligned_words("w.text", "tokens")).withColumn("n", F.size(F.coalesce("texts", "w.text")))
-    same = x.where(F.col("n") == F.size("w")).select(*key, "texts", F.posexplode("w").alias("k", "w"))
-    same = same.select(*key, F.col("k").cast("long").alias("k"), F.coalesce(F.get("texts", F.col("k")), "w.text").alias("text"), F.col("w.start_ms").cast("double").alias("start_ms"), F.col("w.end_ms").cast("double").alias("end_ms"), "w.confidence", "w.speaker")
-    other = x.where(F.col("n") != F.size("w"))
-    texts = other.select(*key, F.posexplode("texts").alias("k", "text")).withColumn("k", F.col("k").cast("long"))
-    timed = redistribute_timing(other.select(*key, F.inline("w")), other.select(*key, F.col("n").cast("long").alias("m")))
-    return same.unionByName(texts.join(timed, [*key, "k"]))
+    x = words.groupBy(*key).agg(own.alias("w"), F.avg("confidence").alias("mean")).join(replies.select(*key, "tokens"), key, "left")
+    # A turn's words stay in one row until they are done.
+    x = x.select(*key, "w", "mean", aligned_words("w.text", "tokens").alias("texts")).withColumn("m", F.size(F.coalesce("texts", "w.text")).cast("long"))
+    x = x.withColumns({"n": F.size("w").cast("long"), "b": bounds(F.col("w"))})
+
+    def row(k: Column, text: Column, start: Column, end: Column, confidence: Column, speaker: Column) -> Column:
+        return F.struct(k.cast("long").alias("k"), text.alias("text"), start.cast("double").alias("start_ms"), end.cast("double").alias("end_ms"), confidence.alias("confidence"), speaker.alias("speaker"))
+
+    same = F.transform("w", lambda w, k: row(k, F.coalesce(F.get("texts", k), w["text"]), w["start_ms"], w["end_ms"], w["confidence"], w["speaker"]))
+    b, n, m = F.col("b"), F.col("n"), F.col("m")
+    other = F.transform("texts", lambda t, k: row(k, t, bound(b, k.cast("long"), n, m), bound(b, k.cast("long") + 1, n, m), F.col("mean"), F.get("w", word_of(k.cast("long"), n, m))["speaker"]))
+    return x.select(*key, F.inline(F.when(n == m, same).otherwise(other)))
+
+
+def _added_marks(plain: str, text: str) -> list[tuple[int, str]] | None:
+    """Where the text has marks more (before which character of ``plain``), if it differs in nothing else; else null. One pass."""
+    at = since = 0
+    out: list[tuple[int, str]] = []
+    for m in MARKS.finditer(text):
+        size = m.start() - since
+        if plain[at : at + size] != text[since : m.start()]:
+            return None
+        at, since = at + size, m.end()
+        if plain[at : at + 1] == m.group():
+            at += 1
+        else:
+            out.append((at, m.group()))
+    return out if plain[at:] == text[since:] else None
+
+
+def _marks_by_differences(plain: str, text: str) -> list[tuple[int, str]]:
+    """Marks that the text has where it differs, which takes the square of its length."""
+    opcodes = SequenceMatcher(lambda ch: ch in " \t", plain, text, autojunk=False).get_opcodes()
+    return [(a, ch) for kind, a, _, c, d in opcodes if kind in ("insert", "replace") for ch in text[c:d] if ch in PUNCTUATION]
 
 
 @F.pandas_udf(ArrayType(StringType()))
 def punctuated_words(old: pd.Series, text: pd.Series) -> pd.Series:
     """Words, which carry the spaces before them, with the marks that the text has after them and they lack;
-    nothing else of the text is taken."""
+    nothing else of the text is taken. A text that has marks more and is otherwise the same is read along the words, so that none
+    is lost; another one is compared by differences."""
     lower = lambda text: "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
     def one(was, now) -> list[str] | None:
@@ -85,13 +114,12 @@ def punctuated_words(old: pd.Series, text: pd.Series) -> pd.Series:
         plain = "".join(was)
         owner = [k for k, w in enumerate(was) for _ in w]
         marks: dict[int, str] = {}
-        for kind, a, _, c, d in SequenceMatcher(lambda ch: ch in " \t", lower(plain), lower(now), autojunk=False).get_opcodes():
-            if kind not in ("insert", "replace"):
-                continue
+        mine, other = lower(plain), lower(now)
+        added = _added_marks(mine, other)
+        for a, ch in _marks_by_differences(mine, other) if added is None else added:
             at = next((k for k in range(a - 1, -1, -1) if not plain[k].isspace()), None)
-            for ch in now[c:d]:
-                if ch in PUNCTUATION and at is not None and ch not in marks.get(owner[at], ""):
-                    marks[owner[at]] = marks.get(owner[at], "") + ch
+            if at is not None and ch not in marks.get(owner[at], ""):
+                marks[owner[at]] = marks.get(owner[at], "") + ch
         for k, found in marks.items():
             bare = was[k].rstrip()
             space = was[k][len(bare) :]

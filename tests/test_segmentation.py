@@ -173,3 +173,22 @@ def test_states_that_say_nothing_leave_characters_alone(spark):
     empty = segmentation.word_states(none)
     assert empty.collect() == []
     assert "".join(r.word for r in segmentation.segment(df, ["no"], none, states=empty).orderBy("first").collect()) == "猫狗鸟"
+
+
+def test_marks_are_found_in_one_pass_and_none_is_lost(spark):
+    # The longest equal piece of these two is not where they belong together.
+    words = spark.createDataFrame([(1, 0, k, w) for k, w in enumerate(["xy", " xy", " x"])], "media_id long, turn long, word_no long, text string")
+    replies = spark.createDataFrame([(1, 0, "xy? xy x!")], "media_id long, turn long, reply string")
+    assert [r.text for r in corrections.restore_punctuation(words, replies).orderBy("word_no").collect()] == ["xy?", " xy", " x!"]
+    for plain, text, added in [("a.b", "a..b", [(2, ".")]), ("ab", "a,b!?", [(1, ","), (2, "!"), (2, "?")]), ("a, b", "a, b", []), ("ab", "ac", None), ("a,b", "ab", None), ("", "!", [(0, "!")])]:
+        assert corrections._added_marks(plain, text) == added
+    # By differences these 30,000 characters take minutes.
+    long = "ab ba " * 5000
+    assert corrections._added_marks(long, long.replace("ba", "ba,"))[:2] == [(5, ","), (11, ",")]
+
+
+def test_corrected_words_stay_with_their_turn(spark):
+    words = spark.createDataFrame([(1, 0, k, "a", 0, 1, 0.5, "s") for k in range(4)], "media_id long, turn long, word_no long, text string, start_ms long, end_ms long, confidence double, speaker string")
+    df = corrections.correct_words(words, spark.createDataFrame([(1, 0, ["a"] * 5)], "media_id long, turn long, tokens array<string>"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Union" not in plan
