@@ -1,7 +1,7 @@
 """Units that last too long, parted between whole words where it reads best.
 
 What a boundary is worth by its words, and whether it may be one at all, are columns. Only the choice
-among them, which depends on the parts so far, is a fold over one unit's times: the best boundary by words,
+among them, which depends on the parts so far, is a search over one unit's times: the best boundary by words,
 lengths and durations parts a unit, and the parts likewise while they last longer than they may. A last part that
 ends on a preposition goes back to the part before it, which is parted anew if it got too long, until nothing changes.
 Scores are whole thousandths of a point, times whole milliseconds.
@@ -11,13 +11,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from cueloom.functions import text as T
 from cueloom.operators import wordindex
-from cueloom.operators.folds import SENTENCE_ENDS, fold
+from cueloom.operators.folds import SENTENCE_ENDS
 
 # Words by how well a part starts before them, and what parts may not start or end on.
 STRONG = "because but so where when while although though if unless until since whereas".split()
@@ -101,15 +102,28 @@ def split_overlong(words: DataFrame, keys: list[str], longest: int = 7000) -> Da
     A unit that lasts no longer than ``longest`` is one part. Blank words belong to no part; a unit of blank
     words has none. Numbers of words repeat in no unit.
     """
-    def step(rows: pd.DataFrame) -> Iterator[tuple]:
-        number, start, end = (rows[c].tolist() for c in ("word_no", "start_ms", "end_ms"))
-        worth = [None if pd.isna(w) else int(w) for w in rows["worth"]]
-        last = rows.iloc[-1]
-        cuts = [0] if end[-1] - start[0] <= longest else _parts(start, end, worth, bool(last["dangles"]), bool(last["idiom"]), longest)
+    def parts_of(number: list[int], start: list[int], end: list[int], worth: list[int | None], dangles: bool, idiom: bool) -> Iterator[tuple]:
+        cuts = [0] if end[-1] - start[0] <= longest else _parts(start, end, worth, dangles, idiom, longest)
         for part, (a, b) in enumerate(zip(cuts, [*cuts[1:], len(number)], strict=True), 1):
             yield part, number[a], number[b - 1], start[a], end[b - 1]
 
-    return fold(_boundaries(words, keys), keys, ["word_no"], "part long, first_word long, last_word long, start_ms long, end_ms long", step)
+    kinds = ArrayType(StructType([StructField(c, LongType()) for c in ("part", "first_word", "last_word", "start_ms", "end_ms")]))
+
+    # Units are many and short, so they come as rows, a batch at a time.
+    @F.arrow_udf(kinds)
+    def parted(number: pa.Array, start: pa.Array, end: pa.Array, worth: pa.Array, dangles: pa.Array, idiom: pa.Array) -> pa.Array:
+        ends, rows = [0], []
+        for unit in zip(*(c.to_pylist() for c in (number, start, end, worth, dangles, idiom)), strict=True):
+            rows += parts_of(*unit)
+            ends.append(len(rows))
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], kinds.elementType.names))
+
+    own = F.array_sort(F.collect_list(F.struct("word_no", "start_ms", "end_ms", "worth", "dangles", "idiom")))
+    x = _boundaries(words, keys).groupBy(*keys).agg(own.alias("w"))
+    last = F.element_at("w", -1)
+    long = lambda c: F.col(f"w.{c}").cast("array<long>")
+    return x.select(*keys, F.inline(parted(long("word_no"), long("start_ms"), long("end_ms"), long("worth"), last["dangles"], last["idiom"])))
 
 
 def part_texts(parts: DataFrame, words: DataFrame, units: DataFrame, keys: list[str]) -> DataFrame:

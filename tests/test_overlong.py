@@ -117,3 +117,10 @@ def test_known_sentences(spark):
     second = [t for (u, _), t in sorted(got.items()) if u == 2]
     assert " ".join(second) == said[2] and not any(t.split()[0] in overlong.PREPOSITIONS for t in second)
     assert overlong.split_overlong(df.limit(0), ["unit"]).collect() == []
+
+
+def test_units_are_no_groups_of_their_own(spark):
+    df = spark.createDataFrame([(1, 0, "a", 0, 9000), (2, 0, " ", 0, 1)], "unit long, word_no long, text string, start_ms long, end_ms long")
+    parts = overlong.split_overlong(df, ["unit"])
+    assert [tuple(r) for r in parts.collect()] == [(1, 1, 0, 0, 0, 9000)]
+    assert "FlatMapGroups" not in parts._jdf.queryExecution().executedPlan().toString()
