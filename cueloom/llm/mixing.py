@@ -29,7 +29,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,7 +56,9 @@ GATES, BUCKETS = CONTEXTS + 1, 24
 #: Bytes of the first steps, steps in each doubling of the place, and the longest step.
 STEP, STEPS, STEP_MOST = 32, 16, 1 << 16
 #: Bytes worked on at once: of texts scored together, and of these in one piece.
-AT_ONCE, PIECE = 1 << 19, 1 << 15
+AT_ONCE, PIECE = 1 << 20, 1 << 15
+#: Bytes of texts whose contexts are made together: what a processor keeps near.
+NEAR = 1 << 16
 #: Occurrences up to which a state has both counts, the number of the first other state, and the log odds of the last.
 EXACT, FIRST_ROUGH, MOST_ODDS = 14, 120, 12.0
 _R, _S, _T = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
@@ -67,8 +69,41 @@ def tokens_of(text: bytes) -> list[bytes]:
     return [*text.lower().split(), END]
 
 
+_SPELLED = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b" " * 5))
+
+
 def spelled(text: bytes) -> bytes:
-    return b"".join(w + b" " for w in text.lower().split()) + b" "
+    """The tokens, each word with a space after it."""
+    text = text.translate(_SPELLED).strip(b" ")
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return text + b"  " if text else END
+
+
+class Tokens(ws.Block):
+    """A block of spelled texts, whose words are told apart all at once."""
+
+    def __init__(self) -> None:
+        super().__init__(tokens_of, None)
+        self.texts: list[bytes] = []
+
+    def add(self, row: tuple, text: bytes) -> None:
+        self.texts.append(text)
+        self.rows.append(row)
+        self.chars += len(text)
+
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        data = b"".join(self.texts)
+        ends = np.flatnonzero(np.frombuffer(data, dtype=np.uint8) == 32) + 1  # each token ends with its space
+        offsets = np.concatenate([np.zeros(1, dtype=np.int64), ends])
+        coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        _, cuts, blob = coded.dictionary.buffers()
+        cuts, blob = np.frombuffer(cuts, dtype=np.int64)[: len(coded.dictionary) + 1].tolist(), blob.to_pybytes()
+        self.names.order = [blob[a : b - 1] or END for a, b in zip(cuts, cuts[1:], strict=False)]
+        self.names.update(zip(self.names.order, range(len(self.names.order)), strict=True))
+        sizes = np.diff(np.searchsorted(ends, ws.spans(np.array([len(t) for t in self.texts])), side="right"))
+        self.texts = []
+        return coded.indices.to_numpy(), sizes
 
 
 @dataclass
@@ -81,6 +116,9 @@ class Code:
     node: np.ndarray
     bit: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.both = self.node.astype(np.int64) << 1 | self.bit
+
     @staticmethod
     def of(counts: np.ndarray) -> Code:
         """Huffman's codes of (byte before, byte) counts."""
@@ -90,11 +128,14 @@ class Code:
         return Code(lengths, ws.spans(lengths)[:-1], flat[:, 0], flat[:, 1])
 
     def decisions(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """How many decisions each byte takes, given 256 times the byte before and it, and the node and
-        the outcome of each."""
+        """How many decisions each byte takes, given 256 times the byte before and it; for each decision
+        the place of its byte in ``pairs``, and twice its node plus its outcome."""
         n = self.lengths.take(pairs)
-        at = ws.gather_runs(self.starts.take(pairs), n)
-        return n, self.node.take(at).astype(np.int64), self.bit.take(at).astype(np.int64)
+        ends = ws.spans(n)
+        of = np.repeat(np.arange(len(pairs)), n)
+        at = (self.starts.take(pairs) - ends[:-1]).take(of, mode="clip")
+        at += np.arange(ends[-1])
+        return n, of, self.both.take(at, mode="clip")
 
 
 def _paths(counts: list[int]) -> list[tuple[tuple[int, int], ...]]:
@@ -131,35 +172,54 @@ class Running:
     """Some spelled texts, one after the other."""
 
     lengths: np.ndarray
-    depth: np.ndarray  # each byte's place in its text
     pairs: np.ndarray  # 256 times the byte before (0: none) and the byte
     contexts: list[np.ndarray]  # the slot of each context before each byte
 
     @staticmethod
     def of(texts: list[bytes]) -> Running:
-        raw, lengths = np.frombuffer(b"".join(texts), dtype=np.uint8), np.array([len(t) for t in texts], dtype=np.int64)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        n = int(lengths.sum())
+        out = Running(lengths, np.empty(n, dtype=np.uint16), [np.empty(n, dtype=np.uint32) for _ in BITS])
+        a = 0
+        for some in _together(texts, NEAR):
+            raw = np.frombuffer(b"".join(some), dtype=np.uint8)
+            out._fill(slice(a, a + len(raw)), raw, np.array([len(t) for t in some], dtype=np.int64))
+            a += len(raw)
+        return out
+
+    def _fill(self, where: slice, raw: np.ndarray, lengths: np.ndarray) -> None:
+        """What is known of the bytes of some whole texts that follow each other."""
         n, starts = len(raw), ws.spans(lengths)[:-1]
         at = np.arange(n)
-        depth = at - np.repeat(starts, lengths)
-        # The seven bytes before, the nearest lowest, by doubling.
+        # The seven bytes before, the nearest lowest, by doubling; less at the start of a text.
         last = np.zeros(n, dtype=np.uint64)
         last[1:] = raw[:-1]
         for size in (1, 2, 4):
             last[size:] |= last[:-size] << np.uint64(8 * size)
-        last &= _MASKS.take(np.minimum(depth, 7))
-        contexts = [_hash(last & _MASKS[size], size << 57, bits) for size, bits in zip(ORDERS, BITS, strict=False)]
+        last &= _MASKS[7]
+        for size in range(7):
+            last[starts[lengths > size] + size] &= _MASKS[size]
+        for out, size, bits in zip(self.contexts, ORDERS, BITS, strict=False):
+            out[where] = _hash(last & _MASKS[size], size << 57, bits)
         opens = np.zeros(n, dtype=bool)
         opens[1:] = raw[:-1] == 32
+        starts = starts[lengths > 0]
         opens[starts] = True
         words = np.flatnonzero(opens)
         sizes = np.diff(np.append(words, n))
         into = at - np.repeat(words, sizes)
         so_far = last & _MASKS.take(np.minimum(into, 7))
         so_far ^= into.astype(np.uint64) << np.uint64(56)
-        previous = np.where(depth[words] > 0, so_far[np.maximum(words - 1, 0)], np.uint64(0))
+        previous = so_far[words - 1]
+        previous[np.searchsorted(words, starts)] = 0
         previous = _R * (previous ^ (previous >> np.uint64(32)))
-        contexts.append(_hash(so_far * _T ^ np.repeat(previous, sizes), 1, BITS[-1]))
-        return Running(lengths, depth, ((last & np.uint64(255)) << np.uint64(8)).astype(np.int64) | raw, contexts)
+        so_far *= _T
+        so_far ^= np.repeat(previous, sizes)
+        self.contexts[-1][where] = _hash(so_far, 1, BITS[-1])
+        last &= _MASKS[1]
+        last <<= np.uint64(8)
+        last |= raw
+        self.pairs[where] = last
 
 
 _MASKS = np.array([(1 << 8 * size) - 1 for size in range(8)], dtype=np.uint64)
@@ -168,24 +228,35 @@ _MASKS = np.array([(1 << 8 * size) - 1 for size in range(8)], dtype=np.uint64)
 def count(texts: list[bytes], code: Code, tables: list[np.ndarray]) -> None:
     """Adds the decisions of spelled texts to each context's (2 * slots) counts."""
     own = Running.of(texts)
-    for start in range(0, len(own.pairs), PIECE):
-        piece = slice(start, start + PIECE)
-        n, node, bit = code.decisions(own.pairs[piece])
-        low = 2 * node + bit
-        for table, context in zip(tables, own.contexts, strict=True):
+    keys = np.empty(len(own.pairs), dtype=np.int64)
+    for table, context in zip(tables, own.contexts, strict=True):
+        # Bytes that come again in a context are added at once, and slots in their order in the table.
+        keys[:] = context
+        keys <<= 16
+        keys |= own.pairs
+        keys.sort()
+        for start in range(0, len(keys), PIECE):
+            some = keys[start : start + PIECE]
+            edge = np.ones(len(some) + 1, dtype=bool)
+            np.not_equal(some[1:], some[:-1], out=edge[1:-1])
+            edges = np.flatnonzero(edge)
+            some, times = some.take(edges[:-1]), np.diff(edges).astype(table.dtype)
+            _, of, low = code.decisions(some & 0xFFFF)
             # The nodes of a context stand around its slot.
-            at = np.repeat(2 * context[piece].astype(np.int64), n)
-            at ^= low
-            np.add.at(table, at, table.dtype.type(1))
+            some >>= 16
+            some <<= 1
+            low ^= some.take(of, mode="clip")
+            np.add.at(table, low, times.take(of, mode="clip"))
 
 
 def pair_counts(texts: list[bytes]) -> np.ndarray:
     """How often each byte follows each in spelled texts; a text's first follows 0."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    before = np.zeros(len(raw), dtype=np.int64)
-    before[1:] = raw[:-1]
-    before[ws.spans(np.array([len(t) for t in texts]))[:-1]] = 0
-    return np.bincount(before << 8 | raw, minlength=1 << 16)
+    pairs = raw.astype(np.uint16)
+    pairs[1:] |= raw[:-1].astype(np.uint16) << 8
+    first = ws.spans(np.array([len(t) for t in texts]))[:-1]
+    pairs[first] = raw[first]
+    return np.bincount(pairs, minlength=1 << 16)
 
 
 def states_of(counts: np.ndarray) -> np.ndarray:
@@ -199,7 +270,7 @@ def states_of(counts: np.ndarray) -> np.ndarray:
 
 
 def stretched() -> np.ndarray:
-    """For the outcomes 0 and 1, the log odds of that outcome in each state."""
+    """For the outcomes 0 and 1, the log odds of that outcome in each state: those of 0 are the others', negated."""
     total = np.repeat(np.arange(EXACT + 1), np.arange(1, EXACT + 2))
     one = np.concatenate([np.arange(t + 1) for t in range(EXACT + 1)])
     odds = np.concatenate([np.log((one + PRIOR) / (total - one + PRIOR)), np.linspace(-MOST_ODDS, MOST_ODDS, 256 - FIRST_ROUGH)])
@@ -227,81 +298,115 @@ class Model:
 
         Texts are worked on together, step by step, each with its own weights and map.
         """
-        running = Running.of(texts)
-        steps = steps_to(int(running.lengths.max(initial=0)))
-        text = np.repeat(np.arange(len(texts)), running.lengths)
-        step_at = np.repeat(np.arange(len(steps) - 1, dtype=np.int16 if len(steps) < 1 << 15 else np.int32), np.diff(steps))
-        step = step_at.take(running.depth)
-        order = np.argsort(step, kind="stable")
-        edges = np.concatenate([[0], np.cumsum(np.bincount(step, minlength=len(steps) - 1))])
-        odds = stretched()
+        # The longest first, so that those that go on in a step are the first ones.
+        by = np.argsort([-len(t) for t in texts], kind="stable")
+        running = Running.of([texts[i] for i in by.tolist()])
+        lengths, starts = running.lengths, ws.spans(running.lengths)
+        steps = steps_to(int(lengths.max(initial=0)))
+        going = len(lengths) - np.searchsorted(lengths[::-1], steps, side="right")
+        edges = going * steps + starts[-1] - starts[going]  # bytes before each step, of all texts
+        odds = stretched()[256:]
         state = _State(len(texts))
         done = 0
         while done < len(steps) - 1:
             # As many steps as fit into a piece.
             until = max(done + 1, int(np.searchsorted(edges, edges[done] + PIECE, side="right")) - 1)
-            at = order[edges[done] : edges[until]]
-            n, node, bit = self.code.decisions(running.pairs.take(at))
-            of = np.repeat(text.take(at), n)
-            kind = bit << 8
+            froms, sizes = [], []
+            for k in range(done, until):
+                froms.append(starts[: going[k]] + steps[k])
+                sizes.append(np.minimum(lengths[: going[k]], steps[k + 1]) - steps[k])
+            runs = np.concatenate(sizes)
+            at = ws.gather_runs(np.concatenate(froms), runs)
+            n, of, node = self.code.decisions(running.pairs.take(at))
+            sign = _SIGNS.take(node & 1, mode="clip")
+            node >>= 1
             inputs = np.empty((CONTEXTS, len(node)), dtype=np.float32)
-            gate = of * GATES
-            for k, (table, context) in enumerate(zip(self.tables, running.contexts, strict=True)):
-                slot = np.repeat(context.take(at).astype(np.int64), n)
+            gate = np.zeros(len(node), dtype=np.uint8)
+            for x, table, context in zip(inputs, self.tables, running.contexts, strict=True):
+                slot = context.take(at).astype(np.int64).take(of, mode="clip")
                 slot ^= node
                 met = table.take(slot, mode="clip")
-                odds.take(met + kind, out=inputs[k], mode="clip")
+                odds.take(met, out=x, mode="clip")
                 gate += met != 0  # a context that training has seen, even if its counts are even
-            cuts = ws.spans(n)[edges[done : until + 1] - edges[done]]
-            for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False):
-                if a < b:
-                    state.step(inputs[:, a:b], of[a:b], gate[a:b])
+            bounds = ws.spans(n)[ws.spans(runs)]
+            first = 0
+            for count in going[done:until].tolist():
+                own = bounds[first : first + count + 1]
+                these = slice(own[0], own[-1])
+                state.step(inputs[:, these], sign[these], gate[these], own - own[0])
+                first += count
             done = until
-        return state.logs
+        out = np.empty(len(texts))
+        out[by] = state.logs
+        return out
+
+
+_SIGNS = np.array([-1, 1], dtype=np.float32)
 
 
 class _State:
     """Weights and maps of some texts, and the logarithms of their probabilities so far."""
 
     def __init__(self, texts: int) -> None:
-        self.texts, self.logs = texts, np.zeros(texts)
+        self.logs = np.zeros(texts)
         # The contexts that training has seen share a sum a little over one.
-        start = np.repeat(1.1 / np.maximum(1, np.arange(GATES)), CONTEXTS).reshape(GATES, CONTEXTS).T
-        self.weights = np.tile(start.astype(np.float32), (1, texts))
-        self.moved = np.ones_like(self.weights)
-        self.shift = np.zeros(texts * BUCKETS, dtype=np.float32)
+        start = np.tile((1.1 / np.maximum(1, np.arange(GATES))).astype(np.float32), (texts, 1))
+        self.weights = [start.copy() for _ in range(CONTEXTS)]
+        self.moved = [np.ones_like(start) for _ in range(CONTEXTS)]
+        self.shift = np.zeros((texts, BUCKETS), dtype=np.float32)
         self.shifted = np.ones_like(self.shift)
 
-    def step(self, inputs: np.ndarray, text: np.ndarray, place: np.ndarray) -> None:
-        # Inputs say how likely the own outcome is, so a positive sum is an outcome foreseen.
-        mixed = np.zeros(len(text), dtype=np.float32)
-        for w, x in zip(self.weights, inputs, strict=True):
-            mixed += w.take(place, mode="clip") * x
+    def step(self, inputs: np.ndarray, sign: np.ndarray, gate: np.ndarray, bounds: np.ndarray) -> None:
+        """Decisions of the first texts, each text's between two bounds. inputs: each context's log odds
+        of outcome 1. sign: 1 where that came out, else -1."""
+        starts, runs, some = bounds[:-1], np.diff(bounds), slice(len(bounds) - 1)
+        # Most decisions, and all of training rows, have every context seen: a text has one weight for them.
+        rare = np.flatnonzero(gate != CONTEXTS)
+        text = np.repeat(np.arange(len(runs)), runs)
+        place = text.take(rare) * GATES + gate.take(rare)
+        rares = [x.take(rare) for x in inputs]
+        mixed, apart = np.zeros(len(sign), dtype=np.float32), np.zeros(len(rare), dtype=np.float32)
+        for w, x, y in zip(self.weights, inputs, rares, strict=True):
+            mixed += np.repeat(w[some, CONTEXTS], runs) * x
+            apart += w.take(place) * y
+        mixed[rare] = apart
         # The map is odd: an outcome and its contrary add up to one.
-        bucket = np.minimum(np.abs(mixed) * 2, BUCKETS - 1).astype(np.int64) + text * BUCKETS
-        sign = np.sign(mixed)
-        p = 1 / (1 + np.exp(-np.clip(mixed + sign * self.shift.take(bucket, mode="clip"), -14, 14)))
-        self.logs += np.bincount(text, weights=np.log(p), minlength=self.texts)
-        error = 1 - p
-        for w, m, x in zip(self.weights, self.moved, inputs, strict=True):
-            _move(w, m, np.bincount(place, weights=error * x, minlength=len(w)))
-        _move(self.shift, self.shifted, np.bincount(bucket, weights=error * sign, minlength=len(self.shift)))
+        text *= BUCKETS
+        text += np.minimum(np.abs(mixed) * 2, BUCKETS - 1).astype(np.int32)
+        side = np.sign(mixed)
+        mixed += side * self.shift.take(text, mode="clip")
+        mixed *= sign
+        np.clip(mixed, -14, 14, out=mixed)
+        contrary = 1 + np.exp(-mixed)
+        self.logs[some] -= np.add.reduceat(np.log(contrary), starts)
+        error = 1 - 1 / contrary
+        error *= sign
+        side *= error
+        _move(self.shift[some], self.shifted[some], np.bincount(text, weights=side, minlength=len(runs) * BUCKETS))
+        apart = error.take(rare)
+        error[rare] = 0
+        for w, m, x, y in zip(self.weights, self.moved, inputs, rares, strict=True):
+            up = np.bincount(place, weights=apart * y, minlength=len(runs) * GATES).astype(np.float32)  # integers, if there are none
+            up[CONTEXTS::GATES] = np.add.reduceat(error * x, starts)
+            _move(w[some], m[some], up)
 
 
 def _move(values: np.ndarray, tally: np.ndarray, up: np.ndarray) -> None:
-    up = up.astype(np.float32)
+    up = up.astype(np.float32, copy=False).reshape(values.shape)
     tally += up * up
-    values += np.float32(RATE) * up / np.sqrt(tally)
+    up *= np.float32(RATE)
+    up /= np.sqrt(tally)
+    values += up
 
 
 # What follows spreads the model over the cluster.
 
-def _together(texts: Iterator[bytes]) -> Iterator[list[bytes]]:
+def _together(texts: Iterable[bytes], limit: int = AT_ONCE) -> Iterator[list[bytes]]:
     held, size = [], 0
     for item in texts:
         held.append(item)
         size += len(item)
-        if size >= AT_ONCE:
+        if size >= limit:
             yield held
             held, size = [], 0
     if held:
@@ -369,15 +474,17 @@ def send(docs: DataFrame, model: Model) -> Broadcast:
 
 
 def with_logs(stream: Iterator[pa.RecordBatch], sent: Broadcast) -> Iterator[pa.RecordBatch]:
-    """Batches, whose last column is the text, with the natural logarithm of each text's probability before it."""
+    """Batches, whose last column is the text, with the natural logarithm of each text's probability before
+    it, and the text spelled."""
     code, tables = sent.value
-    model = Model(code, [_spread(t, "u1") for t in tables])
+    tables = [_spread(t, "u1") for t in tables]
+    # One large array is looked up faster than several.
+    model = Model(code, np.split(np.concatenate(tables), np.cumsum([len(t) for t in tables])[:-1]))
     for batch in stream:
         *others, text = batch.columns
-        found = [np.zeros(0)]
-        for some in _together(spelled(t or b"") for t in text.to_pylist()):
-            found.append(model.logs(some))
-        yield pa.RecordBatch.from_arrays([*others, pa.array(np.concatenate(found)), text], names=[*batch.schema.names[:-1], "log", "text"])
+        texts = [spelled(t or b"") for t in text.to_pylist()]
+        found = [np.zeros(0), *map(model.logs, _together(texts))]
+        yield pa.RecordBatch.from_arrays([*others, pa.array(np.concatenate(found)), pa.array(texts, pa.binary())], names=[*batch.schema.names[:-1], "log", "text"])
 
 
 def _halves(counts: np.ndarray) -> list[np.ndarray]:
@@ -431,14 +538,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: st
     sent = send(x, train(x.where("training")))
     scored = x.select("key", "training", "size", F.lit(0.0).alias("log"), "text").schema
 
-    def block() -> ws.Block:
-        return ws.Block(tokens_of, None, null=b"")
-
     def columns(own: ws.Block, codes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
         trained = np.repeat(np.array([row[1] for row in own.rows], dtype=bool), sizes)
         return _halves(np.bincount(codes[trained], minlength=len(own.names)))
 
-    cells = ws.by_part(ws.to_cells(x, block, columns, block_chars, before=lambda stream: with_logs(stream, sent), schema=scored))
+    cells = ws.by_part(ws.to_cells(x, Tokens, columns, block_chars, before=lambda stream: with_logs(stream, sent), schema=scored))
     arrow = ws.row_types_of(cells)
     merged = cut(cells.sortWithinPartitions("part").mapInArrow(lambda stream: ws.batches(_merge(stream), arrow), cells.schema))
 

@@ -345,6 +345,31 @@ def test_lm_is_a_probability():
     assert together == pytest.approx(alone, rel=1e-6)
 
 
+def test_lm_counts_bytes_that_come_again_at_once(monkeypatch):
+    text = mixing.spelled(b"The cat sat on the mat, the cat sat again")
+    code = mixing.Code.of(mixing.pair_counts([text] * 500).reshape(256, 256))
+    once, often = ([np.zeros(2 << bits, dtype=np.int32) for bits in mixing.BITS] for _ in range(2))
+    mixing.count([text], code, once)
+    asked, decisions = [], mixing.Code.decisions
+    monkeypatch.setattr(mixing.Code, "decisions", lambda self, pairs, *rest: asked.append(len(pairs)) or decisions(self, pairs, *rest))
+    mixing.count([text] * 500, code, often)
+    assert sum(asked) <= mixing.CONTEXTS * len(text)  # it was the bytes of all 500
+    assert sum(int(t.sum()) for t in once) > 0 and all((500 * a == b).all() for a, b in zip(once, often))
+
+
+def test_lm_tokens():
+    texts = [b"", b" \t\r\n", b"One two  ONE\x0b\x0ctwo", "\x00Ü \x1c \x85über".encode(), b" a\n\nB " * 300, b"x"]
+    spelled = [mixing.spelled(t) for t in texts]
+    assert spelled == [b"".join(w if w == mixing.END else w + b" " for w in mixing.tokens_of(t)) for t in texts]
+    block = mixing.Tokens()
+    for k, t in enumerate(spelled):
+        block.add((k,), t)
+    codes, sizes = block.tokens()
+    want = [mixing.tokens_of(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert [block.names.order[c] for c in codes.tolist()] == [w for own in want for w in own] and len(block.names) == len(set(block.names.order))
+
+
 def test_lm_states():
     pairs = [(0, 0), (3, 11), (14, 0), (7, 8), (10**6, 3 * 10**6), (0, 10**9)]
     states = mixing.states_of(np.array(pairs).ravel())
